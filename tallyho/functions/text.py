@@ -117,13 +117,13 @@ def build_adoption_message(name, short, long, categories) -> Column:
 
 
 def custom_id(org_uuid, fallback_key) -> Column:
-    """'startup-<uuid>'; a missing uuid falls back to a hash of the row key.
+    """'startup-<uuid>'; a missing uuid falls back to the row's own key.
 
     A row position means nothing in a distributed table, so the fallback is
-    ``startup-row-<xxhash64(key)>``, stable across runs.
+    ``startup-row-<key>``, stable across runs and re-partitioning.
     """
     u = strip_ws(col_(org_uuid))
-    fb = F.concat(F.lit("row-"), F.xxhash64(col_(fallback_key)).cast("string"))
+    fb = F.concat(F.lit("row-"), col_(fallback_key).cast("string"))
     return F.concat(F.lit(S.CUSTOM_ID_PREFIX),
                     F.when(is_blank(org_uuid), fb).otherwise(u))
 
@@ -165,9 +165,13 @@ def normalize_url(url) -> Column:
             .otherwise(F.concat(F.lit("https://"), u)))
 
 
+# scheme://authority - the authority is everything up to the first / ? #
+AUTHORITY_PATTERN = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
+
+
 def url_host(url) -> Column:
-    """Lower-cased authority with every 'www.' removed (port kept)."""
-    return F.replace(F.lower(F.try_parse_url(col_(url), F.lit("AUTHORITY"))),
+    """Lower-cased authority (port kept) with every 'www.' removed."""
+    return F.replace(F.lower(F.regexp_extract(col_(url), AUTHORITY_PATTERN, 1)),
                      F.lit("www."), F.lit(""))
 
 

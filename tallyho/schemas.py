@@ -284,3 +284,14 @@ BATCH_STATUS_SCHEMA = T.StructType([
     T.StructField("has_output", T.BooleanType()),
     T.StructField("checked_at", T.TimestampType()),
 ])
+
+# System prompts sent with each request (our short stand-ins; the text is a
+# parameter of every request builder).
+CLASSIFY_SYSTEM_PROMPT = (
+    "Classify the startup as AI-native (1) or not (0). Reply with exactly one "
+    "CSV line: CompanyID,CompanyName,AI_native,Confidence_1to5,"
+    "Reasons_3_points,Sources_used,Verification_critique")
+ADOPTION_SYSTEM_PROMPT = (
+    "Assess generative-AI adoption in strict, moderate and lenient modes and "
+    "reply with JSON only.")
+DEFAULT_MODEL = "classifier-small"
