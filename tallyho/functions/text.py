@@ -16,6 +16,8 @@ from tallyho import schemas as S
 WS_CLASS = (r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 _EDGE_WS = rf"^{WS_CLASS}+|{WS_CLASS}+$"
+# any character that is not whitespace (a find stops at the first one)
+NON_WS = "[^" + WS_CLASS[1:]
 YEAR_PATTERN = r"\b(19|20)\d{2}\b"
 
 
@@ -31,7 +33,7 @@ def strip_ws(c) -> Column:
 def is_blank(c) -> Column:
     """NULL, empty or whitespace-only."""
     c = col_(c)
-    return c.isNull() | (strip_ws(c) == "")
+    return c.isNull() | ~c.rlike(NON_WS)
 
 
 def blank_to_null(c) -> Column:

@@ -181,3 +181,131 @@ def with_views(*names: str) -> str:
     for n in names:
         visit(n)
     return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n][1].strip()})" for n in order)
+
+
+# ---- rule labellers and replies (SQL twins) --------------------------------
+
+def _labeller_views():
+    from tallyho.operators import labelers as L
+    from tallyho.plans import sqlfn as Q
+
+    text = (f"coalesce(concat_ws(' ', {Q.blank_to_null('short_description')}, "
+            f"{Q.blank_to_null('long_description')}), '')")
+
+    def occ(words):
+        return f"len(regexp_extract_all({text}, {Q.q(L.word_pattern(words))}))"
+
+    kw = Q.merge_keywords("category_list", "category_groups_list")
+    has_long = f"(NOT {Q.is_blank('long_description')})"
+    has_short = f"(NOT {Q.is_blank('short_description')})"
+    cid = (f"CASE WHEN {Q.is_blank('org_uuid')} THEN 'startup-row-' || CAST(rcid AS VARCHAR) "
+           f"ELSE 'startup-' || {Q.strip_ws('org_uuid')} END")
+    VIEWS["u2_base"] = (["companies"], f"""
+SELECT rcid, {cid} AS custom_id, {Q.null_to_na('org_uuid')} AS CompanyID,
+  {Q.null_to_na('name')} AS CompanyName, {occ(S.AI_VOCABULARY)} AS n,
+  {has_long} AS has_long, {has_short} AS has_short, {kw} AS keywords
+FROM companies""")
+    insuff = "(NOT has_long AND NOT has_short AND keywords = 'N/A')"
+    conf = ("(CASE WHEN n = 0 THEN 4 WHEN n = 1 THEN 2 WHEN n <= 3 THEN 3 ELSE 5 END)")
+    VIEWS["u2"] = (["u2_base"], f"""
+SELECT rcid, custom_id, CompanyID, CompanyName,
+  CASE WHEN {insuff} THEN 0 WHEN n >= 2 THEN 1 ELSE 0 END AS AI_native,
+  CASE WHEN {insuff} THEN 1 WHEN NOT has_long THEN least({conf}, 4) ELSE {conf} END AS Confidence_1to5,
+  CASE WHEN {insuff} THEN '' ELSE concat_ws(' | ', 'vocabulary matches: ' || CAST(n AS VARCHAR),
+       CASE WHEN has_long THEN 'long description present' ELSE 'no long description' END,
+       'keywords: ' || keywords) END AS Reasons_3_points,
+  CASE WHEN {insuff} THEN '' ELSE concat_ws(';', CASE WHEN has_short THEN 'short_description' END,
+       CASE WHEN has_long THEN 'long_description' END,
+       CASE WHEN keywords <> 'N/A' THEN 'keywords' END) END AS Sources_used,
+  CASE WHEN {insuff} THEN 'Insufficient information'
+       ELSE 'Rule label from ' || CAST(n AS VARCHAR) || ' vocabulary matches.' END AS Verification_critique
+FROM u2_base""")
+
+    def csvf(c):
+        return (f"(CASE WHEN regexp_matches(coalesce({c}, ''), {Q.q(chr(91) + ',\"' + chr(92) + 'n' + chr(92) + 'r' + chr(93))}) "
+                f"THEN '\"' || replace(coalesce({c}, ''), '\"', '\"\"') || '\"' ELSE coalesce({c}, '') END)")
+
+    def quoted(c):
+        return f"('\"' || replace(coalesce({c}, ''), '\"', '\"\"') || '\"')"
+
+    line = (f"concat_ws(',', {csvf('CompanyID')}, {csvf('CompanyName')}, CAST(AI_native AS VARCHAR), "
+            f"CAST(Confidence_1to5 AS VARCHAR), {quoted('Reasons_3_points')}, "
+            f"{quoted('Sources_used')}, {quoted('Verification_critique')})")
+    VIEWS["cls_responses"] = (["u2"], f"""
+SELECT rcid, CAST(floor(rcid / 250) + 1 AS INTEGER) AS batch_num, custom_id,
+  CASE WHEN rcid % 23 = 5 THEN 500 ELSE 200 END AS status_code,
+  CASE WHEN rcid % 23 IN (5, 9) THEN 0 ELSE 1 END AS n_choices,
+  CASE WHEN rcid % 23 IN (5, 9) THEN NULL
+       WHEN rcid % 23 = 17 THEN 'I cannot classify this company.'
+       WHEN rcid % 23 = 20 THEN 'Here is the answer:' || chr(10) || {line}
+       WHEN rcid % 23 = 21 THEN {line} || chr(10) || {line}
+       ELSE {line} END AS content,
+  CASE WHEN rcid % 23 = 5 THEN 'Internal server error' END AS error_message
+FROM u2 WHERE rcid % 23 <> 14""")
+    fld = '(?:"(?:[^"]|"")*"[^,\\n]*|[^,\\n]*)'
+    rec = f"regexp_extract({Q.strip_ws('content')}, {Q.q('^' + fld + '(?:,' + fld + ')*')}, 0)"
+    VIEWS["cls_fields"] = (["cls_responses"], f"""
+SELECT *, list_transform(regexp_extract_all(',' || {rec}, {Q.q(',(' + fld + ')')}, 1),
+  lambda f: {Q.strip_ws("CASE WHEN starts_with(f, '\"') THEN replace(substr(f, 2, length(f) - 2), '\"\"', '\"') ELSE f END")}) AS fl
+FROM cls_responses""")
+    cols = ", ".join(f"CASE WHEN len(fl) >= 7 THEN fl[{i + 1}] ELSE '' END AS {c}"
+                     for i, c in enumerate(S.REPLY_COLUMNS))
+    VIEWS["cls_parsed"] = (["cls_fields"], f"""
+SELECT rcid, batch_num, custom_id, status_code, n_choices, content, error_message, {cols},
+  coalesce(len(fl) >= 7, false) AS csv_ok,
+  CASE WHEN status_code IS NULL OR status_code <> 200 THEN 'http_error'
+       WHEN n_choices = 0 THEN 'empty_choices'
+       WHEN NOT coalesce(len(fl) >= 7, false) THEN 'bad_reply' END AS failure_kind
+FROM cls_fields""")
+    VIEWS["cls_submitted"] = (["companies"], f"""
+SELECT CAST(floor(rcid / 250) + 1 AS INTEGER) AS batch_num, {cid} AS custom_id, rcid FROM companies""")
+
+    # three-mode adoption labeller
+    counts = {m: occ(w) for m, w in L.ADOPTION_VOCAB.items()}
+    terms = ", ".join(f"{occ([t])} AS h_{t}" for t, _ in L.TERM_FUNCTION)
+    VIEWS["u3_base"] = (["companies"], f"""
+SELECT rcid, {cid} AS custom_id, {Q.null_to_na('org_uuid')} AS company_id,
+  {Q.null_to_na('name')} AS company_name,
+  {', '.join(f'{v} AS n_{m}' for m, v in counts.items())}, {terms}
+FROM companies""")
+
+    def lvl(n):
+        return f"(CASE WHEN {n} >= 3 THEN 'High' WHEN {n} = 2 THEN 'Medium' ELSE 'Low' END)"
+
+    modes = ", ".join(
+        f"CASE WHEN n_{m} > 0 THEN 'Yes' ELSE 'No' END AS genai_{m}_label, {lvl('n_' + m)} AS genai_{m}_confidence"
+        for m in S.ADOPTION_MODES)
+    funcs_list = "concat_ws('; ', " + ", ".join(
+        f"CASE WHEN h_{t} > 0 THEN '{fn}' END" for t, fn in L.TERM_FUNCTION) + ")"
+    funcs_det = "concat_ws(' | ', " + ", ".join(
+        f"CASE WHEN h_{t} > 0 THEN '{fn}: profile mentions {t}' END" for t, fn in L.TERM_FUNCTION) + ")"
+    matched = "concat_ws(', ', " + ", ".join(
+        f"CASE WHEN h_{t} > 0 THEN '{t}' END" for t, _ in L.TERM_FUNCTION) + ")"
+    VIEWS["u3"] = (["u3_base"], f"""
+SELECT rcid, custom_id, company_id, company_name, {modes}, 'strict' AS primary_assessment,
+  CASE WHEN n_lenient > 0 THEN 0 ELSE 1 END AS no_evidence_flag,
+  {funcs_list} AS genai_functions_list, {funcs_det} AS genai_functions_details,
+  'Matched terms: ' || {matched} || ' ' || 'Strict evidence count: ' || CAST(n_strict AS VARCHAR) AS reasoning,
+  rcid % 19 AS m
+FROM u3_base""")
+    # flattened adoption replies as ingested (defaults applied per failure mode)
+    VIEWS["adoption_ingested"] = (["u3"], """
+SELECT CAST(floor(rcid / 250) + 1 AS INTEGER) AS batch_num, custom_id, company_id, company_name,
+  CASE WHEN m = 13 THEN 'No' ELSE genai_strict_label END AS genai_strict_label,
+  CASE WHEN m = 13 THEN 'Low' ELSE genai_strict_confidence END AS genai_strict_confidence,
+  genai_moderate_label, genai_moderate_confidence, genai_lenient_label, genai_lenient_confidence,
+  primary_assessment, no_evidence_flag,
+  CASE WHEN m = 17 THEN '' ELSE genai_functions_list END AS genai_functions_list,
+  CASE WHEN m = 17 THEN '' ELSE genai_functions_details END AS genai_functions_details,
+  reasoning,
+  CASE WHEN m = 11 THEN 'http_error' WHEN m = 3 THEN 'bad_reply' END AS failure_kind,
+  CASE WHEN m = 11 THEN 500 ELSE 200 END AS status_code
+FROM u3""")
+    VIEWS["adoption_flat"] = (["adoption_ingested"], """
+SELECT company_id, company_name, genai_strict_label, genai_strict_confidence,
+  genai_moderate_label, genai_moderate_confidence, genai_lenient_label, genai_lenient_confidence,
+  primary_assessment, no_evidence_flag, genai_functions_list, genai_functions_details, reasoning
+FROM adoption_ingested WHERE failure_kind IS NULL""")
+
+
+_labeller_views()

@@ -1 +1,326 @@
-"""Registered queries."""
+"""Registered queries: ingesting replies, flattening, failures, roll-ups."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyho import schemas as S
+from tallyho.operators import findings as FD
+from tallyho.operators import labelers as L
+from tallyho.operators import replies as R
+from tallyho.plans import sqlfn as Q
+from tallyho.plans.oracle_views import with_views
+from tallyho.plans.registry import register
+from tallyho.sources import bindings as B
+from tallyho.sources.tables import Tables
+
+RUN_TS = "2026-01-01 00:00:00"
+
+
+def _t(spark, sf_dir):
+    return Tables(spark, sf_dir)
+
+
+def _cls_ingested(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return R.ingest_classification_replies(B.classification_responses(t))
+
+
+def _adoption_flat(spark, sf_dir):
+    return R.adoption_table(B.adoption_responses(_t(spark, sf_dir)))
+
+
+@register("lexical_ai_native", sql=f"""{with_views('u2')}
+SELECT rcid, custom_id, CompanyID, CompanyName, AI_native, Confidence_1to5,
+  Reasons_3_points, Sources_used, Verification_critique FROM u2""")
+def q_lexical_ai_native(spark, sf_dir):
+    """Rule labeller over whole descriptions, in reply form."""
+    return L.lexical_ai_native(B.companies(_t(spark, sf_dir)))
+
+
+@register("scan_batch_responses", sql=f"""{with_views('cls_responses')}
+SELECT batch_num, custom_id, status_code, n_choices, content, error_message FROM cls_responses""")
+def q_scan_batch_responses(spark, sf_dir):
+    """Nested batch responses -> (id, status, content, error)."""
+    return R.scan_batch_responses(B.classification_responses(_t(spark, sf_dir)))
+
+
+_REPLY_COLS = ", ".join(S.REPLY_COLUMNS)
+
+
+@register("parse_csv_reply", sql=f"""{with_views('cls_parsed')}
+SELECT custom_id, {_REPLY_COLS}, csv_ok FROM cls_parsed""")
+def q_parse_csv_reply(spark, sf_dir):
+    """First CSV record of each reply, >= 7 fields, first 7 trimmed."""
+    return _cls_ingested(spark, sf_dir).select("custom_id", *S.REPLY_COLUMNS, "csv_ok")
+
+
+@register("drop_unidentified", sql=f"""{with_views('cls_parsed')}
+SELECT batch_num, {_REPLY_COLS} FROM cls_parsed WHERE CompanyID <> ''""")
+def q_drop_unidentified(spark, sf_dir):
+    """Parsed replies with an empty CompanyID are dropped."""
+    return R.drop_unidentified(_cls_ingested(spark, sf_dir)).select(
+        "batch_num", *S.REPLY_COLUMNS)
+
+
+@register("merge_batch_outputs", sql=f"""{with_views('cls_parsed')}
+SELECT batch_num, {', '.join(f"nullif({c}, '') AS {c}" for c in S.REPLY_COLUMNS)}
+FROM cls_parsed WHERE CompanyID <> ''""")
+def q_merge_batch_outputs(spark, sf_dir):
+    """Write each batch's parsed output as its own CSV file set, then read
+    them all back in one scan in the fixed 7-column order (S5).  As with any
+    CSV read, an empty field comes back as NULL."""
+    from tallyho.sources import readers, sinks
+    parsed = R.drop_unidentified(_cls_ingested(spark, sf_dir)).select(
+        "batch_num", *S.REPLY_COLUMNS)
+    path = sinks.scratch_path(spark, "batch_outputs")
+    (parsed.write.partitionBy("batch_num").option("header", True)
+     .option("escape", '"').csv(path))
+    merged = readers.merge_batch_outputs(spark, path)
+    return merged.select(
+        F.regexp_extract("source_file", r"batch_num=(\d+)", 1).cast("int")
+        .alias("batch_num"), *S.REPLY_COLUMNS)
+
+
+_FAIL_UNION = """SELECT failure_kind, status_code FROM cls_parsed
+UNION ALL SELECT 'missing' AS failure_kind, NULL AS status_code FROM cls_submitted s
+WHERE NOT EXISTS (SELECT 1 FROM cls_responses r WHERE r.batch_num = s.batch_num AND r.custom_id = s.custom_id)"""
+
+
+@register("failure_taxonomy", sql=f"""{with_views('cls_parsed', 'cls_submitted')}
+SELECT coalesce(failure_kind, 'ok') AS outcome, count(*) AS n FROM ({_FAIL_UNION})
+GROUP BY 1 ORDER BY n DESC, outcome""")
+def q_failure_taxonomy(spark, sf_dir):
+    """ok / http_error / empty_choices / bad_reply / missing counts."""
+    t = _t(spark, sf_dir)
+    ing = R.with_missing(_cls_ingested(spark, sf_dir), B.submitted_requests(t))
+    return R.failure_taxonomy(ing)
+
+
+@register("top_error_codes", sql=f"""{with_views('cls_parsed')}
+SELECT status_code, count(*) AS n FROM cls_parsed WHERE status_code <> 200
+GROUP BY 1 ORDER BY n DESC, status_code""")
+def q_top_error_codes(spark, sf_dir):
+    """Error status codes by count, descending (T5)."""
+    return R.top_error_codes(_cls_ingested(spark, sf_dir))
+
+
+@register("failure_log", sql=f"""{with_views('cls_parsed')}
+SELECT batch_num, custom_id, failure_kind, status_code,
+  coalesce(error_message, failure_kind) AS error, content
+FROM cls_parsed WHERE failure_kind IS NOT NULL""")
+def q_failure_log(spark, sf_dir):
+    """Failed items with kind, error and the whole reply."""
+    return R.failure_log(_cls_ingested(spark, sf_dir))
+
+
+_U3_COLS = ", ".join(R.ADOPTION_FLAT_COLUMNS)
+
+
+@register("lexical_adoption_modes", sql=f"""{with_views('u3')}
+SELECT custom_id, {_U3_COLS} FROM u3""")
+def q_lexical_adoption_modes(spark, sf_dir):
+    """Three nested-vocabulary labels per company, flattened."""
+    lab = L.lexical_adoption_modes(B.companies(_t(spark, sf_dir)))
+    a = F.col("adoption")
+    kws, det = R.join_function_lists(a["genai_functions"])
+    cols = []
+    for m in S.ADOPTION_MODES:
+        cols += [a[f"genai_adoption_{m}"]["label"].alias(f"genai_{m}_label"),
+                 a[f"genai_adoption_{m}"]["confidence"].alias(f"genai_{m}_confidence")]
+    return lab.select("custom_id", "company_id", "company_name", *cols,
+                      a["primary_assessment"].alias("primary_assessment"),
+                      F.when(a["no_evidence_of_genai_use"], F.lit(1)).otherwise(F.lit(0))
+                      .alias("no_evidence_flag"),
+                      kws.alias("genai_functions_list"), det.alias("genai_functions_details"),
+                      F.array_join(a["reasoning"], " ").alias("reasoning"))
+
+
+@register("flatten_adoption_json", sql=f"""{with_views('adoption_flat')}
+SELECT {_U3_COLS} FROM adoption_flat""")
+def q_flatten_adoption_json(spark, sf_dir):
+    """Nested three-mode JSON replies -> 13 flat columns with defaults."""
+    return _adoption_flat(spark, sf_dir)
+
+
+@register("join_function_lists", sql=f"""{with_views('adoption_flat')}
+SELECT company_id, genai_functions_list, genai_functions_details FROM adoption_flat""")
+def q_join_function_lists(spark, sf_dir):
+    """'; ' keyword list and ' | ' 'kw: description' list."""
+    return _adoption_flat(spark, sf_dir).select(
+        "company_id", "genai_functions_list", "genai_functions_details")
+
+
+@register("modes_to_rows", sql=f"""{with_views('adoption_flat')}
+SELECT company_id, 'strict' AS mode, genai_strict_label AS label, genai_strict_confidence AS confidence FROM adoption_flat
+UNION ALL SELECT company_id, 'moderate', genai_moderate_label, genai_moderate_confidence FROM adoption_flat
+UNION ALL SELECT company_id, 'lenient', genai_lenient_label, genai_lenient_confidence FROM adoption_flat""")
+def q_modes_to_rows(spark, sf_dir):
+    """Three modes wide -> long."""
+    return R.modes_to_rows(_adoption_flat(spark, sf_dir))
+
+
+@register("adoption_by_mode", sql=f"""{with_views('adoption_flat')},
+c AS (SELECT count(*) AS total, count_if(genai_strict_label = 'Yes') AS strict,
+  count_if(genai_moderate_label = 'Yes') AS moderate, count_if(genai_lenient_label = 'Yes') AS lenient,
+  count_if(no_evidence_flag = 1) AS no_evidence FROM adoption_flat)
+SELECT 'strict' AS mode, strict AS n, round({Q.pct('strict', 'total')}, 6) AS pct FROM c
+UNION ALL SELECT 'moderate', moderate, round({Q.pct('moderate', 'total')}, 6) FROM c
+UNION ALL SELECT 'lenient', lenient, round({Q.pct('lenient', 'total')}, 6) FROM c
+UNION ALL SELECT 'no_evidence', no_evidence, round({Q.pct('no_evidence', 'total')}, 6) FROM c""")
+def q_adoption_by_mode(spark, sf_dir):
+    """Yes-count and % per mode plus no-evidence (A2)."""
+    return R.adoption_by_mode(_adoption_flat(spark, sf_dir))
+
+
+@register("confidence_by_mode", sql=f"""{with_views('adoption_flat')},
+long AS (SELECT 'strict' AS mode, genai_strict_label AS label, genai_strict_confidence AS confidence FROM adoption_flat
+  UNION ALL SELECT 'moderate', genai_moderate_label, genai_moderate_confidence FROM adoption_flat
+  UNION ALL SELECT 'lenient', genai_lenient_label, genai_lenient_confidence FROM adoption_flat),
+c AS (SELECT m.mode, count_if(l.confidence = 'Low') AS low, count_if(l.confidence = 'Medium') AS medium,
+  count_if(l.confidence = 'High') AS high
+  FROM (SELECT unnest(['strict', 'moderate', 'lenient']) AS mode) m
+  LEFT JOIN (SELECT * FROM long WHERE label = 'Yes') l ON l.mode = m.mode GROUP BY m.mode)
+SELECT mode, low, medium, high, low + medium + high AS yes_total,
+  round({Q.pct('low', 'low + medium + high')}, 6) AS pct_low,
+  round({Q.pct('medium', 'low + medium + high')}, 6) AS pct_medium,
+  round({Q.pct('high', 'low + medium + high')}, 6) AS pct_high
+FROM c""")
+def q_confidence_by_mode(spark, sf_dir):
+    """Low/Medium/High among Yes rows per mode, zero-filled (A3)."""
+    return R.confidence_by_mode(_adoption_flat(spark, sf_dir))
+
+
+_EXPLODE = f"""SELECT company_id, f AS function FROM (
+  SELECT company_id, unnest(string_split(genai_functions_list, ';')) AS raw FROM adoption_flat
+  WHERE genai_functions_list IS NOT NULL), LATERAL (SELECT {Q.strip_ws('raw')} AS f) WHERE f <> ''"""
+
+
+@register("explode_function_list", sql=f"""{with_views('adoption_flat')}
+{_EXPLODE}""")
+def q_explode_function_list(spark, sf_dir):
+    """'; ' function list -> one row per non-blank keyword."""
+    return R.explode_function_list(_adoption_flat(spark, sf_dir))
+
+
+@register("top_functions", sql=f"""{with_views('adoption_flat')}
+SELECT function, count(*) AS n FROM ({_EXPLODE}) GROUP BY function ORDER BY n DESC, function LIMIT 10""")
+def q_top_functions(spark, sf_dir):
+    """Top 10 business functions by count, ties by keyword."""
+    return R.top_functions(_adoption_flat(spark, sf_dir))
+
+
+@register("sample_adopters", sql=f"""{with_views('adoption_flat')}
+SELECT company_id, company_name,
+  CASE WHEN {Q.is_blank('genai_functions_list')} THEN 'N/A' ELSE genai_functions_list END AS genai_functions_list
+FROM adoption_flat WHERE genai_strict_label = 'Yes' ORDER BY company_id LIMIT 20""")
+def q_sample_adopters(spark, sf_dir):
+    """First 20 strict adopters by id (T2; the limit is the feature)."""
+    return R.sample_adopters(_adoption_flat(spark, sf_dir))
+
+
+# ---- research results ------------------------------------------------------
+
+_RJ = with_views("research_companies", "finding_rows")
+_NF = "(SELECT company_id, count(*) AS nf FROM finding_rows GROUP BY company_id)"
+_PARSE_ERR = """CASE WHEN c.result_is_null OR c.company_id % 29 = 0 THEN 'No JSON object found in response'
+  WHEN c.company_id % 37 = 0 THEN (CASE WHEN coalesce(n.nf, 0) > 0 THEN 'Invalid JSON'
+                                        ELSE 'No JSON object found in response' END) END"""
+
+
+@register("extract_json_span", sql=f"""{_RJ}
+SELECT c.company_id, ({_PARSE_ERR}) IS NULL AS json_ok, {_PARSE_ERR} AS parse_error
+FROM research_companies c LEFT JOIN {_NF} n ON c.company_id = n.company_id""")
+def q_extract_json_span(spark, sf_dir):
+    """First '{' to last '}' of each reply; none / invalid -> reason."""
+    rr = B.research_replies(_t(spark, sf_dir))
+    err = R.json_parse_error("reply")
+    return rr.select("company_id", err.isNull().alias("json_ok"), err.alias("parse_error"))
+
+
+@register("parse_research_result", sql=f"""{_RJ}
+SELECT c.company_id, {_PARSE_ERR} AS parse_error,
+  CASE WHEN ({_PARSE_ERR}) IS NULL THEN c.genai_adoption_found ELSE false END AS genai_adoption_found,
+  CASE WHEN ({_PARSE_ERR}) IS NULL THEN CAST(coalesce(n.nf, 0) AS INTEGER) ELSE 0 END AS n_findings,
+  CASE WHEN ({_PARSE_ERR}) IS NULL THEN c.no_finding_reason END AS no_finding_reason,
+  CASE WHEN ({_PARSE_ERR}) IS NULL THEN c.recommend_escalation ELSE false END AS recommend_escalation,
+  CASE WHEN ({_PARSE_ERR}) IS NULL THEN c.escalation_reason END AS escalation_reason
+FROM research_companies c LEFT JOIN {_NF} n ON c.company_id = n.company_id""")
+def q_parse_research_result(spark, sf_dir):
+    """Reply JSON -> typed result with defaults; malformed kept with reason."""
+    p = R.parse_research_result(B.research_replies(_t(spark, sf_dir)))
+    return p.select("company_id", "parse_error", "genai_adoption_found",
+                    F.size("findings").alias("n_findings"), "no_finding_reason",
+                    "recommend_escalation", "escalation_reason")
+
+
+_E1 = f"""SELECT c.company_id, c.company_name, c.homepage_url, c.industry, c.founded_year,
+  c.research_stage_reached, c.online_presence_score, c.website_alive, c.research_cost_usd,
+  TIMESTAMP '{RUN_TS}' AS researched_at,
+  CAST(coalesce(f.ordinal, 1) AS INTEGER) AS finding_id,
+  f.company_id IS NOT NULL AS genai_adoption_found,
+  CASE WHEN f.company_id IS NULL THEN 0.0 ELSE f.confidence END AS adoption_confidence,
+  f.tool_name, f.use_case, f.business_function, f.evidence_summary, f.source_url, f.source_type,
+  CASE WHEN f.company_id IS NULL THEN coalesce(CASE WHEN NOT c.result_is_null THEN c.no_finding_reason END,
+       'no_evidence') END AS no_finding_reason
+FROM research_companies c LEFT JOIN finding_rows f ON c.company_id = f.company_id AND NOT c.result_is_null"""
+
+
+def _expanded(spark, sf_dir):
+    return FD.expand_findings(B.research_results(_t(spark, sf_dir)), RUN_TS)
+
+
+@register("expand_findings", sql=f"""{_RJ}
+{_E1}""")
+def q_expand_findings(spark, sf_dir):
+    """One row per finding; none -> one 'no finding' row."""
+    return _expanded(spark, sf_dir)
+
+
+@register("finding_ordinal", sql=f"""{_RJ}
+SELECT company_id, finding_id, tool_name FROM ({_E1}) WHERE genai_adoption_found""")
+def q_finding_ordinal(spark, sf_dir):
+    """1-based finding number within a company."""
+    return _expanded(spark, sf_dir).where("genai_adoption_found").select(
+        "company_id", "finding_id", "tool_name")
+
+
+@register("rows_written_stats", sql=f"""{_RJ}
+SELECT count(DISTINCT company_id) AS companies, count(*) AS rows,
+  count_if(genai_adoption_found) AS finding_rows FROM ({_E1})""")
+def q_rows_written_stats(spark, sf_dir):
+    """Companies and rows emitted by the expansion."""
+    return FD.rows_written_stats(_expanded(spark, sf_dir))
+
+
+@register("sink_fixed_csv")
+def q_sink_fixed_csv(spark, sf_dir):
+    """Write the finding rows as CSV with the fixed 20-column header into the
+    shared scratch folder and read them back (S11)."""
+    from tallyho.sources import sinks
+    return sinks.roundtrip_fixed_csv(spark, _expanded(spark, sf_dir),
+                                     S.FINDING_ROW_COLUMNS, "finding_rows")
+
+
+@register("summarize_findings", sql=f"""{_RJ}
+SELECT c.company_id,
+  coalesce(n.nf, 0) > 0 AND NOT c.result_is_null AS has_adoption_evidence,
+  CASE WHEN c.result_is_null THEN 0.0 ELSE coalesce(n.mx, 0.0) END AS highest_confidence,
+  CASE WHEN c.result_is_null THEN 0 ELSE CAST(coalesce(n.nf, 0) AS INTEGER) END AS n_findings
+FROM research_companies c LEFT JOIN
+ (SELECT company_id, count(*) AS nf, max(confidence) AS mx FROM finding_rows GROUP BY company_id) n
+ ON c.company_id = n.company_id""")
+def q_summarize_findings(spark, sf_dir):
+    """Any non-negative finding; highest confidence or 0.0."""
+    return FD.summarize_findings(B.research_results(_t(spark, sf_dir)))
+
+
+@register("drop_low_confidence_findings", sql=f"""{_RJ}
+SELECT c.company_id, CASE WHEN c.result_is_null THEN NULL ELSE CAST(coalesce(n.nf, 0) AS INTEGER) END AS n_kept
+FROM research_companies c LEFT JOIN
+ (SELECT company_id, count_if(confidence >= 0.5) AS nf FROM finding_rows GROUP BY company_id) n
+ ON c.company_id = n.company_id""")
+def q_drop_low_confidence_findings(spark, sf_dir):
+    """Findings below 0.5 confidence removed from each result."""
+    r = FD.drop_low_confidence_findings(B.research_results(_t(spark, sf_dir)))
+    return r.select("company_id", F.size("result.findings").alias("n_kept"))

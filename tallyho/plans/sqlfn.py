@@ -15,7 +15,7 @@ def strip_ws(e: str) -> str:
 
 
 def is_blank(e: str) -> str:
-    return f"({e} IS NULL OR {strip_ws(e)} = '')"
+    return f"({e} IS NULL OR NOT regexp_matches({e}, {q(X.NON_WS)}))"
 
 
 def blank_to_na(e: str) -> str:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyho import schemas as S
+from tallyho.sources.staging import staged
 from tallyho.sources.tables import Tables
 
 NBSP = "\u00a0"
@@ -271,3 +272,107 @@ def site_checks(t: Tables) -> DataFrame:
                        .otherwise(F.lit("SSL: certificate verify failed")))
                  .alias("error"),
             ))
+
+
+# ---- replies ---------------------------------------------------------------
+
+def _batch_of(k) -> F.Column:
+    """Request file a company was submitted in (250 companies per file)."""
+    return (F.floor(k / 250) + 1).cast("int")
+
+
+def submitted_requests(t: Tables) -> DataFrame:
+    """(batch_num, custom_id, rcid) of every submitted request."""
+    from tallyho.functions.text import custom_id
+    c = companies(t)
+    return c.select(_batch_of(F.col("rcid")).alias("batch_num"),
+                    custom_id("org_uuid", "rcid").alias("custom_id"), "rcid")
+
+
+def classification_responses(t: Tables) -> DataFrame:
+    return staged(t.spark, "classification_responses", t.sf_dir, lambda: _classification_responses(t))
+
+
+def _classification_responses(t: Tables) -> DataFrame:
+    """Batch responses (nested, as downloaded) carrying CSV replies made by
+    the rule labeller; some rows are failures: HTTP 500, empty choices,
+    missing response, non-CSV text, text before the CSV line, two lines."""
+    from tallyho.operators.labelers import lexical_ai_native, reply_line
+    lab = lexical_ai_native(companies(t))
+    k = F.col("rcid")
+    m = k % 23
+    line = reply_line(lab)
+    content = (F.when(m == 17, F.lit("I cannot classify this company."))
+               .when(m == 20, F.concat(F.lit("Here is the answer:\n"), line))
+               .when(m == 21, F.concat(line, F.lit("\n"), line))
+               .otherwise(line))
+    choice_t = "array<struct<message:struct<content:string>>>"
+    choices = (F.when(m == 5, F.lit(None).cast(choice_t))
+               .when(m == 9, F.array().cast(choice_t))
+               .otherwise(F.array(F.struct(F.struct(content.alias("content"))
+                                           .alias("message")))))
+    error = F.when(m == 5, F.struct(F.lit("Internal server error").alias("message")))
+    return (lab.where(m != 14)
+            .select(_batch_of(k).alias("batch_num"), "custom_id",
+                    F.struct(F.when(m == 5, F.lit(500)).otherwise(F.lit(200))
+                             .alias("status_code"),
+                             F.struct(choices.alias("choices"),
+                                      error.alias("error")).alias("body"))
+                    .alias("response")))
+
+
+def adoption_responses(t: Tables) -> DataFrame:
+    return staged(t.spark, "adoption_responses", t.sf_dir, lambda: _adoption_responses(t))
+
+
+def _adoption_responses(t: Tables) -> DataFrame:
+    """Batch responses whose content is the three-mode JSON reply; some are
+    malformed, wrapped in text, HTTP errors, a null mode object, missing
+    the functions key, or carry reasoning as a string."""
+    from tallyho.operators.labelers import lexical_adoption_modes
+    lab = lexical_adoption_modes(companies(t))
+    k = F.col("rcid")
+    m = k % 19
+    keep_nulls = {"ignoreNullFields": "false"}
+    a = F.col("adoption")
+    full = F.to_json(a, keep_nulls)
+    null_strict = F.to_json(a.withField("genai_adoption_strict",
+                                        F.lit(None).cast("struct<label:string,confidence:string>")),
+                            keep_nulls)
+    no_funcs = F.to_json(a.dropFields("genai_functions"), keep_nulls)
+    reason_str = F.to_json(a.withField("reasoning", F.array_join(a["reasoning"], " ")),
+                           keep_nulls)
+    content = (F.when(m == 3, F.lit("Sorry, no JSON today."))
+               .when(m == 7, F.concat(F.lit("Result: "), full, F.lit(" -- end")))
+               .when(m == 13, null_strict)
+               .when(m == 17, no_funcs)
+               .when(m == 18, reason_str)
+               .otherwise(full))
+    choice_t = "array<struct<message:struct<content:string>>>"
+    return lab.select(
+        _batch_of(k).alias("batch_num"), "custom_id", "company_id", "company_name",
+        F.struct(F.when(m == 11, F.lit(500)).otherwise(F.lit(200)).alias("status_code"),
+                 F.struct(F.when(m == 11, F.lit(None).cast(choice_t))
+                          .otherwise(F.array(F.struct(F.struct(content.alias("content"))
+                                                      .alias("message"))))
+                          .alias("choices"),
+                          F.when(m == 11, F.struct(F.lit("Bad gateway").alias("message")))
+                          .alias("error")).alias("body")).alias("response"))
+
+
+def research_replies(t: Tables) -> DataFrame:
+    return staged(t.spark, "research_replies", t.sf_dir, lambda: _research_replies(t))
+
+
+def _research_replies(t: Tables) -> DataFrame:
+    """Research replies as text: the JSON of each result, sometimes wrapped
+    in prose, truncated (no closing brace) or with no JSON at all."""
+    r = research_results(t)
+    k = F.col("company_id")
+    js = F.to_json(F.col("result"), {"ignoreNullFields": "false"})
+    text = (F.when(F.col("result").isNull(), F.lit("No findings."))
+            .when(k % 29 == 0, F.lit("I could not find anything useful."))
+            .when(k % 37 == 0, F.regexp_replace(js, r"\}$", ""))
+            .when(k % 41 == 0, F.concat(F.lit("Here you go: "), js, F.lit(" Thanks!")))
+            .otherwise(js))
+    return r.select("company_id", "company_name", text.alias("reply"))
