@@ -75,7 +75,8 @@ def q_merge_batch_outputs(spark, sf_dir):
         "batch_num", *S.REPLY_COLUMNS)
     path = sinks.scratch_path(spark, "batch_outputs")
     (parsed.write.partitionBy("batch_num").option("header", True)
-     .option("escape", '"').csv(path))
+     .option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
     merged = readers.merge_batch_outputs(spark, path)
     return merged.select(
         F.regexp_extract("source_file", r"batch_num=(\d+)", 1).cast("int")

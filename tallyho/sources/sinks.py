@@ -40,7 +40,9 @@ def sink_request_jsonl(requests: DataFrame, path: str,
 def sink_fixed_csv(df: DataFrame, columns: list[str], path: str) -> None:
     """CSV with a header and the declared column order."""
     (df.select(*columns).write.mode("overwrite")
-     .option("header", True).option("escape", '"').csv(path))
+     .option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def read_fixed_csv(spark: SparkSession, path: str) -> DataFrame:
