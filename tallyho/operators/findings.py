@@ -22,7 +22,7 @@ def expand_findings(results: DataFrame, researched_at: str,
     """
     r = F.col(result_col)
     x = results.select(*_COMPANY_COLS,
-                       F.to_timestamp(F.lit(researched_at)).alias("researched_at"),
+                       F.to_timestamp_ntz(F.lit(researched_at)).alias("researched_at"),
                        r["no_finding_reason"].alias("_reason"),
                        F.posexplode_outer(r["findings"]).alias("_pos", "_f"))
     has = F.col("_f").isNotNull()

@@ -118,7 +118,8 @@ FROM orders
 """)
 
 VIEWS["batch_status"] = ([], r"""
-SELECT CAST(user_id AS INTEGER) AS batch_num, 'batch_' || CAST(user_id AS VARCHAR) AS batch_id,
+SELECT CAST(user_id AS INTEGER) AS batch_num,
+  CASE WHEN user_id % 9 = 4 THEN NULL ELSE 'batch_' || CAST(user_id AS VARCHAR) END AS batch_id,
   CASE WHEN completed + failed >= total THEN 'completed'
        WHEN event_type = 'signup' THEN 'validating'
        WHEN event_type = 'click' THEN 'finalizing'
@@ -309,3 +310,22 @@ FROM adoption_ingested WHERE failure_kind IS NULL""")
 
 
 _labeller_views()
+
+
+VIEWS["search_log_flat"] = (["companies"], r"""
+SELECT rcid, name, CASE WHEN rcid % 13 = 4 THEN 'rate limited (429)' WHEN rcid % 13 = 5 THEN '' END AS error,
+  strftime(TIMESTAMP '2026-01-01 00:00:00' + to_seconds(rcid), '%Y-%m-%dT%H:%M:%S') AS timestamp, 0 AS day
+FROM companies WHERE rcid % 8 <> 7
+UNION ALL
+SELECT rcid, name, NULL AS error,
+  strftime(TIMESTAMP '2026-01-02 00:00:00' + to_seconds(rcid), '%Y-%m-%dT%H:%M:%S') AS timestamp, 1 AS day
+FROM companies WHERE rcid % 8 <> 7 AND rcid % 26 = 4
+""")
+
+VIEWS["search_hits"] = ([], r"""
+SELECT conv_id AS rcid, turn, role || ' turn ' || CAST(turn AS VARCHAR) AS title,
+  'https://search.example.com/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS url,
+  text AS content, 1.0 / (turn + 1) AS score,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rnk
+FROM conversations
+""")

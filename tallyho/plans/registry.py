@@ -33,4 +33,4 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from tallyho.plans import (  # noqa: F401
         q_compare, q_text, q_replies, q_batching, q_reconcile, q_quality,
-        q_monitor, q_models, q_streaming)
+        q_monitor, q_models, q_streaming, q_search)

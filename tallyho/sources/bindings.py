@@ -201,7 +201,8 @@ def batch_status(t: Tables) -> DataFrame:
     w_all = Window.partitionBy("user_id")
     x = e.select(
         u.cast("int").alias("batch_num"),
-        F.concat(F.lit("batch_"), u.cast("string")).alias("batch_id"),
+        F.when(u % 9 == 4, F.lit(None).cast("string"))
+         .otherwise(F.concat(F.lit("batch_"), u.cast("string"))).alias("batch_id"),
         F.col("event_type"), F.col("ts"), F.col("event_id"),
         F.count_if(F.col("event_type") == "purchase").over(w_run).alias("completed"),
         F.count_if(F.col("event_type") == "error").over(w_run).alias("failed"),
@@ -376,3 +377,103 @@ def _research_replies(t: Tables) -> DataFrame:
             .when(k % 41 == 0, F.concat(F.lit("Here you go: "), js, F.lit(" Thanks!")))
             .otherwise(js))
     return r.select("company_id", "company_name", text.alias("reply"))
+
+
+# ---- pass logs -------------------------------------------------------------
+
+RUN_START = "2026-01-01 00:00:00"  # start of the logged runs
+
+
+def _search_results(t: Tables) -> DataFrame:
+    """Search hits per company: the turns of conversation ``conv_id = rcid``
+    (title, url, content, score), in turn order."""
+    c = t.conversations
+    hit = F.struct(
+        F.concat(F.col("role"), F.lit(" turn "), F.col("turn").cast("string")).alias("title"),
+        F.concat(F.lit("https://search.example.com/"), F.col("conv_id").cast("string"),
+                 F.lit("/"), F.col("turn").cast("string")).alias("url"),
+        F.col("text").alias("content"),
+        (F.lit(1.0) / (F.col("turn") + 1)).alias("score"))
+    return (c.groupBy("conv_id")
+            .agg(F.array_sort(F.collect_list(F.struct("turn", hit.alias("h")))).alias("hs"))
+            .select(F.col("conv_id").alias("rcid"),
+                    F.transform("hs", lambda x: x["h"]).alias("results")))
+
+
+def search_log(t: Tables) -> DataFrame:
+    return staged(t.spark, "search_log", t.sf_dir, lambda: _search_log(t))
+
+
+def _search_log(t: Tables) -> DataFrame:
+    """Search-pass records (nested, one JSON line each).  Companies with
+    rcid % 8 == 7 were not reached yet; rcid % 13 == 4 errored, and half of
+    those were retried successfully a day later; rcid % 13 == 5 logged an
+    empty error string."""
+    from tallyho.functions.text import normalize_url
+    co = companies(t).where(F.col("rcid") % 8 != 7)
+    sc = site_checks(t).select(F.col("rcid").alias("_pid"), F.struct(
+        "url", (F.col("status_code").between(200, 399)).alias("is_alive"),
+        "status_code", "final_url", "error").alias("website_check"))
+    res = _search_results(t)
+    j = co.join(res, "rcid", "left").join(sc, co.rcid == sc._pid, "left")
+    k = F.col("rcid")
+    results = F.coalesce(F.col("results"),
+                         F.array().cast(f"array<{S.SEARCH_RESULT_SCHEMA.simpleString()}>"))
+    answer = F.concat(F.lit("Summary of "), F.coalesce(F.col("name"), F.lit("")))
+    website = F.coalesce(F.col("website_check"), F.struct(
+        normalize_url("homepage_url").alias("url"), F.lit(False).alias("is_alive"),
+        F.lit(None).cast("int").alias("status_code"),
+        F.lit(None).cast("string").alias("final_url"),
+        F.lit(S.NO_URL_MESSAGE).alias("error")))
+
+    def record(err, day):
+        ok = err.isNull() | (err == "")
+        return F.struct(
+            k.alias("rcid"), F.col("name"), F.col("short_description"),
+            F.col("long_description").alias("description"), F.col("homepage_url"),
+            website.alias("website_check"),
+            F.struct(F.concat(F.lit(S.SEARCH_QUERY_PREFIX), F.coalesce(F.col("name"), F.lit("")))
+                     .alias("query"),
+                     F.when(ok & (k % 3 != 0), answer).alias("answer"),
+                     F.when(ok, F.size(results)).otherwise(F.lit(0)).alias("result_count"),
+                     F.when(ok, F.struct(answer.alias("answer"), results.alias("results")))
+                     .alias("raw_response"),
+                     err.alias("error")).alias("tavily"),
+            F.date_format(F.lit(RUN_START).cast("timestamp_ntz")
+                          + F.make_dt_interval(F.lit(day), F.lit(0), F.lit(0), k),
+                          "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
+
+    first_err = (F.when(k % 13 == 4, F.lit("rate limited (429)"))
+                 .when(k % 13 == 5, F.lit("")).otherwise(F.lit(None).cast("string")))
+    first = j.select(record(first_err, 0).alias("r"))
+    retry = j.where(k % 26 == 4).select(record(F.lit(None).cast("string"), 1).alias("r"))
+    return first.unionByName(retry).select("r.*")
+
+
+def priority_log(t: Tables) -> DataFrame:
+    return staged(t.spark, "priority_log", t.sf_dir, lambda: _priority_log(t))
+
+
+def _priority_log(t: Tables) -> DataFrame:
+    """Priority-pass records: presence 1-10 and research priority 0-5 from
+    the rule labeller's evidence; rcid % 17 == 3 failed (score 0 with an
+    error), rcid % 53 == 2 carries an out-of-range score 7."""
+    from tallyho.operators.labelers import _staged_text, occurrences
+    st = _staged_text(companies(t)).select(
+        "rcid", "name", "_has_long", F.col("homepage_url").isNotNull().alias("_web"),
+        occurrences("_text", S.AI_VOCABULARY).alias("_n"),
+        F.length(F.coalesce(F.col("long_description"), F.lit(""))).alias("_len"))
+    k = F.col("rcid")
+    score = F.least(F.lit(5), F.col("_n") + F.col("_has_long").cast("int")
+                    + F.col("_web").cast("int"))
+    presence = F.least(F.lit(10), F.lit(1) + F.floor(F.log10(F.col("_len") + 1) * 2))
+    err = k % 17 == 3
+    return st.select(
+        "rcid", "name",
+        F.when(err, F.lit(0)).otherwise(presence).cast("int").alias("online_presence_score"),
+        F.when(err, F.lit(0)).when(k % 53 == 2, F.lit(7)).otherwise(score).cast("int")
+        .alias("research_priority_score"),
+        F.when(err, F.lit("classification failed"))
+         .otherwise(F.concat(F.lit("vocabulary matches: "), F.col("_n").cast("string")))
+         .alias("reasoning"),
+        F.when(err, F.lit("APIError: upstream unavailable")).alias("error"))
