@@ -134,7 +134,7 @@ SELECT CAST(user_id AS INTEGER) AS batch_num,
 FROM (SELECT *,
   count_if(event_type = 'purchase') OVER w AS completed,
   count_if(event_type = 'error') OVER w AS failed,
-  count_if(event_type IN ('purchase', 'error')) OVER (PARTITION BY user_id) AS total,
+  count_if(event_type IN ('purchase', 'error')) OVER (PARTITION BY user_id) + user_id % 5 AS total,
   min(ts) OVER (PARTITION BY user_id) AS created_at
   FROM events
   WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id
