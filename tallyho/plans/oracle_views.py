@@ -238,6 +238,8 @@ SELECT rcid, CAST(floor(rcid / 250) + 1 AS INTEGER) AS batch_num, custom_id,
   CASE WHEN rcid % 23 IN (5, 9) THEN 0 ELSE 1 END AS n_choices,
   CASE WHEN rcid % 23 IN (5, 9) THEN NULL
        WHEN rcid % 23 = 17 THEN 'I cannot classify this company.'
+       WHEN rcid % 23 = 2 THEN concat_ws(',', CompanyID, CompanyName, '1', '6', '"only | two"', '"name"', '"ok"')
+       WHEN rcid % 23 = 11 THEN concat_ws(',', CompanyID, CompanyName, '0', '3', '"a | b | c"', '"name;website"', '"checked"')
        WHEN rcid % 23 = 20 THEN 'Here is the answer:' || chr(10) || {line}
        WHEN rcid % 23 = 21 THEN {line} || chr(10) || {line}
        ELSE {line} END AS content,
@@ -329,3 +331,24 @@ SELECT conv_id AS rcid, turn, role || ' turn ' || CAST(turn AS VARCHAR) AS title
   row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rnk
 FROM conversations
 """)
+
+
+def _priority_view():
+    from tallyho.operators import labelers as L
+    from tallyho.plans import sqlfn as Q
+    text = (f"coalesce(concat_ws(' ', {Q.blank_to_null('short_description')}, "
+            f"{Q.blank_to_null('long_description')}), '')")
+    n = f"len(regexp_extract_all({text}, {Q.q(L.word_pattern(S.AI_VOCABULARY))}))"
+    has_long = f"CAST(NOT {Q.is_blank('long_description')} AS INTEGER)"
+    web = "CAST(homepage_url IS NOT NULL AS INTEGER)"
+    presence = "least(10, 1 + floor(log10(length(coalesce(long_description, '')) + 1) * 2))"
+    VIEWS["priority_log"] = (["companies"], f"""
+SELECT rcid, name,
+  CAST(CASE WHEN rcid % 17 = 3 THEN 0 ELSE {presence} END AS INTEGER) AS online_presence_score,
+  CAST(CASE WHEN rcid % 17 = 3 THEN 0 WHEN rcid % 53 = 2 THEN 7 ELSE least(5, {n} + {has_long} + {web}) END AS INTEGER) AS research_priority_score,
+  CASE WHEN rcid % 17 = 3 THEN 'classification failed' ELSE 'vocabulary matches: ' || CAST({n} AS VARCHAR) END AS reasoning,
+  CASE WHEN rcid % 17 = 3 THEN 'APIError: upstream unavailable' END AS error
+FROM companies""")
+
+
+_priority_view()

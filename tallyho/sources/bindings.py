@@ -297,13 +297,22 @@ def classification_responses(t: Tables) -> DataFrame:
 def _classification_responses(t: Tables) -> DataFrame:
     """Batch responses (nested, as downloaded) carrying CSV replies made by
     the rule labeller; some rows are failures: HTTP 500, empty choices,
-    missing response, non-CSV text, text before the CSV line, two lines."""
+    missing response, non-CSV text, text before the CSV line, two lines;
+    two variants break the reply contract (confidence 6 with two reasons,
+    an unknown source)."""
     from tallyho.operators.labelers import lexical_ai_native, reply_line
     lab = lexical_ai_native(companies(t))
     k = F.col("rcid")
     m = k % 23
     line = reply_line(lab)
+    bad_conf = F.concat_ws(",", F.col("CompanyID"), F.col("CompanyName"), F.lit("1"),
+                           F.lit("6"), F.lit('"only | two"'), F.lit('"name"'), F.lit('"ok"'))
+    bad_src = F.concat_ws(",", F.col("CompanyID"), F.col("CompanyName"), F.lit("0"),
+                          F.lit("3"), F.lit('"a | b | c"'), F.lit('"name;website"'),
+                          F.lit('"checked"'))
     content = (F.when(m == 17, F.lit("I cannot classify this company."))
+               .when(m == 2, bad_conf)
+               .when(m == 11, bad_src)
                .when(m == 20, F.concat(F.lit("Here is the answer:\n"), line))
                .when(m == 21, F.concat(line, F.lit("\n"), line))
                .otherwise(line))
