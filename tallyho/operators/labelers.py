@@ -59,22 +59,24 @@ def _staged_text(companies: DataFrame) -> DataFrame:
                              F.when(F.col("_has_long"), F.col("long_description"))))
 
 
-def lexical_ai_native(companies: DataFrame) -> DataFrame:
+def lexical_ai_native(companies: DataFrame, vocabulary=S.AI_VOCABULARY,
+                      min_hits: int = 2) -> DataFrame:
     """Rule labeller in the reply form (one CSV line per company).
 
-    Label 1 when the vocabulary occurs at least twice in the descriptions
-    (AI is the core of the product, not a mention); confidence grows with
-    the evidence and is capped at 4 without a long description; no text and
-    no keywords -> 'Insufficient information' (label 0, confidence 1).
+    Label 1 when the vocabulary occurs at least ``min_hits`` times in the
+    descriptions (AI is the core of the product, not a mention); confidence
+    grows with the evidence and is capped at 4 without a long description;
+    no text and no keywords -> 'Insufficient information' (label 0,
+    confidence 1).
     """
     st = _staged_text(companies).select(
         "rcid", "org_uuid", "name", "_has_short", "_has_long",
         X.merge_keywords("category_list", "category_groups_list").alias("_kw"),
-        occurrences("_text", S.AI_VOCABULARY).alias("_n"))
+        occurrences("_text", vocabulary).alias("_n"))
     n, has_long, has_short = F.col("_n"), F.col("_has_long"), F.col("_has_short")
     keywords = F.col("_kw")
     insufficient = ~has_long & ~has_short & (keywords == S.NA)
-    label = F.when(n >= 2, F.lit(1)).otherwise(F.lit(0))
+    label = F.when(n >= min_hits, F.lit(1)).otherwise(F.lit(0))
     conf = (F.when(n == 0, F.lit(4)).when(n == 1, F.lit(2))
             .when(n <= 3, F.lit(3)).otherwise(F.lit(5)))
     conf = F.when(~has_long, F.least(conf, F.lit(4))).otherwise(conf)
@@ -185,3 +187,22 @@ def apply_model(df: DataFrame, text_col: str, fn: Callable[[pd.Series], pd.Serie
 
     return (df.select(id_col, text_col)
             .mapInPandas(run, f"{id_col} string, reply string, error string"))
+
+
+def as_run(labels: DataFrame, id_col: str = "custom_id") -> DataFrame:
+    """Labeller output as a reply table keyed by a unique id (strings)."""
+    return labels.select(F.col(id_col).alias("CompanyID"), "CompanyName",
+                         F.col("AI_native").cast("string").alias("AI_native"),
+                         F.col("Confidence_1to5").cast("string").alias("Confidence_1to5"),
+                         "Reasons_3_points", "Sources_used", "Verification_critique")
+
+
+def vocabulary_hits_model(vocabulary=S.AI_VOCABULARY) -> Callable[[pd.Series], pd.Series]:
+    """A tiny vectorised stand-in model for ``apply_model``: the reply is the
+    number of vocabulary words in the text."""
+    import re
+    rx = re.compile(word_pattern(vocabulary).replace("(?i)", ""), re.IGNORECASE)
+
+    def model(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: str(len(rx.findall(t))))
+    return model

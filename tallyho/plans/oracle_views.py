@@ -186,6 +186,9 @@ def with_views(*names: str) -> str:
 
 # ---- rule labellers and replies (SQL twins) --------------------------------
 
+WIDE_EXTRA = ["thing", "that"]
+
+
 def _labeller_views():
     from tallyho.operators import labelers as L
     from tallyho.plans import sqlfn as Q
@@ -201,16 +204,19 @@ def _labeller_views():
     has_short = f"(NOT {Q.is_blank('short_description')})"
     cid = (f"CASE WHEN {Q.is_blank('org_uuid')} THEN 'startup-row-' || CAST(rcid AS VARCHAR) "
            f"ELSE 'startup-' || {Q.strip_ws('org_uuid')} END")
-    VIEWS["u2_base"] = (["companies"], f"""
+    def u2_views(name, vocab=S.AI_VOCABULARY, min_hits=2, drop_long=False):
+        src = "companies"
+        if drop_long:
+            VIEWS[name + "_src"] = (["companies"], "SELECT * REPLACE (CAST(NULL AS VARCHAR) AS long_description) FROM companies")
+            src = name + "_src"
+        VIEWS[name + "_base"] = ([src], f"""
 SELECT rcid, {cid} AS custom_id, {Q.null_to_na('org_uuid')} AS CompanyID,
-  {Q.null_to_na('name')} AS CompanyName, {occ(S.AI_VOCABULARY)} AS n,
+  {Q.null_to_na('name')} AS CompanyName, {occ(vocab)} AS n,
   {has_long} AS has_long, {has_short} AS has_short, {kw} AS keywords
-FROM companies""")
-    insuff = "(NOT has_long AND NOT has_short AND keywords = 'N/A')"
-    conf = ("(CASE WHEN n = 0 THEN 4 WHEN n = 1 THEN 2 WHEN n <= 3 THEN 3 ELSE 5 END)")
-    VIEWS["u2"] = (["u2_base"], f"""
+FROM {src}""")
+        VIEWS[name] = ([name + "_base"], f"""
 SELECT rcid, custom_id, CompanyID, CompanyName,
-  CASE WHEN {insuff} THEN 0 WHEN n >= 2 THEN 1 ELSE 0 END AS AI_native,
+  CASE WHEN {insuff} THEN 0 WHEN n >= {min_hits} THEN 1 ELSE 0 END AS AI_native,
   CASE WHEN {insuff} THEN 1 WHEN NOT has_long THEN least({conf}, 4) ELSE {conf} END AS Confidence_1to5,
   CASE WHEN {insuff} THEN '' ELSE concat_ws(' | ', 'vocabulary matches: ' || CAST(n AS VARCHAR),
        CASE WHEN has_long THEN 'long description present' ELSE 'no long description' END,
@@ -220,7 +226,13 @@ SELECT rcid, custom_id, CompanyID, CompanyName,
        CASE WHEN keywords <> 'N/A' THEN 'keywords' END) END AS Sources_used,
   CASE WHEN {insuff} THEN 'Insufficient information'
        ELSE 'Rule label from ' || CAST(n AS VARCHAR) || ' vocabulary matches.' END AS Verification_critique
-FROM u2_base""")
+FROM {name}_base""")
+
+    insuff = "(NOT has_long AND NOT has_short AND keywords = 'N/A')"
+    conf = ("(CASE WHEN n = 0 THEN 4 WHEN n = 1 THEN 2 WHEN n <= 3 THEN 3 ELSE 5 END)")
+    u2_views("u2")
+    u2_views("u2_short", drop_long=True)
+    u2_views("u2_wide", vocab=S.AI_VOCABULARY + WIDE_EXTRA)
 
     def csvf(c):
         return (f"(CASE WHEN regexp_matches(coalesce({c}, ''), {Q.q(chr(91) + ',\"' + chr(92) + 'n' + chr(92) + 'r' + chr(93))}) "
