@@ -1 +1,88 @@
-"""Registered queries."""
+"""Registered queries: Structured Streaming jobs replayed over the tables.
+
+Each query prepares a file-stream source from the test tables, runs the
+streaming job to completion (availableNow) and returns its output table;
+the oracle is the batch computation of the same result.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyho.plans.oracle_views import with_views
+from tallyho.plans.registry import register
+from tallyho.sources import bindings as B
+from tallyho.sources.tables import Tables
+from tallyho.streaming import jobs as J
+
+
+@register("incremental_pass", sql=f"""{with_views('companies')}
+SELECT rcid, name FROM companies""")
+def q_incremental_pass(spark, sf_dir):
+    """Resume a pass: stream all companies into a target that already holds
+    the logged ones; each id ends up exactly once (ST1)."""
+    t = Tables(spark, sf_dir)
+    p = J.paths(spark, "incremental")
+    src = B.companies(t).select("rcid", "name")
+    J.write_ordered_source(src, "rcid", p["src"])
+    target = J.scratch_path(spark, "incremental-target")
+    B.search_log(t).select("rcid", "name").dropDuplicates(["rcid"]) \
+        .write.parquet(target)
+    J.incremental_pass(spark, p["src"], src.schema, target, "rcid", p["ckpt"])
+    return spark.read.parquet(target).select("rcid", "name")
+
+
+@register("stream_rate_window", sql=f"""{with_views('api_calls')},
+w AS (SELECT service, epoch_us(ts) AS t FROM api_calls),
+ww AS (SELECT service, CAST((floor(t / 10000000) - k) * 10000000 AS BIGINT) AS ws FROM w CROSS JOIN range(6) r(k))
+SELECT service, make_timestamp(ws) AS window_start, make_timestamp(ws + 60000000) AS window_end, count(*) AS n
+FROM ww GROUP BY service, ws""")
+def q_stream_rate_window(spark, sf_dir):
+    """60-second windows sliding by 10 s of calls per service, with a
+    watermark, over a replayed call log (ST2)."""
+    calls = B.api_calls(Tables(spark, sf_dir)).select("service", "call_id", "ts")
+    p = J.paths(spark, "rate")
+    J.write_ordered_source(calls, "ts", p["src"])
+    return J.stream_rate_window(spark, p["src"], calls.schema, p["out"], p["ckpt"])
+
+
+@register("stream_stuck_batches", sql=f"""{with_views('batch_status')},
+x AS (SELECT batch_num, checked_at, completed,
+        lag(completed) OVER (PARTITION BY batch_num ORDER BY checked_at) AS prev FROM batch_status),
+y AS (SELECT *, sum(CASE WHEN prev IS NULL OR completed <> prev THEN 1 ELSE 0 END)
+        OVER (PARTITION BY batch_num ORDER BY checked_at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM x)
+SELECT batch_num, checked_at, completed,
+  CAST(row_number() OVER (PARTITION BY batch_num, island ORDER BY checked_at) - 1 AS INTEGER) AS no_progress_polls
+FROM y""")
+def q_stream_stuck_batches(spark, sf_dir):
+    """No-progress poll counts per batch kept in streaming state (ST3)."""
+    st = B.batch_status(Tables(spark, sf_dir)).select("batch_num", "checked_at", "completed")
+    p = J.paths(spark, "stuck")
+    J.write_ordered_source(st, "checked_at", p["src"])
+    return J.stream_stuck_batches(spark, p["src"], st.schema, p["out"], p["ckpt"])
+
+
+@register("stream_latest_status", sql=f"""{with_views('batch_status')}
+SELECT batch_num, status, completed, failed, total, checked_at FROM batch_status
+QUALIFY row_number() OVER (PARTITION BY batch_num ORDER BY checked_at DESC) = 1""")
+def q_stream_latest_status(spark, sf_dir):
+    """Latest snapshot per batch as a streaming aggregate (ST4)."""
+    st = B.batch_status(Tables(spark, sf_dir)).select(
+        "batch_num", "status", "completed", "failed", "total", "checked_at")
+    p = J.paths(spark, "latest")
+    J.write_ordered_source(st, "checked_at", p["src"])
+    return J.stream_latest_status(spark, p["src"], st.schema, p["out"], p["ckpt"])
+
+
+@register("stream_dedup_records", sql=f"""{with_views('search_log_flat')}
+SELECT DISTINCT rcid FROM search_log_flat""")
+def q_stream_dedup_records(spark, sf_dir):
+    """Retried records dropped from the append-only log within the
+    watermark (ST5)."""
+    log = B.search_log(Tables(spark, sf_dir)).select("rcid", "timestamp")
+    p = J.paths(spark, "dedup")
+    J.write_ordered_source(log.withColumn("_ts", F.to_timestamp("timestamp")), "_ts", p["src"])
+    src_schema = log.withColumn("_ts", F.to_timestamp("timestamp")).schema
+    out = J.stream_dedup_records(spark, p["src"], src_schema, p["out"], p["ckpt"],
+                                 "rcid", "timestamp")
+    return out.select("rcid")
