@@ -71,3 +71,29 @@ def drop_low_confidence_findings(results: DataFrame, result_col: str = "result",
             "findings", F.filter(r["findings"],
                                  lambda f: F.coalesce(f["confidence"] >= min_conf,
                                                       F.lit(False))))))
+
+
+CITATION_TYPE = "array<struct<url:string,title:string,snippet:string>>"
+
+
+def normalize_citations(raw: DataFrame, json_col: str = "raw") -> DataFrame:
+    """Mixed string / object citations -> array<struct<url,title,snippet>>;
+    derived has_citations, urls and total_tokens (variant, no Python)."""
+    v = F.try_parse_json(F.col(json_col))
+    items = F.try_variant_get(v, "$.citations", "array<variant>")
+    cites = F.transform(items, lambda x: F.when(
+        F.schema_of_variant(x) == "STRING",
+        F.struct(F.try_variant_get(x, "$", "string").alias("url"),
+                 F.lit(None).cast("string").alias("title"),
+                 F.lit(None).cast("string").alias("snippet")))
+        .otherwise(F.struct(F.try_variant_get(x, "$.url", "string").alias("url"),
+                            F.try_variant_get(x, "$.title", "string").alias("title"),
+                            F.try_variant_get(x, "$.snippet", "string").alias("snippet"))))
+    keep = [c for c in raw.columns if c != json_col]
+    x = raw.select(*keep, F.coalesce(cites, F.array().cast(CITATION_TYPE)).alias("citations"),
+                   (F.coalesce(F.try_variant_get(v, "$.usage.prompt_tokens", "bigint"), F.lit(0))
+                    + F.coalesce(F.try_variant_get(v, "$.usage.completion_tokens", "bigint"),
+                                 F.lit(0))).alias("total_tokens"))
+    return x.select(*keep, "citations", (F.size("citations") > 0).alias("has_citations"),
+                    F.transform("citations", lambda c: c["url"]).alias("urls"),
+                    "total_tokens")

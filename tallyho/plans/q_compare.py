@@ -298,3 +298,31 @@ def q_restrict_to_cohort(spark, sf_dir):
     from pyspark.sql import functions as F
     cohort = B.runs_b(t).where(F.col("AI_native") == "1")
     return C.restrict_to_cohort(B.runs_a(t), cohort, "CompanyID")
+
+
+@register("sort_by_id", sql=f"""{W_P}
+SELECT id, label_a, label_b, conf_a, conf_b FROM paired ORDER BY id""")
+def q_sort_by_id(spark, sf_dir):
+    """The aligned comparison ordered by id for output (T3; a range-
+    partitioned sort, no single-task ordering)."""
+    return _paired(spark, sf_dir).select("id", "label_a", "label_b", "conf_a", "conf_b") \
+        .orderBy("id")
+
+
+@register("sink_metrics_json", sql=f"""{W_STATS}
+SELECT total AS total_rows, sum_a AS a_positive_sum, sum_b AS b_positive_sum,
+  round({pct('sum_a', 'total')}, 6) AS a_positive_rate,
+  round({pct('sum_b', 'total')}, 6) AS b_positive_rate,
+  agreements, disagreements, round({pct('agreements', 'total')}, 6) AS agreement_rate,
+  round(mean_conf_a, 6) AS a_conf_mean, round(mean_conf_b, 6) AS b_conf_mean,
+  round(std_conf_a, 6) AS a_conf_std, round(std_conf_b, 6) AS b_conf_std,
+  round(corr, 6) AS correlation, a1_b0 AS a_pos_b_neg, a0_b1 AS b_pos_a_neg
+FROM stats""")
+def q_sink_metrics_json(spark, sf_dir):
+    """Write the comparison summary as a one-row JSON document and read it
+    back with its schema (S12)."""
+    from tallyho.sources import sinks
+    m = C.summary_metrics(_paired(spark, sf_dir))
+    path = sinks.scratch_path(spark, "metrics")
+    sinks.sink_metrics_json(m, path)
+    return spark.read.schema(m.schema).json(path)

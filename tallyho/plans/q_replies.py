@@ -325,3 +325,24 @@ def q_drop_low_confidence_findings(spark, sf_dir):
     """Findings below 0.5 confidence removed from each result."""
     r = FD.drop_low_confidence_findings(B.research_results(_t(spark, sf_dir)))
     return r.select("company_id", F.size("result.findings").alias("n_kept"))
+
+
+@register("normalize_citations", sql=f"""{_RJ}
+SELECT c.company_id, CAST(coalesce(f.n, 0) AS INTEGER) AS n_citations, coalesce(f.n, 0) > 0 AS has_citations,
+  coalesce(f.urls, '') AS urls, CAST(coalesce(f.n, 0) * 11 + 150 AS BIGINT) AS total_tokens,
+  coalesce(f.titled, 0) AS n_titled
+FROM research_companies c LEFT JOIN (
+  SELECT company_id, count(*) AS n, string_agg(source_url, ';' ORDER BY ordinal) AS urls,
+    count_if(k % 2 = 1) AS titled FROM (
+    SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY ordinal) - 1 AS k
+    FROM finding_rows WHERE source_url IS NOT NULL) GROUP BY company_id) f
+  ON c.company_id = f.company_id AND NOT c.result_is_null""")
+def q_normalize_citations(spark, sf_dir):
+    """Mixed string / object citations -> typed array, has_citations,
+    urls and total tokens (P23)."""
+    raw = B.research_api_responses(_t(spark, sf_dir))
+    n = FD.normalize_citations(raw)
+    return n.select("company_id", F.size("citations").alias("n_citations"), "has_citations",
+                    F.array_join("urls", ";").alias("urls"), "total_tokens",
+                    F.size(F.filter("citations", lambda c: c["title"].isNotNull()))
+                    .alias("n_titled"))

@@ -486,3 +486,28 @@ def _priority_log(t: Tables) -> DataFrame:
          .otherwise(F.concat(F.lit("vocabulary matches: "), F.col("_n").cast("string")))
          .alias("reasoning"),
         F.when(err, F.lit("APIError: upstream unavailable")).alias("error"))
+
+
+def research_api_responses(t: Tables) -> DataFrame:
+    return staged(t.spark, "research_api_responses", t.sf_dir,
+                  lambda: _research_api_responses(t))
+
+
+def _research_api_responses(t: Tables) -> DataFrame:
+    """Raw research-API responses as JSON text: ``citations`` mixes plain URL
+    strings and {url, title, snippet} objects (one per sourced finding), and
+    ``usage`` carries token counts."""
+    r = research_results(t)
+    fs = F.filter(F.coalesce(F.col("result.findings"),
+                             F.array().cast(f"array<{S.FINDING_SCHEMA.simpleString()}>")),
+                  lambda f: f["source_url"].isNotNull())
+    cites = F.transform(fs, lambda f, i: F.when(
+        i % 2 == 0, F.regexp_replace(F.to_json(F.array(f["source_url"])), r"^\[|\]$", ""))
+        .otherwise(F.to_json(F.struct(f["source_url"].alias("url"),
+                                      f["tool_name"].alias("title"),
+                                      f["evidence_summary"].alias("snippet")))))
+    n = F.size(fs)
+    body = F.concat(F.lit('{"citations":['), F.array_join(cites, ","),
+                    F.lit('],"usage":{"prompt_tokens":'), (n * 10 + 100).cast("string"),
+                    F.lit(',"completion_tokens":'), (n + 50).cast("string"), F.lit("}}"))
+    return r.select("company_id", body.alias("raw"))
