@@ -132,12 +132,15 @@ def plan_greedy_batches(requests: DataFrame, order_col: str, bytes_col: str,
     a key's frequency.  Both limits hold for every batch; the cost is at
     most one part-filled batch per shard, and with a single shard the
     result equals the sequential rule.  Batch numbers are made global from
-    the per-shard batch counts (one row per shard).
+    the per-shard batch counts (one row per shard).  Returns (order key,
+    bytes, batch_num, oversize); join back to the requests by the key when
+    more columns are needed.
     """
     slim = requests.select(order_col, bytes_col)
     x = with_global_index(slim, [order_col], "_idx", None, n_parts) \
         .withColumn("_shard", F.floor(F.col("_idx") / shard_rows))
     schema = T.StructType([T.StructField(order_col, slim.schema[order_col].dataType),
+                           T.StructField(bytes_col, T.LongType()),
                            T.StructField("_shard", T.LongType()),
                            T.StructField("_local_batch", T.IntegerType()),
                            T.StructField("_oversize", T.BooleanType())])
@@ -147,6 +150,7 @@ def plan_greedy_batches(requests: DataFrame, order_col: str, bytes_col: str,
         b = greedy_pack(list(pdf[order_col]), list(pdf[bytes_col].astype("int64")),
                         max_count, max_bytes)
         return pd.DataFrame({order_col: pdf[order_col].values,
+                             bytes_col: pdf[bytes_col].astype("int64").values,
                              "_shard": pdf["_shard"].astype("int64").values,
                              "_local_batch": pd.Series(b, dtype="int32").values,
                              "_oversize": (pdf[bytes_col] > max_bytes).values})
@@ -156,10 +160,10 @@ def plan_greedy_batches(requests: DataFrame, order_col: str, bytes_col: str,
     w = Window.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     offs = per_shard.select("_shard", F.coalesce(F.sum("_nb").over(w), F.lit(0))
                             .alias("_boff"))
-    plan = packed.join(F.broadcast(offs), "_shard").select(
-        order_col, (F.col("_boff") + F.col("_local_batch")).cast("int").alias("batch_num"),
+    return packed.join(F.broadcast(offs), "_shard").select(
+        order_col, bytes_col,
+        (F.col("_boff") + F.col("_local_batch")).cast("int").alias("batch_num"),
         F.col("_oversize").alias("oversize"))
-    return requests.join(plan, order_col)
 
 
 def token_budget(rows: DataFrame, designs: list[tuple[str, int]],

@@ -18,18 +18,33 @@ from pyspark.sql import functions as F
 from tallyho import schemas as S
 from tallyho.functions import text as X
 
-# word boundary written as explicit classes: Java regex and RE2 agree on it
-_B0, _B1 = "(^|[^A-Za-z0-9_])", "([^A-Za-z0-9_]|$)"
+# A vocabulary word counts where it stands as a whole token: the characters
+# around it are not [A-Za-z0-9_].  The lookarounds do not consume the
+# neighbours, so adjacent words are all counted; one regex pass per text
+# finds every term of every vocabulary.
+_WORD = "[A-Za-z0-9_]"
 
 
 def word_pattern(words) -> str:
-    return "(?i)" + _B0 + "(" + "|".join(words) + ")" + _B1
+    return f"(?i)(?<!{_WORD})(" + "|".join(words) + f")(?!{_WORD})"
+
+
+def term_hits(text, terms) -> F.Column:
+    """Lower-cased whole-token matches of ``terms`` in ``text`` (one pass)."""
+    return F.transform(F.regexp_extract_all(F.coalesce(X.col_(text), F.lit("")),
+                                            F.lit(word_pattern(terms)), 1),
+                       lambda x: F.lower(x))
+
+
+def count_in(hits, words) -> F.Column:
+    """Number of hits that are in ``words``."""
+    arr = F.array(*[F.lit(w) for w in words])
+    return F.size(F.filter(X.col_(hits), lambda x: F.array_contains(arr, x)))
 
 
 def occurrences(text, words) -> F.Column:
-    """Non-overlapping occurrences of any of ``words`` in ``text``."""
-    return F.regexp_count(F.coalesce(X.col_(text), F.lit("")),
-                          F.lit(word_pattern(words)))
+    """Whole-token occurrences of any of ``words`` in ``text``."""
+    return F.size(term_hits(text, words))
 
 
 def csv_field(c) -> F.Column:
@@ -133,23 +148,26 @@ def _conf_level(n) -> F.Column:
 
 def lexical_adoption_modes(companies: DataFrame) -> DataFrame:
     """Three-strictness rule labeller: one nested adoption struct per row."""
-    st = _staged_text(companies).select(
+    terms = sorted({w for ws in ADOPTION_VOCAB.values() for w in ws})
+    hits = _staged_text(companies).select(
+        "rcid", "org_uuid", "name", term_hits("_text", terms).alias("_hits"))
+    st = hits.select(
         "rcid", "org_uuid", "name",
-        *[occurrences("_text", w).alias(f"_n_{m}") for m, w in ADOPTION_VOCAB.items()],
-        *[occurrences("_text", [t]).alias(f"_h_{t}") for t, _ in TERM_FUNCTION])
+        *[count_in("_hits", w).alias(f"_n_{m}") for m, w in ADOPTION_VOCAB.items()],
+        *[count_in("_hits", [t]).alias(f"_h_{t}") for t, _ in TERM_FUNCTION])
     modes = []
     for m in S.ADOPTION_MODES:
         n = F.col(f"_n_{m}")
         modes.append(F.struct(
             F.when(n > 0, F.lit("Yes")).otherwise(F.lit("No")).alias("label"),
             _conf_level(n).alias("confidence")).alias(f"genai_adoption_{m}"))
-    term_hits = [(t, fn, F.col(f"_h_{t}")) for t, fn in TERM_FUNCTION]
+    term_cols = [(t, fn, F.col(f"_h_{t}")) for t, fn in TERM_FUNCTION]
     funcs = F.filter(F.array(*[
         F.when(h > 0, F.struct(F.lit(fn).alias("function_keyword"),
                                F.lit(f"profile mentions {t}").alias("short_description"),
                                _conf_level(h).alias("confidence")))
-        for t, fn, h in term_hits]), lambda x: x.isNotNull())
-    matched = F.filter(F.array(*[F.when(h > 0, F.lit(t)) for t, _, h in term_hits]),
+        for t, fn, h in term_cols]), lambda x: x.isNotNull())
+    matched = F.filter(F.array(*[F.when(h > 0, F.lit(t)) for t, _, h in term_cols]),
                        lambda x: x.isNotNull())
     any_yes = F.col("_n_lenient") > 0
     result = F.struct(
@@ -201,7 +219,7 @@ def vocabulary_hits_model(vocabulary=S.AI_VOCABULARY) -> Callable[[pd.Series], p
     """A tiny vectorised stand-in model for ``apply_model``: the reply is the
     number of vocabulary words in the text."""
     import re
-    rx = re.compile(word_pattern(vocabulary).replace("(?i)", ""), re.IGNORECASE)
+    rx = re.compile(word_pattern(vocabulary).replace("(?i)", ""), re.IGNORECASE | re.ASCII)
 
     def model(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: str(len(rx.findall(t))))

@@ -21,6 +21,13 @@ def _arr(values) -> str:
 
 VIEWS: dict[str, tuple[list[str], str]] = {}
 
+
+def token_count(text: str, words) -> str:
+    """SQL twin of the labeller's whole-token count: split on non-word
+    characters and count tokens equal (case-insensitively) to a word."""
+    return (f"len(list_filter(string_split_regex({text}, '[^A-Za-z0-9_]+'), "
+            f"lambda w: list_contains({_arr(list(words))}, lower(w))))")
+
 VIEWS["companies"] = ([], r"""
 SELECT d.doc_id AS rcid,
   CASE WHEN d.doc_id % 50 = 11 THEN NULL
@@ -197,7 +204,7 @@ def _labeller_views():
             f"{Q.blank_to_null('long_description')}), '')")
 
     def occ(words):
-        return f"len(regexp_extract_all({text}, {Q.q(L.word_pattern(words))}))"
+        return token_count(text, words)
 
     kw = Q.merge_keywords("category_list", "category_groups_list")
     has_long = f"(NOT {Q.is_blank('long_description')})"
@@ -350,7 +357,7 @@ def _priority_view():
     from tallyho.plans import sqlfn as Q
     text = (f"coalesce(concat_ws(' ', {Q.blank_to_null('short_description')}, "
             f"{Q.blank_to_null('long_description')}), '')")
-    n = f"len(regexp_extract_all({text}, {Q.q(L.word_pattern(S.AI_VOCABULARY))}))"
+    n = token_count(text, S.AI_VOCABULARY)
     has_long = f"CAST(NOT {Q.is_blank('long_description')} AS INTEGER)"
     web = "CAST(homepage_url IS NOT NULL AS INTEGER)"
     presence = "least(10, 1 + floor(log10(length(coalesce(long_description, '')) + 1) * 2))"

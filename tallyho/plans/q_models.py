@@ -9,7 +9,7 @@ from tallyho.operators import compare as C
 from tallyho.operators import labelers as L
 from tallyho.operators import profiles as P
 from tallyho.plans import sqlfn as Q
-from tallyho.plans.oracle_views import WIDE_EXTRA, with_views
+from tallyho.plans.oracle_views import WIDE_EXTRA, token_count, with_views
 from tallyho.plans.q_compare import W_STATS as _unused  # noqa: F401
 from tallyho.plans.registry import register
 from tallyho.sources import bindings as B
@@ -26,7 +26,7 @@ _MSG_CID = (f"CASE WHEN {Q.is_blank('org_uuid')} THEN 'startup-row-' || CAST(rci
 
 @register("apply_model", sql=f"""{with_views('companies')}
 SELECT {_MSG_CID} AS custom_id,
-  CAST(len(regexp_extract_all({Q.profile_message()}, {Q.q(L.word_pattern(S.AI_VOCABULARY))})) AS VARCHAR) AS reply,
+  CAST({token_count(Q.profile_message(), S.AI_VOCABULARY)} AS VARCHAR) AS reply,
   CAST(NULL AS VARCHAR) AS error
 FROM companies""")
 def q_apply_model(spark, sf_dir):

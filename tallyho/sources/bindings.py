@@ -149,6 +149,10 @@ def finding_rows(t: Tables) -> DataFrame:
 
 
 def research_results(t: Tables) -> DataFrame:
+    return staged(t.spark, "research_results", t.sf_dir, lambda: _research_results(t))
+
+
+def _research_results(t: Tables) -> DataFrame:
     """One research result per company (nested, as a reply arrives).
 
     Built from ``orders`` left-joined to its line items; a result holds the
