@@ -25,9 +25,16 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The same 29 characters as a plain string (what Python's str.isspace()
+# accepts): trimming a character set only looks at the two ends of a text.
+WS_CHARS = "".join(chr(c) for c in [9, 10, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F, 32,
+                                    0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                    0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+
+
 def strip_ws(c) -> Column:
     """Trim leading/trailing whitespace, Unicode spaces included."""
-    return F.regexp_replace(col_(c), _EDGE_WS, "")
+    return F.trim(col_(c), F.lit(WS_CHARS))
 
 
 def is_blank(c) -> Column:

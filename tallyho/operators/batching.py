@@ -155,7 +155,9 @@ def plan_greedy_batches(requests: DataFrame, order_col: str, bytes_col: str,
                              "_local_batch": pd.Series(b, dtype="int32").values,
                              "_oversize": (pdf[bytes_col] > max_bytes).values})
 
-    packed = x.groupBy("_shard").applyInPandas(pack, schema)
+    # checkpointed so the per-shard counts and the final join reuse one run
+    # of the packing (narrow rows: key, bytes, shard, batch)
+    packed = x.groupBy("_shard").applyInPandas(pack, schema).checkpoint(eager=True)
     per_shard = packed.groupBy("_shard").agg(F.max("_local_batch").alias("_nb"))
     w = Window.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
     offs = per_shard.select("_shard", F.coalesce(F.sum("_nb").over(w), F.lit(0))

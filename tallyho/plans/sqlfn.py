@@ -11,7 +11,7 @@ def q(s: str) -> str:
 
 
 def strip_ws(e: str) -> str:
-    return f"regexp_replace({e}, {q(X._EDGE_WS)}, '', 'g')"
+    return f"trim({e}, {q(X.WS_CHARS)})"
 
 
 def is_blank(e: str) -> str:
