@@ -192,8 +192,11 @@ def detect_redirect(url, final_url) -> Column:
 
 
 def coerce_numeric(c) -> Column:
-    """Unparseable -> NULL (through double, so '4.0' -> 4.0)."""
-    return col_(c).try_cast("double")
+    """Unparseable -> NULL (through double, so '4.0' -> 4.0).  'nan' also
+    becomes NULL: Spark holds NaN = NaN true, a missing value must never
+    agree with another one."""
+    x = col_(c).try_cast("double")
+    return F.nanvl(x, F.lit(None).cast("double"))
 
 
 def coerce_int(c) -> Column:

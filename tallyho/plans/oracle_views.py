@@ -81,12 +81,16 @@ FROM (SELECT l_orderkey, count(*) AS n, count_if(l_returnflag = 'A') AS na,
 """)
 
 # typed + aligned comparison frame (ids are unique in both runs)
-VIEWS["paired"] = (["runs_a", "runs_b"], r"""
+def _num(e):
+    return f"(CASE WHEN isnan(TRY_CAST({e} AS DOUBLE)) THEN NULL ELSE TRY_CAST({e} AS DOUBLE) END)"
+
+
+VIEWS["paired"] = (["runs_a", "runs_b"], f"""
 SELECT a.CompanyID AS id, a.CompanyName AS name,
-  TRY_CAST(a.AI_native AS DOUBLE) AS label_a, TRY_CAST(b.AI_native AS DOUBLE) AS label_b,
-  TRY_CAST(a.Confidence_1to5 AS DOUBLE) AS conf_a, TRY_CAST(b.Confidence_1to5 AS DOUBLE) AS conf_b,
+  {_num('a.AI_native')} AS label_a, {_num('b.AI_native')} AS label_b,
+  {_num('a.Confidence_1to5')} AS conf_a, {_num('b.Confidence_1to5')} AS conf_b,
   a.Reasons_3_points AS reasons_a, b.Reasons_3_points AS reasons_b,
-  coalesce(TRY_CAST(a.AI_native AS DOUBLE) = TRY_CAST(b.AI_native AS DOUBLE), false) AS agree
+  coalesce({_num('a.AI_native')} = {_num('b.AI_native')}, false) AS agree
 FROM runs_a a JOIN runs_b b ON a.CompanyID = b.CompanyID
 """)
 

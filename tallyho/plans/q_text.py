@@ -245,10 +245,10 @@ def q_build_search_query(spark, sf_dir):
 
 
 @register("coerce_numeric", sql=f"""{with_views('runs_a')}
-SELECT CompanyID, TRY_CAST(AI_native AS DOUBLE) AS label, TRY_CAST(Confidence_1to5 AS DOUBLE) AS confidence
+SELECT CompanyID, {Q.coerce_numeric('AI_native')} AS label, {Q.coerce_numeric('Confidence_1to5')} AS confidence
 FROM runs_a""")
 def q_coerce_numeric(spark, sf_dir):
-    """Unparseable reply values -> NULL, '1.0' -> 1.0."""
+    """Unparseable reply values (and 'nan') -> NULL, '1.0' -> 1.0."""
     r = B.runs_a(Tables(spark, sf_dir))
     return r.select("CompanyID", X.coerce_numeric("AI_native").alias("label"),
                     X.coerce_numeric("Confidence_1to5").alias("confidence"))

@@ -114,3 +114,8 @@ def arr(values) -> str:
             return q(v)
         return repr(v)
     return "[" + ", ".join(lit(v) for v in values) + "]"
+
+
+def coerce_numeric(e: str) -> str:
+    """SQL twin of ``coerce_numeric`` (NaN -> NULL)."""
+    return f"(CASE WHEN isnan(TRY_CAST({e} AS DOUBLE)) THEN NULL ELSE TRY_CAST({e} AS DOUBLE) END)"
