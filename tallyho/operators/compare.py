@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyho import schemas as S
-from tallyho.functions.text import coerce_numeric, safe_pct, safe_ratio
+from tallyho.functions.text import coerce_numeric, safe_pct, safe_ratio  # noqa: F401
 
 ID = "CompanyID"
 
@@ -259,6 +259,19 @@ def _ladder(x, tiers, floor_) -> F.Column:
     return out.otherwise(F.lit(floor_))
 
 
+def decision_columns(rate, rate_a, rate_b, mean_a, mean_b) -> list[F.Column]:
+    """Verdict, recommendation and the two notes from summary values."""
+    diff = rate_b - rate_a
+    return [
+        _ladder(rate, S.VERDICT_TIERS, S.VERDICT_FLOOR).alias("verdict"),
+        _ladder(rate, S.RECOMMENDATION_TIERS, S.RECOMMENDATION_FLOOR).alias("recommendation"),
+        F.when(F.abs(diff) < S.RATE_SAME_TOLERANCE_POINTS, F.lit("same"))
+         .when(diff > 0, F.lit("b_more_positive"))
+         .otherwise(F.lit("b_fewer_positive")).alias("rate_note"),
+        F.when(mean_b < mean_a, F.lit("lower")).when(mean_b > mean_a, F.lit("higher"))
+         .otherwise(F.lit("similar")).alias("confidence_note")]
+
+
 def agreement_decision(p: DataFrame) -> DataFrame:
     """Verdict tier, recommendation tier and the two notes."""
     s = comparison_stats(p).select(

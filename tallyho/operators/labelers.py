@@ -26,7 +26,10 @@ _WORD = "[A-Za-z0-9_]"
 
 
 def word_pattern(words) -> str:
-    return f"(?i)(?<!{_WORD})(" + "|".join(words) + f")(?!{_WORD})"
+    # the leading one-character lookahead rejects most positions before the
+    # lookbehind and the alternation are tried
+    first = "".join(sorted({w[0].lower() for w in words}))
+    return f"(?i)(?=[{first}])(?<!{_WORD})(" + "|".join(words) + f")(?!{_WORD})"
 
 
 def term_hits(text, terms) -> F.Column:

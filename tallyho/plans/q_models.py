@@ -63,17 +63,22 @@ FROM stats"""
 
 
 def _experiment(run_a, run_b):
+    """One comparison aggregate; the verdict is derived from its row."""
     p = C.paired(L.as_run(run_a), L.as_run(run_b))
-    s = C.summary_metrics(p)
-    d = C.agreement_decision(p)
-    return s.select("total_rows", "agreements", "disagreements", "agreement_rate",
-                    "a_positive_rate", "b_positive_rate", "a_conf_mean", "b_conf_mean",
-                    "correlation", "a_pos_b_neg", "b_pos_a_neg") \
-        .unionByName(d.select("verdict", "recommendation"), allowMissingColumns=True) \
-        .agg(*[F.max(c).alias(c) for c in
-               ["total_rows", "agreements", "disagreements", "agreement_rate",
-                "a_positive_rate", "b_positive_rate", "a_conf_mean", "b_conf_mean",
-                "correlation", "a_pos_b_neg", "b_pos_a_neg", "verdict", "recommendation"]])
+    s = C.comparison_stats(p)
+    rate = C.safe_pct("agreements", "total")
+    dec = C.decision_columns(rate, C.safe_pct("sum_a", "total"), C.safe_pct("sum_b", "total"),
+                             F.col("mean_conf_a"), F.col("mean_conf_b"))
+    return s.select(
+        F.col("total").alias("total_rows"), "agreements", "disagreements",
+        F.round(rate, 6).alias("agreement_rate"),
+        F.round(C.safe_pct("sum_a", "total"), 6).alias("a_positive_rate"),
+        F.round(C.safe_pct("sum_b", "total"), 6).alias("b_positive_rate"),
+        F.round("mean_conf_a", 6).alias("a_conf_mean"),
+        F.round("mean_conf_b", 6).alias("b_conf_mean"),
+        F.round("corr", 6).alias("correlation"),
+        F.col("a1_b0").alias("a_pos_b_neg"), F.col("a0_b1").alias("b_pos_a_neg"),
+        dec[0], dec[1])
 
 
 @register("ablation_experiment", sql=f"""{_pair_sql('u2', 'u2_short')}
