@@ -294,10 +294,11 @@ def q_rows_written_stats(spark, sf_dir):
     return FD.rows_written_stats(_expanded(spark, sf_dir))
 
 
-@register("sink_fixed_csv")
+@register("sink_fixed_csv", sql=f"""{_RJ}
+{_E1}""")
 def q_sink_fixed_csv(spark, sf_dir):
     """Write the finding rows as CSV with the fixed 20-column header into the
-    shared scratch folder and read them back (S11)."""
+    shared scratch folder and read them back with their schema (S11)."""
     from tallyho.sources import sinks
     return sinks.roundtrip_fixed_csv(spark, _expanded(spark, sf_dir),
                                      S.FINDING_ROW_COLUMNS, "finding_rows")

@@ -64,11 +64,28 @@ def slice_rows(df: DataFrame, order_col: str, start: int, limit: int) -> DataFra
     return df.orderBy(order_col).offset(start).limit(limit)
 
 
+_P31 = 2147483647  # 2^31 - 1
+
+
+def seeded_hash(key, seed: int) -> F.Column:
+    """A seeded integer mix of an integral key, exact in 64-bit arithmetic
+    (every product stays below 2^62): two MINSTD steps, each followed by a
+    squaring, modulo 2^31 - 1.  Portable, so any SQL engine can repeat it."""
+    k = F.pmod(F.col(key) if isinstance(key, str) else key, F.lit(_P31))
+    h = F.pmod(k * 48271 + seed, F.lit(_P31))
+    h = F.pmod(h * h, F.lit(_P31))
+    h = F.pmod(h * 48271 + seed, F.lit(_P31))
+    return F.pmod(h * h, F.lit(_P31))
+
+
 def sample_n_seeded(df: DataFrame, key_col: str, n: int, seed: int) -> DataFrame:
-    """Exactly ``n`` rows, reproducible for a seed (S8): smallest
-    ``xxhash64(key, seed)`` values - a TakeOrdered, no full sort."""
-    return (df.withColumn("_h", F.xxhash64(F.col(key_col), F.lit(seed)))
-            .orderBy("_h", key_col).limit(n).drop("_h"))
+    """Exactly ``n`` rows, reproducible for a seed (S8): the ``n`` smallest
+    seeded hashes of the key (ties by key) - a TakeOrdered, no full sort.
+    Integral keys use ``seeded_hash``; other keys ``xxhash64``."""
+    integral = isinstance(df.schema[key_col].dataType,
+                          (T.LongType, T.IntegerType, T.ShortType))
+    h = seeded_hash(key_col, seed) if integral else F.xxhash64(F.col(key_col), F.lit(seed))
+    return df.withColumn("_h", h).orderBy("_h", key_col).limit(n).drop("_h")
 
 
 def latest_per_key(df: DataFrame, key_cols: list[str], order_cols: list[str]

@@ -45,16 +45,20 @@ def sink_fixed_csv(df: DataFrame, columns: list[str], path: str) -> None:
      .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
-def read_fixed_csv(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.option("header", True).option("escape", '"')
-            .option("multiLine", True).csv(path))
+def read_fixed_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """Read a fixed-order CSV back; with ``schema`` no type is inferred."""
+    r = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+    if schema is not None:
+        r = r.schema(schema)
+    return r.csv(path)
 
 
 def roundtrip_fixed_csv(spark: SparkSession, df: DataFrame, columns: list[str],
                         name: str) -> DataFrame:
+    """Write ``df`` as fixed-order CSV and read it back with its own schema."""
     path = scratch_path(spark, name)
     sink_fixed_csv(df, columns, path)
-    return read_fixed_csv(spark, path)
+    return read_fixed_csv(spark, path, df.select(*columns).schema)
 
 
 def sink_metrics_json(metrics: DataFrame, path: str) -> None:
