@@ -62,8 +62,9 @@ def sliding_request_rate(calls: DataFrame, key: str, ts_col: str, id_col: str,
     count(t) = cum(t) - cum(t - w): each call contributes an event row and
     a probe row at t - w to one skew-safe cumulative count.  Ties at equal
     time are ordered by ``id_col``.  With ``limit``, also flags calls that
-    would exceed it and the wait until the oldest call in the window
-    expires.
+    exceed it and gives ``wait_sec``, the time until the oldest call in the
+    window expires (that call is found by an equi-join on its cumulative
+    position).
     """
     t = epoch_micros(ts_col)
     wu = window_sec * 1_000_000
@@ -75,32 +76,47 @@ def sliding_request_rate(calls: DataFrame, key: str, ts_col: str, id_col: str,
                          n_parts)
     e = cum.where("_kind = 0").select("_k", "_id", "_t", F.col("_cum").alias("_ce"))
     p = cum.where("_kind = 1").select("_k", "_id", F.col("_cum").alias("_cp"))
-    out = e.join(p, ["_k", "_id"]).select(
-        F.col("_k").alias(key), F.col("_id").alias(id_col),
-        (F.col("_ce") - F.col("_cp")).alias("calls_in_window"))
-    if limit is not None:
-        out = out.withColumn("over_limit", F.col("calls_in_window") > limit)
-    return out
+    joined = e.join(p, ["_k", "_id"])
+    out = joined.select(F.col("_k").alias(key), F.col("_id").alias(id_col),
+                        (F.col("_ce") - F.col("_cp")).alias("calls_in_window"))
+    if limit is None:
+        return out
+    oldest = e.select(F.col("_k").alias("_ok"), F.col("_ce").alias("_pos"),
+                      F.col("_t").alias("_t_old"))
+    w = joined.join(oldest, (F.col("_k") == F.col("_ok"))
+                    & (F.col("_pos") == F.col("_cp") + 1), "left")
+    n = F.col("_ce") - F.col("_cp")
+    return w.select(
+        F.col("_k").alias(key), F.col("_id").alias(id_col), n.alias("calls_in_window"),
+        (n > limit).alias("over_limit"),
+        F.when(n > limit, (F.col("_t_old") + wu - F.col("_t")) / 1e6).alias("wait_sec"))
 
 
 def detect_stuck(status: DataFrame, key: str = "batch_num", ts: str = "checked_at",
-                 progress: str = "completed") -> DataFrame:
-    """Consecutive polls without progress (gaps and islands).
+                 progress: str = "completed", n_parts: int | None = None) -> DataFrame:
+    """Consecutive polls without progress (gaps and islands), skew-safe.
 
     ``no_progress_polls`` is 0 at a poll whose counter changed (or the
     first poll) and grows by one per unchanged poll; warnings at 5 and 10.
-    The window is per batch; polls per batch are bounded by the polling
-    cadence (a 24-hour batch at 30-second polls is 2 880 rows).
+    No per-key window: polls get a global position in (key, time) order,
+    the previous poll comes from an equi-join on position - 1, island ids
+    are a distributed cumulative sum of change flags, and each island's
+    start is a partial ``min``.  A batch with a third of all polls is
+    spread over many tasks.
     """
-    w = Window.partitionBy(key).orderBy(ts)
-    prev = F.lag(progress).over(w)
-    x = status.select(key, ts, progress, prev.alias("_prev"))
-    x = x.withColumn("_changed", F.when(F.col("_prev").isNull()
-                                        | (F.col(progress) != F.col("_prev")), 1).otherwise(0))
-    x = x.withColumn("_island", F.sum("_changed").over(
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    runs = x.withColumn("no_progress_polls", F.row_number().over(
-        Window.partitionBy(key, "_island").orderBy(ts)) - 1)
+    from tallyho.operators.batching import with_global_index
+    x = with_global_index(status.select(key, ts, progress), [key, ts], "_i", None, n_parts)
+    prev = x.select((F.col("_i") + 1).alias("_i"), F.col(key).alias("_pk"),
+                    F.col(progress).alias("_pp"))
+    j = x.join(prev, "_i", "left")
+    prev_val = F.when(F.col("_pk") == F.col(key), F.col("_pp"))
+    j = j.select(key, ts, progress, "_i", prev_val.alias("_prev"))
+    j = j.withColumn("_c", F.when(F.col("_prev").isNull()
+                                  | (F.col(progress) != F.col("_prev")), 1).otherwise(0))
+    isl = cumulative_sum(j, ["_i"], "_c", "_isl", n_parts)
+    starts = isl.groupBy("_isl").agg(F.min("_i").alias("_s"))
+    runs = isl.join(starts, "_isl").withColumn(
+        "no_progress_polls", (F.col("_i") - F.col("_s")).cast("int"))
     return runs.select(
         key, ts, progress,
         F.coalesce(F.col(progress) - F.col("_prev"), F.lit(0)).alias("delta"),

@@ -369,3 +369,17 @@ def test_company_csv_with_quotes_commas_newlines(spark, tmp_path):
     r = scan_companies_csv(spark, str(p)).first()
     assert r.rcid == "abc" and r.name == 'Acme, "Inc"'
     assert r.short_description == "line1\nline2" and r.long_description is None
+
+
+def test_sliding_rate_wait_until_oldest_expires(spark):
+    base = pd.Timestamp("2026-01-01")
+    secs = [0, 10, 20, 30, 65, 66, 200]
+    rows = [("s", i, (base + pd.Timedelta(seconds=t)).to_pydatetime()) for i, t in enumerate(secs)]
+    df = spark.createDataFrame(rows, "service string, call_id long, ts timestamp_ntz")
+    got = {r.call_id: (r.calls_in_window, r.over_limit, r.wait_sec)
+           for r in M.sliding_request_rate(df, "service", "ts", "call_id", limit=2).collect()}
+    for i, t in enumerate(secs):
+        window = [u for u in secs[:i + 1] if u > t - 60]
+        n = len(window)
+        wait = (min(window) + 60 - t) if n > 2 else None
+        assert got[i] == (n, n > 2, None if wait is None else float(wait))
