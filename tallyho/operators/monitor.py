@@ -27,29 +27,38 @@ def epoch_micros(ts) -> F.Column:
                   f"CAST({ts} AS TIMESTAMP_NTZ))")
 
 
-def cumulative_sum(df: DataFrame, order_cols: list[str], weight_col: str,
-                   out_col: str = "cum", n_parts: int | None = None) -> DataFrame:
-    """Running sum of a non-negative ``weight_col`` in ``order_cols`` order
-    (inclusive of the row itself)."""
+def cumulative_sum(df: DataFrame, order_cols: list[str], weight_col,
+                   out_col="cum", n_parts: int | None = None) -> DataFrame:
+    """Running sums of non-negative weight columns in ``order_cols`` order
+    (inclusive of the row itself).  ``weight_col`` / ``out_col`` may be
+    lists to compute several sums in one pass."""
+    weights = [weight_col] if isinstance(weight_col, str) else list(weight_col)
+    outs = [out_col] if isinstance(out_col, str) else list(out_col)
     ranged = ranged_checkpoint(df, order_cols, n_parts)
-    schema = T.StructType(ranged.schema.fields + [
-        T.StructField("_pid", T.LongType()), T.StructField("_lcum", T.LongType())])
+    locs = [f"_l{i}" for i in range(len(weights))]
+    schema = T.StructType(ranged.schema.fields + [T.StructField("_pid", T.LongType())]
+                          + [T.StructField(c, T.LongType()) for c in locs])
 
     def run(batches):
         pid = TaskContext.get().partitionId()
-        carry = 0
+        carry = [0] * len(weights)
         for pdf in batches:
-            c = pdf[weight_col].astype("int64").cumsum() + carry
-            if len(c):
-                carry = int(c.iloc[-1])
-            yield pdf.assign(_pid=pid, _lcum=c)
+            extra = {"_pid": pid}
+            for i, (wc, lc) in enumerate(zip(weights, locs)):
+                c = pdf[wc].astype("int64").cumsum() + carry[i]
+                if len(c):
+                    carry[i] = int(c.iloc[-1])
+                extra[lc] = c
+            yield pdf.assign(**extra)
 
     local = ranged.mapInPandas(run, schema)
-    tot = local.groupBy("_pid").agg(F.max("_lcum").alias("_t"))
+    tot = local.groupBy("_pid").agg(*[F.max(lc).alias(f"_t{i}") for i, lc in enumerate(locs)])
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select("_pid", F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_off"))
+    off = tot.select("_pid", *[F.coalesce(F.sum(f"_t{i}").over(w), F.lit(0)).alias(f"_o{i}")
+                               for i in range(len(locs))])
     return (local.join(F.broadcast(off), "_pid")
-            .select(*df.columns, (F.col("_lcum") + F.col("_off")).alias(out_col)))
+            .select(*df.columns, *[(F.col(lc) + F.col(f"_o{i}")).alias(oc)
+                                   for i, (lc, oc) in enumerate(zip(locs, outs))]))
 
 
 def sliding_request_rate(calls: DataFrame, key: str, ts_col: str, id_col: str,

@@ -10,7 +10,7 @@ them does a job's work.  The same definitions are written as DuckDB CTEs in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyho import schemas as S
@@ -195,25 +195,39 @@ def _research_results(t: Tables) -> DataFrame:
 
 
 def batch_status(t: Tables) -> DataFrame:
+    return staged(t.spark, "batch_status", t.sf_dir, lambda: _batch_status(t))
+
+
+def _batch_status(t: Tables) -> DataFrame:
     """Batch status snapshots from ``events``: one batch per user, one
     poll per event; progress counts purchases (completed) and errors
-    (failed) so far; batches of users with user_id % 5 != 0 never finish."""
-    e = t.events
+    (failed) so far; batches of users with user_id % 5 != 0 never finish.
+
+    The running counts are one skew-safe cumulative sum in (user, time)
+    order minus each user's starting offset, so a user with a third of all
+    events is not one task.
+    """
+    from tallyho.operators.monitor import cumulative_sum
+    e = t.events.select(
+        "user_id", "ts", "event_id", "event_type",
+        (F.col("event_type") == "purchase").cast("long").alias("_p"),
+        (F.col("event_type") == "error").cast("long").alias("_e"))
+    c = cumulative_sum(e, ["user_id", "ts", "event_id"], ["_p", "_e"], ["_cp", "_ce"])
+    per_user = c.groupBy("user_id").agg(
+        F.min(F.col("_cp") - F.col("_p")).alias("_p0"),
+        F.min(F.col("_ce") - F.col("_e")).alias("_e0"),
+        (F.sum("_p") + F.sum("_e")).alias("_pe"),
+        F.min("ts").alias("created_at"))
     u = F.col("user_id")
-    w_run = (Window.partitionBy("user_id").orderBy("ts", "event_id")
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    w_all = Window.partitionBy("user_id")
-    x = e.select(
+    x = c.join(per_user, "user_id").select(
         u.cast("int").alias("batch_num"),
         F.when(u % 9 == 4, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("batch_"), u.cast("string"))).alias("batch_id"),
-        F.col("event_type"), F.col("ts"), F.col("event_id"),
-        F.count_if(F.col("event_type") == "purchase").over(w_run).alias("completed"),
-        F.count_if(F.col("event_type") == "error").over(w_run).alias("failed"),
-        (F.count_if(F.col("event_type").isin("purchase", "error")).over(w_all)
-         + u % 5).alias("total"),
-        F.min("ts").over(w_all).alias("created_at"),
-    )
+        F.col("event_type"), F.col("ts"),
+        (F.col("_cp") - F.col("_p0")).alias("completed"),
+        (F.col("_ce") - F.col("_e0")).alias("failed"),
+        (F.col("_pe") + u % 5).alias("total"),
+        F.col("created_at"))
     done = (F.col("completed") + F.col("failed")) >= F.col("total")
     status = (F.when(done, F.lit("completed"))
               .when(F.col("event_type") == "signup", F.lit("validating"))

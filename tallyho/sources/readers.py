@@ -3,7 +3,7 @@ row slices and seeded samples.  Every reader declares its schema."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,8 +88,9 @@ def sample_n_seeded(df: DataFrame, key_col: str, n: int, seed: int) -> DataFrame
     return df.withColumn("_h", h).orderBy("_h", key_col).limit(n).drop("_h")
 
 
-def latest_per_key(df: DataFrame, key_cols: list[str], order_cols: list[str]
-                   ) -> DataFrame:
-    """Keep the last row per key (dict-overwrite semantics)."""
-    w = Window.partitionBy(*key_cols).orderBy(*[F.col(c).desc() for c in order_cols])
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+def latest_per_key(df: DataFrame, key_cols: list[str], order_col: str) -> DataFrame:
+    """Keep the last row per key (dict-overwrite semantics) (W7) with a
+    partial ``max_by`` aggregate (skew-safe, no window)."""
+    cols = [c for c in df.columns if c not in key_cols]
+    return (df.groupBy(*key_cols).agg(F.max_by(F.struct(*cols), F.col(order_col)).alias("_r"))
+            .select(*key_cols, *[F.col(f"_r.{c}").alias(c) for c in cols]))
