@@ -12,8 +12,6 @@ partition count, not the data size).
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -183,6 +181,3 @@ def token_budget(rows: DataFrame, designs: list[tuple[str, int]],
                 F.round(F.col("requests") * F.col("tokens_per_request") * 100.0
                         / F.lit(daily_limit), 6).alias("pct_of_daily_limit"))
 
-
-def n_batches_for(n_rows: int, cap: int) -> int:
-    return max(1, math.ceil(n_rows / cap))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyho import schemas as S
-from tallyho.functions.text import coerce_numeric, safe_pct, safe_ratio  # noqa: F401
+from tallyho.functions.text import coerce_numeric, safe_pct
 
 ID = "CompanyID"
 
@@ -362,6 +362,3 @@ def restrict_to_cohort(df: DataFrame, cohort: DataFrame, key: str,
     ck = cohort_key or key
     return df.join(cohort.select(F.col(ck).alias(key)), key, "left_semi")
 
-
-def safe_share(num, den):
-    return safe_ratio(num, den)

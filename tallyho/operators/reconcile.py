@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyho import schemas as S
 from tallyho.functions import text as X
 
 
@@ -118,5 +117,3 @@ def results_not_downloaded(latest: DataFrame) -> DataFrame:
     got = latest.where("has_results").select("batch_num")
     return done.join(got, "batch_num", "left_anti")
 
-
-UNKNOWN = {"name": S.UNKNOWN_ID, "homepage_url": ""}

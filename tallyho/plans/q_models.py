@@ -10,7 +10,6 @@ from tallyho.operators import labelers as L
 from tallyho.operators import profiles as P
 from tallyho.plans import sqlfn as Q
 from tallyho.plans.oracle_views import WIDE_EXTRA, token_count, with_views
-from tallyho.plans.q_compare import W_STATS as _unused  # noqa: F401
 from tallyho.plans.registry import register
 from tallyho.sources import bindings as B
 from tallyho.sources.tables import Tables

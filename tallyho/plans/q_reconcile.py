@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tallyho import schemas as S
 from tallyho.operators import reconcile as RC
-from tallyho.operators import replies as R
 from tallyho.plans import sqlfn as Q
 from tallyho.plans.oracle_views import with_views
 from tallyho.plans.q_replies import _adoption_flat, _cls_ingested

@@ -59,9 +59,14 @@ def scan_latest_version(df: DataFrame, key_cols: list[str], version_col: str
     return df.join(F.broadcast(latest), F.col(version_col) == F.col("_v"), "left_semi")
 
 
-def slice_rows(df: DataFrame, order_col: str, start: int, limit: int) -> DataFrame:
-    """Rows [start, start+limit) in ``order_col`` order."""
-    return df.orderBy(order_col).offset(start).limit(limit)
+def scan_latest_file(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of the most recently modified file(s) under ``path`` only (S6,
+    file form): one scan with ``_metadata``, the newest modification time
+    as a one-row aggregate, and a semi join on it."""
+    df = spark.read.schema(schema).parquet(path).select(
+        "*", F.col("_metadata.file_modification_time").alias("_mtime"))
+    newest = df.agg(F.max("_mtime").alias("_mtime"))
+    return df.join(F.broadcast(newest), "_mtime", "left_semi").drop("_mtime")
 
 
 _P31 = 2147483647  # 2^31 - 1

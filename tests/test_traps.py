@@ -383,3 +383,16 @@ def test_sliding_rate_wait_until_oldest_expires(spark):
         n = len(window)
         wait = (min(window) + 60 - t) if n > 2 else None
         assert got[i] == (n, n > 2, None if wait is None else float(wait))
+
+
+def test_scan_latest_file_keeps_newest_version_only(spark, tmp_path):
+    import os
+    import time
+    from tallyho.sources.readers import scan_latest_file
+    p = str(tmp_path / "runs")
+    spark.createDataFrame([(1, "old"), (2, "old")], "id long, v string").write.parquet(p)
+    time.sleep(1.1)
+    spark.createDataFrame([(1, "new")], "id long, v string").write.mode("append").parquet(p)
+    got = scan_latest_file(spark, p, "id long, v string").collect()
+    assert [(r.id, r.v) for r in got] == [(1, "new")]
+    assert os.path.isdir(p)
