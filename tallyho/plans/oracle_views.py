@@ -35,7 +35,9 @@ SELECT d.doc_id AS rcid,
   CASE WHEN d.doc_id % 40 = 13 THEN '' ELSE 'Doc ' || CAST(d.doc_id AS VARCHAR) END AS name,
   CASE WHEN d.doc_id % 45 = 7 THEN 'not a url'
        ELSE 'https://directory.example.com/org/' || CAST(d.doc_id AS VARCHAR) END AS cb_url,
-  p.url AS homepage_url,
+  CASE WHEN d.doc_id % 11 = 3 THEN NULL
+       WHEN d.doc_id % 11 = 5 THEN 'www.doc' || CAST(d.doc_id AS VARCHAR) || '.example.org'
+       ELSE 'https://doc' || CAST(d.doc_id AS VARCHAR) || '.example.com/' END AS homepage_url,
   CASE WHEN d.doc_id % 10 = 3 THEN NULL
        WHEN d.doc_id % 10 = 7 THEN '   '
        WHEN d.doc_id % 10 = 9 THEN chr(160) || split_part(d.text, chr(10), 1) || ' '
@@ -49,7 +51,7 @@ SELECT d.doc_id AS rcid,
        WHEN d.doc_id % 5 = 2 THEN ''
        WHEN d.doc_id % 5 = 3 THEN NULL
        ELSE 'founded ' || CAST(1995 + d.doc_id % 25 AS VARCHAR) END AS founded_date
-FROM documents d LEFT JOIN pages p ON d.doc_id = p.page_id
+FROM documents d
 """)
 
 VIEWS["runs_a"] = ([], r"""
