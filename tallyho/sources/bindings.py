@@ -74,6 +74,10 @@ def companies(t: Tables) -> DataFrame:
 
 
 def runs_a(t: Tables) -> DataFrame:
+    return staged(t.spark, "runs_a", t.sf_dir, lambda: _runs_a(t))
+
+
+def _runs_a(t: Tables) -> DataFrame:
     """Classification run A (reply columns as strings) from ``orders``."""
     o = t.orders
     k = F.col("o_orderkey")
@@ -98,6 +102,10 @@ def runs_a(t: Tables) -> DataFrame:
 
 
 def runs_b(t: Tables) -> DataFrame:
+    return staged(t.spark, "runs_b", t.sf_dir, lambda: _runs_b(t))
+
+
+def _runs_b(t: Tables) -> DataFrame:
     """Classification run B from ``lineitem`` aggregated per order."""
     g = (t.lineitem.groupBy("l_orderkey")
          .agg(F.count(F.lit(1)).alias("n"),

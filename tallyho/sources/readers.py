@@ -28,7 +28,8 @@ def scan_jsonl_tolerant(spark: SparkSession, path: str, schema: T.StructType
 
     Blank lines are skipped; a line is malformed when it does not parse as
     JSON (``try_parse_json``), and is returned as text so it can be counted
-    - never silently lost.  One text scan, no caching.
+    - never silently lost.  Each output is a filtered text scan; nothing is
+    cached.
     """
     lines = spark.read.text(path).where(F.trim(F.col("value")) != "")
     ok = F.try_parse_json(F.col("value")).isNotNull()

@@ -1,10 +1,13 @@
 """Structured Streaming jobs: incremental passes, rate windows, stuck
 batches, latest status and de-duplication of an append-only log.
 
-Every job takes a file-stream source (parquet), keeps its checkpoint in the
-shared checkpoint folder, and runs to completion with
-``trigger(availableNow=True)``; the same code runs continuously with a
-processing-time trigger.  Aggregations in update mode are written through
+Every job takes a file-stream source (parquet) and keeps its checkpoint in
+the shared checkpoint folder.  By default it runs to completion with
+``trigger(availableNow=True)``; pass ``trigger={"processingTime": "1
+minute"}`` (any ``DataStreamWriter.trigger`` keywords) to leave it running
+in the background: the jobs that return a DataFrame then return a reader
+over what the query has written so far, ``incremental_pass`` returns the
+running query.  Aggregations in update mode are written through
 ``foreachBatch`` as (batch id, key, value) rows; the latest value per key
 is then a partial ``max_by`` - no row is rewritten in place.
 """
@@ -45,15 +48,21 @@ def _file_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def _run(writer, checkpoint: str) -> None:
-    q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+TRIGGER: dict = {"availableNow": True}
+
+
+def _run(writer, checkpoint: str, trigger: dict | None = None):
+    q = writer.option("checkpointLocation", checkpoint).trigger(**(trigger or TRIGGER)).start()
+    if not (trigger or TRIGGER).get("availableNow"):
+        return q
     q.awaitTermination()
     if q.exception():
         raise q.exception()
+    return q
 
 
 def incremental_pass(spark: SparkSession, source: str, schema: T.StructType,
-                     target: str, key: str, checkpoint: str) -> None:
+                     target: str, key: str, checkpoint: str, trigger: dict | None = None):
     """Append only rows whose key is not in the target yet (resume).
 
     Each micro-batch anti-joins the target before appending, so a batch
@@ -64,7 +73,8 @@ def incremental_pass(spark: SparkSession, source: str, schema: T.StructType,
         new = batch.dropDuplicates([key]).join(done, key, "left_anti")
         new.write.mode("append").parquet(target)
 
-    _run(_file_stream(spark, source, schema).writeStream.foreachBatch(upsert), checkpoint)
+    return _run(_file_stream(spark, source, schema).writeStream.foreachBatch(upsert),
+                checkpoint, trigger)
 
 
 def _append_updates(out: str):
@@ -84,7 +94,8 @@ def latest_updates(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
 def stream_rate_window(spark: SparkSession, source: str, schema: T.StructType,
                        out: str, checkpoint: str, key: str = "service",
                        ts: str = "ts", length: str = "60 seconds",
-                       slide: str = "10 seconds", delay: str = "10 minutes") -> DataFrame:
+                       slide: str = "10 seconds", delay: str = "10 minutes",
+                       trigger: dict | None = None) -> DataFrame:
     """Sliding-window call counts per key with a watermark (update mode)."""
     s = _file_stream(spark, source, schema).withColumn("_et", F.col(ts).cast("timestamp"))
     agg = (s.withWatermark("_et", delay)
@@ -92,7 +103,8 @@ def stream_rate_window(spark: SparkSession, source: str, schema: T.StructType,
            .agg(F.count(F.lit(1)).alias("n"))
            .select(key, F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n"))
-    _run(agg.writeStream.outputMode("update").foreachBatch(_append_updates(out)), checkpoint)
+    _run(agg.writeStream.outputMode("update").foreachBatch(_append_updates(out)), checkpoint,
+         trigger)
     return latest_updates(spark, out, [key, "window_start", "window_end"])
 
 
@@ -121,36 +133,37 @@ def _stuck_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
 
 
 def stream_stuck_batches(spark: SparkSession, source: str, schema: T.StructType,
-                         out: str, checkpoint: str) -> DataFrame:
+                         out: str, checkpoint: str, trigger: dict | None = None) -> DataFrame:
     """Consecutive no-progress polls per batch, carried across micro-batches
     in per-key state (applyInPandasWithState, event-time order per key)."""
     s = _file_stream(spark, source, schema).select("batch_num", "checked_at", "completed")
     res = s.groupBy("batch_num").applyInPandasWithState(
         _stuck_fn, _STUCK_OUT, _STUCK_STATE, "append", GroupStateTimeout.NoTimeout)
     _run(res.writeStream.outputMode("append").format("parquet").option("path", out),
-         checkpoint)
+         checkpoint, trigger)
     return spark.read.schema(_STUCK_OUT).parquet(out)
 
 
 def stream_latest_status(spark: SparkSession, source: str, schema: T.StructType,
-                         out: str, checkpoint: str) -> DataFrame:
+                         out: str, checkpoint: str, trigger: dict | None = None) -> DataFrame:
     """Latest snapshot per batch as a streaming max_by (update mode)."""
     s = _file_stream(spark, source, schema)
     agg = s.groupBy("batch_num").agg(
         F.max_by(F.struct("status", "completed", "failed", "total", "checked_at"),
                  "checked_at").alias("v")).select("batch_num", "v.*")
-    _run(agg.writeStream.outputMode("update").foreachBatch(_append_updates(out)), checkpoint)
+    _run(agg.writeStream.outputMode("update").foreachBatch(_append_updates(out)), checkpoint,
+         trigger)
     return latest_updates(spark, out, ["batch_num"])
 
 
 def stream_dedup_records(spark: SparkSession, source: str, schema: T.StructType,
                          out: str, checkpoint: str, key: str, ts: str,
-                         within: str = "2 days") -> DataFrame:
+                         within: str = "2 days", trigger: dict | None = None) -> DataFrame:
     """Drop repeated keys that arrive within ``within`` of the first one."""
     s = _file_stream(spark, source, schema).withColumn("_et", F.to_timestamp(ts))
     d = s.withWatermark("_et", within).dropDuplicatesWithinWatermark([key]).drop("_et")
     _run(d.writeStream.outputMode("append").format("parquet").option("path", out),
-         checkpoint)
+         checkpoint, trigger)
     return spark.read.schema(schema).parquet(out)
 
 
