@@ -46,16 +46,17 @@ def rows_written_stats(rows: DataFrame) -> DataFrame:
                     F.count_if("genai_adoption_found").alias("finding_rows"))
 
 
-def summarize_findings(results: DataFrame, result_col: str = "result") -> DataFrame:
-    """has_adoption_evidence: any finding whose type is not negative;
-    highest_confidence: max finding confidence or 0.0 (array functions,
-    no shuffle)."""
+def summarize_findings(results: DataFrame, result_col: str = "result",
+                       type_field: str = "tool_name") -> DataFrame:
+    """has_adoption_evidence: any finding whose ``type_field`` is not one
+    of the negative finding types; highest_confidence: max finding
+    confidence or 0.0 (array functions, no shuffle)."""
     fs = F.coalesce(F.col(result_col)["findings"],
                     F.array().cast(f"array<{S.FINDING_SCHEMA.simpleString()}>"))
     neg = F.array(*[F.lit(v) for v in S.NEGATIVE_FINDING_TYPES])
     return results.select(
         "company_id",
-        F.exists(fs, lambda f: ~F.coalesce(F.array_contains(neg, f["tool_name"]),
+        F.exists(fs, lambda f: ~F.coalesce(F.array_contains(neg, f[type_field]),
                                            F.lit(False))).alias("has_adoption_evidence"),
         F.coalesce(F.array_max(F.transform(fs, lambda f: f["confidence"])),
                    F.lit(0.0)).alias("highest_confidence"),

@@ -79,8 +79,12 @@ def search_by_name(df: DataFrame, pattern: str, exact: bool = False,
 
 
 def lookup_by_key(df: DataFrame, key_col: str, key) -> DataFrame:
-    """First row with the key (by the key's natural order tie-break)."""
-    return df.where(F.col(key_col) == F.lit(key)).limit(1)
+    """One row with the key; when the key repeats, the smallest row in
+    column order (the filter is pushed to the scan; only matching rows are
+    ordered, as a TakeOrdered of one)."""
+    orderable = [f.name for f in df.schema.fields
+                 if not isinstance(f.dataType, T.MapType)]
+    return df.where(F.col(key_col) == F.lit(key)).orderBy(*orderable).limit(1)
 
 
 def description_coverage(df: DataFrame) -> DataFrame:
