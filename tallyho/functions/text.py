@@ -157,7 +157,7 @@ def build_batch_request(cid, system_prompt, user_message, model: str,
 
 def request_bytes(request_json) -> Column:
     """Bytes of one serialised request line (newline included)."""
-    return F.octet_length(col_(request_json)) + F.lit(1)
+    return (F.octet_length(col_(request_json)) + F.lit(1)).cast("bigint")
 
 
 def build_search_query(name) -> Column:

@@ -78,7 +78,7 @@ SELECT CAST(l_orderkey AS VARCHAR) AS CompanyID,
             'quantity ' || CAST(CAST(floor(q) AS BIGINT) AS VARCHAR)) AS Reasons_3_points,
   'id;name;keywords' AS Sources_used,
   'checked' AS Verification_critique
-FROM (SELECT l_orderkey, count(*) AS n, count_if(l_returnflag = 'A') AS na,
+FROM (SELECT l_orderkey, count(*) AS n, count(CASE WHEN l_returnflag = 'A' THEN 1 END) AS na,
              sum(l_quantity) AS q FROM lineitem GROUP BY l_orderkey)
 """)
 
@@ -120,7 +120,7 @@ SELECT o_orderkey AS company_id,
   ['1', '2A', '2B', '3'][CAST(o_orderkey % 4 AS INTEGER) + 1] AS research_stage_reached,
   CAST(o_custkey % 101 AS INTEGER) AS online_presence_score,
   o_orderstatus <> 'P' AS website_alive,
-  [0.02, 0.04, 0.09, 0.5][CAST(o_orderkey % 4 AS INTEGER) + 1] AS research_cost_usd,
+  CAST([0.02, 0.04, 0.09, 0.5][CAST(o_orderkey % 4 AS INTEGER) + 1] AS DOUBLE) AS research_cost_usd,
   o_orderkey % 31 = 0 AS result_is_null,
   o_orderstatus = 'F' AS genai_adoption_found,
   CASE WHEN o_orderkey % 3 = 0 THEN 'no_evidence'
@@ -145,9 +145,9 @@ SELECT CAST(user_id AS INTEGER) AS batch_num,
   (completed + failed >= total) AND user_id % 7 <> 2 AS has_output,
   ts AS checked_at
 FROM (SELECT *,
-  count_if(event_type = 'purchase') OVER w AS completed,
-  count_if(event_type = 'error') OVER w AS failed,
-  count_if(event_type IN ('purchase', 'error')) OVER (PARTITION BY user_id) + user_id % 5 AS total,
+  count(CASE WHEN event_type = 'purchase' THEN 1 END) OVER w AS completed,
+  count(CASE WHEN event_type = 'error' THEN 1 END) OVER w AS failed,
+  count(CASE WHEN event_type IN ('purchase', 'error') THEN 1 END) OVER (PARTITION BY user_id) + user_id % 5 AS total,
   min(ts) OVER (PARTITION BY user_id) AS created_at
   FROM events
   WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id

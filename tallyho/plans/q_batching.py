@@ -102,7 +102,7 @@ def q_plan_greedy_batches(spark, sf_dir):
 plan AS ({_EVEN}),
 req AS (SELECT rcid, {_req_sql(Q.profile_message(), S.CLASSIFY_SYSTEM_PROMPT)} AS request
         FROM (SELECT *, {_CID} AS cid FROM companies))
-SELECT p.batch_num, count(*) AS n_requests, sum(strlen(r.request) + 1) AS total_bytes
+SELECT p.batch_num, count(*) AS n_requests, CAST(sum(strlen(r.request) + 1) AS BIGINT) AS total_bytes
 FROM req r JOIN plan p ON r.rcid = p.rcid GROUP BY p.batch_num""")
 def q_sink_request_jsonl(spark, sf_dir):
     """Write one JSONL request-file set per even-plan batch, then read the

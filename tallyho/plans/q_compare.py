@@ -39,8 +39,8 @@ def q_compare_runs_inner(spark, sf_dir):
 
 
 @register("align_common_ids", sql=f"""{W_AB}
-SELECT count_if(a.na IS NOT NULL AND b.nb IS NOT NULL) AS n_common,
-  count_if(b.nb IS NULL) AS n_only_a, count_if(a.na IS NULL) AS n_only_b,
+SELECT count(CASE WHEN a.na IS NOT NULL AND b.nb IS NOT NULL THEN 1 END) AS n_common,
+  count(CASE WHEN b.nb IS NULL THEN 1 END) AS n_only_a, count(CASE WHEN a.na IS NULL THEN 1 END) AS n_only_b,
   CAST(coalesce(sum(a.na - 1), 0) AS BIGINT) AS n_repeated_a,
   CAST(coalesce(sum(b.nb - 1), 0) AS BIGINT) AS n_repeated_b
 FROM (SELECT CompanyID AS id, count(*) AS na FROM runs_a GROUP BY 1) a
@@ -53,19 +53,19 @@ def q_align_common_ids(spark, sf_dir):
 
 
 @register("agreement_overall", sql=f"""{W_P}
-SELECT count(*) AS total, count_if(agree) AS agreements,
-  count(*) - count_if(agree) AS disagreements,
-  round({pct('count_if(agree)', 'count(*)')}, 6) AS agreement_rate
+SELECT count(*) AS total, count(CASE WHEN agree THEN 1 END) AS agreements,
+  count(*) - count(CASE WHEN agree THEN 1 END) AS disagreements,
+  round({pct('count(CASE WHEN agree THEN 1 END)', 'count(*)')}, 6) AS agreement_rate
 FROM paired""")
 def q_agreement_overall(spark, sf_dir):
     """Agreements, disagreements (NULL labels disagree) and rate (A5)."""
     return C.agreement_overall(_paired(spark, sf_dir))
 
 
-_STATS = """count(*) AS total, count_if(agree) AS agreements,
-  count(*) - count_if(agree) AS disagreements,
-  count_if(label_a = 1 AND label_b = 0) AS a1_b0,
-  count_if(label_a = 0 AND label_b = 1) AS a0_b1,
+_STATS = """count(*) AS total, count(CASE WHEN agree THEN 1 END) AS agreements,
+  count(*) - count(CASE WHEN agree THEN 1 END) AS disagreements,
+  count(CASE WHEN label_a = 1 AND label_b = 0 THEN 1 END) AS a1_b0,
+  count(CASE WHEN label_a = 0 AND label_b = 1 THEN 1 END) AS a0_b1,
   sum(label_a) AS sum_a, sum(label_b) AS sum_b,
   avg(conf_a) AS mean_conf_a, avg(conf_b) AS mean_conf_b,
   stddev_samp(conf_a) AS std_conf_a, stddev_samp(conf_b) AS std_conf_b,
@@ -84,8 +84,8 @@ def q_disagreement_direction(spark, sf_dir):
 
 
 @register("agreement_by_confidence", sql=f"""{W_P}
-SELECT run, conf AS confidence_level, count(*) AS n, count_if(agree) AS n_agree,
-  round({pct('count_if(agree)', 'count(*)')}, 6) AS agreement_rate
+SELECT run, conf AS confidence_level, count(*) AS n, count(CASE WHEN agree THEN 1 END) AS n_agree,
+  round({pct('count(CASE WHEN agree THEN 1 END)', 'count(*)')}, 6) AS agreement_rate
 FROM (SELECT 'A' AS run, conf_a AS conf, agree FROM paired
       UNION ALL SELECT 'B' AS run, conf_b AS conf, agree FROM paired)
 WHERE conf IS NOT NULL GROUP BY run, conf""")
@@ -132,10 +132,10 @@ def q_confidence_histogram(spark, sf_dir):
 
 
 @register("rate_difference", sql=f"""{W_P}
-SELECT count(*) AS total, count_if(label_a = 1) AS n_pos_a, count_if(label_b = 1) AS n_pos_b,
-  round({pct('count_if(label_a = 1)', 'count(*)')}, 6) AS rate_a,
-  round({pct('count_if(label_b = 1)', 'count(*)')}, 6) AS rate_b,
-  round({pct('count_if(label_b = 1)', 'count(*)')} - {pct('count_if(label_a = 1)', 'count(*)')}, 6) AS rate_diff
+SELECT count(*) AS total, count(CASE WHEN label_a = 1 THEN 1 END) AS n_pos_a, count(CASE WHEN label_b = 1 THEN 1 END) AS n_pos_b,
+  round({pct('count(CASE WHEN label_a = 1 THEN 1 END)', 'count(*)')}, 6) AS rate_a,
+  round({pct('count(CASE WHEN label_b = 1 THEN 1 END)', 'count(*)')}, 6) AS rate_b,
+  round({pct('count(CASE WHEN label_b = 1 THEN 1 END)', 'count(*)')} - {pct('count(CASE WHEN label_a = 1 THEN 1 END)', 'count(*)')}, 6) AS rate_diff
 FROM paired""")
 def q_rate_difference(spark, sf_dir):
     """Positive-label rate per run and signed difference."""
@@ -222,9 +222,9 @@ def q_headline_ratios(spark, sf_dir):
 
 
 @register("label_rates", sql=f"""{with_views('runs_a')}
-SELECT count(*) AS total, count_if(AI_native = '1') AS n_one, count_if(AI_native = '0') AS n_zero,
-  round({pct("count_if(AI_native = '1')", 'count(*)')}, 6) AS pct_one,
-  round({pct("count_if(AI_native = '0')", 'count(*)')}, 6) AS pct_zero
+SELECT count(*) AS total, count(CASE WHEN AI_native = '1' THEN 1 END) AS n_one, count(CASE WHEN AI_native = '0' THEN 1 END) AS n_zero,
+  round({pct("count(CASE WHEN AI_native = '1' THEN 1 END)", 'count(*)')}, 6) AS pct_one,
+  round({pct("count(CASE WHEN AI_native = '0' THEN 1 END)", 'count(*)')}, 6) AS pct_zero
 FROM runs_a""")
 def q_label_rates(spark, sf_dir):
     """Count and % of label '1' and '0' by string compare (A1)."""

@@ -43,8 +43,8 @@ paired AS (SELECT x.custom_id AS id, CAST(x.AI_native AS DOUBLE) AS label_a, CAS
   CAST(x.Confidence_1to5 AS DOUBLE) AS conf_a, CAST(y.Confidence_1to5 AS DOUBLE) AS conf_b,
   coalesce(CAST(x.AI_native AS DOUBLE) = CAST(y.AI_native AS DOUBLE), false) AS agree
   FROM {a} x JOIN {b} y ON x.custom_id = y.custom_id),
-stats AS (SELECT count(*) AS total, count_if(agree) AS agreements, count(*) - count_if(agree) AS disagreements,
-  count_if(label_a = 1 AND label_b = 0) AS a1_b0, count_if(label_a = 0 AND label_b = 1) AS a0_b1,
+stats AS (SELECT count(*) AS total, count(CASE WHEN agree THEN 1 END) AS agreements, count(*) - count(CASE WHEN agree THEN 1 END) AS disagreements,
+  count(CASE WHEN label_a = 1 AND label_b = 0 THEN 1 END) AS a1_b0, count(CASE WHEN label_a = 0 AND label_b = 1 THEN 1 END) AS a0_b1,
   sum(label_a) AS sum_a, sum(label_b) AS sum_b, avg(conf_a) AS mean_conf_a, avg(conf_b) AS mean_conf_b,
   stddev_samp(conf_a) AS std_conf_a, stddev_samp(conf_b) AS std_conf_b, corr(conf_a, conf_b) AS corr FROM paired)"""
 

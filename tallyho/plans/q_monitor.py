@@ -58,8 +58,8 @@ def q_throughput_eta(spark, sf_dir):
 
 
 @register("batch_status_rollup", sql=f"""{W_BS}
-SELECT status, count(*) AS n_batches, sum(total) AS total, sum(completed) AS completed,
-  sum(failed) AS failed, round({Q.pct('sum(completed)', 'sum(total)')}, 6) AS progress_pct
+SELECT status, count(*) AS n_batches, CAST(sum(total) AS BIGINT) AS total,
+  CAST(sum(completed) AS BIGINT) AS completed, CAST(sum(failed) AS BIGINT) AS failed, round({Q.pct('sum(completed)', 'sum(total)')}, 6) AS progress_pct
 FROM {_LATEST} GROUP BY status""")
 def q_batch_status_rollup(spark, sf_dir):
     """Latest status per batch -> counts and progress by status."""
@@ -67,7 +67,7 @@ def q_batch_status_rollup(spark, sf_dir):
 
 
 @register("all_batches_ready", sql=f"""{W_BS}
-SELECT count(*) AS n_batches, count_if(status = 'completed') AS n_completed,
+SELECT count(*) AS n_batches, count(CASE WHEN status = 'completed' THEN 1 END) AS n_completed,
   coalesce(bool_and(status = 'completed'), false) AS ready FROM {_LATEST}""")
 def q_all_batches_ready(spark, sf_dir):
     """Ready flag: every batch's latest status is completed."""

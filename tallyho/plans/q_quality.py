@@ -184,7 +184,7 @@ def _dist_sql(reading: str, where: str) -> str:
 FROM (SELECT unnest(range(0, 6)) AS score, unnest({Q.arr(TR.SCORE_LABELS)}) AS label) s
 LEFT JOIN (SELECT research_priority_score AS score, count(*) AS n FROM priority_log WHERE {where} GROUP BY 1) d
   ON d.score = s.score
-CROSS JOIN (SELECT count(*) AS total, count_if(research_priority_score BETWEEN 3 AND 5) AS ge3
+CROSS JOIN (SELECT count(*) AS total, count(CASE WHEN research_priority_score BETWEEN 3 AND 5 THEN 1 END) AS ge3
             FROM priority_log WHERE {where}) t"""
 
 
@@ -220,7 +220,7 @@ def q_cost_rollup(spark, sf_dir):
 @register("stage_funnel", sql=f"""{_RJ}
 SELECT c.research_stage_reached AS stage, count(*) AS companies,
   CAST(sum(CASE WHEN c.result_is_null THEN 0 ELSE coalesce(f.n, 0) END) AS BIGINT) AS findings,
-  count_if(NOT c.result_is_null AND coalesce(f.n, 0) > 0) AS companies_with_findings
+  count(CASE WHEN NOT c.result_is_null AND coalesce(f.n, 0) > 0 THEN 1 END) AS companies_with_findings
 FROM research_companies c LEFT JOIN (SELECT company_id, count(*) AS n FROM finding_rows GROUP BY 1) f
   ON c.company_id = f.company_id GROUP BY 1""")
 def q_stage_funnel(spark, sf_dir):
@@ -257,8 +257,8 @@ def q_build_research_prompt(spark, sf_dir):
 x AS (SELECT c.company_id, floor(c.online_presence_score / 20) >= 3 AS routed,
   {_should_sql("'2A'")} AS esc_2a, {_should_sql("'2B'")} AS esc_2b FROM {_FJOIN}),
 stages(stage, ord, unit_min, unit_max) AS (VALUES {', '.join(f"('{st}', {i}, CAST({lo} AS DOUBLE), CAST({hi} AS DOUBLE))" for i, (st, lo, hi) in enumerate(TR.STAGE_UNIT_COSTS))}),
-n AS (SELECT count(*) AS n1, count_if(routed) AS n2a, count_if(routed AND esc_2a) AS n2b,
-  count_if(routed AND esc_2a AND esc_2b) AS n3 FROM x)
+n AS (SELECT count(*) AS n1, count(CASE WHEN routed THEN 1 END) AS n2a, count(CASE WHEN routed AND esc_2a THEN 1 END) AS n2b,
+  count(CASE WHEN routed AND esc_2a AND esc_2b THEN 1 END) AS n3 FROM x)
 SELECT s.stage, CASE s.stage WHEN '1' THEN n1 WHEN '2A' THEN n2a WHEN '2B' THEN n2b ELSE n3 END AS companies,
   round(s.unit_min * CASE s.stage WHEN '1' THEN n1 WHEN '2A' THEN n2a WHEN '2B' THEN n2b ELSE n3 END, 6) AS cost_min,
   round(s.unit_max * CASE s.stage WHEN '1' THEN n1 WHEN '2A' THEN n2a WHEN '2B' THEN n2b ELSE n3 END, 6) AS cost_max

@@ -32,8 +32,8 @@ def q_filter_usable_records(spark, sf_dir):
 @register("pass_status", sql=f"""{with_views('search_log_flat', 'companies')},
 st AS (SELECT rcid, bool_or(coalesce(error, '') = '') AS any_ok, bool_or(coalesce(error, '') <> '') AS any_error
        FROM search_log_flat GROUP BY rcid)
-SELECT (SELECT count_if(any_ok) FROM st) AS n_ok,
-  (SELECT count_if(NOT any_ok AND any_error) FROM st) AS n_error,
+SELECT (SELECT count(CASE WHEN any_ok THEN 1 END) FROM st) AS n_ok,
+  (SELECT count(CASE WHEN NOT any_ok AND any_error THEN 1 END) FROM st) AS n_error,
   (SELECT count(*) FROM st) AS n_logged,
   (SELECT count(*) FROM (SELECT DISTINCT rcid FROM companies) c WHERE c.rcid NOT IN (SELECT rcid FROM st)) AS n_remaining""")
 def q_pass_status(spark, sf_dir):

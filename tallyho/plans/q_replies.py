@@ -162,9 +162,9 @@ def q_modes_to_rows(spark, sf_dir):
 
 
 @register("adoption_by_mode", sql=f"""{with_views('adoption_flat')},
-c AS (SELECT count(*) AS total, count_if(genai_strict_label = 'Yes') AS strict,
-  count_if(genai_moderate_label = 'Yes') AS moderate, count_if(genai_lenient_label = 'Yes') AS lenient,
-  count_if(no_evidence_flag = 1) AS no_evidence FROM adoption_flat)
+c AS (SELECT count(*) AS total, count(CASE WHEN genai_strict_label = 'Yes' THEN 1 END) AS strict,
+  count(CASE WHEN genai_moderate_label = 'Yes' THEN 1 END) AS moderate, count(CASE WHEN genai_lenient_label = 'Yes' THEN 1 END) AS lenient,
+  count(CASE WHEN no_evidence_flag = 1 THEN 1 END) AS no_evidence FROM adoption_flat)
 SELECT 'strict' AS mode, strict AS n, round({Q.pct('strict', 'total')}, 6) AS pct FROM c
 UNION ALL SELECT 'moderate', moderate, round({Q.pct('moderate', 'total')}, 6) FROM c
 UNION ALL SELECT 'lenient', lenient, round({Q.pct('lenient', 'total')}, 6) FROM c
@@ -178,8 +178,8 @@ def q_adoption_by_mode(spark, sf_dir):
 long AS (SELECT 'strict' AS mode, genai_strict_label AS label, genai_strict_confidence AS confidence FROM adoption_flat
   UNION ALL SELECT 'moderate', genai_moderate_label, genai_moderate_confidence FROM adoption_flat
   UNION ALL SELECT 'lenient', genai_lenient_label, genai_lenient_confidence FROM adoption_flat),
-c AS (SELECT m.mode, count_if(l.confidence = 'Low') AS low, count_if(l.confidence = 'Medium') AS medium,
-  count_if(l.confidence = 'High') AS high
+c AS (SELECT m.mode, count(CASE WHEN l.confidence = 'Low' THEN 1 END) AS low, count(CASE WHEN l.confidence = 'Medium' THEN 1 END) AS medium,
+  count(CASE WHEN l.confidence = 'High' THEN 1 END) AS high
   FROM (SELECT unnest(['strict', 'moderate', 'lenient']) AS mode) m
   LEFT JOIN (SELECT * FROM long WHERE label = 'Yes') l ON l.mode = m.mode GROUP BY m.mode)
 SELECT mode, low, medium, high, low + medium + high AS yes_total,
@@ -288,7 +288,7 @@ def q_finding_ordinal(spark, sf_dir):
 
 @register("rows_written_stats", sql=f"""{_RJ}
 SELECT count(DISTINCT company_id) AS companies, count(*) AS rows,
-  count_if(genai_adoption_found) AS finding_rows FROM ({_E1})""")
+  count(CASE WHEN genai_adoption_found THEN 1 END) AS finding_rows FROM ({_E1})""")
 def q_rows_written_stats(spark, sf_dir):
     """Companies and rows emitted by the expansion."""
     return FD.rows_written_stats(_expanded(spark, sf_dir))
@@ -320,7 +320,7 @@ def q_summarize_findings(spark, sf_dir):
 @register("drop_low_confidence_findings", sql=f"""{_RJ}
 SELECT c.company_id, CASE WHEN c.result_is_null THEN NULL ELSE CAST(coalesce(n.nf, 0) AS INTEGER) END AS n_kept
 FROM research_companies c LEFT JOIN
- (SELECT company_id, count_if(confidence >= 0.5) AS nf FROM finding_rows GROUP BY company_id) n
+ (SELECT company_id, count(CASE WHEN confidence >= 0.5 THEN 1 END) AS nf FROM finding_rows GROUP BY company_id) n
  ON c.company_id = n.company_id""")
 def q_drop_low_confidence_findings(spark, sf_dir):
     """Findings below 0.5 confidence removed from each result."""
@@ -331,10 +331,10 @@ def q_drop_low_confidence_findings(spark, sf_dir):
 @register("normalize_citations", sql=f"""{_RJ}
 SELECT c.company_id, CAST(coalesce(f.n, 0) AS INTEGER) AS n_citations, coalesce(f.n, 0) > 0 AS has_citations,
   coalesce(f.urls, '') AS urls, CAST(coalesce(f.n, 0) * 11 + 150 AS BIGINT) AS total_tokens,
-  coalesce(f.titled, 0) AS n_titled
+  CAST(coalesce(f.titled, 0) AS INTEGER) AS n_titled
 FROM research_companies c LEFT JOIN (
   SELECT company_id, count(*) AS n, string_agg(source_url, ';' ORDER BY ordinal) AS urls,
-    count_if(k % 2 = 1) AS titled FROM (
+    count(CASE WHEN k % 2 = 1 THEN 1 END) AS titled FROM (
     SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY ordinal) - 1 AS k
     FROM finding_rows WHERE source_url IS NOT NULL) GROUP BY company_id) f
   ON c.company_id = f.company_id AND NOT c.result_is_null""")

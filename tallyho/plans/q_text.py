@@ -138,7 +138,7 @@ def q_build_batch_request(spark, sf_dir):
 
 
 @register("estimate_request_size", sql=f"""{W_C}
-SELECT count(*) AS requests, sum(strlen(request) + 1) AS total_bytes,
+SELECT count(*) AS requests, CAST(sum(strlen(request) + 1) AS BIGINT) AS total_bytes,
   max(strlen(request) + 1) AS max_bytes,
   round(avg(strlen(request) + 1), 6) AS avg_bytes,
   count(*) * {S.EVEN_PLAN_TOKENS_PER_REQUEST} AS est_tokens
@@ -294,10 +294,10 @@ def q_lookup_by_key(spark, sf_dir):
 
 
 @register("description_coverage", sql=f"""{W_C}
-SELECT count(*) AS total, count_if(NOT {Q.is_blank('short_description')}) AS has_short,
-  count_if(NOT {Q.is_blank('long_description')}) AS has_long,
-  count_if(NOT {Q.is_blank('short_description')} AND NOT {Q.is_blank('long_description')}) AS has_both,
-  round({Q.pct("count_if(NOT " + Q.is_blank('short_description') + " AND NOT " + Q.is_blank('long_description') + ")", 'count(*)')}, 6) AS pct_retained
+SELECT count(*) AS total, count(CASE WHEN NOT {Q.is_blank('short_description')} THEN 1 END) AS has_short,
+  count(CASE WHEN NOT {Q.is_blank('long_description')} THEN 1 END) AS has_long,
+  count(CASE WHEN NOT {Q.is_blank('short_description')} AND NOT {Q.is_blank('long_description')} THEN 1 END) AS has_both,
+  round({Q.pct("count(CASE WHEN NOT " + Q.is_blank('short_description') + " AND NOT " + Q.is_blank('long_description') + " THEN 1 END)", 'count(*)')}, 6) AS pct_retained
 FROM companies""")
 def q_description_coverage(spark, sf_dir):
     """Has short / long / both and % retained by the both-filter."""
