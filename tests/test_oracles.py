@@ -3,6 +3,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import types as T
 
 from conftest import SMALL
 from scripts_oracle import digest
@@ -20,6 +21,19 @@ def con():
     return c
 
 
+_DUCK = {T.LongType: "BIGINT", T.IntegerType: "INTEGER", T.DoubleType: "DOUBLE",
+         T.StringType: "VARCHAR", T.BooleanType: "BOOLEAN", T.TimestampNTZType: "TIMESTAMP"}
+
+
+def duck_type(dt) -> str:
+    if isinstance(dt, T.ArrayType):
+        return duck_type(dt.elementType) + "[]"
+    for k, v in _DUCK.items():
+        if isinstance(dt, k):
+            return v
+    return dt.simpleString()
+
+
 @pytest.mark.parametrize("key", sorted(ORACLES))
 def test_query_matches_oracle(spark, con, key):
     df = QUERIES[key](spark, SMALL)
@@ -27,6 +41,8 @@ def test_query_matches_oracle(spark, con, key):
     rel = con.sql(ORACLES[key])
     o_rows = rel.fetchall()
     assert sorted(df.columns) == sorted(rel.columns)
+    o_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    assert {f.name: duck_type(f.dataType) for f in df.schema.fields} == o_types
     assert len(s_rows) == len(o_rows)
     assert digest(df.columns, s_rows)[0] == digest(rel.columns, o_rows)[0]
 
