@@ -1,5 +1,6 @@
 """Benchmark: run the headline queries on local[$BENCH_CPUS] over
-$BENCH_SF_DIR and print one JSON line.
+$BENCH_SF_DIR and print one JSON line.  Set $BENCH_EVENT_LOG to a folder to
+keep Spark's event log (stage and task times) there.
 
 Each query's full plan is executed into Spark's ``noop`` sink (nothing is
 collected to the driver), three times: the first (cold) run also compiles
@@ -44,8 +45,11 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     keys = sys.argv[1:] or HEADLINE
     load_all()
-    spark = get_spark(f"local[{cpus}]", int(cpus) * 2,
-                      extra={"spark.driver.memory": "16g"})
+    extra = {"spark.driver.memory": "16g"}
+    event_dir = os.environ.get("BENCH_EVENT_LOG")  # e.g. a fresh /tmp folder
+    if event_dir:
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_dir})
+    spark = get_spark(f"local[{cpus}]", int(cpus) * 2, extra=extra)
     times, cold = {}, {}
     for k in keys:
         runs = []
