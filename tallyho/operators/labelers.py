@@ -187,18 +187,27 @@ def lexical_adoption_modes(companies: DataFrame) -> DataFrame:
                      result.alias("adoption"))
 
 
-def apply_model(df: DataFrame, text_col: str, fn: Callable[[pd.Series], pd.Series],
-                id_col: str = "custom_id") -> DataFrame:
-    """Run ``fn`` (texts -> replies) over Arrow batches of each partition.
-
-    Returns (id, reply, error); an exception in ``fn`` marks every row of
-    that batch with the error text instead of failing the job.  Set-up cost
-    (clients, sessions) belongs inside ``fn``'s closure, once per task.
+def apply_model(df: DataFrame, text_col: str,
+                fn: Callable[[pd.Series], pd.Series] | None = None,
+                id_col: str = "custom_id",
+                factory: Callable[[], Callable[[pd.Series], pd.Series]] | None = None
+                ) -> DataFrame:
+    """Run a model (texts -> replies) over Arrow batches of each partition.
+
+    Give either ``fn`` or ``factory``; a factory is called once per task,
+    inside the executor, so clients, sessions or loaded model files are set
+    up once per partition rather than per row or on the driver.  Returns
+    (id, reply, error); an exception marks every row of that batch with the
+    error text instead of failing the job.
     """
+    if (fn is None) == (factory is None):
+        raise ValueError("give exactly one of fn or factory")
+
     def run(batches):
+        model = fn if factory is None else factory()
         for pdf in batches:
             try:
-                reply = pd.Series(fn(pdf[text_col].fillna("")), index=pdf.index)
+                reply = pd.Series(model(pdf[text_col].fillna("")), index=pdf.index)
                 err = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
             except Exception as e:  # noqa: BLE001 - becomes data
                 reply = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)

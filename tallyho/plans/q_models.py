@@ -29,12 +29,12 @@ SELECT {_MSG_CID} AS custom_id,
   CAST(NULL AS VARCHAR) AS error
 FROM companies""")
 def q_apply_model(spark, sf_dir):
-    """Each request text through a vectorised model function over Arrow
-    batches (mapInPandas); failures become an error column (U1)."""
+    """Each request text through a vectorised model over Arrow batches
+    (mapInPandas), set up once per task; failures become an error column (U1)."""
     c = _companies(spark, sf_dir)
     req = c.select(F.col("rcid"), L.X.custom_id("org_uuid", "rcid").alias("custom_id"),
                    P.profile_message(c).alias("message"))
-    return L.apply_model(req, "message", L.vocabulary_hits_model())
+    return L.apply_model(req, "message", factory=L.vocabulary_hits_model)
 
 
 def _pair_sql(a: str, b: str) -> str:

@@ -396,3 +396,21 @@ def test_scan_latest_file_keeps_newest_version_only(spark, tmp_path):
     got = scan_latest_file(spark, p, "id long, v string").collect()
     assert [(r.id, r.v) for r in got] == [(1, "new")]
     assert os.path.isdir(p)
+
+
+def test_apply_model_failures_become_rows(spark):
+    from tallyho.operators.labelers import apply_model
+    df = spark.createDataFrame([("a", "ok"), ("b", "boom")], "custom_id string, text string")
+
+    def make():
+        def model(texts):
+            if (texts == "boom").any():
+                raise RuntimeError("model down")
+            return texts.str.upper()
+        return model
+
+    out = {r.custom_id: r for r in apply_model(df.coalesce(1), "text", factory=make).collect()}
+    assert out["a"].reply is None and out["a"].error == "RuntimeError: model down"
+    ok = {r.custom_id: r.reply for r in apply_model(df.where("text = 'ok'"), "text",
+                                                    factory=make).collect()}
+    assert ok == {"a": "OK"}
