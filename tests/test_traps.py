@@ -414,3 +414,19 @@ def test_apply_model_failures_become_rows(spark):
     ok = {r.custom_id: r.reply for r in apply_model(df.where("text = 'ok'"), "text",
                                                     factory=make).collect()}
     assert ok == {"a": "OK"}
+
+
+def test_validation_quarantines_instead_of_dropping(spark):
+    from tallyho.operators.profiles import scan_quarantine, scan_validated
+    rows = [("1", "u1", "", "https://x.example/1"),
+            ("abc", "u2", "B", "https://x.example/2"),
+            ("3", None, "C", "https://x.example/3"),
+            ("4", "u4", "D", "not a url")]
+    df = spark.createDataFrame(
+        [(r, u, n, c, None, None, None, "en", None, None, "2016-11-01") for r, u, n, c in rows],
+        S.COMPANY_CSV_SCHEMA)
+    ok = scan_validated(df).collect()
+    bad = {r.rcid: r.error for r in scan_quarantine(df).collect()}
+    assert [(r.rcid, r.name, r.categories) for r in ok] == [(1, "Unknown", ["en"])]
+    assert bad == {"abc": "rcid: not an integer", "3": "org_uuid: missing",
+                   "4": "cb_url: not a URL"}
