@@ -430,3 +430,40 @@ def test_validation_quarantines_instead_of_dropping(spark):
     assert [(r.rcid, r.name, r.categories) for r in ok] == [(1, "Unknown", ["en"])]
     assert bad == {"abc": "rcid: not an integer", "3": "org_uuid: missing",
                    "4": "cb_url: not a URL"}
+
+
+def _flat(spark, rows):
+    cols = ["company_id", "company_name", "genai_strict_label", "genai_strict_confidence",
+            "genai_moderate_label", "genai_moderate_confidence", "genai_lenient_label",
+            "genai_lenient_confidence", "primary_assessment", "no_evidence_flag",
+            "genai_functions_list", "genai_functions_details", "reasoning"]
+    schema = ", ".join(f"{c} {'int' if c == 'no_evidence_flag' else 'string'}" for c in cols)
+    return spark.createDataFrame(rows, schema)
+
+
+def test_function_lists_and_adoption_invariants(spark):
+    from tallyho.operators.quality import check_adoption_invariants, check_mode_monotonic
+    rows = [("1", "A", "No", "Low", "No", "Low", "No", "Low", "strict", 1, "", "", ""),
+            ("2", "B", "Yes", "High", "No", "Low", "No", "Low", "strict", 0, "sales", "", ""),
+            ("3", "C", "No", "Low", "No", "Low", "No", "Low", "strict", 1, "sales", "", ""),
+            ("4", "D", "No", "Low", "Yes", "Low", "Yes", "Low", "strict", 0,
+             "a_thing; ; marketing", "", ""),
+            ("5", "E", "No", "Low", "No", "Low", "Yes", "Low", "lenient", 0, None, "", "")]
+    flat = _flat(spark, rows)
+    fn = sorted((r.company_id, r.function) for r in R.explode_function_list(flat).collect())
+    assert fn == [("2", "sales"), ("3", "sales"), ("4", "a_thing"), ("4", "marketing")]
+    top = [(r.function, r.n) for r in R.top_functions(flat, 2).collect()]
+    assert top == [("sales", 2), ("a_thing", 1)]
+    inv = {r.company_id: r.violations for r in check_adoption_invariants(flat).collect()}
+    assert inv["1"] == "" and inv["3"] == "all_no_with_functions"
+    assert inv["4"] == "unknown_function_keyword" and inv["5"] == "primary_not_strict"
+    mono = {r.company_id: r.violations for r in check_mode_monotonic(flat).collect()}
+    assert mono["2"] == "strict_not_in_moderate" and mono["4"] == ""
+
+
+def test_low_confidence_findings_cut_at_half(spark):
+    schema = "company_id long, result " + S.RESEARCH_RESULT_SCHEMA.simpleString()
+    df = spark.createDataFrame([(1, _result(True, [_finding("a", 0.49), _finding("b", 0.5)])),
+                                (2, None)], schema)
+    out = {r.company_id: r.result for r in FD.drop_low_confidence_findings(df).collect()}
+    assert [f.tool_name for f in out[1].findings] == ["b"] and out[2] is None
