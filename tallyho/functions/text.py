@@ -15,7 +15,6 @@ from tallyho import schemas as S
 # Written with \x{..} escapes so Java regex and RE2 read it the same way.
 WS_CLASS = (r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
-_EDGE_WS = rf"^{WS_CLASS}+|{WS_CLASS}+$"
 # any character that is not whitespace (a find stops at the first one)
 NON_WS = "[^" + WS_CLASS[1:]
 YEAR_PATTERN = r"\b(19|20)\d{2}\b"
