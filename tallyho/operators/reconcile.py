@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyho import schemas as S
 from tallyho.functions import text as X
 
 
@@ -63,23 +64,47 @@ def latest_record_per_id(log: DataFrame, key: str, order_col: str) -> DataFrame:
             .select(key, *[F.col(f"_r.{c}").alias(c) for c in cols]))
 
 
+SENTINEL_KEYS = (S.NA,)
+
+
+def _unmatchable(key_col: str, sentinels) -> F.Column:
+    """Keys that can never find a partner: NULL or a placeholder value.
+    Such rows are routed around a join instead of all hashing to one
+    partition (a 'N/A' id can be a large share of the rows)."""
+    c = F.col(key_col)
+    return c.isNull() | c.isin(list(sentinels)) if sentinels else c.isNull()
+
+
 def attach_source(results: DataFrame, source: DataFrame, result_key: str,
-                  source_key: str, drop: list[str] | None = None) -> DataFrame:
-    """Results left-join their source rows; duplicate columns dropped."""
+                  source_key: str, drop: list[str] | None = None,
+                  sentinels=SENTINEL_KEYS) -> DataFrame:
+    """Results left-join their source rows; duplicate columns dropped.
+    Results whose key is NULL or a sentinel skip the join (NULL source
+    columns), so they never form a hot partition."""
     src = source.drop(*(drop or []))
-    return results.join(src, results[result_key] == src[source_key], "left")
+    miss = _unmatchable(result_key, sentinels)
+    joined = results.where(~miss).join(src, F.col(result_key) == src[source_key], "left")
+    bypass = results.where(miss).select(
+        "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in src.schema.fields
+               if f.name not in results.columns])
+    return joined.unionByName(bypass)
 
 
 def enrich_lookup(df: DataFrame, lookup: DataFrame, key: str, seq_col: str,
-                  attrs: dict[str, str]) -> DataFrame:
+                  attrs: dict[str, str], sentinels=SENTINEL_KEYS) -> DataFrame:
     """Key -> attributes with the last duplicate winning (by ``seq_col``);
     a missing key gets each attribute's default.  ``attrs`` maps attribute
-    -> default.  The lookup is reduced to one row per key first."""
-    last = lookup.groupBy(key).agg(
+    -> default.  The lookup is reduced to one row per key first; rows whose
+    key is NULL or a sentinel take the defaults without entering the join."""
+    last = lookup.where(~_unmatchable(key, sentinels)).groupBy(key).agg(
         F.max_by(F.struct(*attrs.keys()), F.col(seq_col)).alias("_a"))
-    j = df.join(last, key, "left")
-    return j.select(*df.columns, *[F.coalesce(F.col(f"_a.{a}"), F.lit(d)).alias(a)
-                                   for a, d in attrs.items()])
+    miss = _unmatchable(key, sentinels)
+    j = df.where(~miss).join(last, key, "left").select(
+        *df.columns, *[F.coalesce(F.col(f"_a.{a}"), F.lit(d)).alias(a)
+                       for a, d in attrs.items()])
+    bypass = df.where(miss).select(*df.columns, *[F.lit(d).alias(a)
+                                                  for a, d in attrs.items()])
+    return j.unionByName(bypass)
 
 
 def find_failed_requests(submitted: DataFrame, ingested: DataFrame,

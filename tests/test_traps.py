@@ -467,3 +467,14 @@ def test_low_confidence_findings_cut_at_half(spark):
                                 (2, None)], schema)
     out = {r.company_id: r.result for r in FD.drop_low_confidence_findings(df).collect()}
     assert [f.tool_name for f in out[1].findings] == ["b"] and out[2] is None
+
+
+def test_unmatchable_keys_bypass_the_join(spark):
+    df = spark.createDataFrame([("a",), ("N/A",), (None,), ("N/A",)], "k string")
+    lk = spark.createDataFrame([("a", "A", 1), (None, "ghost", 1)], "k string, name string, seq int")
+    out = sorted((r.k or "", r.name) for r in RC.enrich_lookup(
+        df, lk, "k", "seq", {"name": S.UNKNOWN_ID}).collect())
+    assert out == [("", S.UNKNOWN_ID), ("N/A", S.UNKNOWN_ID), ("N/A", S.UNKNOWN_ID), ("a", "A")]
+    src = spark.createDataFrame([("a", 1)], "sk string, rcid long")
+    att = sorted((r.k or "", r.rcid) for r in RC.attach_source(df, src, "k", "sk").collect())
+    assert att == [("", None), ("N/A", None), ("N/A", None), ("a", 1)]
