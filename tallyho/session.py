@@ -24,13 +24,19 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "tallyho", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the library defaults.
 
-    ``master`` and ``shuffle_partitions`` are only for local runs; on a
-    cluster they come from the submit configuration.
+    A default is applied only when the submit configuration does not set
+    the key; ``master``, ``shuffle_partitions`` and ``extra`` are explicit
+    and always applied (``master`` and ``shuffle_partitions`` are meant for
+    local runs).
     """
+    from pyspark import SparkConf, SparkContext
+
+    SparkContext._ensure_initialized()  # start the JVM so submitted conf is visible
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    conf = dict(_DEFAULT_CONF)
+    submitted = SparkConf()  # what spark-submit / spark-defaults already set
+    conf = {k: v for k, v in _DEFAULT_CONF.items() if not submitted.contains(k)}
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
