@@ -478,3 +478,17 @@ def test_unmatchable_keys_bypass_the_join(spark):
     src = spark.createDataFrame([("a", 1)], "sk string, rcid long")
     att = sorted((r.k or "", r.rcid) for r in RC.attach_source(df, src, "k", "sk").collect())
     assert att == [("", None), ("N/A", None), ("N/A", None), ("a", 1)]
+
+
+def test_zero_denominators_are_safe(spark):
+    import datetime as dt
+    t0 = dt.datetime(2026, 1, 1)
+    rows = [(1, "b1", "validating", 0, 0, 0, t0, None, True, False, False, t0),
+            (2, "b2", "in_progress", 10, 4, 1, t0, None, True, False, False,
+             t0 + dt.timedelta(seconds=100))]
+    df = spark.createDataFrame(rows, S.BATCH_STATUS_SCHEMA.simpleString()
+                               .replace("timestamp", "timestamp_ntz"))
+    pct = [r[0] for r in df.select(X.safe_pct("completed", "total")).collect()]
+    assert pct == [0.0, 40.0]
+    eta = {r.batch_num: (r.per_sec, r.remaining, r.eta_sec) for r in M.throughput_eta(df).collect()}
+    assert eta[1] == (0.0, 0, None) and eta[2] == (0.04, 5, 125.0)
