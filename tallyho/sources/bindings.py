@@ -74,6 +74,7 @@ def companies(t: Tables) -> DataFrame:
 
 
 def runs_a(t: Tables) -> DataFrame:
+    """Staged once per session as parquet; built by ``_runs_a``."""
     return staged(t.spark, "runs_a", t.sf_dir, lambda: _runs_a(t))
 
 
@@ -102,6 +103,7 @@ def _runs_a(t: Tables) -> DataFrame:
 
 
 def runs_b(t: Tables) -> DataFrame:
+    """Staged once per session as parquet; built by ``_runs_b``."""
     return staged(t.spark, "runs_b", t.sf_dir, lambda: _runs_b(t))
 
 
@@ -163,6 +165,7 @@ def finding_rows(t: Tables) -> DataFrame:
 
 
 def research_results(t: Tables) -> DataFrame:
+    """Staged once per session as parquet; built by ``_research_results``."""
     return staged(t.spark, "research_results", t.sf_dir, lambda: _research_results(t))
 
 
@@ -209,6 +212,7 @@ def _research_results(t: Tables) -> DataFrame:
 
 
 def batch_status(t: Tables) -> DataFrame:
+    """Staged once per session as parquet; built by ``_batch_status``."""
     return staged(t.spark, "batch_status", t.sf_dir, lambda: _batch_status(t))
 
 
@@ -323,6 +327,7 @@ def submitted_requests(t: Tables) -> DataFrame:
 
 
 def classification_responses(t: Tables) -> DataFrame:
+    """Staged once per session as parquet; built by ``_classification_responses``."""
     return staged(t.spark, "classification_responses", t.sf_dir, lambda: _classification_responses(t))
 
 
@@ -364,6 +369,7 @@ def _classification_responses(t: Tables) -> DataFrame:
 
 
 def adoption_responses(t: Tables) -> DataFrame:
+    """Staged once per session as parquet; built by ``_adoption_responses``."""
     return staged(t.spark, "adoption_responses", t.sf_dir, lambda: _adoption_responses(t))
 
 
@@ -403,6 +409,7 @@ def _adoption_responses(t: Tables) -> DataFrame:
 
 
 def research_replies(t: Tables) -> DataFrame:
+    """Staged once per session as parquet; built by ``_research_replies``."""
     return staged(t.spark, "research_replies", t.sf_dir, lambda: _research_replies(t))
 
 
@@ -442,6 +449,7 @@ def _search_results(t: Tables) -> DataFrame:
 
 
 def search_log(t: Tables) -> DataFrame:
+    """Staged once per session as parquet; built by ``_search_log``."""
     return staged(t.spark, "search_log", t.sf_dir, lambda: _search_log(t))
 
 
@@ -492,6 +500,7 @@ def _search_log(t: Tables) -> DataFrame:
 
 
 def priority_log(t: Tables) -> DataFrame:
+    """Staged once per session as parquet; built by ``_priority_log``."""
     return staged(t.spark, "priority_log", t.sf_dir, lambda: _priority_log(t))
 
 
@@ -521,6 +530,7 @@ def _priority_log(t: Tables) -> DataFrame:
 
 
 def research_api_responses(t: Tables) -> DataFrame:
+    """Staged once per session as parquet; built by ``_research_api_responses``."""
     return staged(t.spark, "research_api_responses", t.sf_dir,
                   lambda: _research_api_responses(t))
 
