@@ -37,7 +37,8 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 
 from tallyho.llm.common import worker_cache
 
@@ -233,18 +234,30 @@ def _digest(codec: Codec, text: str | None) -> tuple[int, str, str]:
     return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
-def _codec(path: str) -> Codec:
-    key = "bpe_" + hashlib.sha256(path.encode()).hexdigest()[:16]
-    return worker_cache(key, lambda: Codec(Spec.read(path)))
+def shared_spec(spark: SparkSession, path: str) -> Broadcast:
+    """The tokenizer file (a few MB), read by the driver and sent to each executor once."""
+    spec = Spec.read(path)
+    return spark.sparkContext.broadcast((_name(spec), spec))
+
+
+def _name(spec: Spec) -> str:
+    return "bpe_" + hashlib.sha256(repr((spec.merges, spec.special, spec.pattern, spec.end)).encode()).hexdigest()[:16]
+
+
+def _codec(shared: Broadcast) -> Codec:
+    """The worker's codec; its automaton is compiled once in each worker."""
+    name, spec = shared.value
+    return worker_cache(name, lambda: Codec(spec))
 
 
 def encode_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids array<int>`` in place of any column of that name."""
     keep = [c for c in docs.columns if c.lower() != "ids"]
     schema = docs.select(*keep).schema.add("ids", "array<int>")
+    shared = shared_spec(docs.sparkSession, path)
 
     def task(batches):
-        codec = _codec(path)
+        codec = _codec(shared)
         for b in batches:
             yield b.assign(ids=[codec.encode(t).astype(np.int32) for t in b[text]])
 
@@ -255,9 +268,10 @@ def decode_ids(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``docs`` with the text of ``ids`` as ``decoded``; null ids give ''."""
     keep = [c for c in docs.columns if c.lower() != "decoded"]
     schema = docs.select(*keep).schema.add("decoded", "string")
+    shared = shared_spec(docs.sparkSession, path)
 
     def task(batches):
-        codec = _codec(path)
+        codec = _codec(shared)
         for b in batches:
             yield b.assign(decoded=[codec.decode([] if x is None else x) for x in b[ids]])
 
@@ -269,8 +283,10 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
 
     Encodes and decodes in one pass, so neither ids nor text is shuffled.
     """
+    shared = shared_spec(docs.sparkSession, path)
+
     def task(batches):
-        codec = _codec(path)
+        codec = _codec(shared)
         for b in batches:
             rows = [_digest(codec, t) for t in b.text]
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
