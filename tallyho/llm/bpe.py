@@ -39,6 +39,7 @@ import pandas as pd
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from tallyho.llm.common import worker_cache
 
@@ -253,7 +254,7 @@ def _codec(shared: Broadcast) -> Codec:
 def encode_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids array<int>`` in place of any column of that name."""
     keep = [c for c in docs.columns if c.lower() != "ids"]
-    schema = docs.select(*keep).schema.add("ids", "array<int>")
+    schema = docs.select(*keep).schema.add("ids", T.ArrayType(T.IntegerType()))
     shared = shared_spec(docs.sparkSession, path)
 
     def task(batches):
