@@ -234,38 +234,35 @@ def _packed(rid, *rest):
     return F.concat(F.unhex(F.lpad(F.hex(rid), 16, "0")), *rest)
 
 
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, which is no u itself."""
+    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("up")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(None).cast("long").alias("up")))
+    seen = ends.groupBy("node").agg(F.min("up").alias("low"), F.max("up").alias("high"),
+                                    F.count("up").alias("ups"), F.count("*").alias("all"))
+    return seen.where("low < high or (ups > 0 and ups < all)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``u, v``: each node u that is not the least of its component, and that least node v.
 
-    Alternating large-star and small-star; every step is a written table.
+    Alternating large-star and small-star until the edges are stars; every
+    step is a written table.
     """
-    def star(edges: DataFrame, large: bool) -> DataFrame:
-        if large:
-            rows = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        else:
-            rows = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        rows = staged(rows, "sides")
-        # written, so that the join shuffles both sides and a hot node can be split
-        low = staged(rows.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low")), "low")
-        joined = rows.join(low, "u")
-        if large:
-            out = joined.where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        else:
-            out = joined.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(
-                low.select("u", F.col("low").alias("v")))
-        return staged(out.where("u <> v").distinct(), "edges")
-
-    def mark(df: DataFrame):
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def least(rows: DataFrame) -> DataFrame:
+        # written, so that the join with it shuffles both sides and a hot node can be split
+        return staged(rows.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low")), "low")
 
     edges = staged(edges.where("u <> v").distinct(), "edges")
-    before = mark(edges)
-    while before[0]:
-        edges = star(star(edges, True), False)
-        now = mark(edges)
-        if now == before:
-            break
-        before = now
+    while not _is_forest_of_stars(edges):
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = staged(both.join(least(both), "u").where("v > u")
+                       .select(F.col("v").alias("u"), F.col("low").alias("v")), "large")
+        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        low = least(down)
+        small = (down.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+                 .unionByName(low.select("u", F.col("low").alias("v"))))
+        edges = staged(small.where("u <> v").distinct(), "edges")
     return edges
 
 
@@ -367,12 +364,13 @@ def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     .select("comp", "rid", "key", "copies", "size", "one.doc_id", "one.place"), "wanted")
     sizes = staged(wanted.groupBy("comp").agg(F.greatest(
         F.ceil(F.count("*") / TILE_TEXTS), F.ceil(F.sum("size") / TILE_SHINGLES)).cast("int").alias("parts")), "sizes")
+    # always by merge: which texts are wanted is a share of the corpus at any size
     full = text.alias("t").join(
-        wanted.select("comp", "rid", "key", "copies", F.col("doc_id").alias("id"), F.col("place").alias("at")),
+        wanted.hint("merge").select("comp", "rid", "key", "copies", F.col("doc_id").alias("id"), F.col("place").alias("at")),
         F.col("t.doc_id").eqNullSafe(F.col("id")) & (F.col("t.place") == F.col("at")))
-    sets = (full.select("comp", "rid", "key", "copies", "text")
-            .mapInPandas(_sets, "comp long, rid long, size int, item binary").join(sizes, "comp"))
-    tiles = staged(_tiles(sets, "comp").mapInArrow(_verify, "rid long, links long, low long"), "links")
+    sets = staged(full.select("comp", "rid", "key", "copies", "text")
+                  .mapInPandas(_sets, "comp long, rid long, size int, item binary"), "sets")
+    tiles = staged(_tiles(sets.join(sizes, "comp"), "comp").mapInArrow(_verify, "rid long, links long, low long"), "links")
     links = tiles.groupBy("rid").agg(F.sum("links").alias("links"))
     final = components(tiles.where("low <> rid").select(F.col("rid").alias("u"), F.col("low").alias("v")))
     known = (texts.select("key", "copies", "rid").join(links, "rid", "left")
