@@ -35,13 +35,13 @@ import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tallyho.llm.common import worker_cache
+from tallyho.llm.common import map_texts, worker_cache
 
 CACHED_PATHS = 500_000  # and the paths of this many prefixes of words
 _SEPARATORS = regex.compile("[\x1c-\x1f]").search
@@ -52,7 +52,7 @@ class Automaton:
     """The compiled merges: ``arc(p, t)`` tells if token t may follow token p."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
-        self.vocab = vocab
+        self.void: set[int] = set()             # products of merges that never apply
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
         self.made: dict[int, int] = {}          # rank of the gadget that made a token's arcs
@@ -61,13 +61,21 @@ class Automaton:
         self.paths: dict[str, tuple[int, int]] = {}  # last step of the path that spells a prefix
         ranked = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
         products = {t for *_, t in ranked}
+        done: set[int] = set()
+        self.vocab = vocab
         for rank, (u, v, token) in enumerate(ranked):
-            if token in self.made or any(x in products and x not in self.made for x in (u, v)):
+            if token in done or any(x in products and x not in done for x in (u, v)):
                 raise ValueError(f"merge {rank} is not proper")
             self.gadget(rank, u, v, token)
+            done.add(token)
+        self.vocab = {s: i for s, i in vocab.items() if i not in self.void}
         self.longest = max(map(len, vocab), default=0)
 
     def gadget(self, rank: int, u: int, v: int, token: int) -> None:
+        """Act on the automaton; a merge whose parts never meet in it leaves no arc."""
+        if u in self.void or v in self.void or not self._resolve(u, v):
+            self.void.add(token)
+            return
         self.cut[u, v] = rank
         self.left[token], self.right[token], self.made[token] = u, v, rank
 
@@ -80,7 +88,7 @@ class Automaton:
         return known
 
     def _resolve(self, p: int, t: int) -> bool:
-        before = len(self.cut) + 1  # only gadgets of a lower rank have acted
+        before = 1 << 40  # only gadgets of a lower rank have acted
         while True:
             if self.cut.get((p, t), before) < before:
                 return False
@@ -260,9 +268,13 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def task(batches):
         codec = _codec(shared)
         for b in batches:
-            yield b.assign(ids=[codec.encode(t).astype(np.int32) for t in b[text]])
+            ids = [codec.encode(t) for t in b.column(text).to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+            flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else [], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], [*keep, "ids"])
 
-    return docs.select(*keep).mapInPandas(task, schema)
+    return docs.select(*keep).mapInArrow(task, schema)
 
 
 def decode_ids(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -274,9 +286,10 @@ def decode_ids(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     def task(batches):
         codec = _codec(shared)
         for b in batches:
-            yield b.assign(decoded=[codec.decode([] if x is None else x) for x in b[ids]])
+            texts = [codec.decode(x or []) for x in b.column(ids).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*keep, "decoded"])
 
-    return docs.select(*keep).mapInPandas(task, schema)
+    return docs.select(*keep).mapInArrow(task, schema)
 
 
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -286,13 +299,8 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     """
     shared = shared_spec(docs.sparkSession, path)
 
-    def task(batches):
+    def start():
         codec = _codec(shared)
-        for b in batches:
-            rows = [_digest(codec, t) for t in b.text]
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", b.doc_id.to_numpy())
-            yield out
+        return lambda texts: zip(*[_digest(codec, t) for t in texts]) if texts else [[], [], []]
 
-    return docs.select("doc_id", "text").mapInPandas(
-        task, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs, {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}, start)

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_texts(docs: DataFrame, fields: dict[str, pa.DataType], start: Callable[[], Callable]) -> DataFrame:
+    """``doc_id`` and ``fields`` for each row of ``docs``.
+
+    ``start`` is called once in a task and gives a function from a list of
+    texts (None for null) to one list a field.  Ids pass as they are, so null
+    ids take nothing from the precision of others.
+    """
+    def task(batches):
+        work = start()
+        for b in batches:
+            made = work(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), *[pa.array(x, t) for x, t in zip(made, fields.values())]],
+                ["doc_id", *fields])
+
+    names = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.string(): "string",
+             pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
+    schema = ", ".join(["doc_id long", *[f"{k} {names[t]}" for k, t in fields.items()]])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, schema)
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds`` (a null id counts as '')."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds

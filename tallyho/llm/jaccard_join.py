@@ -266,18 +266,13 @@ def components(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def _signatures(batches):
-    for b in batches:
-        rows = []
-        for doc_id, place, text in zip(b.doc_id, b.place, b.text):
-            s = shingles(text)
-            if len(s):
-                m = minhashes(s)
-                rows.append((doc_id, place, hashlib.blake2b(s.tobytes(), digest_size=16).digest(),
-                             len(s), sketch(m), bands(m)))
-            else:
-                rows.append((doc_id, place, None, 0, None, None))
-        yield pd.DataFrame(rows, columns=["doc_id", "place", "key", "size", "sketch", "bands"])
+def _signature(text: str | None) -> tuple:
+    """Key, number of shingles, sketch and bands; nulls for a text without words."""
+    s = shingles(text)
+    if not len(s):
+        return None, 0, None, None
+    m = minhashes(s)
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), sketch(m), bands(m).tolist()
 
 
 def _sets(batches):
@@ -340,9 +335,18 @@ def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two written tables: ``doc_id, place, key`` of each document (``place``: a
     hash of its text; ``key``: of its shingle set, null without words), and
     ``key, copies, class, n_links`` of each text that has a shingle."""
-    text = docs.select("doc_id", F.xxhash64("text").alias("place"), "text")
-    signed = staged(text.mapInPandas(
-        _signatures, "doc_id long, place long, key binary, size int, sketch binary, bands array<long>"), "signatures")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("place"), "text")
+
+    def sign(batches):
+        for b in batches:
+            rows = list(zip(*map(_signature, b.column("text").to_pylist()))) or [[]] * 4
+            kinds = pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("place"), *[pa.array(x, t) for x, t in zip(rows, kinds)]],
+                ["doc_id", "place", "key", "size", "sketch", "bands"])
+
+    signed = staged(text.mapInArrow(
+        sign, "doc_id long, place long, key binary, size int, sketch binary, bands array<long>"), "signatures")
     texts = staged(signed.where("key is not null").groupBy("key").agg(
         F.count("*").alias("copies"), F.min(F.struct("doc_id", "place")).alias("one"),
         F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))

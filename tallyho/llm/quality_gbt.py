@@ -19,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyho.llm.common import fold, labelled_sample
+from tallyho.llm.common import fold, labelled_sample, map_texts
 
 SAMPLE_PER_CLASS = 10_000   # labelled rows of each class that the trees are fitted on
 TREES, DEPTH, BINS, RATE, RIDGE, LEAST = 60, 4, 64, 0.2, 1.0, 5
@@ -153,13 +154,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column) -> Trees | No
 
 def score_quality(docs: DataFrame, trees: Trees | None) -> DataFrame:
     """``doc_id, score``: one row for each row of ``docs``."""
-    def task(batches):
-        for b in batches:
-            x = np.array([statistics(t) for t in b.text]).reshape(len(b), len(FEATURES))
-            yield pd.DataFrame({"doc_id": b.doc_id,
-                                "score": trees.score(x) if trees else np.full(len(b), 0.5)})
+    def work(texts):
+        x = np.array([statistics(t) for t in texts]).reshape(len(texts), len(FEATURES))
+        return [trees.score(x) if trees else np.full(len(texts), 0.5)]
 
-    return docs.select("doc_id", "text").mapInPandas(task, "doc_id long, score double")
+    return map_texts(docs, {"score": pa.float64()}, lambda: work)
 
 
 def quality_query(docs: DataFrame, labels: DataFrame) -> DataFrame:

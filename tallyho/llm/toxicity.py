@@ -20,12 +20,12 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyho.llm.common import fold, labelled_sample
+from tallyho.llm.common import fold, labelled_sample, map_texts
 
 WINDOW_WORDS = 12
 MARGINS = (1, 2, 3, 4, 5, 6, 8, 10)
@@ -168,11 +168,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column) -> ToxicityM
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``doc_id, score``: one row for each row of ``docs``."""
-    def task(batches):
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "score": model.score(list(b.text))})
-
-    return docs.select("doc_id", "text").mapInPandas(task, "doc_id long, score double")
+    return map_texts(docs, {"score": pa.float64()}, lambda: lambda texts: [model.score(texts)])
 
 
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:

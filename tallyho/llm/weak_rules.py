@@ -19,11 +19,11 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyho.llm.common import staged
+from tallyho.llm.common import map_texts, staged
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RULES = ["symbols", "dup_lines", "repeats", "word_length", "length", "distinct", "capitals", "marks"]
@@ -110,15 +110,11 @@ def label_model(patterns: dict[str, int], rounds: int = 100) -> dict[str, float]
 
 def rule_counts(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``COUNTS`` and the vote pattern of every document."""
-    def task(batches):
-        for b in batches:
-            s = [statistics(t) for t in b.text]
-            out = pd.DataFrame([x[:5] for x in s], columns=COUNTS)
-            out.insert(0, "doc_id", b.doc_id.to_numpy())
-            yield out.assign(pattern=[votes(x) for x in s])
+    def work(texts):
+        s = [statistics(t) for t in texts]
+        return [*zip(*[x[:5] for x in s]), [votes(x) for x in s]] if s else [[]] * 6
 
-    fields = ", ".join(f"{c} long" for c in COUNTS)
-    return docs.select("doc_id", "text").mapInPandas(task, f"doc_id long, {fields}, pattern string")
+    return map_texts(docs, {**{c: pa.int64() for c in COUNTS}, "pattern": pa.string()}, lambda: work)
 
 
 def fit_posteriors(patterns: DataFrame) -> dict[str, float]:
@@ -144,12 +140,12 @@ def keep_quality(docs: DataFrame) -> DataFrame:
     the verdict) rather than written or shuffled.
     """
     posterior = fit_posteriors(rule_counts(docs))
-    names = docs.columns
+    text = next(c for c in docs.columns if c.lower() == "text")
 
     def task(batches):
         for b in batches:
-            s = [statistics(t) for t in b[text]]
-            yield b[[not base_failed(x[0], x[4]) and posterior.get(votes(x), 0.0) >= KEEP_AT for x in s]]
+            s = [statistics(t) for t in b.column(text).to_pylist()]
+            kept = [not base_failed(x[0], x[4]) and posterior.get(votes(x), 0.0) >= KEEP_AT for x in s]
+            yield b.filter(pa.array(kept, pa.bool_()))
 
-    text = next(c for c in names if c.lower() == "text")
-    return docs.mapInPandas(task, docs.schema)
+    return docs.mapInArrow(task, docs.schema)
