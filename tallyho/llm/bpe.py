@@ -43,9 +43,9 @@ from pyspark.sql import types as T
 
 from tallyho.llm.common import map_texts, worker_cache
 
-CACHED_PATHS = 500_000  # and the paths of this many prefixes of words
+CACHED_PATHS = 250_000  # and the paths of this many prefixes of words
 _SEPARATORS = regex.compile("[\x1c-\x1f]").search
-CACHED_WORDS = 250_000  # a worker keeps this many words of late encoded, and as many of before
+CACHED_WORDS = 150_000  # a worker keeps this many words of late encoded, and as many of before
 
 
 class Automaton:
