@@ -78,8 +78,11 @@ def parse_csv_reply(df: DataFrame, reply_col: str = "content") -> DataFrame:
     Rows with an unparseable reply keep all seven fields as ''.
     """
     st = df.withColumn("_rec", first_record(reply_col))
-    st = st.withColumn("_well", F.coalesce(F.col("_rec").rlike(WELL_FORMED), F.lit(False)))
-    a = (st.where("_well").withColumn("_f", _catalyst_fields("_rec"))
+    # replies that never came (NULL) have no fields and need no Python
+    st = st.withColumn("_well", F.col(reply_col).isNull()
+                       | F.coalesce(F.col("_rec").rlike(WELL_FORMED), F.lit(False)))
+    a = (st.where("_well").withColumn("_f", F.when(F.col(reply_col).isNotNull(),
+                                                   _catalyst_fields("_rec")))
          .withColumn("odd_quoting", F.lit(False)))
     b = (st.where(~F.col("_well")).withColumn("_f", _python_fields(F.col(reply_col)))
          .withColumn("odd_quoting", F.col(reply_col).isNotNull()))

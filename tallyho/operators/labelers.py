@@ -197,23 +197,28 @@ def apply_model(df: DataFrame, text_col: str,
     Give either ``fn`` or ``factory``; a factory is called once per task,
     inside the executor, so clients, sessions or loaded model files are set
     up once per partition rather than per row or on the driver.  Returns
-    (id, reply, error); an exception marks every row of that batch with the
-    error text instead of failing the job.
+    (id, reply, error).  When the model raises on a batch, its halves are tried
+    again, down to single rows, so that only rows on which it raises by
+    themselves carry the error text; the job goes on.
     """
     if (fn is None) == (factory is None):
         raise ValueError("give exactly one of fn or factory")
 
     def run(batches):
         model = fn if factory is None else factory()
-        for pdf in batches:
+        def answers(texts: pd.Series) -> list[tuple]:
             try:
-                reply = pd.Series(model(pdf[text_col].fillna("")), index=pdf.index)
-                err = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
+                return [(r, None) for r in pd.Series(model(texts), index=texts.index)]
             except Exception as e:  # noqa: BLE001 - becomes data
-                reply = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-                err = pd.Series([f"{type(e).__name__}: {e}"] * len(pdf),
-                                index=pdf.index, dtype=object)
-            yield pd.DataFrame({id_col: pdf[id_col], "reply": reply, "error": err})
+                if len(texts) == 1:
+                    return [(None, f"{type(e).__name__}: {e}")]
+                half = len(texts) // 2
+                return answers(texts.iloc[:half]) + answers(texts.iloc[half:])
+
+        for pdf in batches:
+            out = answers(pdf[text_col].fillna("")) if len(pdf) else []
+            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "reply": [r for r, _ in out],
+                                "error": [e for _, e in out]})
 
     return (df.select(id_col, text_col)
             .mapInPandas(run, f"{id_col} string, reply string, error string"))

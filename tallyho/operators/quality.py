@@ -18,8 +18,11 @@ def _violations(rules: list[tuple[str, F.Column]]) -> F.Column:
 
 
 def check_reply_contract(parsed: DataFrame) -> DataFrame:
-    """Confidence integer 1-5; exactly 3 reasons split by ' | '; sources a
+    """Confidence integer 1-5 (a NULL one is a violation); exactly 3 reasons
+    split by ' | ', or none in an 'Insufficient information' reply; sources a
     subset of the vocabulary; critique at most 30 words."""
+    exempt = F.coalesce((F.col("Verification_critique") == S.INSUFFICIENT_INFO)
+                        & (F.col("Reasons_3_points") == ""), F.lit(False))
     reasons = F.split(F.col("Reasons_3_points"), r" \| ")
     sources = F.filter(F.split(F.col("Sources_used"), S.SOURCE_SEPARATOR),
                        lambda s: s != "")
@@ -27,8 +30,8 @@ def check_reply_contract(parsed: DataFrame) -> DataFrame:
     words = F.size(F.filter(F.split(F.col("Verification_critique"), r"\s+"),
                             lambda w: w != ""))
     rules = [
-        ("confidence_not_1_to_5", ~F.col("Confidence_1to5").rlike("^[1-5]$")),
-        ("reasons_not_3", F.size(reasons) != 3),
+        ("confidence_not_1_to_5", ~F.coalesce(F.col("Confidence_1to5").rlike("^[1-5]$"), F.lit(False))),
+        ("reasons_not_3", ~exempt & (F.coalesce(F.size(reasons), F.lit(0)) != 3)),
         ("unknown_source", F.size(F.array_except(sources, vocab)) > 0),
         ("critique_over_30_words", words > S.CRITIQUE_MAX_WORDS),
     ]

@@ -60,10 +60,12 @@ def build_evidence_prompt(log: DataFrame) -> DataFrame:
     profile = F.concat_ws("\n",
                           F.concat(F.lit("Company: "), X.null_to_na("name")),
                           F.concat(F.lit("Description: "), X.blank_to_na("short_description")),
+                          F.concat(F.lit("About: "), X.blank_to_na("description")),
                           F.concat(F.lit("Homepage: "), X.blank_to_na("homepage_url")))
     wc = F.col("website_check")
     website = F.concat(F.lit("Website: "),
-                       F.when(wc["is_alive"], F.lit("reachable"))
+                       F.when(wc["is_alive"], F.concat(F.lit("reachable (status "), F.coalesce(
+                           wc["status_code"].cast("string"), F.lit("unknown")), F.lit(")")))
                        .otherwise(F.concat(F.lit("unreachable ("),
                                            F.coalesce(wc["error"], F.lit("no response")),
                                            F.lit(")"))))
@@ -77,7 +79,8 @@ def build_evidence_prompt(log: DataFrame) -> DataFrame:
     evidence = (F.when(F.coalesce(tv["error"], F.lit("")) != "",
                        F.concat(F.lit("Search failed: "), tv["error"]))
                 .when(F.size(res) == 0, F.lit("No search results found."))
-                .otherwise(F.concat(F.lit("Search results:\n"), snippets)))
+                .otherwise(F.concat(F.lit("Search results ("), F.size(res).cast("string"),
+                                    F.lit(" found):\n"), snippets)))
     return log.select("rcid", "timestamp", F.concat_ws("\n\n", profile, website, summary,
                                                       evidence).alias("prompt"))
 

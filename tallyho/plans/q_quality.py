@@ -24,8 +24,9 @@ def _ok_replies(spark, sf_dir):
 
 
 _CONTRACT = f"""concat_ws(';',
-  CASE WHEN NOT regexp_matches(Confidence_1to5, '^[1-5]$') THEN 'confidence_not_1_to_5' END,
-  CASE WHEN len(string_split_regex(Reasons_3_points, ' \\| ')) <> 3 THEN 'reasons_not_3' END,
+  CASE WHEN NOT coalesce(regexp_matches(Confidence_1to5, '^[1-5]$'), false) THEN 'confidence_not_1_to_5' END,
+  CASE WHEN coalesce(len(string_split_regex(Reasons_3_points, ' \\| ')), 0) <> 3
+       AND NOT coalesce(Verification_critique = 'Insufficient information' AND Reasons_3_points = '', false) THEN 'reasons_not_3' END,
   CASE WHEN len(list_filter(list_filter(string_split(Sources_used, ';'), lambda s: s <> ''),
        lambda s: NOT list_contains({_VOCAB}, s))) > 0 THEN 'unknown_source' END,
   CASE WHEN len(list_filter(string_split_regex(Verification_critique, '\\s+'), lambda w: w <> '')) > 30

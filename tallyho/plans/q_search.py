@@ -50,14 +50,15 @@ def _prompt_sql():
                 "coalesce(h.url, '') || chr(10) || coalesce(h.content, ''), chr(10) || chr(10) ORDER BY h.rnk)")
     profile = ("concat_ws(chr(10), 'Company: ' || " + Q.null_to_na("c.name") +
                ", 'Description: ' || " + Q.blank_to_na("c.short_description") +
+               ", 'About: ' || " + Q.blank_to_na("c.long_description") +
                ", 'Homepage: ' || " + Q.blank_to_na("c.homepage_url") + ")")
     website = ("'Website: ' || CASE WHEN s.rcid IS NULL THEN 'unreachable (No URL provided)' "
-               "WHEN s.status_code BETWEEN 200 AND 399 THEN 'reachable' "
+               "WHEN s.status_code BETWEEN 200 AND 399 THEN 'reachable (status ' || CAST(s.status_code AS VARCHAR) || ')' "
                "ELSE 'unreachable (' || coalesce(s.error, 'no response') || ')' END")
     summary = f"CASE WHEN {_OK} THEN 'Search summary: Summary of ' || coalesce(l.name, '') END"
     evidence = (f"CASE WHEN coalesce(l.error, '') <> '' THEN 'Search failed: ' || l.error "
                 f"WHEN count(h.rnk) = 0 THEN 'No search results found.' "
-                f"ELSE 'Search results:' || chr(10) || {snippets} END")
+                f"ELSE 'Search results (' || CAST(count(h.rnk) AS VARCHAR) || ' found):' || chr(10) || {snippets} END")
     return f"""{W}
 SELECT l.rcid, l.timestamp,
   concat_ws(chr(10) || chr(10), any_value({profile}), any_value({website}), any_value({summary}), {evidence}) AS prompt

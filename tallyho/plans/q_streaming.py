@@ -15,6 +15,9 @@ from tallyho.sources import bindings as B
 from tallyho.sources.tables import Tables
 from tallyho.streaming import jobs as J
 
+# the slices written below are replayed in order, one micro-batch each
+J.SOURCE_OPTIONS["maxFilesPerTrigger"] = "1"
+
 
 @register("incremental_pass", sql=f"""{with_views('companies')}
 SELECT rcid, name FROM companies""")

@@ -44,8 +44,13 @@ def write_ordered_source(df: DataFrame, order_col: str, path: str, n_files: int
         part.drop("_o").coalesce(1).write.mode("append").parquet(path)
 
 
+#: Options of the file sources.  All files that are there make one micro-batch
+#: unless the caller sets ``maxFilesPerTrigger`` here.
+SOURCE_OPTIONS: dict[str, str] = {}
+
+
 def _file_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(schema).options(**SOURCE_OPTIONS).parquet(path)
 
 
 TRIGGER: dict = {"availableNow": True}

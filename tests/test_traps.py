@@ -410,7 +410,8 @@ def test_apply_model_failures_become_rows(spark):
         return model
 
     out = {r.custom_id: r for r in apply_model(df.coalesce(1), "text", factory=make).collect()}
-    assert out["a"].reply is None and out["a"].error == "RuntimeError: model down"
+    assert (out["a"].reply, out["a"].error) == ("OK", None)   # only the failing row fails
+    assert out["b"].reply is None and out["b"].error == "RuntimeError: model down"
     ok = {r.custom_id: r.reply for r in apply_model(df.where("text = 'ok'"), "text",
                                                     factory=make).collect()}
     assert ok == {"a": "OK"}
