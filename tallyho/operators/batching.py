@@ -12,6 +12,7 @@ partition count, not the data size).
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,69 +102,118 @@ def slice_rows(df: DataFrame, order_cols: list[str], start: int, limit: int,
 
 # ---- greedy packing ----------------------------------------------------------
 
-def greedy_pack(ids: list, sizes: list[int], max_count: int, max_bytes: int
-                ) -> list[int]:
-    """The sequential rule: close the batch when it holds ``max_count``
-    requests or the next line would push it past ``max_bytes``.  Returns
-    1-based batch numbers; an oversized single request gets its own batch.
-    """
-    out, batch, count, used = [], 1, 0, 0
-    for sz in sizes:
-        if count > 0 and (count >= max_count or used + sz > max_bytes):
-            batch, count, used = batch + 1, 0, 0
-        out.append(batch)
-        count += 1
-        used += sz
-    return out
+def _next_start(sizes: np.ndarray, max_count: int, max_bytes: int) -> np.ndarray:
+    """For each row the first row after the batch that starts with it."""
+    total = np.cumsum(sizes)
+    i = np.arange(len(sizes))
+    full = np.searchsorted(total, total - sizes + max_bytes, side="right")
+    return np.minimum(np.maximum(full, i + 1), i + max_count)
+
+
+def _block_map(block: int, sizes: np.ndarray, rows: int, max_count: int, max_bytes: int
+               ) -> pd.DataFrame:
+    """For a first start at each of the offsets below ``max_count``: the offset
+    of the first start in the following block, and the batches begun here.
+    ``sizes`` holds the ``rows`` of the block and then the next ``max_count``."""
+    jump = np.append(_next_start(sizes, max_count, max_bytes)[:rows], rows)
+    begun = np.append(np.ones(rows, np.int64), 0)
+    out = np.maximum(jump - rows, 0)         # where the chain lands once it has left
+    inside = np.minimum(jump, rows)
+    while (inside < rows).any():
+        out = np.where(inside < rows, out[inside], out)
+        begun = begun + begun[inside]
+        inside = inside[inside]
+    entry = np.arange(max_count)
+    here = np.minimum(entry, rows)
+    return pd.DataFrame({"_block": [block], "_exit": [out[here].astype("int32")],
+                         "_n": [begun[here].astype("int64")]})
+
+
+def _block_entries(maps: DataFrame, n_blocks: int) -> DataFrame:
+    """``_block, _entry, _off``: offset of the first start in each block and the
+    batches begun before it, by composing the maps of neighbours in a tree."""
+    levels = [maps]
+    while n_blocks > 1:
+        half = F.shiftright("_block", 1).alias("_block")
+        left = levels[-1].where("_block % 2 = 0").select(half, "_exit", "_n")
+        right = levels[-1].where("_block % 2 = 1").select(
+            half, F.col("_exit").alias("_exit2"), F.col("_n").alias("_n2"))
+        alone = F.col("_exit2").isNull()
+        both = left.join(right, "_block", "left").select(
+            "_block",
+            F.when(alone, F.col("_exit")).otherwise(
+                F.transform("_exit", lambda x: F.get("_exit2", x))).alias("_exit"),
+            F.when(alone, F.col("_n")).otherwise(
+                F.zip_with("_exit", "_n", lambda x, n: n + F.get("_n2", x))).alias("_n"))
+        levels.append(both.checkpoint(eager=True))
+        n_blocks = (n_blocks + 1) // 2
+    entries = levels.pop().select("_block", F.lit(0).alias("_entry"), F.lit(0).cast("long").alias("_off"))
+    for level in reversed(levels):
+        left = level.where("_block % 2 = 0").select(
+            F.shiftright("_block", 1).alias("_up"), "_exit", "_n")
+        at = F.col("_entry")
+        pair = F.array(
+            F.struct((F.col("_up") * 2).alias("_block"), at.alias("_entry"), F.col("_off").alias("_off")),
+            F.struct((F.col("_up") * 2 + 1).alias("_block"), F.get("_exit", at).alias("_entry"),
+                     (F.col("_off") + F.get("_n", at)).alias("_off")))
+        entries = (entries.withColumnRenamed("_block", "_up").join(left, "_up")
+                   .select(F.inline(pair)).checkpoint(eager=True))
+    return entries
 
 
 def plan_greedy_batches(requests: DataFrame, order_col: str, bytes_col: str,
                         max_count: int = S.GREEDY_MAX_REQUESTS,
                         max_bytes: int = S.GREEDY_MAX_FILE_MB * 1024 * 1024,
-                        shard_rows: int = 2_000_000,
+                        block_rows: int | None = None,
                         n_parts: int | None = None) -> DataFrame:
-    """Greedy count/byte packing, exact inside shards of ``shard_rows``.
-
-    Rows are cut into consecutive shards of the global order; each shard
-    runs the exact sequential rule in one ``applyInPandas`` group over
-    (order key, bytes) only - a group is bounded by ``shard_rows``, never by
-    a key's frequency.  Both limits hold for every batch; the cost is at
-    most one part-filled batch per shard, and with a single shard the
-    result equals the sequential rule.  Batch numbers are made global from
-    the per-shard batch counts (one row per shard).  Returns (order key,
-    bytes, batch_num, oversize); join back to the requests by the key when
-    more columns are needed.
+    """Greedy count/byte packing, equal to the sequential rule at any size.
+
+    Rows are cut into consecutive blocks of ``block_rows`` (at least
+    ``max_count``, which bounds how far a batch reaches into the next block).
+    1. A block, with the rows that follow it, becomes a map from where its
+       first batch starts to where the next block's first batch starts.
+    2. Neighbouring maps are composed pairwise, in as many steps as the number
+       of blocks has binary digits; going back down gives each block its entry.
+    3. Each block numbers its rows from its entry, one hop a batch.
+    ``block_rows`` bounds every Python group and has no influence on the
+    result.  Returns (order key, bytes, batch_num, oversize); join back to
+    the requests by the key when more columns are needed.
     """
-    slim = requests.select(order_col, bytes_col)
+    block_rows = max(block_rows or max(8 * max_count, 200_000), max_count)
+    slim = requests.select(order_col, F.col(bytes_col).cast("long").alias(bytes_col))
     x = with_global_index(slim, [order_col], "_idx", None, n_parts) \
-        .withColumn("_shard", F.floor(F.col("_idx") / shard_rows))
-    schema = T.StructType([T.StructField(order_col, slim.schema[order_col].dataType),
-                           T.StructField(bytes_col, T.LongType()),
-                           T.StructField("_shard", T.LongType()),
-                           T.StructField("_local_batch", T.IntegerType()),
-                           T.StructField("_oversize", T.BooleanType())])
+        .withColumn("_block", F.floor(F.col("_idx") / block_rows)).checkpoint(eager=True)
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    def to_map(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_idx")
-        b = greedy_pack(list(pdf[order_col]), list(pdf[bytes_col].astype("int64")),
-                        max_count, max_bytes)
-        return pd.DataFrame({order_col: pdf[order_col].values,
-                             bytes_col: pdf[bytes_col].astype("int64").values,
-                             "_shard": pdf["_shard"].astype("int64").values,
-                             "_local_batch": pd.Series(b, dtype="int32").values,
-                             "_oversize": (pdf[bytes_col] > max_bytes).values})
-
-    # checkpointed so the per-shard counts and the final join reuse one run
-    # of the packing (narrow rows: key, bytes, shard, batch)
-    packed = x.groupBy("_shard").applyInPandas(pack, schema).checkpoint(eager=True)
-    per_shard = packed.groupBy("_shard").agg(F.max("_local_batch").alias("_nb"))
-    w = Window.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    offs = per_shard.select("_shard", F.coalesce(F.sum("_nb").over(w), F.lit(0))
-                            .alias("_boff"))
-    return packed.join(F.broadcast(offs), "_shard").select(
-        order_col, bytes_col,
-        (F.col("_boff") + F.col("_local_batch")).cast("int").alias("batch_num"),
-        F.col("_oversize").alias("oversize"))
+        rows = int((pdf["_idx"] // block_rows == key[0]).sum())
+        return _block_map(key[0], pdf[bytes_col].to_numpy(np.int64), rows, max_count, max_bytes)
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_idx")
+        sizes = pdf[bytes_col].to_numpy(np.int64)
+        after = _next_start(sizes, max_count, max_bytes)
+        begins = np.zeros(len(pdf), np.int64)
+        at = int(pdf["_entry"].iloc[0])
+        while at < len(pdf):
+            begins[at] = 1
+            at = int(after[at])
+        return pd.DataFrame({order_col: pdf[order_col].values, bytes_col: sizes,
+                             "batch_num": (pdf["_off"].to_numpy() + begins.cumsum()).astype("int32"),
+                             "oversize": sizes > max_bytes})
+
+    halo = (F.col("_block") > 0) & (F.col("_idx") % block_rows < max_count)
+    around = x.select("_idx", bytes_col, F.explode(
+        F.when(halo, F.array("_block", F.col("_block") - 1)).otherwise(F.array("_block")))
+        .alias("_block"))
+    maps = around.groupBy("_block").applyInPandas(
+        to_map, "_block long, _exit array<int>, _n array<long>").checkpoint(eager=True)
+    entries = _block_entries(maps, maps.count())
+    schema = T.StructType([T.StructField(order_col, slim.schema[order_col].dataType),
+                           T.StructField(bytes_col, T.LongType()),
+                           T.StructField("batch_num", T.IntegerType()),
+                           T.StructField("oversize", T.BooleanType())])
+    return x.join(entries, "_block").groupBy("_block").applyInPandas(number, schema)
 
 
 def token_budget(rows: DataFrame, designs: list[tuple[str, int]],

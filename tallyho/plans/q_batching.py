@@ -19,7 +19,8 @@ from tallyho.sources.tables import Tables
 W_C = with_views("companies")
 CAP = BT.even_plan_cap()
 CHUNK = 200
-GREEDY_MAX_BYTES = S.GREEDY_MAX_FILE_MB * 1024 * 1024
+#: Small limits, so that the test tables fill many batches of both kinds.
+GREEDY_MAX_ROWS, GREEDY_MAX_BYTES = 60, 128 * 1024
 
 
 def _companies(spark, sf_dir):
@@ -82,19 +83,19 @@ g(i, rcid, batch, cnt, used) AS (
   SELECT i, rcid, 1, 1, bytes FROM x WHERE i = 1
   UNION ALL
   SELECT x.i, x.rcid,
-    CASE WHEN g.cnt >= {S.GREEDY_MAX_REQUESTS} OR g.used + x.bytes > {GREEDY_MAX_BYTES} THEN g.batch + 1 ELSE g.batch END,
-    CASE WHEN g.cnt >= {S.GREEDY_MAX_REQUESTS} OR g.used + x.bytes > {GREEDY_MAX_BYTES} THEN 1 ELSE g.cnt + 1 END,
-    CASE WHEN g.cnt >= {S.GREEDY_MAX_REQUESTS} OR g.used + x.bytes > {GREEDY_MAX_BYTES} THEN x.bytes ELSE g.used + x.bytes END
+    CASE WHEN g.cnt >= {GREEDY_MAX_ROWS} OR g.used + x.bytes > {GREEDY_MAX_BYTES} THEN g.batch + 1 ELSE g.batch END,
+    CASE WHEN g.cnt >= {GREEDY_MAX_ROWS} OR g.used + x.bytes > {GREEDY_MAX_BYTES} THEN 1 ELSE g.cnt + 1 END,
+    CASE WHEN g.cnt >= {GREEDY_MAX_ROWS} OR g.used + x.bytes > {GREEDY_MAX_BYTES} THEN x.bytes ELSE g.used + x.bytes END
   FROM g JOIN x ON x.i = g.i + 1)
 SELECT g.rcid, x.bytes AS request_bytes, CAST(g.batch AS INTEGER) AS batch_num, x.bytes > {GREEDY_MAX_BYTES} AS oversize
 FROM g JOIN x ON g.i = x.i""")
 def q_plan_greedy_batches(spark, sf_dir):
-    """Greedy packing: close a batch at 49 000 requests or when the next line
-    would pass 190 MiB; exact per shard of the global order (W2)."""
+    """Greedy packing: close a batch at 60 requests or when the next line
+    would pass 128 KiB; equal to the sequential rule at any size (W2)."""
     req = P.build_requests(_companies(spark, sf_dir), S.CLASSIFY_SYSTEM_PROMPT,
                            S.DEFAULT_MODEL)
-    plan = BT.plan_greedy_batches(req.select("rcid", "request_bytes"), "rcid",
-                                  "request_bytes")
+    plan = BT.plan_greedy_batches(req.select("rcid", "request_bytes"), "rcid", "request_bytes",
+                                  GREEDY_MAX_ROWS, GREEDY_MAX_BYTES)
     return plan.select("rcid", "request_bytes", "batch_num", "oversize")
 
 

@@ -259,23 +259,30 @@ def test_even_plan_batches(spark):
     assert sizes == [250, 250, 250, 250]
 
 
-def test_greedy_plan_matches_sequential_rule(spark):
-    rnd = random.Random(11)
-    sizes = [rnd.randint(1, 100) for _ in range(500)] + [1000]
-    df = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "k long, b long")
-    got = {r.k: r.batch_num for r in BT.plan_greedy_batches(df, "k", "b", 20, 400).collect()}
-    ref = BT.greedy_pack(list(range(len(sizes))), sizes, 20, 400)
-    assert [got[i] for i in range(len(sizes))] == ref
-
-
-def test_greedy_plan_sharded_respects_limits(spark):
-    rnd = random.Random(5)
-    sizes = [rnd.randint(1, 100) for _ in range(700)]
-    df = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "k long, b long")
-    out = BT.plan_greedy_batches(df, "k", "b", 15, 500, shard_rows=120).toPandas()
-    g = out.groupby("batch_num").agg(n=("k", "size"), bytes=("b", "sum"))
-    assert (g.n <= 15).all() and (g.bytes <= 500).all()
-    assert sorted(g.index) == list(range(1, len(g) + 1))
+def greedy_pack(sizes, max_count, max_bytes):
+    """The sequential rule, one request after the other."""
+    out, batch, count, used = [], 1, 0, 0
+    for sz in sizes:
+        if count > 0 and (count >= max_count or used + sz > max_bytes):
+            batch, count, used = batch + 1, 0, 0
+        out.append(batch)
+        count += 1
+        used += sz
+    return out
+
+
+@pytest.mark.parametrize("n, max_count, max_bytes, block_rows", [
+    (500, 20, 400, None), (700, 15, 500, 15), (700, 15, 500, 120), (333, 7, 10 ** 9, 10),
+    (9, 4, 60, 4), (1, 3, 10, 3), (0, 3, 10, 3)])
+def test_greedy_plan_equals_the_sequential_rule(spark, n, max_count, max_bytes, block_rows):
+    rnd = random.Random(n + max_count)
+    sizes = [rnd.choice([0, 1, rnd.randint(1, 100), 1000]) for _ in range(n)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "k long, b long").repartition(3)
+    rows = BT.plan_greedy_batches(df, "k", "b", max_count, max_bytes, block_rows, n_parts=8).collect()
+    got = {r.k: (r.b, r.batch_num, r.oversize) for r in rows}
+    assert len(rows) == n
+    ref = greedy_pack(sizes, max_count, max_bytes)
+    assert [got[i] for i in range(n)] == [(s, b, s > max_bytes) for s, b in zip(sizes, ref)]
 
 
 def test_sample_n_seeded_is_exact_and_reproducible(spark):
