@@ -58,28 +58,70 @@ def json_parse_error(text) -> F.Column:
             .when(F.try_parse_json(span).isNull(), F.lit("Invalid JSON")))
 
 
+def truthy(value, path: str) -> F.Column:
+    """Whether the JSON value at ``path`` of a variant counts as true: numbers
+    other than 0, and texts, lists and objects that hold anything, do; an absent
+    value or NULL does not."""
+    kind = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+    text = F.try_variant_get(value, path, "string")
+    yes = (F.when(kind == "BOOLEAN", text == "true")
+           .when(kind == "STRING", text != "")
+           .when(kind.startswith("ARRAY"), text != "[]")
+           .when(kind.startswith("OBJECT"), text != "{}")
+           .otherwise(text.try_cast("double") != 0))
+    return F.coalesce(yes, F.lit(False))
+
+
+_NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity|nan)\s*$"
+
+
+def _confidence(item) -> F.Column:
+    """A finding's confidence: numbers and texts that read as one; 0 if absent or
+    NULL; NULL if it is neither."""
+    kind = F.schema_of_variant(F.try_variant_get(item, "$.confidence", "variant"))
+    text = F.try_variant_get(item, "$.confidence", "string")
+    return (F.when(kind.isNull() | (kind == "VOID"), F.lit(0.0))
+            .when(kind == "BOOLEAN", (text == "true").cast("double"))
+            .when(text.rlike(_NUMBER), F.trim(text).try_cast("double")))
+
+
 def parse_research_result(replies: DataFrame, text_col: str = "reply") -> DataFrame:
     """Reply text -> typed research result with defaults; malformed replies
-    keep a row with ``parse_error`` set (never dropped)."""
+    keep a row with ``parse_error`` set (never dropped).
+
+    Flags count by truthiness and a confidence may be a text.  A confidence that
+    is no number, findings that are no list, and a finding that is no object
+    make the reply a 'Parse error' with the defaults.
+    """
     keep = [c for c in replies.columns if c != text_col]
-    st = replies.withColumn("_span", extract_json_span(text_col))
-    st = st.withColumn("_valid", F.try_parse_json("_span").isNotNull()) \
-        .withColumn("_p", F.from_json("_span", S.RESEARCH_RESULT_SCHEMA))
-    parsed = F.col("_p")
-    err = (F.when(F.col("_span").isNull(), F.lit(S.NO_JSON_MESSAGE))
-           .when(~F.col("_valid"), F.lit("Invalid JSON")))
-    ok = F.col("_span").isNotNull() & F.col("_valid")
+    st = replies.withColumn("_span", extract_json_span(text_col)) \
+        .withColumn("_v", F.try_parse_json("_span")) \
+        .withColumn("_kind", F.schema_of_variant(F.try_variant_get("_v", "$.findings", "variant"))) \
+        .withColumn("_items", F.try_variant_get("_v", "$.findings", "array<variant>"))
+    names = [f.name for f in S.FINDING_SCHEMA.fields if f.name != "confidence"]
+    st = st.withColumn("_findings", F.transform("_items", lambda x: F.struct(
+        *[F.try_variant_get(x, f"$.{n}", "string").alias(n) for n in names],
+        _confidence(x).alias("confidence"))))
+    no_list = (F.col("_kind").isNotNull() & ~F.col("_kind").startswith("ARRAY") & (F.col("_kind") != "VOID")
+               & truthy("_v", "$.findings"))
+    bad = (F.exists("_findings", lambda f: f["confidence"].isNull())
+           | F.exists("_items", lambda x: ~F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False))))
+    # zeros and false are no list either, however they count
+    no_list = no_list | F.col("_kind").rlike("^(BIGINT|BOOLEAN|DECIMAL|DOUBLE|FLOAT)")
+    st = st.withColumn("_err", F.when(F.col("_span").isNull(), F.lit(S.NO_JSON_MESSAGE))
+                       .when(F.col("_v").isNull(), F.lit("Invalid JSON"))
+                       .when(no_list | bad, F.lit("Parse error")))
+    ok = F.col("_err").isNull()
     empty = F.array().cast(f"array<{S.FINDING_SCHEMA.simpleString()}>")
+    text = {n: F.when(ok, F.try_variant_get("_v", f"$.{n}", "string")).alias(n)
+            for n in ("no_finding_reason", "escalation_reason")}
     return st.select(
-        *keep, err.alias("parse_error"),
-        F.when(ok, F.coalesce(parsed["genai_adoption_found"], F.lit(False)))
-         .otherwise(F.lit(False)).alias("genai_adoption_found"),
-        F.when(ok, F.coalesce(parsed["findings"], empty)).otherwise(empty)
-         .alias("findings"),
-        F.when(ok, parsed["no_finding_reason"]).alias("no_finding_reason"),
-        F.when(ok, F.coalesce(parsed["recommend_escalation"], F.lit(False)))
-         .otherwise(F.lit(False)).alias("recommend_escalation"),
-        F.when(ok, parsed["escalation_reason"]).alias("escalation_reason"))
+        *keep, F.col("_err").alias("parse_error"),
+        (ok & truthy("_v", "$.genai_adoption_found")).alias("genai_adoption_found"),
+        F.when(ok, F.coalesce("_findings", empty)).otherwise(empty).alias("findings"),
+        text["no_finding_reason"],
+        (ok & truthy("_v", "$.recommend_escalation")).alias("recommend_escalation"),
+        text["escalation_reason"])
 
 
 ADOPTION_FLAT_COLUMNS = [
@@ -108,13 +150,14 @@ def join_function_lists(funcs) -> tuple[F.Column, F.Column]:
 def flatten_adoption_reply(df: DataFrame, content_col: str = "content") -> DataFrame:
     """Three-mode JSON reply -> the 13 flat columns (+ parse_error).
 
-    Defaults: label 'No', confidence 'Low', primary 'strict', no_evidence 0;
+    Defaults: label 'No', confidence 'Low', primary 'strict', no_evidence 0
+    (1 for any value that counts as true);
     an explicit NULL mode object gets the same defaults; reasoning given as
     a string instead of a list is kept as that string.
     """
     keep = list(df.columns)
     st = df.withColumn("_span", extract_json_span(content_col))
-    st = st.withColumn("_valid", F.try_parse_json("_span").isNotNull()) \
+    st = st.withColumn("_v", F.try_parse_json("_span")) \
         .withColumn("_p", F.from_json("_span", S.ADOPTION_REPLY_SCHEMA))
     p = F.col("_p")
     cols = []
@@ -127,12 +170,11 @@ def flatten_adoption_reply(df: DataFrame, content_col: str = "content") -> DataF
     reasoning = F.coalesce(F.array_join(p["reasoning"], " "),
                            F.get_json_object("_span", "$.reasoning"), F.lit(""))
     err = (F.when(F.col("_span").isNull(), F.lit(S.NO_JSON_MESSAGE))
-           .when(~F.col("_valid"), F.lit("Invalid JSON")))
+           .when(F.col("_v").isNull(), F.lit("Invalid JSON")))
     return st.select(
         *keep, err.alias("parse_error"), *cols,
         F.coalesce(p["primary_assessment"], F.lit("strict")).alias("primary_assessment"),
-        F.when(F.coalesce(p["no_evidence_of_genai_use"], F.lit(False)), F.lit(1))
-         .otherwise(F.lit(0)).alias("no_evidence_flag"),
+        truthy("_v", "$.no_evidence_of_genai_use").cast("int").alias("no_evidence_flag"),
         kws.alias("genai_functions_list"), det.alias("genai_functions_details"),
         reasoning.alias("reasoning"))
 

@@ -223,14 +223,18 @@ def q_sample_adopters(spark, sf_dir):
 # ---- research results ------------------------------------------------------
 
 _RJ = with_views("research_companies", "finding_rows")
-_NF = "(SELECT company_id, count(*) AS nf FROM finding_rows GROUP BY company_id)"
-_PARSE_ERR = """CASE WHEN c.result_is_null OR c.company_id % 29 = 0 THEN 'No JSON object found in response'
+_NF = """(SELECT company_id, count(*) AS nf, count(confidence) AS n_conf, sum(confidence) AS conf,
+  string_agg(concat_ws('|', tool_name, use_case, business_function, evidence_summary, source_url, source_type), ';'
+             ORDER BY ordinal) AS texts FROM finding_rows GROUP BY company_id)"""
+_SPAN_ERR = """CASE WHEN c.result_is_null OR c.company_id % 29 = 0 THEN 'No JSON object found in response'
   WHEN c.company_id % 37 = 0 THEN (CASE WHEN coalesce(n.nf, 0) > 0 THEN 'Invalid JSON'
                                         ELSE 'No JSON object found in response' END) END"""
+_PARSE_ERR = f"""coalesce({_SPAN_ERR}, CASE WHEN c.company_id % 43 <> 1 AND c.company_id % 47 = 2
+  AND n.n_conf > 0 THEN 'Parse error' END)"""
 
 
 @register("extract_json_span", sql=f"""{_RJ}
-SELECT c.company_id, ({_PARSE_ERR}) IS NULL AS json_ok, {_PARSE_ERR} AS parse_error
+SELECT c.company_id, ({_SPAN_ERR}) IS NULL AS json_ok, {_SPAN_ERR} AS parse_error
 FROM research_companies c LEFT JOIN {_NF} n ON c.company_id = n.company_id""")
 def q_extract_json_span(spark, sf_dir):
     """First '{' to last '}' of each reply; none / invalid -> reason."""
@@ -239,10 +243,15 @@ def q_extract_json_span(spark, sf_dir):
     return rr.select("company_id", err.isNull().alias("json_ok"), err.alias("parse_error"))
 
 
+_FINDING_TEXTS = [f.name for f in S.FINDING_SCHEMA.fields if f.name != "confidence"]
+
+
 @register("parse_research_result", sql=f"""{_RJ}
 SELECT c.company_id, {_PARSE_ERR} AS parse_error,
   CASE WHEN ({_PARSE_ERR}) IS NULL THEN c.genai_adoption_found ELSE false END AS genai_adoption_found,
   CASE WHEN ({_PARSE_ERR}) IS NULL THEN CAST(coalesce(n.nf, 0) AS INTEGER) ELSE 0 END AS n_findings,
+  CASE WHEN ({_PARSE_ERR}) IS NULL THEN coalesce(n.texts, '') ELSE '' END AS finding_texts,
+  CASE WHEN ({_PARSE_ERR}) IS NULL THEN round(coalesce(n.conf, 0.0), 6) ELSE 0.0 END AS confidence_sum,
   CASE WHEN ({_PARSE_ERR}) IS NULL THEN c.no_finding_reason END AS no_finding_reason,
   CASE WHEN ({_PARSE_ERR}) IS NULL THEN c.recommend_escalation ELSE false END AS recommend_escalation,
   CASE WHEN ({_PARSE_ERR}) IS NULL THEN c.escalation_reason END AS escalation_reason
@@ -250,8 +259,12 @@ FROM research_companies c LEFT JOIN {_NF} n ON c.company_id = n.company_id""")
 def q_parse_research_result(spark, sf_dir):
     """Reply JSON -> typed result with defaults; malformed kept with reason."""
     p = R.parse_research_result(B.research_replies(_t(spark, sf_dir)))
+    texts = F.transform("findings", lambda f: F.concat_ws("|", *[f[n] for n in _FINDING_TEXTS]))
+    total = F.aggregate("findings", F.lit(0.0), lambda a, f: a + f["confidence"])
     return p.select("company_id", "parse_error", "genai_adoption_found",
-                    F.size("findings").alias("n_findings"), "no_finding_reason",
+                    F.size("findings").alias("n_findings"),
+                    F.array_join(texts, ";").alias("finding_texts"),
+                    F.round(total, 6).alias("confidence_sum"), "no_finding_reason",
                     "recommend_escalation", "escalation_reason")
 
 

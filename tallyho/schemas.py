@@ -262,7 +262,6 @@ ADOPTION_REPLY_SCHEMA = T.StructType([
         T.StructField("confidence", T.StringType())]))
       for m in ADOPTION_MODES],
     T.StructField("primary_assessment", T.StringType()),
-    T.StructField("no_evidence_of_genai_use", T.BooleanType()),
     T.StructField("genai_functions", T.ArrayType(T.StructType([
         T.StructField("function_keyword", T.StringType()),
         T.StructField("short_description", T.StringType()),

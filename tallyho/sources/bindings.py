@@ -415,10 +415,18 @@ def research_replies(t: Tables) -> DataFrame:
 
 def _research_replies(t: Tables) -> DataFrame:
     """Research replies as text: the JSON of each result, sometimes wrapped
-    in prose, truncated (no closing brace) or with no JSON at all."""
+    in prose, truncated (no closing brace) or with no JSON at all; some have
+    confidences as texts, or flags that are no booleans."""
     r = research_results(t)
     k = F.col("company_id")
     js = F.to_json(F.col("result"), {"ignoreNullFields": "false"})
+    number = r'"confidence":([-+0-9.E]+)'
+    js = (F.when(k % 43 == 1, F.regexp_replace(js, number, r'"confidence":"$1"'))
+          .when(k % 47 == 2, F.regexp_replace(js, number, r'"confidence":"high"'))
+          .when(k % 53 == 3, F.regexp_replace(F.regexp_replace(
+              js, '"genai_adoption_found":true', '"genai_adoption_found":"yes"'),
+              '"recommend_escalation":true', '"recommend_escalation":1'))
+          .otherwise(js))
     text = (F.when(F.col("result").isNull(), F.lit("No findings."))
             .when(k % 29 == 0, F.lit("I could not find anything useful."))
             .when(k % 37 == 0, F.regexp_replace(js, r"\}$", ""))

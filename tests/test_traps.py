@@ -199,6 +199,28 @@ def test_research_result_parse_errors_are_rows(spark):
     assert len(out) == 4
 
 
+def test_reply_values_of_other_types(spark):
+    f = '{"findings": [%s]}'
+    rows = [(1, f % '{"tool_name": "t", "confidence": "0.9"}, {"confidence": 1e-1}, {"tool_name": 5}, {"confidence": null}'),
+            (2, f % '{"confidence": "high"}'), (3, f % "7"), (4, '{"findings": "some"}'), (5, '{"findings": 0}'),
+            (6, '{"findings": null, "genai_adoption_found": "false", "recommend_escalation": 1}'),
+            (7, '{"findings": {}, "genai_adoption_found": "", "recommend_escalation": 0.0}'),
+            (8, '{"genai_adoption_found": [], "recommend_escalation": {"a": 1}}'),
+            (9, f % '{"confidence": "1d"}'), (10, f % '{"confidence": []}')]
+    df = spark.createDataFrame(rows, "company_id long, reply string")
+    out = {r.company_id: r for r in R.parse_research_result(df).collect()}
+    assert [(x.tool_name, x.confidence) for x in out[1].findings] == [("t", 0.9), (None, 0.1), ("5", 0.0), (None, 0.0)]
+    assert [k for k, r in out.items() if r.parse_error == "Parse error"] == [2, 3, 4, 5, 9, 10]
+    assert all(out[k].findings == [] for k in out if k != 1)
+    assert [(out[k].genai_adoption_found, out[k].recommend_escalation) for k in (6, 7, 8)] == [
+        (True, True), (False, False), (False, True)]
+    flags = [("1", 1), ("0", 0), ('"true"', 1), ('""', 0), ("true", 1), ("false", 0), ("null", 0), ("[0]", 1)]
+    df = spark.createDataFrame([(v, '{"no_evidence_of_genai_use": %s}' % v) for v, _ in flags],
+                               "company_id string, content string")
+    got = {r.company_id: r.no_evidence_flag for r in R.flatten_adoption_reply(df).collect()}
+    assert got == dict(flags)
+
+
 # ---- findings expansion -------------------------------------------------------------
 
 def _result(found, findings, reason=None):
