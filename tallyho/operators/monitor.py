@@ -1,23 +1,19 @@
 """Batch monitoring and request-rate windows.
 
-``cumulative_sum`` is a skew-safe running sum in a global order: the rows
-are range-partitioned on the order (a hot key is split across many
-partitions), sorted inside partitions and checkpointed; each partition runs
-a vectorised cumsum over its Arrow batches, and the per-partition totals
-(one row per partition) are prefix-summed and broadcast back.
+Running sums and runs of equal values are skew-safe: rows get a global
+position in the order, windows run over blocks of positions (a hot key is
+split across many blocks), and what passes from block to block is one row a
+block.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyho import schemas as S
 from tallyho.functions import text as X
-from tallyho.operators.batching import ranged_checkpoint
+from tallyho.operators.batching import with_global_index
 from tallyho.operators.reconcile import latest_record_per_id
 
 
@@ -28,37 +24,23 @@ def epoch_micros(ts) -> F.Column:
 
 
 def cumulative_sum(df: DataFrame, order_cols: list[str], weight_col,
-                   out_col="cum", n_parts: int | None = None) -> DataFrame:
-    """Running sums of non-negative weight columns in ``order_cols`` order
-    (inclusive of the row itself).  ``weight_col`` / ``out_col`` may be
-    lists to compute several sums in one pass."""
+                   out_col="cum", n_parts: int | None = None,
+                   block_rows: int = 200_000) -> DataFrame:
+    """Running sums of weight columns in ``order_cols`` order (inclusive of
+    the row itself).  ``weight_col`` / ``out_col`` may be lists to compute
+    several sums in one pass."""
     weights = [weight_col] if isinstance(weight_col, str) else list(weight_col)
     outs = [out_col] if isinstance(out_col, str) else list(out_col)
-    ranged = ranged_checkpoint(df, order_cols, n_parts)
-    locs = [f"_l{i}" for i in range(len(weights))]
-    schema = T.StructType(ranged.schema.fields + [T.StructField("_pid", T.LongType())]
-                          + [T.StructField(c, T.LongType()) for c in locs])
-
-    def run(batches):
-        pid = TaskContext.get().partitionId()
-        carry = [0] * len(weights)
-        for pdf in batches:
-            extra = {"_pid": pid}
-            for i, (wc, lc) in enumerate(zip(weights, locs)):
-                c = pdf[wc].astype("int64").cumsum() + carry[i]
-                if len(c):
-                    carry[i] = int(c.iloc[-1])
-                extra[lc] = c
-            yield pdf.assign(**extra)
-
-    local = ranged.mapInPandas(run, schema)
-    tot = local.groupBy("_pid").agg(*[F.max(lc).alias(f"_t{i}") for i, lc in enumerate(locs)])
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select("_pid", *[F.coalesce(F.sum(f"_t{i}").over(w), F.lit(0)).alias(f"_o{i}")
-                               for i in range(len(locs))])
-    return (local.join(F.broadcast(off), "_pid")
-            .select(*df.columns, *[(F.col(lc) + F.col(f"_o{i}")).alias(oc)
-                                   for i, (lc, oc) in enumerate(zip(locs, outs))]))
+    x = with_global_index(df, order_cols, "_i", None, n_parts) \
+        .withColumn("_b", F.floor(F.col("_i") / block_rows))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = x.groupBy("_b").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(weights)])
+    carry = totals.select("_b", *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_o{i}")
+                                  for i in range(len(weights))])
+    upto = Window.partitionBy("_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    return x.join(carry, "_b").select(
+        *df.columns, *[(F.sum(c).over(upto) + F.col(f"_o{i}")).alias(out)
+                       for i, (c, out) in enumerate(zip(weights, outs))])
 
 
 def sliding_request_rate(calls: DataFrame, key: str, ts_col: str, id_col: str,
@@ -102,30 +84,34 @@ def sliding_request_rate(calls: DataFrame, key: str, ts_col: str, id_col: str,
 
 
 def detect_stuck(status: DataFrame, key: str = "batch_num", ts: str = "checked_at",
-                 progress: str = "completed", n_parts: int | None = None) -> DataFrame:
+                 progress: str = "completed", n_parts: int | None = None,
+                 block_rows: int = 200_000) -> DataFrame:
     """Consecutive polls without progress (gaps and islands), skew-safe.
 
     ``no_progress_polls`` is 0 at a poll whose counter changed (or the
     first poll) and grows by one per unchanged poll; warnings at 5 and 10.
-    No per-key window: polls get a global position in (key, time) order,
-    the previous poll comes from an equi-join on position - 1, island ids
-    are a distributed cumulative sum of change flags, and each island's
-    start is a partial ``min``.  A batch with a third of all polls is
-    spread over many tasks.
+    Polls get a global position in (key, time) order, and every window runs
+    over blocks of ``block_rows`` positions, whatever their keys.  The poll
+    before a block, and the last change before it, come from one row a
+    block.  A batch with a third of all polls is spread over many tasks.
     """
-    from tallyho.operators.batching import with_global_index
-    x = with_global_index(status.select(key, ts, progress), [key, ts], "_i", None, n_parts)
-    prev = x.select((F.col("_i") + 1).alias("_i"), F.col(key).alias("_pk"),
-                    F.col(progress).alias("_pp"))
-    j = x.join(prev, "_i", "left")
-    prev_val = F.when(F.col("_pk") == F.col(key), F.col("_pp"))
-    j = j.select(key, ts, progress, "_i", prev_val.alias("_prev"))
-    j = j.withColumn("_c", F.when(F.col("_prev").isNull()
-                                  | (F.col(progress) != F.col("_prev")), 1).otherwise(0))
-    isl = cumulative_sum(j, ["_i"], "_c", "_isl", n_parts)
-    starts = isl.groupBy("_isl").agg(F.min("_i").alias("_s"))
-    runs = isl.join(starts, "_isl").withColumn(
-        "no_progress_polls", (F.col("_i") - F.col("_s")).cast("int"))
+    x = with_global_index(status.select(key, ts, progress), [key, ts], "_i", None, n_parts) \
+        .withColumn("_b", F.floor(F.col("_i") / block_rows))
+    w = Window.partitionBy("_b").orderBy("_i")
+    ends = x.groupBy((F.col("_b") + 1).alias("_b")).agg(
+        F.max_by(F.struct(F.col(key).alias("k"), F.col(progress).alias("p")), "_i").alias("_end"))
+    before = F.when(F.col("_i") % block_rows == 0, F.col("_end")).otherwise(F.col("_lag"))
+    j = (x.withColumn("_lag", F.lag(F.struct(F.col(key).alias("k"), F.col(progress).alias("p"))).over(w))
+         .join(ends, "_b", "left").withColumn("_before", before)
+         .withColumn("_prev", F.when(F.col("_before.k") == F.col(key), F.col("_before.p")))
+         .withColumn("_s", F.when(F.col("_prev").isNull() | (F.col(progress) != F.col("_prev")), F.col("_i")))
+         .select(key, ts, progress, "_i", "_b", "_prev", "_s").checkpoint(eager=True))
+    # the last change before each block: a window over one row a block
+    carry = j.groupBy("_b").agg(F.max("_s").alias("_m")).select("_b", F.max("_m").over(
+        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    start = F.coalesce(F.max("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("_carry"))
+    runs = (j.join(carry, "_b")
+            .withColumn("no_progress_polls", (F.col("_i") - start).cast("int")))
     return runs.select(
         key, ts, progress,
         F.coalesce(F.col(progress) - F.col("_prev"), F.lit(0)).alias("delta"),
@@ -171,13 +157,3 @@ def filter_active_batches(status: DataFrame,
     """Batches whose latest status is in the ``active`` set."""
     last = latest_record_per_id(status, "batch_num", "checked_at")
     return last.where(F.col("status").isin(active)).select("batch_num", "batch_id", "status")
-
-
-def stuck_pandas(pdf: pd.DataFrame) -> pd.DataFrame:  # used by tests as brute force
-    pdf = pdf.sort_values("checked_at")
-    out, stuck, last = [], 0, None
-    for v in pdf["completed"]:
-        stuck = stuck + 1 if (last is not None and v == last) else 0
-        out.append(stuck)
-        last = v
-    return pdf.assign(no_progress_polls=out)

@@ -2,6 +2,7 @@
 (CSV replies, greedy packing, global index, windows), each against a
 brute-force Python reference on a small input."""
 
+import datetime as dt
 import random
 
 import pandas as pd
@@ -343,20 +344,33 @@ def test_sliding_rate_matches_brute_force(spark):
                                                & (pdf.call_id <= 1001)))])
 
 
-def test_detect_stuck_matches_poll_loop(spark):
+def stuck_loop(values):
+    """The poll loop of one batch: a counter that grows while nothing changes."""
+    out, stuck, last = [], 0, None
+    for v in values:
+        stuck = stuck + 1 if (last is not None and v == last) else 0
+        out.append(stuck)
+        last = v
+    return out
+
+
+@pytest.mark.parametrize("block_rows", [1, 7, 60, 200_000])
+def test_detect_stuck_matches_poll_loop(spark, block_rows):
     rnd = random.Random(2)
-    base = pd.Timestamp("2026-01-01")
-    rows = [(b, base + pd.Timedelta(minutes=2 * i), rnd.choice([0, 0, 1]) + i // 7)
-            for b in (1, 2) for i in range(60)]
-    df = spark.createDataFrame([(a, b.to_pydatetime(), c) for a, b, c in rows],
-                               "batch_num int, checked_at timestamp_ntz, completed long")
-    got = {(r.batch_num, r.checked_at): r.no_progress_polls
-           for r in M.detect_stuck(df).collect()}
-    pdf = pd.DataFrame(rows, columns=["batch_num", "checked_at", "completed"])
-    for _, g in pdf.groupby("batch_num"):
-        ref = M.stuck_pandas(g)
-        for r in ref.itertuples():
-            assert got[(r.batch_num, r.checked_at.to_pydatetime())] == r.no_progress_polls
+    base = dt.datetime(2026, 1, 1)
+    polls = {b: [rnd.choice([0, 0, 1]) + i // 7 for i in range(60)] for b in (1, 2)}
+    polls[3] = [5] * 130        # stuck for more than half of all polls, across many blocks
+    polls[4] = [5]
+    rows = [(b, base + dt.timedelta(minutes=2 * i), v) for b, vs in polls.items() for i, v in enumerate(vs)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "batch_num int, checked_at timestamp_ntz, completed long")
+    out = M.detect_stuck(df, n_parts=5, block_rows=block_rows).collect()
+    assert len(out) == len(rows)
+    for b, values in polls.items():
+        got = [r.no_progress_polls for r in sorted(out, key=lambda r: r.checked_at) if r.batch_num == b]
+        assert got == stuck_loop(values)
+    plan = M.detect_stuck(df)._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan
 
 
 # ---- reconciliation -------------------------------------------------------------------
