@@ -222,10 +222,12 @@ def _batch_status(t: Tables) -> DataFrame:
     (failed) so far; batches of users with user_id % 5 != 0 never finish.
 
     The running counts are one skew-safe cumulative sum in (user, time)
-    order minus each user's starting offset, so a user with a third of all
-    events is not one task.
+    order minus each user's starting offset.  The offsets are a written
+    table, so the join with them shuffles both sides and adaptive execution
+    may split a user with a third of all events.
     """
     from tallyho.operators.monitor import cumulative_sum
+    from tallyho.sources.sinks import scratch_path
     e = t.events.select(
         "user_id", "ts", "event_id", "event_type",
         (F.col("event_type") == "purchase").cast("long").alias("_p"),
@@ -236,6 +238,9 @@ def _batch_status(t: Tables) -> DataFrame:
         F.min(F.col("_ce") - F.col("_e")).alias("_e0"),
         (F.sum("_p") + F.sum("_e")).alias("_pe"),
         F.min("ts").alias("created_at"))
+    path = scratch_path(t.spark, "per_user")
+    per_user.write.parquet(path)
+    per_user = t.spark.read.parquet(path)
     u = F.col("user_id")
     x = c.join(per_user, "user_id").select(
         u.cast("int").alias("batch_num"),
