@@ -83,35 +83,51 @@ def sliding_request_rate(calls: DataFrame, key: str, ts_col: str, id_col: str,
         F.when(n > limit, (F.col("_t_old") + wu - F.col("_t")) / 1e6).alias("wait_sec"))
 
 
-def detect_stuck(status: DataFrame, key: str = "batch_num", ts: str = "checked_at",
-                 progress: str = "completed", n_parts: int | None = None,
-                 block_rows: int = 200_000) -> DataFrame:
-    """Consecutive polls without progress (gaps and islands), skew-safe.
+def unchanged_runs(polls: DataFrame, key: str, ts: str, progress: str, base: str | None = None,
+                   n_parts: int | None = None, block_rows: int = 200_000) -> DataFrame:
+    """``polls`` with ``_prev`` (the counter of the batch's poll before) and
+    ``no_progress_polls``, its place in the run of unchanged counters.
+
+    ``base`` names a column with the place that a run's first poll has, if
+    the run began before these polls; otherwise that place is 0.
 
-    ``no_progress_polls`` is 0 at a poll whose counter changed (or the
-    first poll) and grows by one per unchanged poll; warnings at 5 and 10.
     Polls get a global position in (key, time) order, and every window runs
     over blocks of ``block_rows`` positions, whatever their keys.  The poll
     before a block, and the last change before it, come from one row a
     block.  A batch with a third of all polls is spread over many tasks.
     """
-    x = with_global_index(status.select(key, ts, progress), [key, ts], "_i", None, n_parts) \
+    x = with_global_index(polls, [key, ts, progress], "_i", None, n_parts) \
         .withColumn("_b", F.floor(F.col("_i") / block_rows))
     w = Window.partitionBy("_b").orderBy("_i")
-    ends = x.groupBy((F.col("_b") + 1).alias("_b")).agg(
-        F.max_by(F.struct(F.col(key).alias("k"), F.col(progress).alias("p")), "_i").alias("_end"))
+    own = F.struct(F.col(key).alias("k"), F.col(progress).alias("p"))
+    ends = x.groupBy((F.col("_b") + 1).alias("_b")).agg(F.max_by(own, "_i").alias("_end"))
     before = F.when(F.col("_i") % block_rows == 0, F.col("_end")).otherwise(F.col("_lag"))
-    j = (x.withColumn("_lag", F.lag(F.struct(F.col(key).alias("k"), F.col(progress).alias("p"))).over(w))
+    first = F.col("_prev").isNull() | (F.col(progress) != F.col("_prev"))
+    start_of = F.struct(F.col("_i").alias("i"), (F.col(base) if base else F.lit(0)).alias("place"))
+    j = (x.withColumn("_lag", F.lag(own).over(w))
          .join(ends, "_b", "left").withColumn("_before", before)
          .withColumn("_prev", F.when(F.col("_before.k") == F.col(key), F.col("_before.p")))
-         .withColumn("_s", F.when(F.col("_prev").isNull() | (F.col(progress) != F.col("_prev")), F.col("_i")))
-         .select(key, ts, progress, "_i", "_b", "_prev", "_s").checkpoint(eager=True))
+         .withColumn("_s", F.when(first, start_of))
+         .select(*polls.columns, "_i", "_b", "_prev", "_s").checkpoint(eager=True))
     # the last change before each block: a window over one row a block
     carry = j.groupBy("_b").agg(F.max("_s").alias("_m")).select("_b", F.max("_m").over(
         Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
     start = F.coalesce(F.max("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("_carry"))
-    runs = (j.join(carry, "_b")
-            .withColumn("no_progress_polls", (F.col("_i") - start).cast("int")))
+    return (j.join(carry, "_b").withColumn("_start", start)
+            .select(*polls.columns, "_prev",
+                    (F.col("_i") - F.col("_start.i") + F.col("_start.place")).cast("int").alias("no_progress_polls")))
+
+
+def detect_stuck(status: DataFrame, key: str = "batch_num", ts: str = "checked_at",
+                 progress: str = "completed", n_parts: int | None = None,
+                 block_rows: int = 200_000) -> DataFrame:
+    """Consecutive polls without progress (gaps and islands), skew-safe.
+
+    ``no_progress_polls`` is 0 at a poll whose counter changed (or the
+    first poll) and grows by one per unchanged poll; warnings at 5 and 10.
+    See ``unchanged_runs``.
+    """
+    runs = unchanged_runs(status.select(key, ts, progress), key, ts, progress, None, n_parts, block_rows)
     return runs.select(
         key, ts, progress,
         F.coalesce(F.col(progress) - F.col("_prev"), F.lit(0)).alias("delta"),

@@ -1,38 +1,55 @@
 """Registered queries: Structured Streaming jobs replayed over the tables.
 
-Each query prepares a file-stream source from the test tables, runs the
-streaming job to completion (availableNow) and returns its output table;
-the oracle is the batch computation of the same result.
+Each query replays a test table in slices of time or id order: a slice's
+files arrive, the streaming job runs on them (availableNow) and stops, and
+the next run resumes from its checkpoint.  The oracle is the batch
+computation of the same result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyho.operators.monitor import epoch_micros
 from tallyho.plans.oracle_views import with_views
 from tallyho.plans.registry import register
 from tallyho.sources import bindings as B
 from tallyho.sources.tables import Tables
 from tallyho.streaming import jobs as J
 
-# the slices written below are replayed in order, one micro-batch each
-J.SOURCE_OPTIONS["maxFilesPerTrigger"] = "1"
+COMPANY_COLS = ["rcid", "org_uuid", "name", "cb_url", "homepage_url", "short_description", "long_description"]
+
+def replay(df, order_col, path, run, n_slices=4):
+    """Stand-in for files that arrive over time: ``df`` is cut into slices of
+    ``order_col``; each is written to the stream's folder by many tasks, and
+    ``run()`` continues the job from its checkpoint.  Returns the last result."""
+    spark = df.sparkSession
+    order = (F.col(order_col).cast("double") if dict(df.dtypes)[order_col] != "timestamp_ntz"
+             else epoch_micros(order_col).cast("double"))
+    cut = J.scratch_path(spark, "slices")
+    bounds = df.select(order.alias("_o")).approxQuantile("_o", [i / n_slices for i in range(1, n_slices)], 0.01)
+    place = sum((F.coalesce(order >= b, F.lit(False)).cast("int") for b in bounds), F.lit(0))
+    df.withColumn("_slice", place).write.partitionBy("_slice").parquet(cut)
+    for i in range(len(bounds) + 1):
+        part = spark.read.parquet(cut).where(F.col("_slice") == i).drop("_slice")
+        part.write.mode("append").parquet(path)
+        out = run()
+    return out
 
 
 @register("incremental_pass", sql=f"""{with_views('companies')}
-SELECT rcid, name FROM companies""")
+SELECT {', '.join(COMPANY_COLS)} FROM companies""")
 def q_incremental_pass(spark, sf_dir):
     """Resume a pass: stream all companies into a target that already holds
-    the logged ones; each id ends up exactly once (ST1)."""
+    the logged ones; each record ends up exactly once, whole (ST1)."""
     t = Tables(spark, sf_dir)
     p = J.paths(spark, "incremental")
-    src = B.companies(t).select("rcid", "name")
-    J.write_ordered_source(src, "rcid", p["src"])
+    src = B.companies(t).select(*COMPANY_COLS)
     target = J.scratch_path(spark, "incremental-target")
-    B.search_log(t).select("rcid", "name").dropDuplicates(["rcid"]) \
-        .write.parquet(target)
-    J.incremental_pass(spark, p["src"], src.schema, target, "rcid", p["ckpt"])
-    return spark.read.parquet(target).select("rcid", "name")
+    J.append_target(src.join(B.search_log(t).select("rcid"), "rcid", "left_semi"), target, "rcid")
+    replay(src, "rcid", p["src"],
+           lambda: J.incremental_pass(spark, p["src"], src.schema, target, "rcid", p["ckpt"]))
+    return J.read_target(spark, target).select(*COMPANY_COLS)
 
 
 @register("stream_rate_window", sql=f"""{with_views('api_calls')},
@@ -45,8 +62,8 @@ def q_stream_rate_window(spark, sf_dir):
     watermark, over a replayed call log (ST2)."""
     calls = B.api_calls(Tables(spark, sf_dir)).select("service", "call_id", "ts")
     p = J.paths(spark, "rate")
-    J.write_ordered_source(calls, "ts", p["src"])
-    return J.stream_rate_window(spark, p["src"], calls.schema, p["out"], p["ckpt"])
+    return replay(calls, "ts", p["src"],
+                  lambda: J.stream_rate_window(spark, p["src"], calls.schema, p["out"], p["ckpt"]))
 
 
 @register("stream_stuck_batches", sql=f"""{with_views('batch_status')},
@@ -58,11 +75,11 @@ SELECT batch_num, checked_at, completed,
   CAST(row_number() OVER (PARTITION BY batch_num, island ORDER BY checked_at) - 1 AS INTEGER) AS no_progress_polls
 FROM y""")
 def q_stream_stuck_batches(spark, sf_dir):
-    """No-progress poll counts per batch kept in streaming state (ST3)."""
+    """No-progress poll counts per batch, continued from run to run (ST3)."""
     st = B.batch_status(Tables(spark, sf_dir)).select("batch_num", "checked_at", "completed")
     p = J.paths(spark, "stuck")
-    J.write_ordered_source(st, "checked_at", p["src"])
-    return J.stream_stuck_batches(spark, p["src"], st.schema, p["out"], p["ckpt"])
+    return replay(st, "checked_at", p["src"],
+                  lambda: J.stream_stuck_batches(spark, p["src"], st.schema, p["out"], p["ckpt"]))
 
 
 @register("stream_latest_status", sql=f"""{with_views('batch_status')}
@@ -73,8 +90,8 @@ def q_stream_latest_status(spark, sf_dir):
     st = B.batch_status(Tables(spark, sf_dir)).select(
         "batch_num", "status", "completed", "failed", "total", "checked_at")
     p = J.paths(spark, "latest")
-    J.write_ordered_source(st, "checked_at", p["src"])
-    return J.stream_latest_status(spark, p["src"], st.schema, p["out"], p["ckpt"])
+    return replay(st, "checked_at", p["src"],
+                  lambda: J.stream_latest_status(spark, p["src"], st.schema, p["out"], p["ckpt"]))
 
 
 @register("stream_dedup_records", sql=f"""{with_views('search_log_flat')}
@@ -82,10 +99,9 @@ SELECT DISTINCT rcid FROM search_log_flat""")
 def q_stream_dedup_records(spark, sf_dir):
     """Retried records dropped from the append-only log within the
     watermark (ST5)."""
-    log = B.search_log(Tables(spark, sf_dir)).select("rcid", "timestamp")
+    log = B.search_log(Tables(spark, sf_dir)).select(
+        "rcid", "timestamp", F.to_timestamp("timestamp").cast("timestamp_ntz").alias("_ts"))
     p = J.paths(spark, "dedup")
-    J.write_ordered_source(log.withColumn("_ts", F.to_timestamp("timestamp")), "_ts", p["src"])
-    src_schema = log.withColumn("_ts", F.to_timestamp("timestamp")).schema
-    out = J.stream_dedup_records(spark, p["src"], src_schema, p["out"], p["ckpt"],
-                                 "rcid", "timestamp")
+    out = replay(log, "_ts", p["src"], lambda: J.stream_dedup_records(
+        spark, p["src"], log.schema, p["out"], p["ckpt"], "rcid", "timestamp"))
     return out.select("rcid")

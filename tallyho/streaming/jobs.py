@@ -9,41 +9,20 @@ in the background: the jobs that return a DataFrame then return a reader
 over what the query has written so far, ``incremental_pass`` returns the
 running query.  Aggregations in update mode are written through
 ``foreachBatch`` as (batch id, key, value) rows; the latest value per key
-is then a partial ``max_by`` - no row is rewritten in place.
+is then a partial ``max_by`` - no row is rewritten in place.  A micro-batch
+replayed after a failure overwrites its own folder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tallyho.operators.monitor import unchanged_runs
 from tallyho.sources.sinks import scratch_path
 
 
-def write_ordered_source(df: DataFrame, order_col: str, path: str, n_files: int = 4
-                         ) -> None:
-    """Stand-in stream source: ``n_files`` parquet files, each one slice of
-    ``order_col``, appended in order so a file stream replays them in that
-    order (one slice per file; files are read oldest first)."""
-    num = F.col(order_col)
-    if not isinstance(df.schema[order_col].dataType, (T.LongType, T.IntegerType,
-                                                      T.DoubleType)):
-        num = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "
-                     f"CAST({order_col} AS TIMESTAMP_NTZ))")
-    x = df.withColumn("_o", num.cast("double"))
-    probs = [i / n_files for i in range(1, n_files)]
-    bounds = [float("-inf")] + x.approxQuantile("_o", probs, 0.01) + [float("inf")]
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        part = x.where((F.col("_o") >= lo) & (F.col("_o") < hi)) if hi != float("inf") \
-            else x.where(F.col("_o") >= lo)
-        part.drop("_o").coalesce(1).write.mode("append").parquet(path)
-
-
 #: Options of the file sources.  All files that are there make one micro-batch
 #: unless the caller sets ``maxFilesPerTrigger`` here.
 SOURCE_OPTIONS: dict[str, str] = {}
@@ -66,25 +45,62 @@ def _run(writer, checkpoint: str, trigger: dict | None = None):
     return q
 
 
+def dropped_by_watermark(query) -> int:
+    """Rows that a query's stateful operators dropped as late, over the
+    progress reports that Spark still holds (``numRecentProgressUpdates``).
+    For a windowed aggregate Spark counts partial sums, not single rows."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
+def _note_dropped(spark: SparkSession, query, out: str) -> None:
+    """One row a finished run, beside its output."""
+    if not query.isActive:
+        (spark.createDataFrame([(str(query.runId), dropped_by_watermark(query))], "run_id string, dropped long")
+         .write.mode("append").parquet(f"{out}-dropped"))
+
+
+def dropped_rows(spark: SparkSession, out: str) -> DataFrame:
+    """``run_id, dropped``: late rows that each finished run left out of ``out``."""
+    return spark.read.parquet(f"{out}-dropped")
+
+
+TARGET_BUCKETS = 64
+
+
+def _bucket(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(TARGET_BUCKETS)).cast("int").alias("_bucket")
+
+
+def append_target(df: DataFrame, target: str, key: str) -> None:
+    """Append rows to a pass target, which is partitioned by a hash of the key."""
+    df.select("*", _bucket(key)).write.mode("append").partitionBy("_bucket").parquet(target)
+
+
 def incremental_pass(spark: SparkSession, source: str, schema: T.StructType,
                      target: str, key: str, checkpoint: str, trigger: dict | None = None):
     """Append only rows whose key is not in the target yet (resume).
 
     Each micro-batch anti-joins the target before appending, so a batch
-    replayed after a failure adds nothing twice.
+    replayed after a failure adds nothing twice.  Of the target, written by
+    ``append_target``, only the keys of the buckets that the micro-batch
+    touches are read (at most ``TARGET_BUCKETS`` numbers reach the driver).
     """
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        done = spark.read.parquet(target).select(key)
-        new = batch.dropDuplicates([key]).join(done, key, "left_anti")
-        new.write.mode("append").parquet(target)
+        touched = [r[0] for r in batch.select(_bucket(key)).distinct().collect()]
+        done = batch.sparkSession.read.parquet(target).where(F.col("_bucket").isin(touched)).select(key)
+        append_target(batch.dropDuplicates([key]).join(done, key, "left_anti"), target, key)
 
     return _run(_file_stream(spark, source, schema).writeStream.foreachBatch(upsert),
                 checkpoint, trigger)
 
 
+def read_target(spark: SparkSession, target: str) -> DataFrame:
+    return spark.read.parquet(target).drop("_bucket")
+
+
 def _append_updates(out: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
     return write
 
 
@@ -101,52 +117,70 @@ def stream_rate_window(spark: SparkSession, source: str, schema: T.StructType,
                        ts: str = "ts", length: str = "60 seconds",
                        slide: str = "10 seconds", delay: str = "10 minutes",
                        trigger: dict | None = None) -> DataFrame:
-    """Sliding-window call counts per key with a watermark (update mode)."""
+    """Sliding-window call counts per key with a watermark (update mode).
+    Calls later than ``delay`` are left out and counted (``dropped_rows``)."""
     s = _file_stream(spark, source, schema).withColumn("_et", F.col(ts).cast("timestamp"))
     agg = (s.withWatermark("_et", delay)
            .groupBy(F.window("_et", length, slide).alias("w"), key)
            .agg(F.count(F.lit(1)).alias("n"))
            .select(key, F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n"))
-    _run(agg.writeStream.outputMode("update").foreachBatch(_append_updates(out)), checkpoint,
-         trigger)
+    q = _run(agg.writeStream.outputMode("update").foreachBatch(_append_updates(out)), checkpoint,
+             trigger)
+    _note_dropped(spark, q, out)
     return latest_updates(spark, out, [key, "window_start", "window_end"])
 
 
-_STUCK_OUT = T.StructType([T.StructField("batch_num", T.IntegerType()),
-                           T.StructField("checked_at", T.TimestampNTZType()),
-                           T.StructField("completed", T.LongType()),
-                           T.StructField("no_progress_polls", T.IntegerType())])
-_STUCK_STATE = T.StructType([T.StructField("last", T.LongType()),
-                             T.StructField("stuck", T.IntegerType())])
-
-
-def _stuck_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-    last, stuck = (state.get if state.exists else (None, 0))
-    for pdf in pdfs:
-        pdf = pdf.sort_values("checked_at")
-        out = []
-        for v in pdf["completed"]:
-            stuck = stuck + 1 if (last is not None and v == last) else 0
-            last = int(v)
-            out.append(stuck)
-        yield pd.DataFrame({"batch_num": pdf["batch_num"].astype("int32").values,
-                            "checked_at": pdf["checked_at"].values,
-                            "completed": pdf["completed"].astype("int64").values,
-                            "no_progress_polls": pd.Series(out, dtype="int32").values})
-    state.update((last, stuck))
-
-
 def stream_stuck_batches(spark: SparkSession, source: str, schema: T.StructType,
-                         out: str, checkpoint: str, trigger: dict | None = None) -> DataFrame:
-    """Consecutive no-progress polls per batch, carried across micro-batches
-    in per-key state (applyInPandasWithState, event-time order per key)."""
-    s = _file_stream(spark, source, schema).select("batch_num", "checked_at", "completed")
-    res = s.groupBy("batch_num").applyInPandasWithState(
-        _stuck_fn, _STUCK_OUT, _STUCK_STATE, "append", GroupStateTimeout.NoTimeout)
-    _run(res.writeStream.outputMode("append").format("parquet").option("path", out),
+                         out: str, checkpoint: str, trigger: dict | None = None,
+                         forget_after: str | None = None) -> DataFrame:
+    """Consecutive no-progress polls per batch, carried across micro-batches.
+
+    A micro-batch is put in time order and counted by ``unchanged_runs``,
+    which splits a batch that has most of the polls over many tasks; whatever
+    chunks or files the polls came in, the counts are those of the ordered
+    polls.  The state is a table of one row a batch number (its last time,
+    counter and count), written by each micro-batch for the next one, so a
+    replayed micro-batch gives the same rows.  With ``forget_after`` (an
+    interval) batch numbers whose last poll is that much older than the newest
+    one leave the state.  Polls that are not later than the last one counted
+    of their batch, or that have no time, are kept in ``late_polls``.
+    """
+    key, ts, progress = "batch_num", "checked_at", "completed"
+    fields = {f.name: f.dataType.simpleString() for f in schema.fields}
+    known = f"{key} {fields[key]}, {ts} {fields[ts]}, {progress} {fields[progress]}, no_progress_polls int"
+
+    def count(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        # two places in turn: a replay finds the state of the micro-batch before it
+        state = (session.read.schema(known).parquet(f"{out}-state/{(batch_id - 1) % 2}") if batch_id
+                 else session.createDataFrame([], known))
+        last = state.select(F.col(key).alias("_key"), F.col(ts).alias("_last"))
+        polls = batch.select(key, ts, progress).join(last, F.col(key).eqNullSafe(F.col("_key")), "left")
+        late = F.col(ts).isNull() | F.coalesce(F.col(ts) <= F.col("_last"), F.lit(False))
+        polls.where(late).select(key, ts, progress).write.mode("overwrite").parquet(f"{out}-late/_batch={batch_id}")
+        rows = (polls.where(~late).select(key, ts, progress, F.lit(0).alias("_base"), F.lit(False).alias("_state"))
+                .unionByName(state.withColumnRenamed("no_progress_polls", "_base").withColumn("_state", F.lit(True))))
+        counted = f"{out}/_batch={batch_id}"
+        (unchanged_runs(rows, key, ts, progress, "_base").drop("_base", "_prev")
+         .write.mode("overwrite").parquet(counted))
+        new = (session.read.parquet(counted).groupBy(key)
+               .agg(F.max_by(F.struct(ts, progress, "no_progress_polls"), F.struct(ts, progress)).alias("v"))
+               .select(key, "v.*"))
+        if forget_after:
+            newest = new.agg((F.max(ts) - F.expr(f"INTERVAL {forget_after}")).alias("_oldest"))
+            new = new.join(F.broadcast(newest), F.col(ts) >= F.col("_oldest")).drop("_oldest")
+        new.write.mode("overwrite").parquet(f"{out}-state/{batch_id % 2}")
+
+    _run(_file_stream(spark, source, schema).select(key, ts, progress).writeStream.foreachBatch(count),
          checkpoint, trigger)
-    return spark.read.schema(_STUCK_OUT).parquet(out)
+    return (spark.read.schema(f"{known}, _state boolean").parquet(out).where("not _state")
+            .select(key, ts, progress, "no_progress_polls"))
+
+
+def late_polls(spark: SparkSession, out: str) -> DataFrame:
+    """Polls that ``stream_stuck_batches`` left out, with their micro-batch."""
+    return spark.read.parquet(f"{out}-late")
 
 
 def stream_latest_status(spark: SparkSession, source: str, schema: T.StructType,
@@ -164,11 +198,13 @@ def stream_latest_status(spark: SparkSession, source: str, schema: T.StructType,
 def stream_dedup_records(spark: SparkSession, source: str, schema: T.StructType,
                          out: str, checkpoint: str, key: str, ts: str,
                          within: str = "2 days", trigger: dict | None = None) -> DataFrame:
-    """Drop repeated keys that arrive within ``within`` of the first one."""
+    """Drop repeated keys that arrive within ``within`` of the first one.
+    Records later than that are left out and counted (``dropped_rows``)."""
     s = _file_stream(spark, source, schema).withColumn("_et", F.to_timestamp(ts))
     d = s.withWatermark("_et", within).dropDuplicatesWithinWatermark([key]).drop("_et")
-    _run(d.writeStream.outputMode("append").format("parquet").option("path", out),
-         checkpoint, trigger)
+    q = _run(d.writeStream.outputMode("append").format("parquet").option("path", out),
+             checkpoint, trigger)
+    _note_dropped(spark, q, out)
     return spark.read.schema(schema).parquet(out)
 
 
