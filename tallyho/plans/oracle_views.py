@@ -105,7 +105,7 @@ SELECT l_orderkey AS company_id,
   CASE WHEN l_linenumber % 3 = 0 THEN NULL
        ELSE 'https://evidence.example.com/' || CAST(l_partkey AS VARCHAR) END AS source_url,
   ['company_blog', 'news_article', 'job_posting', 'linkedin_post', 'press_release'][CAST(l_suppkey % 5 AS INTEGER) + 1] AS source_type,
-  abs(l_discount) * 10.0 AS confidence,
+  abs(l_discount) * 10.0 + CASE WHEN l_partkey % 61 = 5 THEN 1.0 ELSE 0.0 END AS confidence,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
      l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS ordinal
 FROM lineitem
@@ -118,7 +118,7 @@ SELECT o_orderkey AS company_id,
   o_orderpriority AS industry,
   CAST(year(o_orderdate) AS INTEGER) AS founded_year,
   ['1', '2A', '2B', '3'][CAST(o_orderkey % 4 AS INTEGER) + 1] AS research_stage_reached,
-  CAST(o_custkey % 101 AS INTEGER) AS online_presence_score,
+  CAST(CASE WHEN o_orderkey % 59 = 7 THEN 140 ELSE o_custkey % 101 END AS INTEGER) AS online_presence_score,
   o_orderstatus <> 'P' AS website_alive,
   CAST([0.02, 0.04, 0.09, 0.5][CAST(o_orderkey % 4 AS INTEGER) + 1] AS DOUBLE) AS research_cost_usd,
   o_orderkey % 31 = 0 AS result_is_null,
@@ -265,6 +265,8 @@ SELECT rcid, CAST(floor(rcid / 250) + 1 AS INTEGER) AS batch_num, custom_id,
        WHEN rcid % 23 = 17 THEN 'I cannot classify this company.'
        WHEN rcid % 23 = 2 THEN concat_ws(',', CompanyID, CompanyName, '1', '6', '"only | two"', '"name"', '"ok"')
        WHEN rcid % 23 = 11 THEN concat_ws(',', CompanyID, CompanyName, '0', '3', '"a | b | c"', '"name;website"', '"checked"')
+       WHEN rcid % 23 = 1 THEN concat_ws(',', CompanyID, CompanyName, '1', '2', '"x | y | z"', '"name"', '"{S.INSUFFICIENT_INFO}"')
+       WHEN rcid % 23 = 4 THEN concat_ws(',', CompanyID, CompanyName, '0', '1', '""', '""', '"{S.INSUFFICIENT_INFO}"')
        WHEN rcid % 23 = 20 THEN 'Here is the answer:' || chr(10) || {line}
        WHEN rcid % 23 = 21 THEN {line} || chr(10) || {line}
        ELSE {line} END AS content,
@@ -319,10 +321,13 @@ FROM u3_base""")
     # flattened adoption replies as ingested (defaults applied per failure mode)
     VIEWS["adoption_ingested"] = (["u3"], """
 SELECT CAST(floor(rcid / 250) + 1 AS INTEGER) AS batch_num, custom_id, company_id, company_name,
-  CASE WHEN m = 13 THEN 'No' ELSE genai_strict_label END AS genai_strict_label,
-  CASE WHEN m = 13 THEN 'Low' ELSE genai_strict_confidence END AS genai_strict_confidence,
-  genai_moderate_label, genai_moderate_confidence, genai_lenient_label, genai_lenient_confidence,
-  primary_assessment, no_evidence_flag,
+  CASE WHEN m = 13 THEN 'No' WHEN m = 5 THEN 'Yes' ELSE genai_strict_label END AS genai_strict_label,
+  CASE WHEN m IN (5, 13) THEN 'Low' ELSE genai_strict_confidence END AS genai_strict_confidence,
+  CASE WHEN m = 5 THEN 'No' ELSE genai_moderate_label END AS genai_moderate_label,
+  CASE WHEN m = 5 THEN 'Low' ELSE genai_moderate_confidence END AS genai_moderate_confidence,
+  genai_lenient_label, genai_lenient_confidence,
+  CASE WHEN m = 6 THEN 'lenient' ELSE primary_assessment END AS primary_assessment,
+  CASE WHEN m = 6 THEN 1 ELSE no_evidence_flag END AS no_evidence_flag,
   CASE WHEN m = 17 THEN '' ELSE genai_functions_list END AS genai_functions_list,
   CASE WHEN m = 17 THEN '' ELSE genai_functions_details END AS genai_functions_details,
   reasoning,

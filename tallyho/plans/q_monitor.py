@@ -34,15 +34,15 @@ def q_detect_stuck(spark, sf_dir):
 
 @register("sliding_request_rate", sql=f"""{with_views('api_calls')},
 c AS (SELECT service, call_id, epoch_us(ts) AS t FROM api_calls)
-SELECT a.service, a.call_id, count(*) AS calls_in_window, count(*) > 20 AS over_limit,
-  CASE WHEN count(*) > 20 THEN (min(b.t) + {S.RATE_WINDOW_SEC * 1_000_000} - a.t) / 1e6 END AS wait_sec
+SELECT a.service, a.call_id, count(*) AS calls_in_window, count(*) > 1 AS over_limit,
+  CASE WHEN count(*) > 1 THEN (min(b.t) + {S.RATE_WINDOW_SEC * 1_000_000} - a.t) / 1e6 END AS wait_sec
 FROM c a JOIN c b ON a.service = b.service AND b.t > a.t - {S.RATE_WINDOW_SEC * 1_000_000}
   AND (b.t < a.t OR (b.t = a.t AND b.call_id <= a.call_id))
 GROUP BY a.service, a.call_id, a.t""")
 def q_sliding_request_rate(spark, sf_dir):
     """Calls per service in the trailing 60 s, exact, skew-safe."""
     calls = B.api_calls(Tables(spark, sf_dir))
-    return M.sliding_request_rate(calls, "service", "ts", "call_id", limit=20)
+    return M.sliding_request_rate(calls, "service", "ts", "call_id", limit=1)
 
 
 @register("throughput_eta", sql=f"""{W_BS}

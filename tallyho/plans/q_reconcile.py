@@ -178,12 +178,29 @@ def q_scan_latest_version(spark, sf_dir):
     return RD.scan_latest_version(runs, ["CompanyID"], "run_id")
 
 
+@register("scan_latest_file", sql=f"""{with_views('runs_b')}
+SELECT CompanyID, AI_native FROM runs_b""")
+def q_scan_latest_file(spark, sf_dir):
+    """Rows of the newest file set only: run B is written over a second after
+    run A, beside it (S6, by file time)."""
+    import time
+    from tallyho.sources import sinks
+    t = _t(spark, sf_dir)
+    path = sinks.scratch_path(spark, "runs")
+    a, b = (runs(t).select("CompanyID", "AI_native") for runs in (B.runs_a, B.runs_b))
+    a.write.parquet(path)
+    time.sleep(1.1)     # some file systems keep whole seconds
+    b.coalesce(1).write.mode("append").parquet(path)   # one file: one time
+    return RD.scan_latest_file(spark, path, b.schema)
+
+
 @register("scan_jsonl_tolerant", sql=f"""{with_views('search_log_flat', 'companies')}
-SELECT 'good' AS kind, count(*) AS n FROM search_log_flat
-UNION ALL SELECT 'malformed', count(*) FROM companies WHERE rcid % 50 = 25""")
+SELECT 'good' AS kind, rcid, name, timestamp, CAST(NULL AS VARCHAR) AS line FROM search_log_flat
+UNION ALL SELECT 'malformed', NULL, NULL, NULL, '{{"rcid": ' || CAST(rcid AS VARCHAR) || ', "name": '
+FROM companies WHERE rcid % 50 = 25""")
 def q_scan_jsonl_tolerant(spark, sf_dir):
     """Write the search log as JSON lines with blank and broken lines mixed
-    in, scan it tolerantly, and count good vs malformed lines (S3)."""
+    in, scan it tolerantly, and return the records and the malformed lines (S3)."""
     from tallyho.sources import sinks
     t = _t(spark, sf_dir)
     log = B.search_log(t)
@@ -195,16 +212,19 @@ def q_scan_jsonl_tolerant(spark, sf_dir):
     path = sinks.scratch_path(spark, "search_log_jsonl")
     lines.unionByName(broken).unionByName(blank).write.text(path)
     good, bad = RD.scan_jsonl_tolerant(spark, path, S.SEARCH_PASS_SCHEMA)
-    return (good.select(F.lit("good").alias("kind"))
-            .unionByName(bad.select(F.lit("malformed").alias("kind")))
-            .groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
+    return (good.select(F.lit("good").alias("kind"), "rcid", "name", "timestamp")
+            .unionByName(bad.select(F.lit("malformed").alias("kind"), F.col(RD.CORRUPT).alias("line")),
+                         allowMissingColumns=True))
 
 
 @register("rebuild_search_struct", sql=f"""{with_views('search_log_flat', 'search_hits')}
 SELECT l.rcid, l.timestamp,
   CASE WHEN coalesce(l.error, '') = '' THEN 'Summary of ' || coalesce(l.name, '') END AS answer,
-  CAST(CASE WHEN coalesce(l.error, '') = '' THEN coalesce(h.n, 0) ELSE 0 END AS INTEGER) AS result_count
-FROM search_log_flat l LEFT JOIN (SELECT rcid, count(*) AS n FROM search_hits GROUP BY rcid) h ON l.rcid = h.rcid""")
+  CAST(CASE WHEN coalesce(l.error, '') = '' THEN coalesce(h.n, 0) ELSE 0 END AS INTEGER) AS result_count,
+  CASE WHEN coalesce(l.error, '') = '' THEN coalesce(h.texts, '') ELSE '' END AS results
+FROM search_log_flat l LEFT JOIN (SELECT rcid, count(*) AS n,
+  string_agg(concat_ws('|', title, url, content), chr(10) ORDER BY rnk) AS texts
+  FROM search_hits GROUP BY rcid) h ON l.rcid = h.rcid""")
 def q_rebuild_search_struct(spark, sf_dir):
     """Stored raw JSON records -> typed search struct; the answer falls back
     to the raw response, missing keys get defaults (P21)."""
@@ -213,4 +233,6 @@ def q_rebuild_search_struct(spark, sf_dir):
     raw = log.select(F.to_json(F.struct(*log.columns)).alias("json"))
     rebuilt = SR.rebuild_search_struct(raw, "json")
     return rebuilt.select("rcid", "timestamp", F.col("tavily.answer").alias("answer"),
-                          F.col("tavily.result_count").alias("result_count"))
+                          F.col("tavily.result_count").alias("result_count"),
+                          F.array_join(F.transform("tavily.results", lambda r: F.concat_ws(
+                              "|", r["title"], r["url"], r["content"])), "\n").alias("results"))

@@ -331,14 +331,19 @@ def q_summarize_findings(spark, sf_dir):
 
 
 @register("drop_low_confidence_findings", sql=f"""{_RJ}
-SELECT c.company_id, CASE WHEN c.result_is_null THEN NULL ELSE CAST(coalesce(n.nf, 0) AS INTEGER) END AS n_kept
+SELECT c.company_id, CASE WHEN c.result_is_null THEN NULL ELSE CAST(coalesce(n.nf, 0) AS INTEGER) END AS n_kept,
+  CASE WHEN NOT c.result_is_null THEN coalesce(n.texts, '') END AS kept_findings
 FROM research_companies c LEFT JOIN
- (SELECT company_id, count(CASE WHEN confidence >= 0.5 THEN 1 END) AS nf FROM finding_rows GROUP BY company_id) n
+ (SELECT company_id, count(*) AS nf,
+    string_agg(concat_ws('|', tool_name, use_case, business_function, evidence_summary, source_url, source_type), ';'
+               ORDER BY ordinal) AS texts FROM finding_rows WHERE confidence >= 0.5 GROUP BY company_id) n
  ON c.company_id = n.company_id""")
 def q_drop_low_confidence_findings(spark, sf_dir):
     """Findings below 0.5 confidence removed from each result."""
     r = FD.drop_low_confidence_findings(B.research_results(_t(spark, sf_dir)))
-    return r.select("company_id", F.size("result.findings").alias("n_kept"))
+    texts = F.transform("result.findings", lambda f: F.concat_ws("|", *[f[n] for n in _FINDING_TEXTS]))
+    return r.select("company_id", F.size("result.findings").alias("n_kept"),
+                    F.array_join(texts, ";").alias("kept_findings"))
 
 
 @register("normalize_citations", sql=f"""{_RJ}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyho import schemas as S
 from tallyho.operators import search as SR
 from tallyho.plans import sqlfn as Q
 from tallyho.plans.oracle_views import with_views
@@ -76,13 +77,16 @@ def q_build_evidence_prompt(spark, sf_dir):
 
 
 @register("build_pass_record", sql=f"""{W}
-SELECT c.rcid, {Q.normalize_url('c.homepage_url')} AS website_url,
-  coalesce(s.status_code BETWEEN 200 AND 399, false) AS is_alive,
-  CAST(coalesce(h.n, 0) AS INTEGER) AS result_count,
+SELECT c.rcid, c.name, c.short_description, c.long_description AS description, c.homepage_url,
+  {Q.normalize_url('c.homepage_url')} AS website_url,
+  coalesce(s.status_code BETWEEN 200 AND 399, false) AS is_alive, s.status_code, s.final_url,
+  CASE WHEN c.homepage_url IS NULL THEN {Q.q(S.NO_URL_MESSAGE)} ELSE s.error END AS error,
+  CAST(coalesce(h.n, 0) AS INTEGER) AS result_count, coalesce(h.texts, '') AS results,
   'Find information on the company ' || coalesce(c.name, '') AS query
 FROM companies c
 LEFT JOIN site_checks s ON s.rcid = c.rcid
-LEFT JOIN (SELECT rcid, count(*) AS n FROM search_hits GROUP BY rcid) h ON h.rcid = c.rcid""")
+LEFT JOIN (SELECT rcid, count(*) AS n, string_agg(concat_ws('|', title, url, content), chr(10) ORDER BY rnk) AS texts
+  FROM search_hits GROUP BY rcid) h ON h.rcid = c.rcid""")
 def q_build_pass_record(spark, sf_dir):
     """Compose each company's nested pass record from profile, website
     check and search hits (P22)."""
@@ -92,7 +96,10 @@ def q_build_pass_record(spark, sf_dir):
         "final_url", "error")
     hits = B._search_results(t)
     rec = SR.build_pass_record(B.companies(t), checks, hits, "2026-01-01T00:00:00")
-    return rec.select("rcid", F.col("website_check.url").alias("website_url"),
-                      F.col("website_check.is_alive").alias("is_alive"),
+    return rec.select("rcid", "name", "short_description", "description", "homepage_url",
+                      F.col("website_check.url").alias("website_url"),
+                      *[F.col(f"website_check.{c}").alias(c) for c in ("is_alive", "status_code", "final_url", "error")],
+                      F.array_join(F.transform("tavily.raw_response.results", lambda r: F.concat_ws(
+                          "|", r["title"], r["url"], r["content"])), "\n").alias("results"),
                       F.col("tavily.result_count").alias("result_count"),
                       F.col("tavily.query").alias("query"))

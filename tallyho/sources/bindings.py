@@ -155,7 +155,8 @@ def finding_rows(t: Tables) -> DataFrame:
              .alias("source_url"),
             _pick(SOURCE_TYPES, F.pmod(F.col("l_suppkey"), F.lit(5)))
              .alias("source_type"),
-            (F.abs(F.col("l_discount")) * 10.0).alias("confidence"),
+            (F.abs(F.col("l_discount")) * 10.0
+             + F.when(F.col("l_partkey") % 61 == 5, F.lit(1.0)).otherwise(F.lit(0.0))).alias("confidence"),
         ).alias("finding"),
         # total order of findings inside a company (line numbers repeat)
         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
@@ -202,8 +203,8 @@ def _research_results(t: Tables) -> DataFrame:
                 F.col("o_orderpriority").alias("industry"),
                 F.year("o_orderdate").alias("founded_year"),
                 _pick(S.RESEARCH_STAGES, stage_idx).alias("research_stage_reached"),
-                F.pmod(F.col("o_custkey"), F.lit(101)).cast("int")
-                 .alias("online_presence_score"),
+                F.when(k % 59 == 7, F.lit(140)).otherwise(F.pmod(F.col("o_custkey"), F.lit(101)))
+                 .cast("int").alias("online_presence_score"),
                 (F.col("o_orderstatus") != "P").alias("website_alive"),
                 _pick(STAGE_COSTS, stage_idx).alias("research_cost_usd"),
                 F.when(k % 31 == 0, F.lit(None).cast(S.RESEARCH_RESULT_SCHEMA))
@@ -341,7 +342,8 @@ def _classification_responses(t: Tables) -> DataFrame:
     the rule labeller; some rows are failures: HTTP 500, empty choices,
     missing response, non-CSV text, text before the CSV line, two lines;
     two variants break the reply contract (confidence 6 with two reasons,
-    an unknown source)."""
+    an unknown source); two say that the information is insufficient, one of
+    them against the rules of that form."""
     from tallyho.operators.labelers import lexical_ai_native, reply_line
     lab = lexical_ai_native(companies(t))
     k = F.col("rcid")
@@ -352,9 +354,16 @@ def _classification_responses(t: Tables) -> DataFrame:
     bad_src = F.concat_ws(",", F.col("CompanyID"), F.col("CompanyName"), F.lit("0"),
                           F.lit("3"), F.lit('"a | b | c"'), F.lit('"name;website"'),
                           F.lit('"checked"'))
+    ins = F.lit(f'"{S.INSUFFICIENT_INFO}"')
+    bad_ins = F.concat_ws(",", F.col("CompanyID"), F.col("CompanyName"), F.lit("1"),
+                          F.lit("2"), F.lit('"x | y | z"'), F.lit('"name"'), ins)
+    good_ins = F.concat_ws(",", F.col("CompanyID"), F.col("CompanyName"), F.lit("0"),
+                           F.lit("1"), F.lit('""'), F.lit('""'), ins)
     content = (F.when(m == 17, F.lit("I cannot classify this company."))
                .when(m == 2, bad_conf)
                .when(m == 11, bad_src)
+               .when(m == 1, bad_ins)
+               .when(m == 4, good_ins)
                .when(m == 20, F.concat(F.lit("Here is the answer:\n"), line))
                .when(m == 21, F.concat(line, F.lit("\n"), line))
                .otherwise(line))
@@ -381,7 +390,8 @@ def adoption_responses(t: Tables) -> DataFrame:
 def _adoption_responses(t: Tables) -> DataFrame:
     """Batch responses whose content is the three-mode JSON reply; some are
     malformed, wrapped in text, HTTP errors, a null mode object, missing
-    the functions key, or carry reasoning as a string."""
+    the functions key, or carry reasoning as a string; some break the rules
+    (strict without moderate; no evidence, but another primary mode)."""
     from tallyho.operators.labelers import lexical_adoption_modes
     lab = lexical_adoption_modes(companies(t))
     k = F.col("rcid")
@@ -395,7 +405,16 @@ def _adoption_responses(t: Tables) -> DataFrame:
     no_funcs = F.to_json(a.dropFields("genai_functions"), keep_nulls)
     reason_str = F.to_json(a.withField("reasoning", F.array_join(a["reasoning"], " ")),
                            keep_nulls)
+    def mode(label):
+        return F.struct(F.lit(label).alias("label"), F.lit("Low").alias("confidence"))
+
+    not_nested = F.to_json(a.withField("genai_adoption_strict", mode("Yes"))
+                           .withField("genai_adoption_moderate", mode("No")), keep_nulls)
+    contrary = F.to_json(a.withField("primary_assessment", F.lit("lenient"))
+                         .withField("no_evidence_of_genai_use", F.lit(True)), keep_nulls)
     content = (F.when(m == 3, F.lit("Sorry, no JSON today."))
+               .when(m == 5, not_nested)
+               .when(m == 6, contrary)
                .when(m == 7, F.concat(F.lit("Result: "), full, F.lit(" -- end")))
                .when(m == 13, null_strict)
                .when(m == 17, no_funcs)

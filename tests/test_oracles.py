@@ -55,3 +55,17 @@ def test_query_without_oracle_runs(spark, key):
 def test_every_query_has_a_docstring():
     from tallyho.plans.registry import DOCS
     assert all(DOCS[k] for k in QUERIES)
+
+
+@pytest.mark.parametrize("key, column", [
+    ("check_reply_contract", "violations"), ("check_insufficient_info", "violations"),
+    ("check_adoption_invariants", "violations"), ("check_mode_monotonic", "violations"),
+    ("check_ranges", "violations"), ("check_source_confidence_band", "violations"),
+    ("sliding_request_rate", "over_limit"), ("plan_even_batches", "batch_num"),
+    ("plan_greedy_batches", "batch_num"), ("escalation_rule", "mismatch")])
+def test_checks_have_both_outcomes(key, column):
+    """A rule that never, or always, fires would be told apart from a right one."""
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{table_path('/root/testdata/sf0.01', t)}')")
+    assert len(c.sql(f"SELECT DISTINCT {column} FROM ({ORACLES[key]})").fetchall()) > 1
