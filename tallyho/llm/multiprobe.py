@@ -13,9 +13,9 @@ zero there.  Buckets and the queries that visit them meet in tiles of bounded
 size, so a bucket may hold any number of rows.
 
 Vectors that are null, zero, of another length than most, or hold null or
-non-finite components take no part.  Repeated rows are separate candidates
-(a query leaves out every row of its own id).  Only ``vec_id`` and
-``embedding`` are read.  An empty table gives an empty result.
+non-finite components take no part.  Rows of one id count as one candidate,
+by the nearest of them, and as one query, by the nearest of its rows; a query
+leaves out every row of its own id.  Only ``vec_id`` and ``embedding`` are read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -145,7 +145,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST) -> DataFrame
              .cogroup(dealt(entries, "across", "down").groupBy(tile))
              .applyInPandas(rank_tile, "query_id long, vec_id long, score double"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (found.dropDuplicates(["query_id", "vec_id"])
+    return (found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
             .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 

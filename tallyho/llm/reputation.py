@@ -80,9 +80,11 @@ def host_reputation(judged: DataFrame) -> DataFrame:
     def shrunk(prior: Column, strength: float) -> Column:
         return (F.col("bad") + strength * prior) / (F.col("n") + strength)
 
-    by_suffix = suffixes.select("suffix", shrunk(F.lit(mean), _strength(suffixes)).alias("suffix_share"))
-    by_domain = domains.join(by_suffix, "suffix").select(
-        "domain", shrunk(F.col("suffix_share"), _strength(domains)).alias("domain_share"))
+    # written, so that the join shuffles both sides and a suffix with most domains can be split
+    by_suffix = staged(suffixes.select("suffix", shrunk(F.lit(mean), _strength(suffixes)).alias("suffix_share")),
+                       "suffixes")
+    by_domain = staged(domains.join(by_suffix, "suffix").select(
+        "domain", shrunk(F.col("suffix_share"), _strength(domains)).alias("domain_share")), "domains")
     m = _strength(hosts)
     share = shrunk(F.col("domain_share"), m)
     return hosts.join(by_domain, "domain").select(

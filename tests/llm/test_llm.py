@@ -8,6 +8,8 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -264,6 +266,12 @@ def test_nearest_edge_vectors(spark):
     got = {q: [r.vec_id for r in sorted(rs, key=lambda r: r.rank)] for q, rs in
            _grouped(multiprobe.ann_query(df)).items()}
     assert got == {20: [1, 2, 40, 3], 40: [1, 2, 20, 3]}
+    # rows of one id: one candidate, by the nearest of them
+    twice = df.select("vec_id", "embedding").unionByName(
+        spark.createDataFrame([(3, [0.2, 0.1]), (1, same)], "vec_id long, embedding array<float>"))
+    got = {q: [(r.rank, r.vec_id) for r in sorted(rs, key=lambda r: r.rank)] for q, rs in
+           _grouped(multiprobe.ann_query(twice)).items()}
+    assert got[20] == [(1, 1), (2, 2), (3, 40), (4, 3)]
     assert multiprobe.ann_query(df.limit(0)).count() == 0
 
 
@@ -402,6 +410,19 @@ def test_pii_patterns_on_odd_texts(text):
     assert [f"{pii_boost.KINDS[k]}:{s}:{e}" for k in range(4) for s, e in spans[k]] == _pii(text)
 
 
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 9))), st.integers(0, 50), st.integers(1, 9))
+def test_spans_touch_like_brute_force(spans, start, size):
+    spans = [(s, s + n) for s, n in spans]
+    made, used, kept = pii_boost.Spans(spans), pii_boost.Spans(()), []
+    assert made.touch(start, start + size) == any(start < e and s < start + size for s, e in spans)
+    for s, e in spans:
+        free = not any(s < b and a < e for a, b in kept)
+        assert used.touch(s, e) == (not free)
+        if free:
+            used.add(s, e)
+            kept.append((s, e))
+
+
 def test_trees_add_candidates_like_the_learned_ones():
     trees = quality_gbt.Trees(np.zeros((0, 1), int), np.zeros((0, 1)), np.zeros((0, 2)), 5.0)
     model = pii_boost.PiiModel(trees, [0.9, 2.0, 2.0, 0.9])
