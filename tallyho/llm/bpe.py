@@ -16,7 +16,8 @@ number of merges and not with its square; an arc that is asked for is resolved
 through the links once and then stands in the transition table.  Exactly one
 path of the automaton spells a word, and exactly one spells each prefix, so a
 word is encoded by walking its positions from the left and following, from
-the state of each earlier position, the one arc that ends there.  Decoding
+the state of each earlier position, the one arc that ends there (only
+sizes are tried that some token with the last symbols has).  Decoding
 emits the arc labels.
 
 The merge list must be proper: each part of a merge is a base symbol or the
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import unicodedata
 from dataclasses import dataclass
 
@@ -43,9 +45,10 @@ from pyspark.sql import types as T
 
 from tallyho.llm.common import map_texts, worker_cache
 
-CACHED_PATHS = 250_000  # and the paths of this many prefixes of words
+TAIL = 3                # symbols that tell which sizes of tokens are tried
+CACHED_TAILS = 200_000  # a worker keeps the sizes of this many tails
 _SEPARATORS = regex.compile("[\x1c-\x1f]").search
-CACHED_WORDS = 150_000  # a worker keeps this many words of late encoded, and as many of before
+CACHED_WORDS = 250_000  # a worker keeps this many words of late encoded, and as many of before
 
 
 class Automaton:
@@ -58,7 +61,7 @@ class Automaton:
         self.made: dict[int, int] = {}          # rank of the gadget that made a token's arcs
         self.cut: dict[tuple[int, int], int] = {}  # arcs taken away, and by which gadget
         self.table: dict[int, bool] = {}
-        self.paths: dict[str, tuple[int, int]] = {}  # last step of the path that spells a prefix
+        self.ends: dict[str, tuple[Endings, Endings]] = {}  # by word-end mark: inside a word, at its end
         ranked = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
         products = {t for *_, t in ranked}
         done: set[int] = set()
@@ -69,7 +72,6 @@ class Automaton:
             self.gadget(rank, u, v, token)
             done.add(token)
         self.vocab = {s: i for s, i in vocab.items() if i not in self.void}
-        self.longest = max(map(len, vocab), default=0)
 
     def gadget(self, rank: int, u: int, v: int, token: int) -> None:
         """Act on the automaton; a merge whose parts never meet in it leaves no arc."""
@@ -109,28 +111,29 @@ class Automaton:
         n = len(symbols)
         if not n:
             return []
-        find, known, longest, paths = self.vocab.get, self.table.get, self.longest, self.paths
-        if len(paths) >= CACHED_PATHS:
-            paths.clear()
+        if end not in self.ends:
+            inner = {s: i for s, i in self.vocab.items() if not (end and s.endswith(end))}
+            self.ends[end] = (Endings(inner), Endings(
+                {s[:len(s) - len(end)]: i for s, i in self.vocab.items() if s.endswith(end)}) if end else Endings(inner))
+        inside, final = self.ends[end]
+        known = self.table.get
         last = [-1] * (n + 1)   # token that ends at a position
         start = [0] * (n + 1)
         for stop in range(1, n + 1):
-            head = symbols[:stop] + end if stop == n else symbols[:stop]
-            seen = paths.get(head) if stop < n else None
-            if seen is not None:
-                last[stop], start[stop] = seen
-                continue
-            for begin in range(stop - longest if stop > longest else 0, stop):
-                token = find(head[begin:])
+            at = inside if stop < n else final
+            find = at.find
+            for size in at[symbols[stop - TAIL if stop > TAIL else 0:stop]]:
+                begin = stop - size
+                if begin < 0:
+                    continue
+                token = find(symbols[begin:stop])
                 if token is None:
                     continue
                 if begin:
                     follows = known(last[begin] << 32 | token)
                     if not (self.arc(last[begin], token) if follows is None else follows):
                         continue
-                last[stop], start[stop] = step = token, begin
-                if stop < n:
-                    paths[head] = step
+                last[stop], start[stop] = token, begin
                 break
             else:
                 raise ValueError("a symbol is not in the vocabulary")
@@ -141,6 +144,26 @@ class Automaton:
         return out[::-1]
 
 
+class Endings(dict):
+    """Last symbols of what was read (up to ``TAIL``) -> sizes of the tokens
+    that can end there, largest first."""
+
+    def __init__(self, tokens: dict[str, int]):
+        super().__init__()
+        self.find = tokens.get
+        self.longer: dict[str, set[int]] = {}
+        for s in tokens:
+            if len(s) > TAIL:
+                self.longer.setdefault(s[-TAIL:], set()).add(len(s))
+
+    def __missing__(self, tail: str) -> tuple[int, ...]:
+        if len(self) >= CACHED_TAILS:
+            self.clear()
+        sizes = {k for k in range(1, len(tail) + 1) if self.find(tail[-k:]) is not None}
+        self[tail] = out = tuple(sorted(sizes | self.longer.get(tail, set()), reverse=True))
+        return out
+
+
 def _byte_symbols() -> dict[int, str]:
     """The printable stand-ins of byte-level BPE: printable Latin-1 bytes stand
     for themselves, the others follow from U+0100 in order."""
@@ -163,7 +186,7 @@ class _Words(dict):
         out = self.before.get(chunk)
         if out is None:
             ids = [i for word in self.codec.split(chunk) for i in self.codec.word(word)]
-            out = (np.array(ids, "<u4").tobytes(), self.codec.labels(ids))
+            out = (struct.pack(f"<{len(ids)}I", *ids), self.codec.labels(ids))
         self[chunk] = out
         return out
 
@@ -206,7 +229,9 @@ class Codec:
         self.words = _Words(self)
 
     def word(self, word: str) -> list[int]:
-        return self.automaton.encode("".join([self.symbols[b] for b in word.encode()]), self.end)
+        # printable ASCII stands for itself
+        plain = word.isascii() and word.isprintable() and " " not in word
+        return self.automaton.encode(word if plain else "".join([self.symbols[b] for b in word.encode()]), self.end)
 
     def labels(self, ids) -> str:
         return " ".join([self.label[i] for i in ids])
