@@ -275,6 +275,25 @@ def test_nearest_edge_vectors(spark):
     assert multiprobe.ann_query(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["lognormal", "outlier", "tail", "few"])
+def test_nearest_whatever_the_norms(spark, kind):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60 if kind == "few" else 3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "lognormal":
+        x *= rng.lognormal(0, 1, (len(x), 1))
+    elif kind == "outlier":
+        x[7] *= 100
+    elif kind == "tail":    # queries far from all candidates' buckets
+        line = multiprobe.Hashes(64, [(0, 1.0, 9999)]).lines[0, 0, :64]
+        x[::20] = line / np.linalg.norm(line) * 0.99 + 0.01 * x[::20]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = _neighbours(df.collect())
+    got = {q: [r.vec_id for r in rs] for q, rs in _grouped(multiprobe.ann_query(df)).items()}
+    assert {q: len(set(g)) for q, g in got.items()} == dict.fromkeys(want, 20)
+    assert np.mean([len(set(want[q]) & set(got[q])) / 20 for q in want]) >= 0.9
+
+
 def _grouped(df):
     out = collections.defaultdict(list)
     for r in df.collect():
