@@ -116,14 +116,25 @@ def usable(vectors: DataFrame) -> tuple[DataFrame, int, list[tuple[int, float, i
     return rows.drop("norm"), sizes[0]["size"], sorted(ranges, reverse=True)
 
 
-def best_rows(q: np.ndarray, close: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and exact scores of the ``k`` best rows; ``close`` are rough scores, -inf for rows left out."""
-    # all rows up to the k-th by a margin above rounding, then exactly ranked
-    least = np.partition(close, -k)[-k] if len(close) > k else -np.inf
+def by_id(found: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """``found`` ordered by id, and where each id begins."""
+    found = found.sort_values("vec_id", kind="stable", ignore_index=True)
+    ids = found.vec_id.to_numpy()
+    return found, np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+
+
+def best_rows(q: np.ndarray, close: np.ndarray, c: np.ndarray, ids: np.ndarray, starts: np.ndarray,
+              k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and exact scores of the best rows of the ``k`` best ids; ``close`` are
+    rough scores, -inf for rows left out, and ids begin at ``starts``."""
+    # all rows up to the k-th id by a margin above rounding, then exactly ranked
+    top = np.maximum.reduceat(close, starts) if len(starts) < len(close) else close
+    least = np.partition(top, -k)[-k] if len(top) > k else -np.inf
     margin = 1e-9 * (1 + abs(least)) if least > -np.inf else 0.0
     at = np.flatnonzero((close > -np.inf) & (close >= least - margin))
     score = (q * c[at]).sum(1)
-    best = np.lexsort((ids[at], -score))[:k]
+    best = np.lexsort((ids[at], -score))
+    best = best[np.sort(np.unique(ids[at][best], return_index=True)[1])][:k]
     return at[best], score[best]
 
 
@@ -142,13 +153,15 @@ def probes_needed(rows: DataFrame, is_query: Column, hashes: Hashes, occupied: l
         for b in batches:
             if not len(b):
                 continue
+            b, starts = by_id(b)
             c, own = np.stack(b.v).astype(float), b.vec_id.to_numpy()
             buckets = hashes.rows(c, b.exponent.to_numpy())
             close = x @ c.T
             for i in range(len(ids)):
-                at, score = best_rows(x[i], np.where(own == ids[i], -np.inf, close[i]), c, own, k)
+                at, score = best_rows(x[i], np.where(own == ids[i], -np.inf, close[i]), c, own, starts, k)
                 new = pd.DataFrame({"q": i, "vec_id": own[at], "score": score, "buckets": list(buckets[at])})
-                best[i] = pd.concat([best[i], new] if len(best[i]) else [new]).nlargest(k, "score")
+                best[i] = (pd.concat([best[i], new] if len(best[i]) else [new]).sort_values("score", ascending=False)
+                           .drop_duplicates("vec_id").head(k))
         for part in best:
             if len(part):
                 yield part
@@ -223,11 +236,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST) -> DataFrame
     def rank_tile(queries: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(queries) and len(found):
+            found, starts = by_id(found)
             q, c, ids = np.stack(queries.v).astype(float), np.stack(found.v).astype(float), found.vec_id.to_numpy()
             close = q @ c.T
             for i, (query_id, near) in enumerate(zip(queries.vec_id, close)):
                 near = np.where(ids == query_id, -np.inf, near)
-                best, score = best_rows(q[i], near, c, ids, k)
+                best, score = best_rows(q[i], near, c, ids, starts, k)
                 out["query_id"] += [query_id] * len(best)
                 out["vec_id"] += ids[best].tolist()
                 out["score"] += score.tolist()

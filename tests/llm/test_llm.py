@@ -294,6 +294,21 @@ def test_nearest_whatever_the_norms(spark, kind):
     assert np.mean([len(set(want[q]) & set(got[q])) / 20 for q in want]) >= 0.9
 
 
+def test_nearest_id_of_many_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((100, 8))
+    x[7] = x[20] * 3
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, (x[20] * (3 + j / 100)).tolist()) for j in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {q: [r.vec_id for r in sorted(rs, key=lambda r: r.rank)] for q, rs in
+           _grouped(multiprobe.ann_query(df)).items()}
+    want = {}
+    for q in range(0, 100, 20):
+        best = {i: max(np.dot(x[q], v) for j, v in rows if j == i) for i in range(100) if i != q}
+        want[q] = sorted(best, key=lambda i: (-best[i], i))[:20]
+    assert got == want
+
+
 def _grouped(df):
     out = collections.defaultdict(list)
     for r in df.collect():
