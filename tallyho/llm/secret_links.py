@@ -35,11 +35,12 @@ BASE = [
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]+", 0, 32),
 ]
-#: Weak parts: name, pattern.  Their order follows that of the base kinds.
+#: Weak parts: name, pattern.  Their order follows that of the base kinds.  Keys may
+#: have a prefix that ends in any character but a letter or digit (aws_, DB_, x-).
 WEAK = [
-    ("id", r"""(?i)\b(client_?id|access_?key_?id|account_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+_.-]{3,})"""),
-    ("part", r"""(?i)\b(client_?secret|secret_?access_?key|private_?key|access_?key|credentials?|passphrase|pass|pwd|auth|bearer)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{6,})"""),
-    ("endpoint", r"""(?i)\b([a-z][a-z0-9+.-]*://[^\s"'<>]{3,}|(host|endpoint|server)["']?\x20*[:=]\x20*["']?[a-z0-9.-]{3,})"""),
+    ("id", r"""(?i)(?<![A-Za-z0-9])(client[_-]?id|access[_-]?key[_-]?id|account[_-]?id|user[_-]?name|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+_.-]{3,})"""),
+    ("part", r"""(?i)(?<![A-Za-z0-9])((client[_-]?secret|secret[_-]?access[_-]?key|private[_-]?key|access[_-]?key|credentials?|passphrase|pass|pwd|auth|bearer)["']?\x20*[:=]\x20*["']?((bearer|basic)\x20+)?([A-Za-z0-9+/_.=-]{6,})|authorization["']?\x20*[:=]\x20*["']?(bearer|basic)\x20+[A-Za-z0-9+/_.=~-]+|bearer\x20+[A-Za-z0-9+/_.=~-]{6,})"""),
+    ("endpoint", r"""(?i)(?<![A-Za-z0-9])([a-z][a-z0-9+.-]*://[^\s"'<>]{3,}|(host|endpoint|server)["']?\x20*[:=]\x20*["']?[a-z0-9.-]{3,})"""),
 ]
 KINDS = [k for k, *_ in BASE] + [k for k, *_ in WEAK]
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -73,6 +74,8 @@ def _matches(text: Column, kind: str, pattern: str, group: int, least: int) -> C
         hint = F.lit(False)
         for h in _HINT[kind]:
             hint = hint | F.contains(text, F.lit(h))
+        if kind == "part":
+            hint = hint | F.contains(F.lower(text), F.lit("bearer"))
         there = hint & there
     return F.when(there, found).otherwise(none)
 
