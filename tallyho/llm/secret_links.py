@@ -2,11 +2,14 @@ r"""Secret scan with linking of multipart credentials.
 
 Three base kinds are reported by themselves.  Weak parts (an account or key
 identifier, a keyed value that alone proves nothing, an endpoint) are reported
-only when complementary parts stand within ``LINK_CHARS`` code points in the
-same text: an identifier next to a secret (weak or base), a weak secret next
-to an identifier, an endpoint next to both.  Parts meet in an interval join on
-(row, cell of ``LINK_CHARS``) with the neighbouring cells, so no text's parts
-are paired with one another beyond that distance.
+only next to complementary parts of the same text: an identifier next to a
+secret (weak or base), a weak secret next to an identifier, an endpoint next
+to both.  Parts are next to each other if at most ``LINK_CHARS`` code points
+lie between them, or at any distance in one scope: the innermost {object}, or
+among parts whose line begins with them or their key, the block between blank
+lines or the section from one [header] to the next.  Parts meet in a join on
+(row, scope) or (row, cell of ``LINK_CHARS``), with one entry for each cell
+that a part reaches.
 
 Only built-in DataFrame functions are used.  Positions are code points: every
 match is put between two private-use marks (texts that hold these characters
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyho.llm.common import staged
 
@@ -43,6 +47,10 @@ WEAK = [
     ("endpoint", r"""(?i)(?<![A-Za-z0-9])([a-z][a-z0-9+.-]*://[^\s"'<>]{3,}|(host|endpoint|server)["']?\x20*[:=]\x20*["']?[a-z0-9.-]{3,})"""),
 ]
 KINDS = [k for k, *_ in BASE] + [k for k, *_ in WEAK]
+#: What bounds scopes: name, pattern; numbered on from ``KINDS``.
+BOUNDS = [("blank", r"\n(?:[\x20\t\r]*\n)+"), ("header", r"(?m)^[\x20\t]*\[[^\]\[\n]+\][\x20\t\r]*$"), ("open", r"\{"), ("close", r"\}")]
+_LINE_CHARS = 200   # of a line before a part, which may hold its key
+_LINE = r"""(?:^|\n)[\x20\t"'{,*-]*(?:(?:export|set|env)\x20+)?[A-Za-z0-9_.-]*(?:["']?\x20*[:=]\x20*["']?)?$"""
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 #: What a text must hold for a pattern to match, tested by plain search.
 _HINT = {"assign": [":", "="], "access": ["AKIA"], "id": [":", "="], "part": [":", "="], "endpoint": [":", "="]}
@@ -52,7 +60,7 @@ _FIND = {"hex": r"[0-9a-f]{32,}"}
 
 def _matches(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """Spans of one kind as an array of (start, kind, end)."""
-    number = KINDS.index(kind)
+    number = [*KINDS, *(b for b, _ in BOUNDS)].index(kind)
     marked = F.regexp_replace(F.translate(text, _OPEN + _CLOSE, "\u0001\u0001"),
                               F.lit(_FIND.get(kind, pattern)), F.lit(f"{_OPEN}$0{_CLOSE}"))
     pieces = F.split(marked, f"[{_OPEN}{_CLOSE}]", -1)
@@ -96,29 +104,79 @@ def weak_spans(text: Column, base: Column) -> Column:
     return F.when(F.size(found) > 0, free).otherwise(F.array().cast(_SPAN))
 
 
+def scope_marks(text: Column, base: Column, weak: Column) -> Column:
+    """All parts and scope bounds of texts with weak parts: ``start, kind, end, line``."""
+    def marked(p: Column, line: Column) -> Column:
+        return F.struct(p.start.alias("start"), p.kind.alias("kind"), p.end.alias("end"), line.alias("line"))
+
+    def begins(p: Column) -> Column:
+        """Whether the part or its key is the first on its line."""
+        size = F.least(p.start, F.lit(_LINE_CHARS))
+        before = F.substring(text, p.start - size + 1, size)
+        # a line that begins further ahead is not taken for one that begins here
+        return F.when(p.start > size, F.concat(F.lit("|"), before)).otherwise(before).rlike(_LINE)
+
+    bounds = F.concat(*[_matches(text, n, p, 0, 1) for n, p in BOUNDS])
+    made = F.concat(F.transform(F.concat(base, weak), lambda p: marked(p, begins(p))),
+                    F.transform(bounds, lambda p: marked(p, F.lit(False))))
+    return F.when(F.size(weak) > 0, made)
+
+
+def _keyed(marks: DataFrame) -> DataFrame:
+    """The parts among ``marks`` with ``keys``: the cells and scopes they lie in."""
+    blank, header, opened, closed = (len(KINDS) + i for i in range(len(BOUNDS)))
+    kind = F.col("kind")
+    so_far = Window.partitionBy("row_id").orderBy("start", F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    level = Window.partitionBy("row_id", "level").orderBy("start", F.desc("kind"))
+
+    def number(holds: Column) -> Column:
+        return F.sum(holds.cast("long")).over(so_far)
+
+    brace = F.when(kind.isin(opened, closed), F.struct("kind", "start"))
+    cells = F.transform(F.sequence(F.floor(F.col("start") / LINK_CHARS), F.floor((F.col("end") + LINK_CHARS) / LINK_CHARS)),
+                        lambda n: F.struct(F.lit("cell").alias("scope"), n.cast("long").alias("n")))
+
+    def scope(name: str, holds: Column, n: Column) -> Column:
+        return F.when(holds, F.array(F.struct(F.lit(name).alias("scope"), n.cast("long").alias("n")))).otherwise(
+            F.array().cast("array<struct<scope:string,n:bigint>>"))
+
+    return (marks.withColumn("block", number(kind.isin(blank, header))).withColumn("section", number(kind == header))
+            .withColumn("level", number(kind == opened) - number(kind == closed) + (kind == closed).cast("long"))
+            .withColumn("before", F.last(brace, True).over(level.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("after", F.first(brace, True).over(level.rowsBetween(0, Window.unboundedFollowing)))
+            .where(kind < blank)
+            .select("row_id", "start", "kind", "end", F.concat(
+                cells, scope("block", F.col("line"), F.col("block")),
+                scope("section", F.col("line") & (F.col("section") > 0), F.col("section")),
+                scope("object", F.coalesce((F.col("before.kind") == opened) & (F.col("after.kind") == closed), F.lit(False)),
+                      F.col("before.start"))).alias("keys")))
+
+
 def linked_parts(rows: DataFrame) -> DataFrame:
-    """``row_id, linked``: the weak parts of ``rows`` (row_id, base, weak) whose
+    """``row_id, linked``: the weak parts of ``rows`` (row_id, weak, marks) whose
     complementary parts co-occur."""
     ident, part, endpoint = (KINDS.index(k) for k in ("id", "part", "endpoint"))
     access = KINDS.index("access")
-    parts = (rows.where(F.size("weak") > 0)
-             .select("row_id", F.explode(F.concat("base", "weak")).alias("p"))
-             .select("row_id", "p.start", "p.kind", "p.end")
-             .withColumn("role", F.when(F.col("kind").isin(ident, access), "id")
-                         .when(F.col("kind") == endpoint, "endpoint").otherwise("secret"))
-             .withColumn("cell", F.floor(F.col("start") / LINK_CHARS)))
+    marks = rows.where(F.size("weak") > 0).select("row_id", F.explode("marks").alias("p")).select("row_id", "p.*")
+    parts = staged(_keyed(marks), "parts")
     weak = parts.where(F.col("kind") >= ident)
-    near = (parts.where("role <> 'endpoint'")
-            .select(F.col("row_id").alias("row_b"), F.col("start").alias("start_b"), F.col("role").alias("role_b"),
-                    F.explode(F.array(*[F.col("cell") + d for d in (-1, 0, 1)])).alias("cell_b")))
-    meets = ((F.col("row_id") == F.col("row_b")) & (F.col("cell") == F.col("cell_b"))
-             & (F.abs(F.col("start") - F.col("start_b")) <= LINK_CHARS))
-    by_id = near.where("role_b = 'id'")
-    by_secret = near.where("role_b = 'secret'")
-    linked = (weak.where(F.col("kind") == ident).join(by_secret, meets, "left_semi")
-              .unionByName(weak.where(F.col("kind") == part).join(by_id, meets, "left_semi"))
-              .unionByName(weak.where(F.col("kind") == endpoint).join(by_id, meets, "left_semi")
-                           .join(by_secret, meets, "left_semi")))
+    role = F.when(F.col("kind").isin(ident, access), "id").when(F.col("kind") != endpoint, "secret")
+    cell = F.col("key_b.scope") == "cell"
+    near = (parts.select(F.col("row_id").alias("row_b"), role.alias("role_b"), "start", "end", F.explode("keys").alias("key_b"))
+            .where("role_b is not null")
+            .select("row_b", "role_b", "key_b", F.when(cell, F.col("start")).alias("start_b"), F.when(cell, F.col("end")).alias("end_b"))
+            .distinct())   # one row a scope and role
+
+    def beside(found: DataFrame, name: str) -> DataFrame:
+        """The parts of ``found`` next to one of a role."""
+        gap = F.greatest(F.col("start_b") - F.col("end"), F.col("start") - F.col("end_b"))
+        meets = (F.col("row_id") == F.col("row_b")) & (F.col("key") == F.col("key_b")) & (F.coalesce(gap, F.lit(0)) <= LINK_CHARS)
+        return (found.withColumn("key", F.explode("keys")).join(near.where(F.col("role_b") == name), meets, "left_semi")
+                .drop("key").distinct())
+
+    linked = (beside(weak.where(F.col("kind") == ident), "secret")
+              .unionByName(beside(weak.where(F.col("kind") == part), "id"))
+              .unionByName(beside(beside(weak.where(F.col("kind") == endpoint), "id"), "secret")))
     return linked.groupBy("row_id").agg(F.collect_list(F.struct("start", "kind", "end")).alias("linked"))
 
 
@@ -132,10 +190,10 @@ def _with_links(rows: DataFrame) -> DataFrame:
     """``rows`` with ``spans``: base spans and linked parts.
 
     Rows without weak parts pass by the join."""
-    plain = rows.where(F.size("weak") == 0).withColumn("spans", F.col("base"))
+    plain = rows.where(F.size("weak") == 0).withColumn("spans", F.col("base")).drop("marks")
     linked = (rows.where(F.size("weak") > 0).join(linked_parts(rows), "row_id", "left")
               .withColumn("spans", F.array_sort(F.concat(
-                  "base", F.coalesce("linked", F.array().cast(_SPAN))))).drop("linked"))
+                  "base", F.coalesce("linked", F.array().cast(_SPAN))))).drop("linked", "marks"))
     return plain.unionByName(linked)
 
 
@@ -143,7 +201,8 @@ def secrets_query(docs: DataFrame) -> DataFrame:
     """Counts, digest of the base spans, and all spans of every document."""
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = (text.withColumn("base", base_spans(F.col("text")))
-             .select("doc_id", "base", weak_spans(F.col("text"), F.col("base")).alias("weak"))
+             .withColumn("weak", weak_spans(F.col("text"), F.col("base")))
+             .select("doc_id", "base", "weak", scope_marks(F.col("text"), F.col("base"), F.col("weak")).alias("marks"))
              .withColumn("row_id", F.monotonically_increasing_id()))
     rows = _with_links(staged(found, "secrets"))   # written: row ids are fixed, spans found once
 
@@ -179,7 +238,8 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("doc")[column["text"]], F.lit(""))
     found = (boxed.withColumn("base", base_spans(text))
              .withColumn("weak", weak_spans(text, F.col("base"))))
-    weak = staged(found.where(F.size("weak") > 0).withColumn("row_id", F.monotonically_increasing_id()), "weak")
+    weak = staged(found.where(F.size("weak") > 0)
+                  .withColumn("marks", scope_marks(text, F.col("base"), F.col("weak"))).withColumn("row_id", F.monotonically_increasing_id()), "weak")
     rows = (found.where(F.size("weak") == 0).select("doc", F.col("base").alias("spans"))
             .unionByName(_with_links(weak).select("doc", "spans")))
     new = F.when(F.size("spans") > 0, _redacted(text, F.col("spans")))

@@ -515,6 +515,25 @@ def test_weak_parts_with_prefixes(spark):
         assert secret or (clean[i].text == text and not found[i])
 
 
+def test_parts_link_by_gap_and_scope(spark):
+    long, lines = "x" * 900, "".join(f"setting_{i} = plain words of no use\n" for i in range(20))
+    pad = "words " * 60
+    both, none = {"id", "part"}, set()
+    cases = {1: (f"passphrase={long} user=bob", both), 2: (f"user={long} pwd=hunter22", both),
+             3: (f"user=bob{' ' * 190} https://a.example.com/?q={long} pwd=hunter22", {"endpoint"}),
+             4: (f"user = bob\n{lines}pwd = hunter22\n", both), 5: (f"user = bob\n{lines}\npwd = hunter22\n", none),
+             6: (f"[db]\nuser = bob\n\n{lines}\npwd = hunter22\n[next]\n", both),
+             7: (f"[db]\nuser = bob\n{lines}[next]\npwd = hunter22\n", none),
+             8: ('{"a": {"user": "bob", "b": {"c": "' + pad + '"}, "pwd": "hunter22"}}', both),
+             9: ('{"a": {"user": "bob", "c": "' + pad + '"}, "pwd": "hunter22"}', none),
+             10: (f"he said user=bob here\n{lines}and then pwd=hunter22", none), 11: (f"{{ user=bob {pad} pwd=hunter22", none)}
+    df = spark.createDataFrame([(i, t) for i, (t, _) in cases.items()], "doc_id long, text string")
+    got = {r.doc_id: {s.split(":")[0] for s in r.spans.split(",") if s} for r in secret_links.secrets_query(df).collect()}
+    assert got == {i: kinds for i, (_, kinds) in cases.items()}
+    clean = by_id(secret_links.redact_secrets(df))
+    assert all(("hunter22" in clean[i].text) == ("part" not in kinds) for i, (t, kinds) in cases.items() if "hunter22" in t)
+
+
 def test_redaction(edge):
     rows = secret_links.redact_secrets(edge)
     assert rows.columns == edge.columns and rows.count() == edge.count()
