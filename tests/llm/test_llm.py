@@ -464,6 +464,29 @@ def test_trees_add_candidates_like_the_learned_ones():
     assert [text[s:e] for _, s, e in model.added(text, [[], [], [], []])] == ["jo (at) mail (dot) com", "234 555 6789"]
 
 
+def test_fitted_trees_add_planted_spans(spark):
+    rng = np.random.default_rng(6)
+
+    def num(n):
+        return "".join(map(str, rng.integers(0, 10, n)))
+
+    def word():
+        return "".join(rng.choice(list("abcdefghiklmnorstu"), rng.integers(4, 9)))
+
+    def prose(n=12):
+        return " ".join(word() for _ in range(n))
+
+    rows = []
+    for i in range(500):
+        rows += [f"{prose()} mail {word()}@{word()}.{rng.choice(['com', 'org'])} {prose()}", f"{prose()} call +{num(1)} ({num(3)}) {num(3)}-{num(4)} {prose()}",
+                 f"{prose()} order {num(16)} of 2024-0{num(1)}-1{num(1)} and {num(5)}a{num(12)} {prose()}",
+                 f"{prose()} write to {word()} (at) {word()} (dot) com {prose()} or {num(3)} 555 {num(4)}"]
+    model = pii_boost.fit_pii(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    text = "please write to jo (at) mail (dot) com or call 234 555 6789 now; build 12.4.300 of 2024-01-17, part 1234567890123456"
+    base = pii_boost.base_spans(text)
+    assert [text[s:e] for _, s, e in model.added(text, base)] == ["jo (at) mail (dot) com", "234 555 6789"]
+
+
 ASSIGN = r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
 
 
