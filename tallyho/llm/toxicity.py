@@ -16,10 +16,12 @@ classes every score is 0.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -30,7 +32,7 @@ from tallyho.llm.common import fold, labelled_sample, map_texts
 WINDOW_WORDS = 12
 MARGINS = (1, 2, 3, 4, 5, 6, 8, 10)
 SAMPLE_PER_CLASS = 1600     # labelled texts of each class that are fitted on
-SAMPLE_CHARS = 8_000        # of each such text (scoring always reads whole texts)
+DRAWN_BYTES = 32_768        # of windows that a text gives to the dictionaries, by hash order
 ORDINARY_BYTES = 16_384     # size of the ordinary dictionary
 TOXIC_BYTES = 2_048         # most bytes of toxic passages
 LEVEL = 3
@@ -47,6 +49,17 @@ def windows(text: str | None, n: int = WINDOW_WORDS) -> list[bytes]:
     return [b" " + b" ".join(words[i:i + n]) + b" " for i in range(0, len(words), n)]
 
 
+def drawn(text: str | None) -> str:
+    """Windows of the whole text by hash order, up to ``DRAWN_BYTES``, in their own order."""
+    found = windows(text)
+    size, kept = 0, []
+    for i in sorted(range(len(found)), key=lambda i: (zlib.crc32(b"%d" % i + found[i]), i)):
+        if size + len(found[i]) <= DRAWN_BYTES:
+            size += len(found[i])
+            kept.append(i)
+    return b"".join(found[i][1:] for i in sorted(kept)).decode("utf-8", "replace")
+
+
 def toxic_passages(toxic: list[str], ordinary: list[str]) -> bytes:
     """The words that set toxic texts apart, the most frequent last.
 
@@ -143,21 +156,34 @@ class ToxicityModel:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column) -> ToxicityModel:
     """Fit on at most ``SAMPLE_PER_CLASS`` texts of each class where ``learn`` holds."""
     ids = labelled_sample(labels.select("doc_id", "toxic"), "toxic", learn, SAMPLE_PER_CLASS)
-    rows = (docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"))
-            .join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-            .select("y", "text", fold(F.concat(F.lit("half"), F.col("doc_id").cast("string")), 2).alias("half"))
-            .toPandas().sort_values(["y", "half", "text"]))
+    rows = (docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+            .withColumn("half", fold(F.concat(F.lit("half"), F.col("doc_id").cast("string")), 2)))
+
+    def draw(batches):
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b.doc_id, "y": b.y, "text": [drawn(t) for t in b.text]})
+
+    passages = (rows.where("half = 0").mapInPandas(draw, "doc_id long, y int, text string")
+                .groupBy("doc_id", "y").agg(F.min("text").alias("text")).toPandas().sort_values(["y", "text"]))
+
+    def part(y: int) -> list[str]:
+        return list(passages.text[passages.y == y])
+
+    if not part(0) or not part(1):
+        return ToxicityModel(b"", b"", None)
+    ordinary = ordinary_passages(part(0))
+    toxic = ordinary + toxic_passages(part(1), part(0))
 
-    def part(y: int, half: int) -> list[str]:
-        return list(rows.text[(rows.y == y) & (rows.half == half)])
+    def measure(batches):   # whole texts, as in scoring
+        margins = Margins(ordinary, toxic)
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b.doc_id, "y": b.y, "x": [margins.features(t) for t in b.text]})
 
-    if not all(part(y, half) for y in (0, 1) for half in (0, 1)):
+    rest = (rows.where("half = 1").mapInPandas(measure, "doc_id long, y int, x array<double>")
+            .groupBy("doc_id", "y").agg(F.min("x").alias("x")).toPandas().sort_values(["y", "doc_id"]))
+    if rest.y.nunique() < 2:
         return ToxicityModel(b"", b"", None)
-    ordinary = ordinary_passages(part(0, 0))
-    toxic = ordinary + toxic_passages(part(1, 0), part(0, 0))
-    margins = Margins(ordinary, toxic)
-    rest = rows[rows.half == 1]
-    x = np.array([margins.features(t) for t in rest.text])
+    x = np.array(list(rest.x))
     # the sample holds more of the rarer class than the corpus: weights put the prior back
     share = {r.toxic: r["count"] for r in labels.where(learn & F.col("toxic").isin(0, 1))
              .groupBy("toxic").count().collect()}

@@ -191,6 +191,22 @@ def test_classifiers_on_edge_rows(spark, edge):
         assert f(edge, labels.limit(0)).where("score is null").count() == 0
 
 
+def test_toxic_passages_late_in_long_texts(spark):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghiklmnorstu"), 7)) for _ in range(400)]
+
+    def prose(n):
+        return " ".join(rng.choice(words, n))
+
+    rows = [(i, prose(1300) + (" vilewretch foulscum rottenswine" * 8 if i % 2 else "") + " " + prose(40), i % 2) for i in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels, F.lit(True))
+    assert b"vilewretch" in model.toxic[len(model.ordinary):]
+    score = model.score([t for _, t, _ in rows])
+    assert _auc(score, np.array([y for _, _, y in rows])) > 0.95
+
+
 def test_trees_fit_a_plain_rule():
     x = np.random.default_rng(0).random((2000, 3))
     y = ((x[:, 0] > 0.5) & (x[:, 2] < 0.3)).astype(float)
