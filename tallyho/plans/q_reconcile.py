@@ -190,7 +190,7 @@ def q_scan_latest_file(spark, sf_dir):
     a, b = (runs(t).select("CompanyID", "AI_native") for runs in (B.runs_a, B.runs_b))
     a.write.parquet(path)
     time.sleep(1.1)     # some file systems keep whole seconds
-    b.coalesce(1).write.mode("append").parquet(path)   # one file: one time
+    b.write.mode("append").parquet(path)
     return RD.scan_latest_file(spark, path, b.schema)
 
 

@@ -60,14 +60,23 @@ def scan_latest_version(df: DataFrame, key_cols: list[str], version_col: str
     return df.join(F.broadcast(latest), F.col(version_col) == F.col("_v"), "left_semi")
 
 
+_WRITE_ID = r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}"
+
+
 def scan_latest_file(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Rows of the most recently modified file(s) under ``path`` only (S6,
-    file form): one scan with ``_metadata``, the newest modification time
-    as a one-row aggregate, and a semi join on it."""
+    """Rows of the most recently finished file set(s) under ``path`` only (S6,
+    file form).  A set is the files of one Spark write (the id in their
+    names), else those of one folder whose names differ in the part number
+    only; its time is that of its last file.  One scan with ``_metadata``,
+    one row a set, and a semi join on the newest."""
+    file = F.col("_metadata.file_path")
+    write = F.regexp_extract(file, rf"part-[0-9]+-({_WRITE_ID})[^/]*$", 1)
     df = spark.read.schema(schema).parquet(path).select(
-        "*", F.col("_metadata.file_modification_time").alias("_mtime"))
-    newest = df.agg(F.max("_mtime").alias("_mtime"))
-    return df.join(F.broadcast(newest), "_mtime", "left_semi").drop("_mtime")
+        "*", F.col("_metadata.file_modification_time").alias("_mtime"),
+        F.when(write != "", write).otherwise(F.regexp_replace(file, r"part-[0-9]+([^/]*)$", "part$1")).alias("_set"))
+    sets = df.groupBy("_set").agg(F.max("_mtime").alias("_mtime"))
+    newest = sets.join(F.broadcast(sets.agg(F.max("_mtime").alias("_mtime"))), "_mtime", "left_semi")
+    return df.join(F.broadcast(newest.select("_set")), "_set", "left_semi").drop("_mtime", "_set")
 
 
 _P31 = 2147483647  # 2^31 - 1

@@ -441,6 +441,20 @@ def test_scan_latest_file_keeps_newest_version_only(spark, tmp_path):
     assert os.path.isdir(p)
 
 
+def test_scan_latest_file_keeps_whole_file_sets(spark, tmp_path):
+    import os
+    from pathlib import Path
+    from tallyho.sources.readers import scan_latest_file
+    p = str(tmp_path / "runs")
+    for v, first in (("old", 1000), ("new", 2000)):
+        before = set(Path(tmp_path).glob("runs/*.parquet"))
+        spark.createDataFrame([(i, v) for i in range(4)], "id long, v string").repartition(4, "id").write.mode("append").parquet(p)
+        for i, f in enumerate(sorted(set(Path(tmp_path).glob("runs/*.parquet")) - before)):
+            os.utime(f, (first + 10 * i, first + 10 * i))   # parts finish at different times
+    got = scan_latest_file(spark, p, "id long, v string").collect()
+    assert sorted((r.id, r.v) for r in got) == [(i, "new") for i in range(4)]
+
+
 def test_apply_model_failures_become_rows(spark):
     from tallyho.operators.labelers import apply_model
     df = spark.createDataFrame([("a", "ok"), ("b", "boom")], "custom_id string, text string")
