@@ -16,9 +16,12 @@ number of merges and not with its square; an arc that is asked for is resolved
 through the links once and then stands in the transition table.  Exactly one
 path of the automaton spells a word, and exactly one spells each prefix, so a
 word is encoded by walking its positions from the left and following, from
-the state of each earlier position, the one arc that ends there (only
-sizes are tried that some token with the last symbols has).  Decoding
-emits the arc labels.
+the state of each earlier position, the one arc that ends there.  The new
+words of a batch walk in step: at each position a trie of the labels, read
+backwards, names the tokens that end there, and the transition table tells
+which of them has an arc.  Words longer than ``STEP_BYTES`` walk alone (only
+sizes are tried that some token with the last symbols has).  Decoding emits
+the arc labels.
 
 The merge list must be proper: each part of a merge is a base symbol or the
 product of an earlier merge, and no token has two merges.  ``Automaton``
@@ -32,7 +35,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import struct
 import unicodedata
 from dataclasses import dataclass
 
@@ -48,7 +50,11 @@ from tallyho.llm.common import map_texts, worker_cache
 TAIL = 3                # symbols that tell which sizes of tokens are tried
 CACHED_TAILS = 200_000  # a worker keeps the sizes of this many tails
 _SEPARATORS = regex.compile("[\x1c-\x1f]").search
-CACHED_WORDS = 250_000  # a worker keeps this many words of late encoded, and as many of before
+CACHED_BYTES = 96 << 20  # a worker keeps late encoded words and chunks of so many bytes, and as many of before
+ENTRY_BYTES = 260        # of a cached entry, besides its text, ids and labels
+STEP_BYTES = 48          # words up to this long are encoded in step
+STEP_WORDS = 16_384      # so many at a time
+GROUP_CHARS = 1 << 22    # texts of so many characters look for new words together
 
 
 class Automaton:
@@ -172,24 +178,142 @@ def _byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Words(dict):
-    """Text between white space -> (ids as bytes, labels joined by blanks)."""
-
-    def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec, self.before = codec, {}
+class _Late:
+    """Encoded text, bounded by bytes: what was entered of late, and what was
+    before.  ``ids`` (as bytes) and ``labels`` (joined by blanks) have the same
+    keys.  Only ``missing`` forgets, so what a group of texts needs stays while
+    it is read."""
+
+    def __init__(self):
+        self.ids: dict[str, bytes] = {}
+        self.labels: dict[str, str] = {}
+        self.before: tuple[dict, dict] = ({}, {})
+        self.held = 0
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The ones of ``keys`` with no entry; entries of before come back."""
+        if self.held > CACHED_BYTES:
+            self.before, self.ids, self.labels, self.held = (self.ids, self.labels), {}, {}, 0
+        new = keys.difference(self.ids)
+        ids, labels = self.before
+        back = [k for k in new if k in ids] if ids else []
+        self.enter(back, [ids[k] for k in back], [labels[k] for k in back])
+        return list(new.difference(back)) if back else list(new)
+
+    def enter(self, keys: list[str], ids: list[bytes], labels: list[str]) -> None:
+        self.ids.update(zip(keys, ids))
+        self.labels.update(zip(keys, labels))
+        self.held += ENTRY_BYTES * len(keys) + sum(sum(map(len, x)) for x in (keys, ids, labels))
+
+
+class Steps:
+    """Encodes many words in step, over flat arrays.
+
+    ``child`` holds the trie of the labels read from their last byte, by
+    ``node << 8 | byte``; ``token`` the token that begins at a node, inside a
+    word and at its end.
+    """
 
-    def __missing__(self, chunk: str) -> tuple[bytes, str]:
-        if len(self) >= CACHED_WORDS:
-            self.before = dict(self)
-            self.clear()
-        out = self.before.get(chunk)
-        if out is None:
-            ids = [i for word in self.codec.split(chunk) for i in self.codec.word(word)]
-            out = (struct.pack(f"<{len(ids)}I", *ids), self.codec.labels(ids))
-        self[chunk] = out
+    def __init__(self, automaton: Automaton, end: str, symbols: list[str]):
+        self.automaton = automaton
+        byte = {s: b for b, s in enumerate(symbols)}
+        self.child: dict[int, int] = {}
+        nodes = 1
+        places: tuple[dict[int, int], dict[int, int]] = ({}, {})
+        for label, token in automaton.vocab.items():
+            last = bool(end) and label.endswith(end)
+            spelled = label[:len(label) - len(end)] if last else label
+            if not spelled or any(c not in byte for c in spelled):
+                continue
+            node = 0
+            for c in reversed(spelled):
+                key = node << 8 | byte[c]
+                node = self.child.get(key, 0)
+                if not node:
+                    node = self.child[key] = nodes
+                    nodes += 1
+            places[last][node] = token
+            if not end:
+                places[True][node] = token
+        self.token = np.full((2, nodes), -1, np.int64)
+        for at, tokens in zip(places, self.token):
+            tokens[list(at)] = list(at.values())
+        self._fill()
+
+    def _fill(self) -> None:
+        """The children as an open hash table of arrays."""
+        keys = np.fromiter(self.child, np.int64, len(self.child))
+        values = np.fromiter(self.child.values(), np.int64, len(self.child))
+        bits = max(4, int(np.ceil(np.log2(4 * len(keys) + 1))))
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        at = self._place(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            put, first = np.unique(at[free], return_index=True)
+            self.keys[put], self.values[put] = keys[free][first], values[free][first]
+            left = self.keys[at] != keys
+            keys, values, at = keys[left], values[left], (at[left] + 1) & self.mask
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def children(self, keys: np.ndarray) -> np.ndarray:
+        """Nodes under ``keys``; 0 for none."""
+        at = self._place(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.values[at], 0)
+        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            held = self.keys[at[open_]]
+            hit = held == keys[open_]
+            out[open_[hit]] = self.values[at[open_[hit]]]
+            open_ = open_[~hit & (held >= 0)]
         return out
 
+    def follows(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        known, arc = self.automaton.table.get, self.automaton.arc
+        answers = list(map(known, (state << 32 | token).tolist()))
+        for i in [i for i, a in enumerate(answers) if a is None]:
+            answers[i] = arc(int(state[i]), int(token[i]))
+        return np.array(answers, bool)
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of the words (1 to ``STEP_BYTES`` bytes each), and where each word's begin and end."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        width = int(size.max(initial=0))
+        read = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(-1, width)
+        read = np.ascontiguousarray(read.T).astype(np.int64)            # position x word
+        last = np.full((width + 1, len(words)), -1, np.int64)           # token that ends at a position
+        start = np.zeros((width + 1, len(words)), np.int64)
+        for stop in range(1, width + 1):
+            left = np.flatnonzero(size >= stop)
+            at_end = (size[left] == stop).astype(np.int64)
+            node = np.zeros(len(left), np.int64)
+            for begin in range(stop - 1, -1, -1):
+                node = self.children(node << 8 | read[begin][left])
+                token = self.token[at_end, node]
+                fits = (node > 0) & (token >= 0)
+                if begin:
+                    asked = np.flatnonzero(fits)
+                    fits[asked] = self.follows(last[begin][left[asked]], token[asked])
+                last[stop][left[fits]], start[stop][left[fits]] = token[fits], begin
+                more = ~fits & (node > 0)
+                left, at_end, node = left[more], at_end[more], node[more]
+                if not len(left):
+                    break
+        at, rows, order = size.copy(), np.arange(len(words)), []
+        if (last[at, rows] < 0).any():
+            raise ValueError("a symbol is not in the vocabulary")
+        while len(rows):
+            order.append((rows, last[at[rows], rows]))
+            at[rows] = start[at[rows], rows]
+            rows = rows[at[rows] > 0]
+        owner, ids = (np.concatenate(x[::-1]) for x in zip(*order))
+        ids = ids[np.argsort(owner, kind="stable")]
+        return ids, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
+
 
 @dataclass
 class Spec:
@@ -217,16 +341,22 @@ class Spec:
 class Codec:
     """Encodes and decodes texts with one automaton."""
 
-    def __init__(self, spec: Spec):
+    def __init__(self, spec: Spec, labelled: bool = True):
+        """``labelled``: keep the labels of encoded words, which only ``_digests`` reads."""
         self.automaton = Automaton(spec.vocab, spec.merges)
+        self.labelled = labelled
         self.end, self.special = spec.end, spec.special
         self.label = {i: s for s, i in spec.vocab.items()} | {i: s for s, i in spec.special.items()}
         # white space is the Unicode property, not Python's wider class
         self.split = regex.compile(spec.pattern.replace(r"\s", r"\p{White_Space}")).findall
+        # letters alone are one word where the pattern takes runs of letters and no part of a run
+        runs = any(x in spec.pattern for x in (r"|[\p{L}]+|", r"|\p{L}+|"))
+        self.one_word = regex.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+" if runs else "(?!)").fullmatch
         self.cut = regex.compile("(" + "|".join(map(regex.escape, spec.special)) + ")").split if spec.special else None
         symbols = _byte_symbols()
         self.symbols = [symbols[b] for b in range(256)]
-        self.words = _Words(self)
+        self.steps = Steps(self.automaton, self.end, self.symbols)
+        self.words, self.chunks = _Late(), _Late()
 
     def word(self, word: str) -> list[int]:
         # printable ASCII stands for itself
@@ -236,36 +366,88 @@ class Codec:
     def labels(self, ids) -> str:
         return " ".join([self.label[i] for i in ids])
 
-    def pieces(self, text: str) -> list[tuple[bytes, str]]:
-        """The encoded words and special tokens of a text, in order."""
-        parts = self.cut(text) if self.cut and "<|" in text else [text]
-        out: list[tuple[bytes, str]] = []
-        for part in parts:
+    def learn(self, chunks: set[str]) -> None:
+        """Enter the chunks (text between white space) that have no entry."""
+        new = self.chunks.missing(chunks)
+        split = [[chunk] if self.one_word(chunk) else self.split(chunk) for chunk in new]
+        words = self.words.missing({word for parts in split for word in parts})
+        spelled = sorted(zip(map(str.encode, words), words), key=lambda w: len(w[0]))
+        steps = sum(len(s) <= STEP_BYTES for s, _ in spelled)
+        for i in range(0, steps, STEP_WORDS):
+            part = spelled[i:min(i + STEP_WORDS, steps)]
+            flat, ends = self.steps.encode([s for s, _ in part])
+            self.enter([word for _, word in part], flat, ends.tolist())
+        for _, word in spelled[steps:]:
+            ids = self.word(word)
+            self.enter([word], np.array(ids), [0, len(ids)])
+        ids, labels = self.words.ids, self.words.labels
+        self.chunks.enter(new, [b"".join([ids[w] for w in p]) if len(p) > 1 else ids[p[0]] for p in split],
+                          [" ".join([labels[w] for w in p]) if len(p) > 1 else labels[p[0]] for p in split])
+
+    def enter(self, words: list[str], flat: np.ndarray, ends: list[int]) -> None:
+        ids, spans = flat.astype("<u4").tobytes(), list(zip(ends, ends[1:]))
+        labels = [self.label[i] for i in flat.tolist()] if self.labelled else []
+        self.words.enter(words, [ids[4 * a:4 * b] for a, b in spans], [" ".join(labels[a:b]) for a, b in spans])
+
+    def parts(self, text: str) -> list[str]:
+        """Chunks of a text in order; special tokens begin with a blank, which no chunk holds."""
+        out: list[str] = []
+        for part in self.cut(text) if self.cut and "<|" in text else [text]:
             if part in self.special:
-                out.append((np.array([self.special[part]], "<u4").tobytes(), part))
+                out.append(" " + part)
                 continue
             part = unicodedata.normalize("NFC", part)
             # each character alone: a final sigma has no form of its own here
             low = "".join(map(str.lower, part)) if "Σ" in part else part.lower()
             # words never span white space, so what stands between it is split apart once;
             # only U+001C to U+001F are white space to split() and not to the pattern
-            chunks = self.split(low) if _SEPARATORS(low) else low.split()
-            out += map(self.words.__getitem__, chunks)
+            out += self.split(low) if _SEPARATORS(low) else low.split()
         return out
 
+    def pieces(self, texts: list[str | None]):
+        """For each text, its chunks in order, all of them entered in ``chunks``."""
+        for i, j in _groups(texts):
+            parts = [self.parts(text or "") for text in texts[i:j]]
+            needed = set().union(*parts)
+            special = [c for c in needed if c[0] == " "]
+            self.learn(needed.difference(special))
+            self.chunks.enter(special, [np.array([self.special[c[1:]]], "<u4").tobytes() for c in special],
+                              [c[1:] for c in special])
+            yield from parts
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        return [np.frombuffer(b"".join([self.chunks.ids[c] for c in own]), "<u4") for own in self.pieces(texts)]
+
     def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join([p[0] for p in self.pieces(text or "")]), "<u4")
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> str:
         """The labels of the arcs taken, joined by blanks (the file names no decoder)."""
         return self.labels(ids)
 
 
-def _digest(codec: Codec, text: str | None) -> tuple[int, str, str]:
-    pieces = codec.pieces(text or "")
-    ids = b"".join([p[0] for p in pieces])
-    decoded = " ".join([p[1] for p in pieces])
-    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+def _groups(texts: list[str | None]):
+    """Neighbours of ``GROUP_CHARS`` characters in all, as ranges; a longer text stands alone."""
+    i = held = 0
+    for j, text in enumerate(texts):
+        size = len(text or "")
+        if j > i and held + size > GROUP_CHARS:
+            yield i, j
+            i, held = j, 0
+        held += size
+    if i < len(texts):
+        yield i, len(texts)
+
+
+def _digests(codec: Codec, texts: list[str | None]) -> list[list]:
+    out: list[list] = [[], [], []]
+    for own in codec.pieces(texts):
+        ids = b"".join([codec.chunks.ids[c] for c in own])
+        decoded = " ".join([codec.chunks.labels[c] for c in own])
+        for column, value in zip(out, (len(ids) // 4, hashlib.sha256(ids).hexdigest(),
+                                       hashlib.sha256(decoded.encode()).hexdigest())):
+            column.append(value)
+    return out
 
 
 def shared_spec(spark: SparkSession, path: str) -> Broadcast:
@@ -278,10 +460,10 @@ def _name(spec: Spec) -> str:
     return "bpe_" + hashlib.sha256(repr((spec.merges, spec.special, spec.pattern, spec.end)).encode()).hexdigest()[:16]
 
 
-def _codec(shared: Broadcast) -> Codec:
+def _codec(shared: Broadcast, labelled: bool = False) -> Codec:
     """The worker's codec; its automaton is compiled once in each worker."""
     name, spec = shared.value
-    return worker_cache(name, lambda: Codec(spec))
+    return worker_cache(f"{name}_{labelled}", lambda: Codec(spec, labelled))
 
 
 def encode_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -293,7 +475,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def task(batches):
         codec = _codec(shared)
         for b in batches:
-            ids = [codec.encode(t) for t in b.column(text).to_pylist()]
+            ids = codec.encode_all(b.column(text).to_pylist())
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
             flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else [], pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -325,7 +507,7 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     shared = shared_spec(docs.sparkSession, path)
 
     def start():
-        codec = _codec(shared)
-        return lambda texts: zip(*[_digest(codec, t) for t in texts]) if texts else [[], [], []]
+        codec = _codec(shared, labelled=True)
+        return lambda texts: _digests(codec, texts)
 
     return map_texts(docs, {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}, start)
