@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyho.llm import reputation
+from tallyho.llm import collocations, metric_tree, reputation, resample
 from tallyho.llm.bpe import bpe_digests
 from tallyho.llm.common import load
 from tallyho.llm.jaccard_join import jaccard_query
@@ -67,7 +67,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_query(load(spark, sf_dir, "documents"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample_query(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(load(spark, sf_dir, "documents"))
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_tree.exact_query(load(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_quality, op3_bpe, op4_mixing, op5_ann, op6_quality_rules,
-                            op7_url_filters, op8_jaccard_join, op9_pii, op10_secret_scan)}
-ORACLES: dict[str, str] = {"op7_url_filters": reputation.ORACLE}
+                            op7_url_filters, op8_jaccard_join, op9_pii, op10_secret_scan, op11_resample, op12_phrases, op13_exact_topk)}
+ORACLES: dict[str, str] = {"op7_url_filters": reputation.ORACLE, "op11_resample": resample.ORACLE,
+                           "op12_phrases": collocations.ORACLE, "op13_exact_topk": metric_tree.ORACLE}
