@@ -117,12 +117,11 @@ def _phrases(rows, max_words, min_count, top):
     return out
 
 
-@pytest.mark.parametrize("sample,block", [(1, 1 << 20), (8, 50), (10 ** 9, 7), (3, 1)])
+@pytest.mark.parametrize("sample,block", [(1, 1 << 21), (8, 300), (10 ** 9, 40), (3, 1)])
 def test_phrases_equal_brute_force(spark, edge, monkeypatch, sample, block):
     """Whatever the sample proposes (with the last but one nothing) and however texts are cut."""
-    monkeypatch.setattr(collocations, "BLOCK_TOKENS", block)
-    monkeypatch.setattr(collocations, "SLICE_BYTES", 64 if block < 1000 else 1 << 20)
-    monkeypatch.setattr(collocations, "VOCABULARY", 5 if block < 1000 else 400_000)
+    monkeypatch.setattr(collocations, "BLOCK_BYTES", block)
+    monkeypatch.setattr(collocations, "SLICE_BYTES", 64 if block < 1000 else 1 << 19)
     docs = edge.where("doc_id is null or doc_id <> 7") if block < 1000 else edge
     got = {tuple(r) for r in collocations.mine_phrases(docs, 4, 6, 12, sample).collect()}
     assert got == _phrases([(r.text, r.lang) for r in docs.collect()], 4, 6, 12)
@@ -135,6 +134,12 @@ def test_a_narrow_filter_changes_no_count(spark, edge, monkeypatch):
     assert got == _phrases([(r.text, r.lang) for r in edge.collect()], 3, 5, 50)
 
 
+def test_words_of_one_hash_are_told_apart(spark, edge, monkeypatch):
+    monkeypatch.setattr(collocations, "_BYTES", np.full(256, 3, np.uint64))   # all words of one length alike
+    got = {tuple(r) for r in collocations.mine_phrases(edge, 3, 5, 50, 4).collect()}
+    assert got == _phrases([(r.text, r.lang) for r in edge.collect()], 3, 5, 50)
+
+
 def test_border_failures_lead_to_further_passes(spark, edge, monkeypatch):
     passes = []
     monkeypatch.setattr(collocations, "_outside", lambda p, known, plain=collocations._outside: passes.append(1) or plain(p, known))
