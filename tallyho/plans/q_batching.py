@@ -157,10 +157,12 @@ SELECT rcid, {Q.q(S.SEARCH_QUERY_PREFIX)} || coalesce(name, '') AS query FROM co
 UNION ALL SELECT rcid, {Q.q(S.SEARCH_QUERY_PREFIX)} || coalesce(name, '') FROM companies""")
 def q_sink_jsonl_append(spark, sf_dir):
     """Append the same records twice to a JSON-lines log and read the log
-    back: appends keep earlier lines (S9)."""
-    from tallyho.sources import sinks
+    back: appends keep earlier lines.  Files of a writer that died before its
+    commit, and a retry of an append that is in the log, add nothing (S9)."""
+    from tallyho.sources import commits, sinks
     c = _companies(spark, sf_dir).select("rcid", X.build_search_query("name").alias("query"))
     path = sinks.scratch_path(spark, "log")
-    sinks.sink_jsonl_append(c, path)
-    sinks.sink_jsonl_append(c, path)
-    return spark.read.schema("rcid bigint, query string").json(path)
+    commits.write_files(c, path, "second", "json")
+    for commit in ("first", "second", "first"):
+        sinks.sink_jsonl_append(c, path, commit)
+    return sinks.read_jsonl_log(spark, path, "rcid bigint, query string")

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyho import schemas as S
 from tallyho.operators.monitor import epoch_micros
+from tallyho.plans import sqlfn as Q
 from tallyho.plans.oracle_views import with_views
 from tallyho.plans.registry import register
 from tallyho.sources import bindings as B
@@ -49,7 +51,7 @@ def q_incremental_pass(spark, sf_dir):
     J.append_target(src.join(B.search_log(t).select("rcid"), "rcid", "left_semi"), target, "rcid")
     replay(src, "rcid", p["src"],
            lambda: J.incremental_pass(spark, p["src"], src.schema, target, "rcid", p["ckpt"]))
-    return J.read_target(spark, target).select(*COMPANY_COLS)
+    return J.read_target(spark, target, src.schema).select(*COMPANY_COLS)
 
 
 @register("stream_rate_window", sql=f"""{with_views('api_calls')},
@@ -95,13 +97,17 @@ def q_stream_latest_status(spark, sf_dir):
 
 
 @register("stream_dedup_records", sql=f"""{with_views('search_log_flat')}
-SELECT DISTINCT rcid FROM search_log_flat""")
+SELECT l.rcid, l.name, c.long_description AS description, c.homepage_url, l.timestamp, l.error,
+  {Q.q(S.SEARCH_QUERY_PREFIX)} || coalesce(l.name, '') AS query
+FROM search_log_flat l JOIN companies c USING (rcid)
+QUALIFY row_number() OVER (PARTITION BY l.rcid ORDER BY l.timestamp) = 1""")
 def q_stream_dedup_records(spark, sf_dir):
-    """Retried records dropped from the append-only log within the
-    watermark (ST5)."""
-    log = B.search_log(Tables(spark, sf_dir)).select(
-        "rcid", "timestamp", F.to_timestamp("timestamp").cast("timestamp_ntz").alias("_ts"))
+    """The first record of each id of the append-only log, whole, with retried
+    records dropped (ST5)."""
+    log = B.search_log(Tables(spark, sf_dir)).withColumn(
+        "_ts", F.to_timestamp("timestamp").cast("timestamp_ntz"))
     p = J.paths(spark, "dedup")
     out = replay(log, "_ts", p["src"], lambda: J.stream_dedup_records(
         spark, p["src"], log.schema, p["out"], p["ckpt"], "rcid", "timestamp"))
-    return out.select("rcid")
+    return out.select("rcid", "name", "description", "homepage_url", "timestamp",
+                      F.col("tavily.error").alias("error"), F.col("tavily.query").alias("query"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyho.session import checkpoint_dir
+from tallyho.sources.commits import append_once, read_committed
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -20,9 +21,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/out-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def sink_jsonl_append(df: DataFrame, path: str) -> None:
-    """Append records, one JSON object per line."""
-    df.write.mode("append").json(path)
+def sink_jsonl_append(df: DataFrame, path: str, commit: str | None = None) -> bool:
+    """Append records, one JSON object per line, exactly once.
+
+    ``commit`` names the append (a job's own id); one that was appended before,
+    or whose writer died before it was entered in the log, leaves one copy.
+    Without a name each call appends.  Read back with ``read_jsonl_log``."""
+    return append_once(df, path, commit or uuid.uuid4().hex, "json")
+
+
+def read_jsonl_log(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The records of all appends that were entered in the log."""
+    return read_committed(spark, path, schema, "json")
 
 
 def sink_request_jsonl(requests: DataFrame, path: str,

@@ -8,19 +8,24 @@ minute"}`` (any ``DataStreamWriter.trigger`` keywords) to leave it running
 in the background: the jobs that return a DataFrame then return a reader
 over what the query has written so far, ``incremental_pass`` returns the
 running query.  Aggregations in update mode are written through
-``foreachBatch`` as (batch id, key, value) rows; the latest value per key
-is then a partial ``max_by`` - no row is rewritten in place.  A micro-batch
-replayed after a failure overwrites its own folder.
+``foreachBatch`` to an ``update_log``, which merges the rows of earlier
+micro-batches so that the latest value per key costs keys and not history.
+Files of a micro-batch count once a commit entry or a snapshot, written last,
+names them, so a micro-batch replayed after a failure changes nothing twice.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyho.operators.monitor import unchanged_runs
+from tallyho.operators.monitor import epoch_micros, unchanged_runs
+from tallyho.sources import commits, file_index
 from tallyho.sources.sinks import scratch_path
+from tallyho.streaming import update_log
 
 
 #: Options of the file sources.  All files that are there make one micro-batch
@@ -64,52 +69,46 @@ def dropped_rows(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(f"{out}-dropped")
 
 
-TARGET_BUCKETS = 64
-
-
-def _bucket(key: str):
-    return F.pmod(F.xxhash64(key), F.lit(TARGET_BUCKETS)).cast("int").alias("_bucket")
-
-
 def append_target(df: DataFrame, target: str, key: str) -> None:
-    """Append rows to a pass target, which is partitioned by a hash of the key."""
-    df.select("*", _bucket(key)).write.mode("append").partitionBy("_bucket").parquet(target)
+    """Append rows to a pass target, with a Bloom filter of the keys of each file."""
+    file_index.append_indexed(df, target, key)
 
 
 def incremental_pass(spark: SparkSession, source: str, schema: T.StructType,
                      target: str, key: str, checkpoint: str, trigger: dict | None = None):
     """Append only rows whose key is not in the target yet (resume).
 
-    Each micro-batch anti-joins the target before appending, so a batch
-    replayed after a failure adds nothing twice.  Of the target, written by
-    ``append_target``, only the keys of the buckets that the micro-batch
-    touches are read (at most ``TARGET_BUCKETS`` numbers reach the driver).
+    Each micro-batch asks the target's file index which files may hold one of
+    its keys, anti-joins those, and appends the rest under a commit of its own,
+    so a batch replayed after a failure adds nothing twice.
     """
+    query = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        touched = [r[0] for r in batch.select(_bucket(key)).distinct().collect()]
-        done = batch.sparkSession.read.parquet(target).where(F.col("_bucket").isin(touched)).select(key)
-        append_target(batch.dropDuplicates([key]).join(done, key, "left_anti"), target, key)
+        commit = f"{query}-{batch_id:012d}"
+        if not commits.committed(batch.sparkSession, target, commit):
+            file_index.append_indexed(file_index.without_known(batch, target, key), target, key, commit)
 
     return _run(_file_stream(spark, source, schema).writeStream.foreachBatch(upsert),
                 checkpoint, trigger)
 
 
-def read_target(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.parquet(target).drop("_bucket")
+def read_target(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
+    return commits.read_committed(spark, target, schema)
 
 
-def _append_updates(out: str):
+def _append_updates(out: str, keys: list[str]):
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
+        update_log.append(batch, batch_id, out, keys)
     return write
 
 
 def latest_updates(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
-    """Latest emitted value per key of an update-mode output log."""
-    df = spark.read.parquet(out)
-    vals = [c for c in df.columns if c not in keys and c != "_batch"]
-    return (df.groupBy(*keys).agg(F.max_by(F.struct(*vals), "_batch").alias("_v"))
-            .select(*keys, *[F.col(f"_v.{c}").alias(c) for c in vals]))
+    """Latest emitted value per key of an update-mode output."""
+    latest = update_log.read_latest(spark, out, keys)
+    if latest is None:
+        raise ValueError(f"no micro-batch has been written to {out} yet")
+    return latest
 
 
 def stream_rate_window(spark: SparkSession, source: str, schema: T.StructType,
@@ -125,8 +124,8 @@ def stream_rate_window(spark: SparkSession, source: str, schema: T.StructType,
            .agg(F.count(F.lit(1)).alias("n"))
            .select(key, F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n"))
-    q = _run(agg.writeStream.outputMode("update").foreachBatch(_append_updates(out)), checkpoint,
-             trigger)
+    q = _run(agg.writeStream.outputMode("update").foreachBatch(
+        _append_updates(out, [key, "window_start", "window_end"])), checkpoint, trigger)
     _note_dropped(spark, q, out)
     return latest_updates(spark, out, [key, "window_start", "window_end"])
 
@@ -190,7 +189,7 @@ def stream_latest_status(spark: SparkSession, source: str, schema: T.StructType,
     agg = s.groupBy("batch_num").agg(
         F.max_by(F.struct("status", "completed", "failed", "total", "checked_at"),
                  "checked_at").alias("v")).select("batch_num", "v.*")
-    _run(agg.writeStream.outputMode("update").foreachBatch(_append_updates(out)), checkpoint,
+    _run(agg.writeStream.outputMode("update").foreachBatch(_append_updates(out, ["batch_num"])), checkpoint,
          trigger)
     return latest_updates(spark, out, ["batch_num"])
 
@@ -198,14 +197,68 @@ def stream_latest_status(spark: SparkSession, source: str, schema: T.StructType,
 def stream_dedup_records(spark: SparkSession, source: str, schema: T.StructType,
                          out: str, checkpoint: str, key: str, ts: str,
                          within: str = "2 days", trigger: dict | None = None) -> DataFrame:
-    """Drop repeated keys that arrive within ``within`` of the first one.
-    Records later than that are left out and counted (``dropped_rows``)."""
-    s = _file_stream(spark, source, schema).withColumn("_et", F.to_timestamp(ts))
-    d = s.withWatermark("_et", within).dropDuplicatesWithinWatermark([key]).drop("_et")
-    q = _run(d.writeStream.outputMode("append").format("parquet").option("path", out),
-             checkpoint, trigger)
-    _note_dropped(spark, q, out)
-    return spark.read.schema(schema).parquet(out)
+    """The first record of each key, whole; nothing is left out unseen.
+
+    The clock is the newest time of the micro-batches before.  Records older
+    than the clock by more than ``within``, or without a time, go to
+    ``late_records``.  Of the others, the earliest of a key in a micro-batch is
+    kept (ties by the record's text) unless the key is remembered; a key is
+    remembered until the clock is twice ``within`` past its record.  All other
+    records are repeats, counted by key in ``repeated_records``.  A key with
+    most of the records is grouped map-side and never lands whole in a task.
+
+    ``out/_batch=N`` holds the kept records and counts of a micro-batch,
+    ``out-late/_batch=N`` its late ones, and ``out-seen`` is an update log of
+    the remembered keys whose snapshot, written last, makes them count.
+    """
+    def dedup(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        state = update_log.snapshot(session, f"{out}-seen")
+        if batch_id <= state["batch"]:
+            return
+        clock = F.lit(state["note"]).cast("long")        # microseconds, null at first
+        at = F.to_timestamp(ts).cast("timestamp_ntz")
+        micros = F.expr(f"unix_micros(TIMESTAMP_SECONDS(0) + INTERVAL {within})")
+        timed = batch.withColumn("_time", at).withColumn("_at", epoch_micros("_time")).drop("_time")
+        late = F.col("_at").isNull() | F.coalesce(F.col("_at") < clock - micros, F.lit(False))
+        timed.where(late).drop("_at").write.mode("overwrite").parquet(f"{out}-late/_batch={batch_id}")
+        record = F.struct(*schema.fieldNames())
+        first = (timed.where(~late).groupBy(F.col(key).alias("_key"))
+                 .agg(F.min_by(F.struct("_at", record.alias("r")), F.struct("_at", F.to_json(record))).alias("f"),
+                      F.count(F.lit(1)).alias("_n")))
+        seen = update_log.read_latest(session, f"{out}-seen", ["_key"])
+        if seen is not None:
+            known = seen.where(F.col("_at") >= clock - 2 * micros).select(F.col("_key").alias("_known"), F.lit(True).alias("_old"))
+            first = first.join(known, F.col("_key").eqNullSafe(F.col("_known")), "left")
+        old = F.coalesce(F.col("_old"), F.lit(False)) if seen is not None else F.lit(False)
+        path = f"{out}/_batch={batch_id}"
+        (first.select((~old).alias("_kept"), (F.col("_n") - (~old).cast("int")).alias("_repeats"), "_key",
+                      F.col("f._at").alias("_at"), "f.r.*").write.mode("overwrite").parquet(path))
+        kept = session.read.parquet(path).where("_kept").select("_key", "_at")
+        newest = timed.agg(F.max("_at")).first()[0]
+        clock_now = max((x for x in (state["note"], newest) if x is not None), default=None)
+        oldest = F.lit(clock_now).cast("long") - 2 * micros
+        update_log.append(kept, batch_id, f"{out}-seen", ["_key"], clock_now, F.coalesce(F.col("_at") >= oldest, F.lit(True)))
+
+    _run(_file_stream(spark, source, schema).writeStream.foreachBatch(dedup), checkpoint, trigger)
+    return _deduped(spark, out).where("_kept").select(*schema.fieldNames())
+
+
+def _deduped(spark: SparkSession, out: str, suffix: str = "") -> DataFrame:
+    """Rows of the micro-batches that count."""
+    last = update_log.snapshot(spark, f"{out}-seen")["batch"]
+    return spark.read.parquet(f"{out}{suffix}").where(F.col("_batch") <= last)
+
+
+def late_records(spark: SparkSession, out: str) -> DataFrame:
+    """Records that ``stream_dedup_records`` judged too late, with their micro-batch."""
+    return _deduped(spark, out, "-late")
+
+
+def repeated_records(spark: SparkSession, out: str, key: str) -> DataFrame:
+    """``key, repeats``: records left out because the key was kept already."""
+    return (_deduped(spark, out).where("_repeats > 0").groupBy(F.col("_key").alias(key))
+            .agg(F.sum("_repeats").alias("repeats")))
 
 
 def paths(spark: SparkSession, name: str) -> dict[str, str]:

@@ -53,18 +53,6 @@ def test_late_and_timeless_polls_are_kept_apart(spark):
     assert [r.no_progress_polls for r in out.where("batch_num = 1").orderBy("checked_at").collect()] == [0, 1, 2, 3]
 
 
-def test_incremental_pass_reads_touched_buckets_only(spark):
-    p = J.paths(spark, "pass-test")
-    target = J.scratch_path(spark, "pass-target")
-    rows = spark.range(200).select(F.col("id").alias("k"), F.concat(F.lit("v"), "id").alias("v"))
-    J.append_target(rows.where("k < 50"), target, "k")
-    for lo, hi in ((0, 120), (100, 200), (100, 200)):
-        rows.where(f"k >= {lo} and k < {hi}").write.mode("append").parquet(p["src"])
-        J.incremental_pass(spark, p["src"], rows.schema, target, "k", p["ckpt"])
-    got = J.read_target(spark, target)
-    assert got.count() == 200 and got.distinct().count() == 200
-
-
 def test_late_calls_are_counted(spark):
     p = J.paths(spark, "rate-test")
     spec = "service string, call_id long, ts timestamp_ntz"
