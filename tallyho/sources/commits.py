@@ -7,11 +7,13 @@ again under the same name overwrites them.  An append whose name is in the log
 already does nothing, so a retried job leaves one copy.
 
     root/data/<commit>/part-*     the files
-    root/commits/<commit>/        the log; an entry counts once it has _SUCCESS
+    root/commits/<commit>         the log: an empty file an append, moved into place
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -38,12 +40,31 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(place, True)
 
 
+def put_text(spark: SparkSession, path: str, text: str = "") -> None:
+    """A small file that is there whole or not at all: written beside its place, then moved.
+
+    One that was there before is replaced."""
+    fs, place = _file_system(spark, path)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(place):
+        fs.delete(place, True)
+    fs.rename(beside, place)
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    """What ``put_text`` wrote."""
+    return "\n".join(r[0] for r in spark.read.text(path).collect())
+
+
 def committed(spark: SparkSession, root: str, commit: str) -> bool:
-    return exists(spark, f"{root}/commits/{commit}/_SUCCESS")
+    return exists(spark, f"{root}/commits/{commit}")
 
 
 def commits(spark: SparkSession, root: str) -> list[str]:
-    return [c for c in names(spark, f"{root}/commits") if committed(spark, root, c)]
+    return [c for c in names(spark, f"{root}/commits") if not c.startswith(".")]
 
 
 def write_files(df: DataFrame, root: str, commit: str, fmt: str = "parquet") -> str:
@@ -55,8 +76,7 @@ def write_files(df: DataFrame, root: str, commit: str, fmt: str = "parquet") ->
 
 def publish(spark: SparkSession, root: str, commit: str) -> None:
     """The second half: the commit's entry in the log."""
-    (spark.createDataFrame([(commit,)], "commit string").coalesce(1)
-     .write.mode("overwrite").text(f"{root}/commits/{commit}"))
+    put_text(spark, f"{root}/commits/{commit}")
 
 
 def append_once(df: DataFrame, root: str, commit: str, fmt: str = "parquet") -> bool:

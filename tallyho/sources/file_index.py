@@ -5,8 +5,8 @@ filter of the keys of each of its files to a small index table:
 
     root/index/words=<W>/commit=<c>/   file, word, bits
 
-A filter has W words of 64 bits (a power of two, 16 bits for each key of the
-fullest file of the append); a key sets four bits of one word.  To find the
+A filter has W words of 64 bits (a power of two, at least 16 bits for each row
+of the append's average file); a key sets four bits of one word.  To find the
 files that may hold some keys, each key makes one probe for every W in use and
 the probes are joined to the index on (W, word).  The join shuffles index rows
 (one for about four keys) and never the table; a file that holds a key is
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyho.sources import commits as C
@@ -45,11 +45,12 @@ def append_indexed(df: DataFrame, root: str, key: str, commit: str | None = None
     commit = commit or uuid.uuid4().hex
     if C.committed(spark, root, commit):
         return
-    path = C.write_files(df, root, commit)
+    counted = Observation()
+    path = C.write_files(df.observe(counted, F.count(F.lit(1)).alias("n")), root, commit)
     keys = spark.read.schema(df.schema).parquet(path).select(F.col(key).alias("_k"), F.col("_metadata.file_name").alias("file"))
-    fullest = keys.groupBy("file").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if fullest:
-        words = 1 << max(0, (fullest * BITS_PER_KEY // 64 - 1).bit_length())
+    rows, files = counted.get["n"], sum(n.startswith("part-") for n in C.names(spark, path))
+    if rows:
+        words = 1 << max(0, (rows * BITS_PER_KEY // (64 * files) - 1).bit_length())
         (keys.groupBy("file", _word("_k", words).alias("word")).agg(F.bit_or(_mask("_k")).alias("bits"))
          .write.mode("overwrite").parquet(f"{root}/index/words={words}/commit={commit}"))
     C.publish(spark, root, commit)

@@ -60,8 +60,9 @@ def dropped_by_watermark(query) -> int:
 def _note_dropped(spark: SparkSession, query, out: str) -> None:
     """One row a finished run, beside its output."""
     if not query.isActive:
-        (spark.createDataFrame([(str(query.runId), dropped_by_watermark(query))], "run_id string, dropped long")
-         .write.mode("append").parquet(f"{out}-dropped"))
+        (spark.range(1).select(F.lit(str(query.runId)).alias("run_id"),
+                               F.lit(dropped_by_watermark(query)).cast("long").alias("dropped"))
+         .coalesce(1).write.mode("append").parquet(f"{out}-dropped"))
 
 
 def dropped_rows(spark: SparkSession, out: str) -> DataFrame:

@@ -9,7 +9,7 @@ that count; runs and snapshots that neither the newest nor the one before
 names are removed.
 
     out/runs/<level>-<first>-<last>/    rows with ``_batch``
-    out/snapshots/<batch>/              one line of JSON; counts once it has _SUCCESS
+    out/snapshots/<batch>               one line of JSON, moved into place
 
 A micro-batch that is replayed because its writer died before the snapshot
 overwrites its run; one that the newest snapshot includes changes nothing.  A
@@ -23,17 +23,15 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyho.sources.commits import exists, names, remove
+from tallyho.sources.commits import get_text, names, put_text, remove
 
 FANOUT = 8
 
 
 def snapshot(spark: SparkSession, out: str) -> dict:
     """The newest snapshot: ``batch`` (-1 before the first), ``runs`` and ``note``."""
-    for name in reversed(names(spark, f"{out}/snapshots")):
-        if exists(spark, f"{out}/snapshots/{name}/_SUCCESS"):
-            return json.loads(spark.read.text(f"{out}/snapshots/{name}").first()[0])
-    return {"batch": -1, "runs": [], "note": None}
+    taken = [n for n in names(spark, f"{out}/snapshots") if not n.startswith(".")]
+    return json.loads(get_text(spark, f"{out}/snapshots/{taken[-1]}")) if taken else {"batch": -1, "runs": [], "note": None}
 
 
 def _latest(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,8 +65,7 @@ def append(batch: DataFrame, batch_id: int, out: str, keys: list[str], note: obj
 
 
 def _publish(spark: SparkSession, out: str, state: dict) -> None:
-    (spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1)
-     .write.mode("overwrite").text(f"{out}/snapshots/{state['batch']:012d}"))
+    put_text(spark, f"{out}/snapshots/{state['batch']:012d}", json.dumps(state))
 
 
 def _sweep(spark: SparkSession, out: str, runs: set[str], snapshots: set[str]) -> None:
