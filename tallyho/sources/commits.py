@@ -56,7 +56,12 @@ def put_text(spark: SparkSession, path: str, text: str = "") -> None:
 
 def get_text(spark: SparkSession, path: str) -> str:
     """What ``put_text`` wrote."""
-    return "\n".join(r[0] for r in spark.read.text(path).collect())
+    fs, place = _file_system(spark, path)
+    stream = fs.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def committed(spark: SparkSession, root: str, commit: str) -> bool:

@@ -139,12 +139,13 @@ def stream_stuck_batches(spark: SparkSession, source: str, schema: T.StructType,
     A micro-batch is put in time order and counted by ``unchanged_runs``,
     which splits a batch that has most of the polls over many tasks; whatever
     chunks or files the polls came in, the counts are those of the ordered
-    polls.  The state is a table of one row a batch number (its last time,
-    counter and count), written by each micro-batch for the next one, so a
-    replayed micro-batch gives the same rows.  With ``forget_after`` (an
-    interval) batch numbers whose last poll is that much older than the newest
-    one leave the state.  Polls that are not later than the last one counted
-    of their batch, or that have no time, are kept in ``late_polls``.
+    polls.  The state is an update log of one row a batch number (its last
+    time, counter and count): a micro-batch writes the batch numbers it saw and
+    its snapshot makes it count, so a replayed one changes nothing.  With
+    ``forget_after`` (an interval) batch numbers whose last poll is that much
+    older than the newest one leave the state.  Polls that are not later than
+    the last one counted of their batch, or that have no time, are kept in
+    ``late_polls``.
     """
     key, ts, progress = "batch_num", "checked_at", "completed"
     fields = {f.name: f.dataType.simpleString() for f in schema.fields}
@@ -152,29 +153,39 @@ def stream_stuck_batches(spark: SparkSession, source: str, schema: T.StructType,
 
     def count(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        # two places in turn: a replay finds the state of the micro-batch before it
-        state = (session.read.schema(known).parquet(f"{out}-state/{(batch_id - 1) % 2}") if batch_id
-                 else session.createDataFrame([], known))
+        before = update_log.snapshot(session, f"{out}-state")
+        if batch_id <= before["batch"]:
+            return
+        state = update_log.read_latest(session, f"{out}-state", [key])
+        state = session.createDataFrame([], known) if state is None else state
+        oldest = before["note"]     # microseconds; what is older was forgotten
+        if oldest is not None:
+            state = state.where(epoch_micros(ts) >= oldest)
         last = state.select(F.col(key).alias("_key"), F.col(ts).alias("_last"))
         polls = batch.select(key, ts, progress).join(last, F.col(key).eqNullSafe(F.col("_key")), "left")
         late = F.col(ts).isNull() | F.coalesce(F.col(ts) <= F.col("_last"), F.lit(False))
         polls.where(late).select(key, ts, progress).write.mode("overwrite").parquet(f"{out}-late/_batch={batch_id}")
+        asked = batch.select(F.col(key).alias("_key")).distinct()
         rows = (polls.where(~late).select(key, ts, progress, F.lit(0).alias("_base"), F.lit(False).alias("_state"))
-                .unionByName(state.withColumnRenamed("no_progress_polls", "_base").withColumn("_state", F.lit(True))))
+                .unionByName(state.join(asked, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+                             .withColumnRenamed("no_progress_polls", "_base").withColumn("_state", F.lit(True))))
         counted = f"{out}/_batch={batch_id}"
         (unchanged_runs(rows, key, ts, progress, "_base").drop("_base", "_prev")
          .write.mode("overwrite").parquet(counted))
-        new = (session.read.parquet(counted).groupBy(key)
-               .agg(F.max_by(F.struct(ts, progress, "no_progress_polls"), F.struct(ts, progress)).alias("v"))
+        done = session.read.parquet(counted)
+        new = (done.groupBy(key).agg(F.max_by(F.struct(ts, progress, "no_progress_polls"), F.struct(ts, progress)).alias("v"))
                .select(key, "v.*"))
         if forget_after:
-            newest = new.agg((F.max(ts) - F.expr(f"INTERVAL {forget_after}")).alias("_oldest"))
-            new = new.join(F.broadcast(newest), F.col(ts) >= F.col("_oldest")).drop("_oldest")
-        new.write.mode("overwrite").parquet(f"{out}-state/{batch_id % 2}")
+            span = F.expr(f"unix_micros(TIMESTAMP_SECONDS(0) + INTERVAL {forget_after})")
+            newest = state.select(ts).unionByName(done.select(ts)).agg((F.max(epoch_micros(ts)) - span).alias("o")).first()[0]
+            oldest = max((x for x in (oldest, newest) if x is not None), default=None)
+        keep = None if oldest is None else epoch_micros(ts) >= oldest
+        update_log.append(new, batch_id, f"{out}-state", [key], oldest, keep)
 
     _run(_file_stream(spark, source, schema).select(key, ts, progress).writeStream.foreachBatch(count),
          checkpoint, trigger)
-    return (spark.read.schema(f"{known}, _state boolean").parquet(out).where("not _state")
+    return (spark.read.schema(f"{known}, _state boolean, _batch long").parquet(out)
+            .where(F.col("_batch") <= update_log.snapshot(spark, f"{out}-state")["batch"]).where("not _state")
             .select(key, ts, progress, "no_progress_polls"))
 
 

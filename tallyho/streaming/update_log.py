@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tallyho.sources.commits import get_text, names, put_text, remove
 
-FANOUT = 8
+FANOUT = 16
 
 
 def snapshot(spark: SparkSession, out: str) -> dict:
