@@ -135,21 +135,19 @@ def q_token_budget(spark, sf_dir):
     return BT.token_budget(rows, _DESIGNS, _DAILY)
 
 
+_CSV_COLS = S.COMPANY_CSV_SCHEMA.fieldNames()
+
+
 @register("scan_companies_csv", sql=f"""{W_C}
-SELECT CAST(rcid AS VARCHAR) AS rcid, {', '.join(f'{Q.blank_to_null(c)} AS {c}' for c in ['org_uuid', 'name', 'short_description', 'long_description', 'category_list', 'founded_date'])}
+SELECT CAST(rcid AS VARCHAR) AS rcid, {', '.join(f'{Q.blank_to_null(c)} AS {c}' for c in _CSV_COLS if c != 'rcid')}
 FROM companies""")
 def q_scan_companies_csv(spark, sf_dir):
-    """Write the company table as CSV (quotes, commas, newlines inside
+    """Write the whole company table as CSV (quotes, commas, newlines inside
     fields) and scan it back with the declared schema; blanks -> NULL (S1)."""
     from tallyho.sources import sinks
-    cols = ["rcid", "org_uuid", "name", "short_description", "long_description",
-            "category_list", "founded_date"]
     path = sinks.scratch_path(spark, "companies_csv")
-    c = _companies(spark, sf_dir).select(*cols)
-    sinks.sink_fixed_csv(c, cols, path)
-    from pyspark.sql import types as T
-    schema = T.StructType([T.StructField(x, T.StringType()) for x in cols])
-    return RD.scan_companies_csv(spark, path, schema)
+    sinks.sink_fixed_csv(_companies(spark, sf_dir), _CSV_COLS, path)
+    return RD.scan_companies_csv(spark, path)
 
 
 @register("sink_jsonl_append", sql=f"""{W_C}

@@ -165,29 +165,27 @@ def q_results_not_downloaded(spark, sf_dir):
 
 
 @register("scan_latest_version", sql=f"""{with_views('runs_a', 'runs_b')}
-SELECT CompanyID, AI_native, run_id FROM (
-  SELECT CompanyID, AI_native, '2025-w09' AS run_id FROM runs_a
-  UNION ALL SELECT CompanyID, AI_native, '2025-w10' FROM runs_b)
+SELECT * FROM (
+  SELECT *, '2025-w09' AS run_id FROM runs_a UNION ALL BY NAME SELECT *, '2025-w10' AS run_id FROM runs_b)
 WHERE run_id = (SELECT max(run_id) FROM (SELECT '2025-w09' AS run_id UNION ALL SELECT '2025-w10'))""")
 def q_scan_latest_version(spark, sf_dir):
-    """Rows of the newest tagged run only."""
+    """Whole rows of the newest tagged run only."""
     t = _t(spark, sf_dir)
-    runs = (B.runs_a(t).select("CompanyID", "AI_native", F.lit("2025-w09").alias("run_id"))
-            .unionByName(B.runs_b(t).select("CompanyID", "AI_native",
-                                            F.lit("2025-w10").alias("run_id"))))
+    runs = (B.runs_a(t).withColumn("run_id", F.lit("2025-w09"))
+            .unionByName(B.runs_b(t).withColumn("run_id", F.lit("2025-w10"))))
     return RD.scan_latest_version(runs, ["CompanyID"], "run_id")
 
 
 @register("scan_latest_file", sql=f"""{with_views('runs_b')}
-SELECT CompanyID, AI_native FROM runs_b""")
+SELECT * FROM runs_b""")
 def q_scan_latest_file(spark, sf_dir):
-    """Rows of the newest file set only: run B is written over a second after
+    """Whole rows of the newest file set only: run B is written over a second after
     run A, beside it (S6, by file time)."""
     import time
     from tallyho.sources import sinks
     t = _t(spark, sf_dir)
     path = sinks.scratch_path(spark, "runs")
-    a, b = (runs(t).select("CompanyID", "AI_native") for runs in (B.runs_a, B.runs_b))
+    a, b = B.runs_a(t), B.runs_b(t)
     a.write.parquet(path)
     time.sleep(1.1)     # some file systems keep whole seconds
     b.write.mode("append").parquet(path)
