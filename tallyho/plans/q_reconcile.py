@@ -192,9 +192,17 @@ def q_scan_latest_file(spark, sf_dir):
     return RD.scan_latest_file(spark, path, b.schema)
 
 
-@register("scan_jsonl_tolerant", sql=f"""{with_views('search_log_flat', 'companies')}
-SELECT 'good' AS kind, rcid, name, timestamp, CAST(NULL AS VARCHAR) AS line FROM search_log_flat
-UNION ALL SELECT 'malformed', NULL, NULL, NULL, '{{"rcid": ' || CAST(rcid AS VARCHAR) || ', "name": '
+@register("scan_jsonl_tolerant", sql=f"""{with_views('search_log_flat', 'companies', 'search_hits')}
+SELECT 'good' AS kind, l.rcid, l.name, c.short_description, c.long_description AS description, c.homepage_url,
+  l.timestamp, l.error, {Q.q(S.SEARCH_QUERY_PREFIX)} || coalesce(l.name, '') AS query,
+  CASE WHEN coalesce(l.error, '') = '' THEN 'Summary of ' || coalesce(l.name, '') END AS answer,
+  CAST(CASE WHEN coalesce(l.error, '') = '' THEN coalesce(h.n, 0) ELSE 0 END AS INTEGER) AS result_count,
+  CASE WHEN coalesce(l.error, '') = '' THEN coalesce(h.texts, '') END AS results, CAST(NULL AS VARCHAR) AS line
+FROM search_log_flat l JOIN companies c USING (rcid) LEFT JOIN (SELECT rcid, count(*) AS n,
+  string_agg(concat_ws('|', title, url, content), chr(10) ORDER BY rnk) AS texts
+  FROM search_hits GROUP BY rcid) h ON l.rcid = h.rcid
+UNION ALL SELECT 'malformed', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+  '{{"rcid": ' || CAST(rcid AS VARCHAR) || ', "name": '
 FROM companies WHERE rcid % 50 = 25""")
 def q_scan_jsonl_tolerant(spark, sf_dir):
     """Write the search log as JSON lines with blank and broken lines mixed
@@ -210,7 +218,12 @@ def q_scan_jsonl_tolerant(spark, sf_dir):
     path = sinks.scratch_path(spark, "search_log_jsonl")
     lines.unionByName(broken).unionByName(blank).write.text(path)
     good, bad = RD.scan_jsonl_tolerant(spark, path, S.SEARCH_PASS_SCHEMA)
-    return (good.select(F.lit("good").alias("kind"), "rcid", "name", "timestamp")
+    raw = F.col("tavily.raw_response")
+    hits = F.array_join(F.transform(raw["results"], lambda r: F.concat_ws("|", r["title"], r["url"], r["content"])), "\n")
+    return (good.select(F.lit("good").alias("kind"), "rcid", "name", "short_description", "description", "homepage_url",
+                        "timestamp", F.col("tavily.error").alias("error"), F.col("tavily.query").alias("query"),
+                        raw["answer"].alias("answer"), F.col("tavily.result_count").alias("result_count"),
+                        hits.alias("results"))
             .unionByName(bad.select(F.lit("malformed").alias("kind"), F.col(RD.CORRUPT).alias("line")),
                          allowMissingColumns=True))
 
