@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -573,6 +574,43 @@ def test_parts_link_by_gap_and_scope(spark):
     assert all(("hunter22" in clean[i].text) == ("part" not in kinds) for i, (t, kinds) in cases.items() if "hunter22" in t)
 
 
+def test_secrets_leave_prose(spark):
+    prose = ["Dear user: Maria, the server: is down. My pass: forever. See https://x.org/a for more.",
+             "The host: nobody. login: tomorrow, credentials: required and https://x.org/a is open, bearer certificates too.",
+             "Dear user: Maria,\nyour pass: forever.\nlogin: tomorrow\ncredentials: required\n",
+             "Authorised login: see desk. Passphrase: whatever you like; auth: pending; account_id: unknown yet."]
+    df = spark.createDataFrame(list(enumerate(prose)), "doc_id long, text string")
+    assert {r.spans for r in secret_links.secrets_query(df).collect()} == {""}
+    assert {i: r.text for i, r in by_id(secret_links.redact_secrets(df)).items()} == dict(enumerate(prose))
+    alone = spark.createDataFrame([(1, "username: deploy\npwd: hunter22\nhost: database\n"), (2, 'client_id: "joe"\npwd: "abcdef"')], "doc_id long, text string")
+    got = {r.doc_id: [s.split(":")[0] for s in r.spans.split(",")] for r in secret_links.secrets_query(alone).collect()}
+    assert got == {1: ["id", "part", "endpoint"], 2: ["id", "part"]}
+
+
+def test_secrets_in_long_texts(spark):
+    """Pieces join to the text, and nothing at their ends is lost or found anew."""
+    group = "user=bob%d pwd=hunter%d password=longword%d"
+    rng = random.Random(5)
+    texts_ = {}
+    for i, sep in enumerate(["\n", " and ", '","', "\n\n \n", ""]):
+        texts_[i] = sep.join("x" * rng.randrange(150) + " " + group % (n, n, n) + rng.choice(["", " ", "😀", "\t"]) for n in range(400))
+    texts_[5] = "[a b c]\n" + "\n" * 9000 + "token=abcdefgh1" + " " * 9000 + "secret" + " " * 5000 + "= abcdefgh2 " + "0123456789abcdef" * 900
+    df = spark.createDataFrame(list(texts_.items()), "doc_id long, text string")
+    joined = df.select("doc_id", F.array_join(secret_links._pieces(F.col("text")), "").alias("text"), F.size(secret_links._pieces(F.col("text"))).alias("n"))
+    for r in joined.collect():
+        assert r.text == texts_[r.doc_id] and (r.n > 3 or r.doc_id >= 4)
+    clean = by_id(secret_links.redact_secrets(df))
+    for r in secret_links.secrets_query(df).collect():
+        text, base = texts_[r.doc_id], _secrets(texts_[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        want = list(base)
+        if r.doc_id < 5:
+            want += [f"id:{m.start()}:{m.end()}" for m in re.finditer(r"(?<![A-Za-z0-9])user=[A-Za-z0-9@+_.-]{3,}", text)]
+            want += [f"part:{m.start()}:{m.end()}" for m in re.finditer(r"(?<![A-Za-z0-9])pwd=[A-Za-z0-9+/_.=-]{6,}", text)]
+        assert sorted(r.spans.split(",")) == sorted(want)
+        assert not re.search("hunter|longword|abcdefgh", clean[r.doc_id].text)
+
+
 def test_redaction(edge):
     rows = secret_links.redact_secrets(edge)
     assert rows.columns == edge.columns and rows.count() == edge.count()
