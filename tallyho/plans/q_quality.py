@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyho import schemas as S
 from tallyho.operators import findings as FD
 from tallyho.operators import quality as QA
+from tallyho.operators import rules as RU
 from tallyho.operators import triage as TR
 from tallyho.plans import sqlfn as Q
 from tallyho.plans.oracle_views import with_views
@@ -137,6 +138,35 @@ def q_check_source_confidence_band(spark, sf_dir):
         "company_id", "finding_id", "source_type", "violations")
 
 
+_STAGE_BANDS = ", ".join(f"('{s}', '{t}', {a}, {b})" for s, t, a, b in S.STAGE_CONFIDENCE_BANDS)
+_SOURCE_TYPES = Q.arr(list(dict.fromkeys(t for _, t, *_ in S.STAGE_CONFIDENCE_BANDS)))
+
+
+@register("check_research_rules", sql=f"""{_RJ},
+bands(stage, source_type, band_min, band_max) AS (VALUES {_STAGE_BANDS}),
+marked AS (SELECT c.company_id,
+    NOT coalesce(f.confidence BETWEEN 0.0 AND 1.0, false) AS bad_range,
+    c.research_stage_reached IN (SELECT stage FROM bands) AND f.confidence < {S.FINDING_CONFIDENCE_FLOOR} AS low,
+    b.band_min IS NOT NULL AND NOT (f.confidence BETWEEN b.band_min AND b.band_max) AS outside,
+    NOT list_contains({_SOURCE_TYPES}, f.source_type) AS odd_source,
+    NOT list_contains({_FUNCS}, f.business_function) AS odd_function
+  FROM research_companies c JOIN finding_rows f ON c.company_id = f.company_id AND NOT c.result_is_null
+  LEFT JOIN bands b ON b.stage = c.research_stage_reached AND b.source_type = f.source_type),
+agg AS (SELECT company_id, bool_or(bad_range) AS bad_range, bool_or(low) AS low, bool_or(outside) AS outside,
+    bool_or(odd_source) AS odd_source, bool_or(odd_function) AS odd_function FROM marked GROUP BY company_id)
+SELECT c.company_id, c.research_stage_reached, concat_ws(';',
+  CASE WHEN NOT coalesce(c.online_presence_score BETWEEN 0 AND 100, false) THEN 'presence_out_of_range' END,
+  CASE WHEN NOT coalesce(list_contains({Q.arr(S.RESEARCH_STAGES)}, c.research_stage_reached), false) THEN 'unknown_stage' END,
+  CASE WHEN a.bad_range THEN 'confidence_out_of_range' END, CASE WHEN a.low THEN 'confidence_below_floor' END,
+  CASE WHEN a.outside THEN 'confidence_outside_band' END, CASE WHEN a.odd_source THEN 'unknown_source_type' END,
+  CASE WHEN a.odd_function THEN 'unknown_business_function' END) AS violations
+FROM research_companies c LEFT JOIN agg a ON c.company_id = a.company_id""")
+def q_check_research_rules(spark, sf_dir):
+    """Domains, ranges and stage bands of a research result, from a rule table (Q4, Q6, Q7)."""
+    return RU.check_research_rules(B.research_results(Tables(spark, sf_dir))).select(
+        "company_id", "research_stage_reached", "violations")
+
+
 def _should_sql(stage: str) -> str:
     veto = (f"(coalesce(f.best >= {S.ESCALATE_CONFIDENCE_CLEAR}, false) OR coalesce(f.n, 0) = 0 "
             f"OR c.online_presence_score < {S.ESCALATE_PRESENCE_LOW})")

@@ -155,6 +155,26 @@ SOURCE_CONFIDENCE_BANDS = [
     ("job_posting", 0.5, 0.7),
     ("linkedin_post", 0.5, 0.7),
 ]
+# The same by stage: stage, source type, least, most.
+STAGE_CONFIDENCE_BANDS = [
+    ("2A", "company_blog", 0.9, 1.0),
+    ("2A", "press_release", 0.9, 1.0),
+    ("2A", "news_article", 0.7, 0.8),
+    ("2A", "job_posting", 0.5, 0.6),
+    ("2A", "linkedin_post", 0.5, 0.6),
+    ("2B", "company_blog", 0.9, 1.0),
+    ("2B", "press_release", 0.9, 1.0),
+    ("2B", "news_article", 0.7, 0.8),
+    ("2B", "job_posting", 0.5, 0.6),
+    ("2B", "linkedin_post", 0.5, 0.6),
+    ("3", "company_blog", 0.9, 1.0),
+    ("3", "press_release", 0.9, 1.0),
+    ("3", "news_article", 0.7, 0.9),
+    ("3", "job_posting", 0.5, 0.7),
+    ("3", "linkedin_post", 0.5, 0.7),
+]
+# Findings below this are left out at the stages above.
+FINDING_CONFIDENCE_FLOOR = 0.5
 # Escalation cut-offs that the prose leaves open.
 ESCALATE_PRESENCE_HIGH = 70
 ESCALATE_PRESENCE_LOW = 30

@@ -61,6 +61,7 @@ def test_every_query_has_a_docstring():
     ("check_reply_contract", "violations"), ("check_insufficient_info", "violations"),
     ("check_adoption_invariants", "violations"), ("check_mode_monotonic", "violations"),
     ("check_ranges", "violations"), ("check_source_confidence_band", "violations"),
+    ("check_research_rules", "violations"),
     ("sliding_request_rate", "over_limit"), ("plan_even_batches", "batch_num"),
     ("plan_greedy_batches", "batch_num"), ("escalation_rule", "mismatch")])
 def test_checks_have_both_outcomes(key, column):
