@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyho import schemas as S
+from tallyho.operators.replies import extract_json_span
 
 _COMPANY_COLS = ["company_id", "company_name", "homepage_url", "industry",
                  "founded_year", "research_stage_reached",
@@ -98,3 +99,62 @@ def normalize_citations(raw: DataFrame, json_col: str = "raw") -> DataFrame:
     return x.select(*keep, "citations", (F.size("citations") > 0).alias("has_citations"),
                     F.transform("citations", lambda c: c["url"]).alias("urls"),
                     "total_tokens")
+
+
+# ---- typed findings -----------------------------------------------------------
+
+_TEXT_FIELDS = ["finding_type", "description", "source_url", "source_title"]
+
+
+def _typed(item) -> F.Column:
+    """A finding's declared fields; the confidence is NULL if it is absent or no number."""
+    number = F.try_variant_get(item, "$.confidence_score", "string").try_cast("double")
+    return F.struct(*[F.try_variant_get(item, f"$.{n}", "string").alias(n) for n in _TEXT_FIELDS],
+                    number.alias("confidence_score"))
+
+
+def _why_not(item, f) -> F.Column:
+    """Why a finding is quarantined; NULL if it is not."""
+    return (F.when(~F.coalesce(F.schema_of_variant(item).startswith("OBJECT"), F.lit(False)), F.lit("no_object"))
+            .when(~F.coalesce(f["finding_type"].isin(*S.FINDING_TYPES), F.lit(False)), F.lit("unknown_finding_type"))
+            .when(f["description"].isNull(), F.lit("missing_description"))
+            .when(~F.coalesce(f["confidence_score"].between(0.0, 1.0), F.lit(False)), F.lit("confidence_out_of_range")))
+
+
+def typed_findings(replies: DataFrame, text_col: str = "reply") -> DataFrame:
+    """Findings of a reply as typed columns.
+
+    ``finding_type`` is one of a declared list, exactly as written; a finding of
+    another type, without a description, with a confidence that is no number of
+    0 to 1 (a number written as a text is one), or that is no object, is not
+    coerced: it goes to ``quarantined`` (1-based place, reason, its fields).
+    ``findings`` holds the others in their order.  A reply without JSON or
+    without a list has neither.
+    """
+    keep = [c for c in replies.columns if c != text_col]
+    items = F.try_variant_get(F.try_parse_json(extract_json_span(text_col)), "$.findings", "array<variant>")
+    x = replies.select(*keep, items.alias("_items"))
+    x = x.select(*keep, F.transform("_items", lambda v, i: F.struct(i.alias("i"), v.alias("v"), _typed(v).alias("f"))).alias("_f"))
+    x = x.select(*keep, F.transform(F.coalesce("_f", F.array().cast(x.schema["_f"].dataType)), lambda e: F.struct(
+        (e["i"] + 1).alias("finding_id"), _why_not(e["v"], e["f"]).alias("reason"), e["f"].alias("f"))).alias("_j"))
+    return x.select(
+        *keep, F.transform(F.filter("_j", lambda e: e["reason"].isNull()), lambda e: e["f"]).alias("findings"),
+        F.filter("_j", lambda e: e["reason"].isNotNull()).alias("quarantined"))
+
+
+def summarize_typed_findings(typed: DataFrame) -> DataFrame:
+    """has_adoption_evidence: any finding of a type that is not negative;
+    highest_confidence: of all findings, 0.0 without; array functions only."""
+    negative = S.NEGATIVE_FINDING_TYPES
+    return typed.select(
+        "company_id",
+        F.exists("findings", lambda f: ~f["finding_type"].isin(*negative)).alias("has_adoption_evidence"),
+        F.coalesce(F.array_max(F.transform("findings", lambda f: f["confidence_score"])), F.lit(0.0)).alias("highest_confidence"),
+        F.size("findings").alias("n_findings"), F.size("quarantined").alias("n_quarantined"))
+
+
+def quarantined_findings(typed: DataFrame) -> DataFrame:
+    """One row per quarantined finding, with its place, reason and fields."""
+    x = typed.select("company_id", F.explode("quarantined").alias("_q"))
+    return x.select("company_id", F.col("_q.finding_id").alias("finding_id"), F.col("_q.reason").alias("reason"),
+                    *[F.col(f"_q.f.{n}").alias(n) for n in [*_TEXT_FIELDS, "confidence_score"]])

@@ -26,6 +26,14 @@ RESEARCH_HEADERS = {
     "3": "Deep research on internal generative-AI tool use at",
 }
 
+# What a prompt says where a part is absent (ours).
+PROMPT_DEFAULTS = {
+    "signals": "none",
+    "signal_list": "- signs of AI use in general",
+    "reason": "the screening looked promising",
+    "earlier": "- none written down; the stages before saw signs without details",
+}
+
 
 def route_by_score(log: DataFrame, score: str = "research_priority_score") -> DataFrame:
     s = F.col(score)
@@ -55,7 +63,7 @@ def score_distribution(log: DataFrame, score: str = "research_priority_score") -
         _distribution(log, "without_errors", F.col("error").isNull(), score))
 
 
-def _stage_costs(counts: DataFrame, n_cols: dict[str, str]) -> DataFrame:
+def stage_costs(counts: DataFrame, n_cols: dict[str, str]) -> DataFrame:
     """One row of per-stage counts -> a row per stage with its costs."""
     parts = ", ".join(f"'{st}', {i}, CAST({lo} AS DOUBLE), CAST({hi} AS DOUBLE), {n_cols[st]}"
                       for i, (st, lo, hi) in enumerate(STAGE_UNIT_COSTS))
@@ -72,7 +80,7 @@ def cost_rollup(results: DataFrame) -> DataFrame:
                         for i, (s, _, _) in enumerate(STAGE_UNIT_COSTS)])
     reach_at_least = {s: " + ".join(f"r{j}" for j in range(i, len(STAGE_UNIT_COSTS)))
                       for i, (s, _, _) in enumerate(STAGE_UNIT_COSTS)}
-    per = _stage_costs(one, reach_at_least)
+    per = stage_costs(one, reach_at_least)
     w = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = F.sum(F.col("requests") * F.col("unit_max")).over(w)
     return per.select(
@@ -94,26 +102,50 @@ def stage_funnel(results: DataFrame) -> DataFrame:
         F.count_if(n > 0).alias("companies_with_findings"))
 
 
-def build_research_prompt(results: DataFrame) -> DataFrame:
+def _bullets(findings, line, missing: str) -> F.Column:
+    return F.when(F.size(findings) == 0, F.lit(missing)).otherwise(
+        F.array_join(F.transform(findings, lambda f: F.concat(F.lit("- "), line(f))), "\n"))
+
+
+def _signal(f) -> F.Column:
+    return F.concat(F.coalesce(f["tool_name"], F.lit("unknown tool")), F.lit(": "),
+                    F.coalesce(f["use_case"], F.lit("unknown use")))
+
+
+def _earlier(f) -> F.Column:
+    return F.concat(_signal(f), F.lit(" ("), F.coalesce(f["source_type"], F.lit("unknown source")), F.lit(", "),
+                    F.coalesce(f["source_url"], F.lit("no link")), F.lit(")"))
+
+
+def build_research_prompt(results: DataFrame, context: str | None = None) -> DataFrame:
+    """The prompt of the stage that a company reached, each stage with a body of
+    its own: the quick check (also for stage 1) names the presence score and the
+    signals in one line; the deep check adds website, reason of the escalation and
+    the signals as a list; deep research lists the earlier findings with their
+    sources instead.  ``context`` is an optional column of background text.
+    Absent parts get a default or, website and context, are left out."""
     fs = F.coalesce(F.col("result.findings"),
                     F.array().cast(f"array<{S.FINDING_SCHEMA.simpleString()}>"))
-    signals = F.when(F.size(fs) == 0, F.lit("- none reported")).otherwise(
-        F.array_join(F.transform(fs, lambda f: F.concat(
-            F.lit("- "), F.coalesce(f["tool_name"], F.lit("unknown tool")), F.lit(": "),
-            F.coalesce(f["use_case"], F.lit("unknown use")))), "\n"))
+    about = F.col(context) if context else F.lit(None).cast("string")
+    name = F.coalesce("company_name", F.lit("the company"))
+    site = F.coalesce(F.concat(F.lit(" (website: "), F.col("homepage_url"), F.lit(")")), F.lit(""))
+    presence = F.concat(F.lit("Online presence: "), F.coalesce("online_presence_score", F.lit(0)).cast("string"), F.lit(" of 100"))
+    reason = F.coalesce(F.col("result.escalation_reason"), F.lit(PROMPT_DEFAULTS["reason"]))
+    one_line = F.when(F.size(fs) == 0, F.lit(PROMPT_DEFAULTS["signals"])).otherwise(
+        F.array_join(F.transform(fs, _signal), "; "))
+
+    def head(stage, tail):
+        return F.concat(F.lit(RESEARCH_HEADERS[stage] + " "), name, tail, F.lit("."))
+
+    quick = F.concat_ws("\n", head("2A", F.lit("")), presence, F.concat(F.lit("Signals of the screening: "), one_line),
+                        F.concat(F.lit("Context: "), about))
+    deep = F.concat_ws("\n", head("2B", site), presence, F.concat(F.lit("Escalated because: "), reason),
+                       F.lit("Signals so far:"), _bullets(fs, _signal, PROMPT_DEFAULTS["signal_list"]),
+                       F.concat(F.lit("Context: "), about))
+    research = F.concat_ws("\n", head("3", site), F.lit("Earlier findings to verify and extend:"),
+                           _bullets(fs, _earlier, PROMPT_DEFAULTS["earlier"]), F.concat(F.lit("Background: "), about))
     st = F.col("research_stage_reached")
-    header = F.lit(RESEARCH_HEADERS["2A"])
-    for k in ("3", "2B", "2A"):
-        header = F.when(st == k, F.lit(RESEARCH_HEADERS[k])).otherwise(header)
-    prompt = F.concat_ws(
-        "\n",
-        F.concat(header, F.lit(" "), F.col("company_name"), F.lit(".")),
-        F.concat(F.lit("Homepage: "), F.coalesce("homepage_url", F.lit("not available"))),
-        F.concat(F.lit("Industry: "), F.coalesce("industry", F.lit("unknown"))),
-        F.concat(F.lit("Founded: "), F.coalesce(F.col("founded_year").cast("string"),
-                                                F.lit("unknown"))),
-        F.lit("Signals:"), signals)
-    return results.select("company_id", prompt.alias("prompt"))
+    return results.select("company_id", F.when(st == "3", research).when(st == "2B", deep).otherwise(quick).alias("prompt"))
 
 
 def escalation_cascade(results: DataFrame) -> DataFrame:
@@ -127,7 +159,7 @@ def escalation_cascade(results: DataFrame) -> DataFrame:
     one = x.agg(F.count(F.lit(1)).alias("n1"), F.count_if("routed").alias("n2a"),
                 F.count_if(F.col("routed") & F.col("e2a")).alias("n2b"),
                 F.count_if(F.col("routed") & F.col("e2a") & F.col("e2b")).alias("n3"))
-    per = _stage_costs(one, {"1": "n1", "2A": "n2a", "2B": "n2b", "3": "n3"})
+    per = stage_costs(one, {"1": "n1", "2A": "n2a", "2B": "n2b", "3": "n3"})
     return per.select("stage", F.col("requests").alias("companies"),
                       F.round(F.col("requests") * F.col("unit_min"), 6).alias("cost_min"),
                       F.round(F.col("requests") * F.col("unit_max"), 6).alias("cost_max"))

@@ -130,6 +130,28 @@ SELECT o_orderkey AS company_id,
 FROM orders
 """)
 
+VIEWS["batch_error_rows"] = ([], """
+SELECT CAST(floor(event_id / 500) AS INTEGER) AS batch_num,
+  coalesce(CASE WHEN event_id % 7 = 6 THEN 'line_' || CAST(event_id AS VARCHAR)
+    ELSE ['rate_limit_exceeded', 'server_error', 'invalid_request', 'rate_limit_exceeded', NULL,
+          'token_limit_exceeded'][CAST(event_id % 7 AS INTEGER) + 1] END, 'unknown') AS code
+FROM events WHERE event_type = 'error' AND floor(event_id / 500) % 10 <> 7 AND floor(event_id / 500) % 6 <> 5
+""")
+
+_KINDS = [*S.FINDING_TYPES, "gut_feeling", S.NEGATIVE_FINDING_TYPES[0].upper(), None, S.FINDING_TYPES[0]]
+VIEWS["typed_finding_rows"] = (["finding_rows", "research_companies"], f"""
+SELECT *, CASE WHEN finding_type IS NULL OR NOT list_contains({_arr(S.FINDING_TYPES)}, finding_type) THEN 'unknown_finding_type'
+    WHEN description IS NULL THEN 'missing_description'
+    WHEN NOT coalesce(confidence_score BETWEEN 0.0 AND 1.0, false) THEN 'confidence_out_of_range' END AS reason
+FROM (SELECT f.company_id, CAST(f.ordinal AS INTEGER) AS finding_id,
+  CASE WHEN f.company_id % 5 = 2 THEN {_arr(S.NEGATIVE_FINDING_TYPES)}[CAST((f.ordinal - 1) % 2 AS INTEGER) + 1]
+       ELSE {_arr(_KINDS)}[CAST((f.company_id * 7 + (f.ordinal - 1) * 5) % {len(_KINDS)} AS INTEGER) + 1] END AS finding_type,
+  CASE WHEN (f.company_id + f.ordinal - 1) % 13 <> 6 THEN f.evidence_summary END AS description,
+  f.source_url, f.tool_name AS source_title, round(f.confidence, 2) AS confidence_score
+FROM finding_rows f JOIN research_companies c ON c.company_id = f.company_id
+WHERE NOT c.result_is_null AND f.company_id % 29 <> 0)
+""")
+
 VIEWS["batch_status"] = ([], r"""
 SELECT CAST(user_id AS INTEGER) AS batch_num,
   CASE WHEN user_id % 9 = 4 THEN NULL ELSE 'batch_' || CAST(user_id AS VARCHAR) END AS batch_id,

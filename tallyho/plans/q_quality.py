@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyho import schemas as S
+from tallyho.operators import cascade as CA
 from tallyho.operators import findings as FD
 from tallyho.operators import quality as QA
 from tallyho.operators import rules as RU
 from tallyho.operators import triage as TR
 from tallyho.plans import sqlfn as Q
 from tallyho.plans.oracle_views import with_views
-from tallyho.plans.q_replies import RUN_TS, _E1, _adoption_flat, _cls_ingested
+from tallyho.plans.q_replies import RUN_TS, _E1, _NF, _PARSE_ERR, _adoption_flat, _cls_ingested
 from tallyho.plans.registry import register
 from tallyho.sources import bindings as B
+from tallyho.sources import sinks
 from tallyho.sources.tables import Tables
 
 _VOCAB = Q.arr(S.SOURCE_VOCABULARY)
@@ -260,28 +262,44 @@ def q_stage_funnel(spark, sf_dir):
 
 
 def _prompt_sql():
-    tmpl = {st: TR.RESEARCH_HEADERS[st] for st in TR.RESEARCH_HEADERS}
-    header = "CASE " + " ".join(f"WHEN c.research_stage_reached = '{k}' THEN {Q.q(v)}"
-                                for k, v in tmpl.items()) + f" ELSE {Q.q(TR.RESEARCH_HEADERS['2A'])} END"
-    signals = ("coalesce(string_agg('- ' || coalesce(f.tool_name, 'unknown tool') || ': ' || "
-               "coalesce(f.use_case, 'unknown use'), chr(10) ORDER BY f.ordinal) "
-               "FILTER (WHERE f.company_id IS NOT NULL), '- none reported')")
-    return f"""{_RJ}
-SELECT c.company_id, concat_ws(chr(10),
-  any_value({header}) || ' ' || any_value(c.company_name) || '.',
-  'Homepage: ' || any_value(coalesce(c.homepage_url, 'not available')),
-  'Industry: ' || any_value(coalesce(c.industry, 'unknown')),
-  'Founded: ' || any_value(coalesce(CAST(c.founded_year AS VARCHAR), 'unknown')),
-  'Signals:', {signals}) AS prompt
-FROM research_companies c LEFT JOIN finding_rows f ON c.company_id = f.company_id AND NOT c.result_is_null
-GROUP BY c.company_id"""
+    d, h = TR.PROMPT_DEFAULTS, TR.RESEARCH_HEADERS
+    signal = "coalesce(f.tool_name, 'unknown tool') || ': ' || coalesce(f.use_case, 'unknown use')"
+    earlier = f"{signal} || ' (' || coalesce(f.source_type, 'unknown source') || ', ' || coalesce(f.source_url, 'no link') || ')'"
+
+    def joined(line, sep, missing):
+        return (f"coalesce(string_agg({line}, {sep} ORDER BY f.ordinal) FILTER (WHERE f.company_id IS NOT NULL), "
+                f"{Q.q(missing)})")
+
+    return f"""{_RJ},
+c AS (SELECT *, CASE WHEN company_id % 7 <> 2 THEN homepage_url END AS url,
+  CASE WHEN founded_year % 3 <> 0 THEN industry || ', founded ' || CAST(founded_year AS VARCHAR) END AS about FROM research_companies),
+p AS (SELECT c.company_id, any_value(c.research_stage_reached) AS stage, any_value(c.company_name) AS name,
+  any_value(coalesce(' (website: ' || c.url || ')', '')) AS site, any_value(c.about) AS about,
+  'Online presence: ' || CAST(any_value(c.online_presence_score) AS VARCHAR) || ' of 100' AS presence,
+  coalesce(any_value(CASE WHEN NOT c.result_is_null THEN c.escalation_reason END), {Q.q(d["reason"])}) AS reason,
+  {joined(signal, "'; '", d["signals"])} AS one_line,
+  {joined("'- ' || " + signal, "chr(10)", d["signal_list"])} AS signals,
+  {joined("'- ' || " + earlier, "chr(10)", d["earlier"])} AS earlier
+  FROM c LEFT JOIN finding_rows f ON c.company_id = f.company_id AND NOT c.result_is_null GROUP BY c.company_id)
+SELECT company_id, CASE
+  WHEN stage = '3' THEN concat_ws(chr(10), {Q.q(h["3"])} || ' ' || name || site || '.', 'Earlier findings to verify and extend:',
+    earlier, 'Background: ' || about)
+  WHEN stage = '2B' THEN concat_ws(chr(10), {Q.q(h["2B"])} || ' ' || name || site || '.', presence, 'Escalated because: ' || reason,
+    'Signals so far:', signals, 'Context: ' || about)
+  ELSE concat_ws(chr(10), {Q.q(h["2A"])} || ' ' || name || '.', presence, 'Signals of the screening: ' || one_line,
+    'Context: ' || about) END AS prompt
+FROM p"""
 
 
 @register("build_research_prompt", sql=_prompt_sql())
 def q_build_research_prompt(spark, sf_dir):
-    """Stage-specific research prompt with defaulted sections and a bullet
-    list of earlier signals (P14)."""
-    return TR.build_research_prompt(B.research_results(Tables(spark, sf_dir)))
+    """Research prompt with a body for each stage: presence, signals, escalation
+    reason, earlier findings, context (P14)."""
+    r = B.research_results(Tables(spark, sf_dir))
+    r = r.withColumn("homepage_url", F.when(F.col("company_id") % 7 != 2, F.col("homepage_url"))).withColumn(
+        "about", F.when(F.col("founded_year") % 3 != 0,
+                        F.concat("industry", F.lit(", founded "), F.col("founded_year").cast("string"))))
+    return TR.build_research_prompt(r, "about")
 
 
 @register("escalation_cascade", sql=f"""{_RJ},
@@ -298,3 +316,62 @@ def q_escalation_cascade(spark, sf_dir):
     """Route priority >= 3 to the quick check, escalate by rule to the deep
     check and to deep research; companies and cost per stage (U6)."""
     return TR.escalation_cascade(B.research_results(Tables(spark, sf_dir)))
+
+
+# a company's reply at a stage is the stand-in reply of the company this many ids on
+_REPLY_OF = {"2A": 0, "2B": 1, "3": 2}
+
+
+def _cascade_sql() -> str:
+    asked, parts = "(SELECT company_id, p FROM screened WHERE escalated)", []
+    for stage, on in _REPLY_OF.items():
+        name = f"stage_{stage.lower()}"
+        parts.append(f"""{name} AS (SELECT c.company_id, c.online_presence_score AS p, e.err AS parse_error,
+    CAST(CASE WHEN e.err IS NULL THEN coalesce(e.nf, 0) ELSE 0 END AS INTEGER) AS n_findings,
+    e.err IS NULL AND {_should_sql(f"'{stage}'")} AS escalated
+  FROM (SELECT company_id, p AS online_presence_score FROM {asked}) c
+  LEFT JOIN said e ON e.company_id = c.company_id + {on} LEFT JOIN {_FAGG} f ON f.company_id = c.company_id + {on})""")
+        asked = f"(SELECT company_id, p FROM {name} WHERE escalated)"
+    rows = " UNION ALL ".join(f"SELECT '{s}' AS stage, company_id, parse_error, n_findings, escalated FROM stage_{s.lower()}"
+                              for s in _REPLY_OF)
+    return f"""{with_views("research_companies", "finding_rows", "priority_log")},
+said AS (SELECT g.company_id, CASE WHEN c.company_id IS NULL THEN 'No JSON object found in response' ELSE {_PARSE_ERR} END AS err, n.nf
+  FROM (SELECT rcid AS company_id FROM priority_log UNION SELECT rcid + 1 FROM priority_log UNION SELECT rcid + 2 FROM priority_log) g
+  LEFT JOIN research_companies c ON c.company_id = g.company_id LEFT JOIN {_NF} n ON n.company_id = g.company_id),
+screened AS (SELECT rcid AS company_id, online_presence_score * 10 AS p, research_priority_score >= 3 AS escalated FROM priority_log),
+{", ".join(parts)},
+cascade AS (SELECT '1' AS stage, company_id, CAST(NULL AS VARCHAR) AS parse_error, 0 AS n_findings, escalated FROM screened
+  UNION ALL {rows})"""
+
+
+def _cascade(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    screened = B.priority_log(t).select(
+        F.col("rcid").alias("company_id"), (F.col("online_presence_score") * 10).alias("online_presence_score"),
+        (F.col("research_priority_score") >= S.DEEP_RESEARCH_MIN_SCORE).alias("escalated"))
+    replies = B.research_replies(t)
+
+    def call(rows, stage):
+        said = replies.select((F.col("company_id") - _REPLY_OF[stage]).alias("company_id"), "reply")
+        return rows.join(said, "company_id", "left")
+
+    stages = CA.run_cascade(screened.where("escalated").drop("escalated"), call, sinks.scratch_path(spark, "cascade"))
+    return CA.cascade_rows(screened, stages)
+
+
+@register("staged_cascade", sql=f"""{_cascade_sql()}
+SELECT * FROM cascade""")
+def q_staged_cascade(spark, sf_dir):
+    """Score >= 3 to the quick check, then by the rule on the parsed replies to the
+    deep check and to deep research; a row per company and stage (U6)."""
+    return _cascade(spark, sf_dir)
+
+
+@register("staged_cascade_costs", sql=f"""{_cascade_sql()},
+stages(stage, unit_min, unit_max) AS (VALUES {', '.join(f"('{st}', CAST({lo} AS DOUBLE), CAST({hi} AS DOUBLE))" for st, lo, hi in TR.STAGE_UNIT_COSTS)})
+SELECT s.stage, count(c.company_id) AS companies, round(count(c.company_id) * any_value(s.unit_min), 6) AS cost_min,
+  round(count(c.company_id) * any_value(s.unit_max), 6) AS cost_max
+FROM stages s LEFT JOIN cascade c ON c.stage = s.stage GROUP BY s.stage""")
+def q_staged_cascade_costs(spark, sf_dir):
+    """Companies asked and cost of each stage of the run over replies."""
+    return CA.cascade_costs(_cascade(spark, sf_dir))

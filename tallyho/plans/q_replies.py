@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyho import schemas as S
+from tallyho.operators import error_codes as EC
 from tallyho.operators import findings as FD
 from tallyho.operators import labelers as L
 from tallyho.operators import replies as R
@@ -106,6 +107,22 @@ def q_top_error_codes(spark, sf_dir):
     return R.top_error_codes(_cls_ingested(spark, sf_dir))
 
 
+@register("batch_error_codes", sql=f"""{with_views('batch_error_rows')}
+SELECT batch_num, CAST(row_number() OVER (PARTITION BY batch_num ORDER BY n DESC, code) AS INTEGER) AS rank, code, n
+FROM (SELECT batch_num, code, count(*) AS n FROM batch_error_rows GROUP BY 1, 2)""")
+def q_batch_error_codes(spark, sf_dir):
+    """Codes of each batch's error list by count, descending (T5)."""
+    return EC.batch_error_codes(B.batch_errors(_t(spark, sf_dir)))
+
+
+@register("top_batch_error_codes", sql=f"""{with_views('batch_error_rows')}
+SELECT code, count(*) AS n FROM batch_error_rows GROUP BY 1 ORDER BY n DESC, code LIMIT 10""")
+def q_top_batch_error_codes(spark, sf_dir):
+    """The ten most frequent error codes of all batches' lists, counted exactly
+    without counting every free-form code (T5; the limit is the feature)."""
+    return EC.top_batch_error_codes(B.batch_errors(_t(spark, sf_dir)))
+
+
 @register("failure_log", sql=f"""{with_views('cls_parsed')}
 SELECT batch_num, custom_id, failure_kind, status_code,
   coalesce(error_message, failure_kind) AS error, content
@@ -330,6 +347,30 @@ def q_summarize_findings(spark, sf_dir):
     return FD.summarize_findings(B.research_results(_t(spark, sf_dir)))
 
 
+_TYPED = with_views("typed_finding_rows")
+
+
+@register("summarize_typed_findings", sql=f"""{_TYPED}
+SELECT c.company_id, coalesce(n.evidence, false) AS has_adoption_evidence, coalesce(n.best, 0.0) AS highest_confidence,
+  CAST(coalesce(n.kept, 0) AS INTEGER) AS n_findings, CAST(coalesce(n.bad, 0) AS INTEGER) AS n_quarantined
+FROM research_companies c LEFT JOIN (SELECT company_id, max(CASE WHEN reason IS NULL THEN confidence_score END) AS best,
+    bool_or(reason IS NULL AND NOT list_contains({Q.arr(S.NEGATIVE_FINDING_TYPES)}, finding_type)) AS evidence,
+    count(*) FILTER (WHERE reason IS NULL) AS kept, count(reason) AS bad FROM typed_finding_rows GROUP BY 1) n
+  ON n.company_id = c.company_id""")
+def q_summarize_typed_findings(spark, sf_dir):
+    """Evidence by finding type and highest confidence; mistyped findings do not
+    count (P26)."""
+    return FD.summarize_typed_findings(FD.typed_findings(B.typed_finding_replies(_t(spark, sf_dir))))
+
+
+@register("quarantine_findings", sql=f"""{_TYPED}
+SELECT company_id, finding_id, reason, finding_type, description, source_url, source_title, confidence_score
+FROM typed_finding_rows WHERE reason IS NOT NULL""")
+def q_quarantine_findings(spark, sf_dir):
+    """Findings whose type, description or confidence breaks its declaration."""
+    return FD.quarantined_findings(FD.typed_findings(B.typed_finding_replies(_t(spark, sf_dir))))
+
+
 @register("drop_low_confidence_findings", sql=f"""{_RJ}
 SELECT c.company_id, CASE WHEN c.result_is_null THEN NULL ELSE CAST(coalesce(n.nf, 0) AS INTEGER) END AS n_kept,
   CASE WHEN NOT c.result_is_null THEN coalesce(n.texts, '') END AS kept_findings

@@ -585,3 +585,59 @@ def _research_api_responses(t: Tables) -> DataFrame:
                     F.lit('],"usage":{"prompt_tokens":'), (n * 10 + 100).cast("string"),
                     F.lit(',"completion_tokens":'), (n + 50).cast("string"), F.lit("}}"))
     return r.select("company_id", body.alias("raw"))
+
+
+ERROR_CODES = ["rate_limit_exceeded", "server_error", "invalid_request", "rate_limit_exceeded",
+               None, "token_limit_exceeded"]
+EVENTS_PER_BATCH = 500
+
+
+def batch_errors(t: Tables) -> DataFrame:
+    """Staged once per session as parquet; built by ``_batch_errors``."""
+    return staged(t.spark, "batch_errors", t.sf_dir, lambda: _batch_errors(t))
+
+
+def _batch_errors(t: Tables) -> DataFrame:
+    """A batch's own error list, from the error events of each run of
+    ``EVENTS_PER_BATCH`` event ids: some errors have no code, every seventh a
+    free-form one; every sixth batch has no list, and some claim no failure."""
+    k = F.col("event_id")
+    code = F.when(k % 7 == 6, F.concat(F.lit("line_"), k.cast("string"))).otherwise(
+        _pick([*ERROR_CODES, None], F.pmod(k, F.lit(7))))
+    error = F.struct(k.alias("line"), code.alias("code"), F.concat(F.lit("event "), k.cast("string")).alias("message"))
+    b = F.floor(k / EVENTS_PER_BATCH).cast("int")
+    per = t.events.groupBy(b.alias("batch_num")).agg(
+        F.count_if(F.col("event_type") == "error").alias("_failed"),
+        F.array_sort(F.collect_list(F.when(F.col("event_type") == "error", error))).alias("_data"))
+    return per.select(
+        "batch_num", F.when(F.col("batch_num") % 10 == 7, F.lit(0)).otherwise(F.col("_failed")).cast("bigint").alias("failed"),
+        F.when(F.col("batch_num") % 6 != 5, F.struct(F.col("_data").alias("data"))).alias("errors"))
+
+
+def typed_finding_replies(t: Tables) -> DataFrame:
+    """Staged once per session as parquet; built by ``_typed_finding_replies``."""
+    return staged(t.spark, "typed_finding_replies", t.sf_dir, lambda: _typed_finding_replies(t))
+
+
+def _typed_finding_replies(t: Tables) -> DataFrame:
+    """Replies with typed findings as JSON text: some of unknown or absent type,
+    some companies with negative types only, confidences beyond 1 or as texts,
+    absent descriptions, and replies without JSON."""
+    r = research_results(t)
+    k = F.col("company_id")
+    kinds = [*S.FINDING_TYPES, "gut_feeling", S.NEGATIVE_FINDING_TYPES[0].upper(), None, S.FINDING_TYPES[0]]
+
+    def finding(f, i):
+        kind = F.when(k % 5 == 2, _pick(S.NEGATIVE_FINDING_TYPES, i % 2)).otherwise(
+            _pick(kinds, F.pmod(k * 7 + i * 5, F.lit(len(kinds)))))
+        score = F.to_json(F.struct(F.round(f["confidence"], 2).alias("x")))
+        number = F.regexp_extract(score, "[0-9.]+", 0)
+        number = F.when(F.pmod(k + i, F.lit(9)) == 4, F.concat(F.lit('"'), number, F.lit('"'))).otherwise(number)
+        rest = F.to_json(F.struct(kind.alias("finding_type"),
+                                  F.when(F.pmod(k + i, F.lit(13)) != 6, f["evidence_summary"]).alias("description"),
+                                  f["source_url"].alias("source_url"), f["tool_name"].alias("source_title")))
+        return F.concat(F.regexp_replace(rest, r"\}$", ""), F.lit(',"confidence_score":'), number, F.lit("}"))
+
+    body = F.concat(F.lit('{"findings":['), F.array_join(F.transform("result.findings", finding), ","), F.lit("]}"))
+    return r.select("company_id", F.when(F.col("result").isNull() | (k % 29 == 0), F.lit("Nothing to report."))
+                    .when(k % 17 == 3, F.concat(F.lit("Findings: "), body)).otherwise(body).alias("reply"))

@@ -61,7 +61,8 @@ def test_every_query_has_a_docstring():
     ("check_reply_contract", "violations"), ("check_insufficient_info", "violations"),
     ("check_adoption_invariants", "violations"), ("check_mode_monotonic", "violations"),
     ("check_ranges", "violations"), ("check_source_confidence_band", "violations"),
-    ("check_research_rules", "violations"),
+    ("check_research_rules", "violations"), ("summarize_typed_findings", "has_adoption_evidence"),
+    ("staged_cascade", "escalated"), ("staged_cascade", "parse_error"), ("quarantine_findings", "reason"),
     ("sliding_request_rate", "over_limit"), ("plan_even_batches", "batch_num"),
     ("plan_greedy_batches", "batch_num"), ("escalation_rule", "mismatch")])
 def test_checks_have_both_outcomes(key, column):
