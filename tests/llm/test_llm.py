@@ -504,6 +504,51 @@ def test_fitted_trees_add_planted_spans(spark):
     assert [text[s:e] for _, s, e in model.added(text, base)] == ["jo (at) mail (dot) com", "234 555 6789"]
 
 
+@pytest.fixture(scope="module")
+def learned_pii(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    return pii_boost.fit_pii(docs), [r.text for r in docs.where("text is not null").select("text").orderBy("doc_id").collect()]
+
+
+def test_pii_rewritten_matches_are_found_again(learned_pii):
+    model, rows = learned_pii
+    hits, all_ = collections.Counter(), collections.Counter()
+    for text in rows:
+        for kind, spans in enumerate(pii_boost.base_spans(text)):
+            for start, end in spans[:2]:
+                before, after = text[max(0, start - 80):start], text[end:end + 80]
+                for form in pii_boost.rewritten(kind, text[start:end], zlib.crc32(text[start:end].encode())):
+                    part = before + form + after
+                    base = pii_boost.base_spans(part)
+                    spans_ = [c[1:] for c in model.added(part, base)] + [s for found in base for s in found]
+                    all_[kind] += 1
+                    hits[kind] += any(s <= len(before) and e >= len(before + form) for s, e in spans_)
+    assert all(all_[k] > 50 and hits[k] >= 0.95 * all_[k] for k in range(4)), (hits, all_)
+
+
+@pytest.mark.parametrize("text", [
+    "The office lies at 52.520008, 13.404954 near the river.", "A head count of 123 456 789 people.", "He stood at Rome dot org for a while.",
+    "Released 2024-01-17 10.30.15 as version 3.14.159.265.", "look at page.html and arrive at 10.30.2024", "pi is 3.14159265358979 roughly",
+    "sum 1.234.567.890 euro", "ISBN 978-3-16-148410-0 is a book", "order 20240117103015 shipped", "we met at example.com today",
+    "83 240 525 and 1 412 600 000 people", "from 17.01.2024-19.02.2024 it rained", "build 10.4.2.1.33 of 7.8.9", "1998 2004 2011 2020 were good years"])
+def test_pii_leaves_ordinary_text_alone(learned_pii, text):
+    assert learned_pii[0].added(text, pii_boost.base_spans(text)) == []
+
+
+def test_pii_of_the_kinds_the_base_misses(learned_pii):
+    text = "write to jo (at) mail (dot) com or john.smith at host.example.com, server 192[.]168[.]1[.]7, call 234 555 6789, card 4111.1111.1111.1111 now"
+    found = [text[s:e] for _, s, e in learned_pii[0].added(text, pii_boost.base_spans(text))]
+    assert set(found) == {"192[.]168[.]1[.]7", "234 555 6789", "4111.1111.1111.1111", "jo (at) mail (dot) com", "john.smith at host.example.com"}
+
+
+def test_pii_ordinary_forms_and_check_digits():
+    for turn in range(400):
+        form = pii_boost.ordinary(turn, "word")
+        assert form and form == pii_boost.ordinary(turn, "word")
+    assert pii_boost.luhn("".join(filter(str.isdigit, pii_boost._checked("1.234.567.890.123.456"))))
+    assert list(pii_boost.examples("")) == []
+
+
 ASSIGN = r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
 
 
