@@ -6,10 +6,13 @@ are appended exactly once (``sources/commits.py``), some rows at a time, so a
 run that died asks only for rows that have no reply yet.
 
     root/replies-<stage>/   one append a part of a stage's rows
+    root/asked-<stage>/     the rows of a stage, written once a run, so that no
+                            later stage works out the earlier ones again
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -62,6 +65,9 @@ def run_cascade(routed: DataFrame, call: Call, root: str, key: str = "company_id
     """
     out, asked = {}, routed
     for stage in MODEL_STAGES:
+        rows = f"{root}/asked-{stage}/{uuid.uuid4().hex}"
+        asked.write.parquet(rows)
+        asked = routed.sparkSession.read.schema(routed.schema).parquet(rows)
         judged = judge_replies(ask_pending(asked, key, stage, call, root, parts), stage)
         out[stage] = judged
         asked = judged.where("escalated").select(*routed.columns)
