@@ -344,12 +344,22 @@ cascade AS (SELECT '1' AS stage, company_id, CAST(NULL AS VARCHAR) AS parse_erro
   UNION ALL {rows})"""
 
 
+def _replies_to(asked, replies):
+    """The replies that some stage of the asked companies may take, written once:
+    each part of a stage joins with these, not with the texts of all companies."""
+    spark = replies.sparkSession
+    keys = asked.select(F.explode(F.array(*[F.col("company_id") + on for on in _REPLY_OF.values()])).alias("company_id"))
+    path = sinks.scratch_path(spark, "cascade_replies")
+    replies.select("company_id", "reply").join(keys, "company_id", "left_semi").write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _cascade(spark, sf_dir):
     t = Tables(spark, sf_dir)
     screened = B.priority_log(t).select(
         F.col("rcid").alias("company_id"), (F.col("online_presence_score") * 10).alias("online_presence_score"),
         (F.col("research_priority_score") >= S.DEEP_RESEARCH_MIN_SCORE).alias("escalated"))
-    replies = B.research_replies(t)
+    replies = _replies_to(screened.where("escalated"), B.research_replies(t))
 
     def call(rows, stage):
         said = replies.select((F.col("company_id") - _REPLY_OF[stage]).alias("company_id"), "reply")
