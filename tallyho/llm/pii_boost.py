@@ -6,14 +6,14 @@ with at and dot).  Candidates that fail a format check of their kind (suffix,
 octets, check digit, number of digits, piece of a longer number or word) are
 never added, nor learned from.  Boosted trees judge the others by their shape
 and the words around them.  They learn only from candidates that touch no base
-span, as these alone can be added: base matches of a bounded sample of
+span, as these alone can be added: base matches of all
 documents, rewritten in forms that the base rules miss (at and dot in words,
 no plus sign, other separators), are the positive class; ordinary numbers and
 words that pass the format check (counts, decimals, dates, identifiers, "stood
 at rome.org"), put between words at places drawn by hash over the whole texts,
 are the negative one.  Candidates found in the texts are in neither class, so
 real addresses in such forms are no counter-examples.  Each kind's threshold is
-the least score at which the held-out half of the sample has ``PRECISION``.
+the least score at which the held-out half of the documents has ``PRECISION``.
 Candidates that pass, touch no base span and win over the candidates they
 overlap are added.
 
@@ -23,7 +23,7 @@ points, and hosts of at most nine labels, which is what addresses may have.
 Positions are code points, ends exclusive.  Null texts count as empty.
 Repeated rows are scanned row by row; ties between overlapping candidates go
 to the earlier, then longer, then earlier-listed one.  Only ``doc_id`` and
-``text`` are read.  Without both classes in the sample nothing is added.
+``text`` are read.  Without both classes nothing is added.
 """
 
 from __future__ import annotations
@@ -41,15 +41,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyho.llm.common import map_texts
-from tallyho.llm.quality_gbt import Trees, boost
+from tallyho.llm.common import map_texts, staged
+from tallyho.llm.quality_gbt import BINS, DEPTH, LEAST, RATE, RIDGE, Trees
 
 KINDS = ["email", "ip", "card", "phone"]
-SAMPLE_DOCS = 20_000     # documents that the trees learn from
-SAMPLE_SPANS = 200_000   # and the most candidates of theirs
 PRECISION = 0.98         # of added spans, on held-out candidates
 CONTEXT = 40             # code points before and after that are looked at
-ORDINARY = 6             # ordinary numbers and words put into a document of the sample
+ORDINARY = 6             # ordinary numbers and words put into a document
+UNIT = 2.0 ** 20         # of a gradient of 1; sums stay exact up to 2 ** 33 examples
+STEPS = 2 ** 16          # of a score, for thresholds
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -136,7 +136,8 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
 
 
 def features(text: str, kind: int, start: int, end: int) -> list[float]:
-    """Format of a span and of what surrounds it."""
+    """Format of a span and of what surrounds it.  Cues of other kinds do not
+    count: personal data of one kind often follows that of another."""
     span, before, after = text[start:end], text[max(0, start - CONTEXT):start], text[end:end + CONTEXT]
     digits = sum(c in "0123456789" for c in span)
     groups = re.findall(r"[0-9]+", span)
@@ -150,7 +151,7 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
         len(groups) > 1 and set(sizes[1:]) == {3}, any(len(g) == 4 and g[:2] in ("19", "20") for g in groups),
         before[-1:].isspace() or not before, before[-1:].isalnum(), after[:1].isspace() or not after, after[:1].isalnum(),
         sum(c in "0123456789" for c in before), sum(c in "0123456789" for c in after),
-        *[bool(c.search(before)) for c in _CUES], digits == end - start]
+        bool(_CUES[kind].search(before)), digits == end - start]
 
 
 _NUMBER_BEFORE, _NUMBER_AFTER = re.compile(r"[0-9][.,:/]\Z"), re.compile(r"[.,:/-][0-9]")
@@ -313,40 +314,132 @@ class Spans:
         self.ends.insert(at, end)
 
 
-def fit_pii(docs: DataFrame) -> PiiModel:
-    """Learn from the examples of at most ``SAMPLE_DOCS`` documents by hash order
-    of their ids, and at most ``SAMPLE_SPANS`` of these by hash order."""
-    ids = (docs.select("doc_id").where("doc_id is not null").distinct()
-           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS))
-
+def counted_examples(docs: DataFrame) -> DataFrame:
+    """(held, kind, y, x, n): the examples of all documents, equal ones counted;
+    ``x`` holds the features, which are whole numbers, as 32-bit integers."""
     def task(batches):
         for b in batches:
             rows = []
             for doc_id, text in zip(b.doc_id, b.text):
-                rows += [(doc_id, kind, y, [float(v) for v in x]) for kind, y, x in examples(text)]
-            yield pd.DataFrame(rows, columns=["doc_id", "kind", "y", "x"])
+                held = hashlib.md5(str(doc_id).encode()).digest()[0] % 2 == 0
+                rows += [(held, kind, y, np.array(x, "<i4").tobytes()) for kind, y, x in examples(text)]
+            yield pd.DataFrame(rows, columns=["held", "kind", "y", "x"])
 
-    rows = (docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-            .mapInPandas(task, "doc_id long, kind int, y int, x array<double>")
-            .orderBy(F.xxhash64("doc_id", "x"), "doc_id").limit(SAMPLE_SPANS).toPandas())
-    if rows.y.nunique() < 2:
-        return PiiModel(None, [2.0] * 4)
-    rows = rows.assign(key=[str(x) for x in rows.x]).sort_values(["doc_id", "key"])
-    x, y, kind = np.array(list(rows.x)), rows.y.to_numpy(float), rows.kind.to_numpy()
-    held = np.array([hashlib.md5(str(i).encode()).digest()[0] % 2 == 0 for i in rows.doc_id])
-    if len(set(y[~held])) < 2:
+    return (docs.where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+            .mapInPandas(task, "held boolean, kind int, y int, x binary")
+            .groupBy("held", "kind", "y", "x").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), "<i4").reshape(len(column), -1).astype(float)
+
+
+def _edges(rows: DataFrame) -> list[np.ndarray]:
+    """Cuts between bins of each feature: quantiles of all rows."""
+    def task(batches):
+        for b in batches:
+            x, n = _matrix(b.x), b.n.to_numpy()
+            for j in range(x.shape[1]):
+                value, at = np.unique(x[:, j], return_inverse=True)
+                yield pd.DataFrame({"feature": j, "value": value, "n": np.bincount(at, n).astype(int)})
+
+    # a feature counts or measures something in a span and its surroundings, so its values are few
+    seen = (rows.mapInPandas(task, "feature int, value double, n long")
+            .groupBy("feature", "value").agg(F.sum("n").alias("n")).toPandas().sort_values(["feature", "value"]))
+    out = []
+    for _, own in seen.groupby("feature"):
+        value, upto = own.value.to_numpy(), own.n.to_numpy().cumsum()
+        at = np.linspace(0, 1, BINS + 1)[1:-1] * (upto[-1] - 1)
+        low, high = (value[np.searchsorted(upto, f(at), side="right")] for f in (np.floor, np.ceil))
+        out.append(np.unique(low + (at - np.floor(at)) * (high - low)))
+    return out
+
+
+def _histograms(rows: DataFrame, done: Trees, tree: tuple[np.ndarray, np.ndarray], level: int,
+                edges: list[np.ndarray]) -> np.ndarray:
+    """Sums of gradients, second derivatives and rows by node of a level, feature
+    and bin.  Each is added up as whole numbers, so order does not matter."""
+    width, f = 2 ** level, len(edges)
+
+    def task(batches):
+        sums = np.zeros((3, width * f * BINS))
+        for b in batches:
+            x, n = _matrix(b.x), b.n.to_numpy(float)
+            p = done.score(x)
+            node = np.zeros(len(x), np.int64)
+            for _ in range(level):
+                node = 2 * node + 1 + (x[np.arange(len(x)), tree[0][node]] > tree[1][node])
+            binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], 1)
+            cell = ((node - width + 1)[:, None] * (f * BINS) + np.arange(f) * BINS + binned).ravel()
+            for i, v in enumerate((np.rint(UNIT * (b.y.to_numpy() - p)), np.rint(UNIT * p * (1 - p)), 1)):
+                sums[i] += np.bincount(cell, np.repeat(v * n, f), width * f * BINS)
+        yield pd.DataFrame({"sums": [sums.tobytes()]})
+
+    parts = rows.coalesce(64).mapInPandas(task, "sums binary").collect()   # at most 64 arrays of 0.6 MB
+    total = sum(np.frombuffer(r.sums) for r in parts).reshape(3, width, f, BINS).cumsum(3)
+    return total / np.array([UNIT, UNIT, 1.0])[:, None, None, None]
+
+
+def boost_counted(rows: DataFrame, share: float, trees: int = 40) -> Trees:
+    """``quality_gbt.boost`` on all rows of a table (y, x, n), a pass a level:
+    executors add up the histograms, the driver chooses the splits."""
+    edges = _edges(rows)
+    inner, leaves = 2 ** DEPTH - 1, 2 ** DEPTH
+    mean = np.clip(share, 1e-3, 1 - 1e-3)
+    out = Trees(np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf), np.zeros((trees, leaves)),
+                float(np.log(mean / (1 - mean))))
+
+    def worth(a, b):
+        return a * a / (b + RIDGE)
+
+    for t in range(trees):
+        done = Trees(out.feature[:t], out.threshold[:t], out.leaf[:t], out.base)
+        for level in range(DEPTH):
+            first, width = 2 ** level - 1, 2 ** level
+            g, h, c = _histograms(rows, done, (out.feature[t], out.threshold[t]), level, edges)
+            gain = worth(g, h) + worth(g[..., -1:] - g, h[..., -1:] - h) - worth(g[..., -1:], h[..., -1:])
+            gain[(c < LEAST) | (c[..., -1:] - c < LEAST)] = 0
+            for k, best in enumerate(gain.reshape(width, -1).argmax(1)):
+                j, cut = divmod(int(best), BINS)
+                split = gain[k, j, cut] > 1e-9 and cut < len(edges[j])
+                if split:
+                    out.feature[t, first + k], out.threshold[t, first + k] = j, edges[j][cut]
+                if level == DEPTH - 1:   # what went left and right are the leaves
+                    left = np.array([v[k, j, cut if split else -1] for v in (g, h)])
+                    for side, (a, b) in enumerate((left, np.array([v[k, 0, -1] for v in (g, h)]) - left)):
+                        out.leaf[t, 2 * k + side] = RATE * a / (b + RIDGE)
+    return out
+
+
+def fit_pii(docs: DataFrame) -> PiiModel:
+    """Learn from the examples of all documents: trees from one half by hash of
+    the ids, thresholds from the other."""
+    rows = staged(counted_examples(docs), "pii-examples")
+    size = {r.y: r.n for r in rows.where("not held").groupBy("y").agg(F.sum("n").alias("n")).collect()}
+    if len(size) < 2:
         return PiiModel(None, [2.0] * 4)
-    trees = boost(x[~held], y[~held], trees=40)
-    score = trees.score(x)
-    return PiiModel(trees, [_threshold(score[held & (kind == k)], y[held & (kind == k)]) for k in range(4)])
+    trees = boost_counted(rows.where("not held").select("y", "x", "n"), size[1] / sum(size.values()))
+    return PiiModel(trees, thresholds(rows.where("held"), trees))
 
 
-def _threshold(score: np.ndarray, y: np.ndarray) -> float:
-    """The least score at which all candidates from it up have ``PRECISION``; 2 if there is none."""
-    order = np.argsort(-score, kind="stable")
-    right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    good = np.flatnonzero((right >= PRECISION) & (score[order] >= 0.5))
-    return float(score[order][good[-1]]) if len(good) and y.sum() >= 5 else 2.0
+def thresholds(rows: DataFrame, trees: Trees) -> list[float]:
+    """Of each kind the least score, in steps of 1 / ``STEPS``, at which all
+    candidates from it up have ``PRECISION``; 2 if there is none."""
+    def task(batches):
+        for b in batches:
+            yield pd.DataFrame({"kind": b.kind, "step": np.floor(STEPS * trees.score(_matrix(b.x))).astype(int),
+                                "right": b.y * b.n, "n": b.n})
+
+    # at most ``STEPS`` + 1 rows a kind
+    seen = (rows.mapInPandas(task, "kind int, step int, right long, n long").groupBy("kind", "step")
+            .agg(F.sum("right").alias("right"), F.sum("n").alias("n")).toPandas().sort_values("step", ascending=False))
+    out = [2.0] * len(KINDS)
+    for kind, own in seen.groupby("kind"):
+        right = own.right.cumsum() / own.n.cumsum()
+        good = own.step[(right >= PRECISION) & (own.step >= STEPS / 2)]
+        if len(good) and own.right.sum() >= 5:
+            out[kind] = float(good.iloc[-1]) / STEPS
+    return out
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -367,5 +460,5 @@ def find_pii(docs: DataFrame, model: PiiModel) -> DataFrame:
 
 
 def pii_query(docs: DataFrame) -> DataFrame:
-    """Fit on the bounded sample, then scan every document."""
+    """Fit on every document, then scan every document."""
     return find_pii(docs, fit_pii(docs))

@@ -689,3 +689,23 @@ def test_stages_keep_columns_on_edge_rows(spark, edge):
         assert stage(spark, edge, SMALL).columns == edge.columns, name
         assert stage(spark, edge.limit(0), SMALL).count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, edge, SMALL).count() == edge.count()
+
+
+def test_pii_learns_from_every_document(spark):
+    text = "mail jo.smith@host.example.com or call +1 (234) 555-6789 about the long and ordinary day of ours at home again "
+    docs = spark.range(23_000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    rows = pii_boost.counted_examples(docs)
+    each = len(list(pii_boost.examples(text)))
+    assert each and rows.agg(F.sum("n")).first()[0] == 23_000 * each
+
+
+def test_trees_on_counted_rows_equal_trees_on_an_array(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 200, (3000, 5))
+    y = ((x[:, 0] > 90) ^ (x[:, 3] < 30) ^ (rng.random(3000) < 0.1)).astype(int)
+    rows = spark.createDataFrame([(int(b), np.array(a, "<i4").tobytes(), 1) for a, b in zip(x, y)], "y int, x binary, n long")
+    want = quality_gbt.boost(x.astype(float), y.astype(float), trees=2)
+    for given in (rows.repartition(1), rows.repartition(7)):
+        got = pii_boost.boost_counted(given, y.mean(), trees=2)
+        assert (got.feature == want.feature).all() and (got.threshold == want.threshold).all()
+        assert np.allclose(got.leaf, want.leaf, atol=1e-4)
