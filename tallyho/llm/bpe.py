@@ -40,6 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -50,11 +51,12 @@ from tallyho.llm.common import map_texts, worker_cache
 TAIL = 3                # symbols that tell which sizes of tokens are tried
 CACHED_TAILS = 200_000  # a worker keeps the sizes of this many tails
 _SEPARATORS = regex.compile("[\x1c-\x1f]").search
-CACHED_BYTES = 96 << 20  # a worker keeps late encoded words and chunks of so many bytes, and as many of before
-ENTRY_BYTES = 260        # of a cached entry, besides its text, ids and labels
+CACHED_ARCS = 1 << 18   # and the answers for this many arcs
+CACHED_BYTES = 32 << 20  # a worker keeps late encoded words and chunks of so many bytes, and as many of before
+ENTRY_BYTES = 130        # of a cached entry, and again of its labels, besides text, ids and labels
 STEP_BYTES = 48          # words up to this long are encoded in step
 STEP_WORDS = 16_384      # so many at a time
-GROUP_CHARS = 1 << 22    # texts of so many characters look for new words together
+GROUP_CHARS = 1 << 20    # texts of so many characters look for new words together
 
 
 class Automaton:
@@ -92,6 +94,8 @@ class Automaton:
         key = state << 32 | token
         known = self.table.get(key)
         if known is None:
+            if len(self.table) >= CACHED_ARCS:
+                self.table.clear()
             known = self.table[key] = self._resolve(state, token)
         return known
 
@@ -181,7 +185,7 @@ def _byte_symbols() -> dict[int, str]:
 class _Late:
     """Encoded text, bounded by bytes: what was entered of late, and what was
     before.  ``ids`` (as bytes) and ``labels`` (joined by blanks) have the same
-    keys.  Only ``missing`` forgets, so what a group of texts needs stays while
+    keys; a codec without labels enters none.  Only ``missing`` forgets, so what a group of texts needs stays while
     it is read."""
 
     def __init__(self):
@@ -197,27 +201,27 @@ class _Late:
         new = keys.difference(self.ids)
         ids, labels = self.before
         back = [k for k in new if k in ids] if ids else []
-        self.enter(back, [ids[k] for k in back], [labels[k] for k in back])
+        self.enter(back, [ids[k] for k in back], [labels[k] for k in back] if labels else [])
         return list(new.difference(back)) if back else list(new)
 
     def enter(self, keys: list[str], ids: list[bytes], labels: list[str]) -> None:
         self.ids.update(zip(keys, ids))
         self.labels.update(zip(keys, labels))
-        self.held += ENTRY_BYTES * len(keys) + sum(sum(map(len, x)) for x in (keys, ids, labels))
+        self.held += ENTRY_BYTES * (len(keys) + len(labels)) + sum(sum(map(len, x)) for x in (keys, ids, labels))
 
 
 class Steps:
     """Encodes many words in step, over flat arrays.
 
-    ``child`` holds the trie of the labels read from their last byte, by
-    ``node << 8 | byte``; ``token`` the token that begins at a node, inside a
-    word and at its end.
+    ``keys`` and ``values`` hold the trie of the labels read from their last
+    byte, by ``node << 8 | byte``; ``token`` the token that begins at a node,
+    inside a word and at its end.
     """
 
     def __init__(self, automaton: Automaton, end: str, symbols: list[str]):
         self.automaton = automaton
         byte = {s: b for b, s in enumerate(symbols)}
-        self.child: dict[int, int] = {}
+        child: dict[int, int] = {}
         nodes = 1
         places: tuple[dict[int, int], dict[int, int]] = ({}, {})
         for label, token in automaton.vocab.items():
@@ -228,9 +232,9 @@ class Steps:
             node = 0
             for c in reversed(spelled):
                 key = node << 8 | byte[c]
-                node = self.child.get(key, 0)
+                node = child.get(key, 0)
                 if not node:
-                    node = self.child[key] = nodes
+                    node = child[key] = nodes
                     nodes += 1
             places[last][node] = token
             if not end:
@@ -238,12 +242,12 @@ class Steps:
         self.token = np.full((2, nodes), -1, np.int64)
         for at, tokens in zip(places, self.token):
             tokens[list(at)] = list(at.values())
-        self._fill()
+        self._fill(child)
 
-    def _fill(self) -> None:
+    def _fill(self, child: dict[int, int]) -> None:
         """The children as an open hash table of arrays."""
-        keys = np.fromiter(self.child, np.int64, len(self.child))
-        values = np.fromiter(self.child.values(), np.int64, len(self.child))
+        keys = np.fromiter(child, np.int64, len(child))
+        values = np.fromiter(child.values(), np.int64, len(child))
         bits = max(4, int(np.ceil(np.log2(4 * len(keys) + 1))))
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
@@ -382,12 +386,14 @@ class Codec:
             self.enter([word], np.array(ids), [0, len(ids)])
         ids, labels = self.words.ids, self.words.labels
         self.chunks.enter(new, [b"".join([ids[w] for w in p]) if len(p) > 1 else ids[p[0]] for p in split],
-                          [" ".join([labels[w] for w in p]) if len(p) > 1 else labels[p[0]] for p in split])
+                          [" ".join([labels[w] for w in p]) if len(p) > 1 else labels[p[0]] for p in split]
+                          if self.labelled else [])
 
     def enter(self, words: list[str], flat: np.ndarray, ends: list[int]) -> None:
         ids, spans = flat.astype("<u4").tobytes(), list(zip(ends, ends[1:]))
         labels = [self.label[i] for i in flat.tolist()] if self.labelled else []
-        self.words.enter(words, [ids[4 * a:4 * b] for a, b in spans], [" ".join(labels[a:b]) for a, b in spans])
+        self.words.enter(words, [ids[4 * a:4 * b] for a, b in spans],
+                         [" ".join(labels[a:b]) for a, b in spans] if self.labelled else [])
 
     def parts(self, text: str) -> list[str]:
         """Chunks of a text in order; special tokens begin with a blank, which no chunk holds."""
@@ -406,13 +412,13 @@ class Codec:
 
     def pieces(self, texts: list[str | None]):
         """For each text, its chunks in order, all of them entered in ``chunks``."""
-        for i, j in _groups(texts):
+        for i, j in _groups([len(text or "") for text in texts]):
             parts = [self.parts(text or "") for text in texts[i:j]]
             needed = set().union(*parts)
             special = [c for c in needed if c[0] == " "]
             self.learn(needed.difference(special))
             self.chunks.enter(special, [np.array([self.special[c[1:]]], "<u4").tobytes() for c in special],
-                              [c[1:] for c in special])
+                              [c[1:] for c in special] if self.labelled else [])
             yield from parts
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -426,17 +432,29 @@ class Codec:
         return self.labels(ids)
 
 
-def _groups(texts: list[str | None]):
-    """Neighbours of ``GROUP_CHARS`` characters in all, as ranges; a longer text stands alone."""
+def _groups(sizes: list[int]):
+    """Neighbours of ``GROUP_CHARS`` in all, as ranges; a longer text stands alone."""
     i = held = 0
-    for j, text in enumerate(texts):
-        size = len(text or "")
+    for j, size in enumerate(sizes):
         if j > i and held + size > GROUP_CHARS:
             yield i, j
             i, held = j, 0
         held += size
-    if i < len(texts):
-        yield i, len(texts)
+    if i < len(sizes):
+        yield i, len(sizes)
+
+
+def _encoded(codec: Codec, batches, text: str, keep: list[str]):
+    """The batches with their ids, in parts of ``GROUP_CHARS`` bytes of text: only
+    one part's texts and ids are held at a time."""
+    for whole in batches:
+        for i, j in _groups([size or 0 for size in pc.binary_length(whole.column(text)).to_pylist()]):
+            b = whole.slice(i, j - i)
+            ids = codec.encode_all(b.column(text).to_pylist())
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+            flat = pa.array(np.concatenate(ids).astype(np.int32), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], [*keep, "ids"])
 
 
 def _digests(codec: Codec, texts: list[str | None]) -> list[list]:
@@ -473,13 +491,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     shared = shared_spec(docs.sparkSession, path)
 
     def task(batches):
-        codec = _codec(shared)
-        for b in batches:
-            ids = codec.encode_all(b.column(text).to_pylist())
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-            flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else [], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], [*keep, "ids"])
+        yield from _encoded(_codec(shared), batches, text, keep)
 
     return docs.select(*keep).mapInArrow(task, schema)
 

@@ -1,6 +1,9 @@
 """Encoding in step against merging by rank, and the encoder on an empty table."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyho.llm import bpe, queries
@@ -50,3 +53,38 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.bpe_digests(docs, queries.tokenizer_path()).collect() == []
     assert bpe.encode_texts(docs, queries.tokenizer_path()).collect() == []
+
+
+def test_a_batch_is_encoded_in_parts_of_bounded_memory():
+    codec = bpe.Codec(bpe.Spec.read(queries.tokenizer_path()), labelled=False)
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(500)]
+    texts = [None, "", *[" ".join(rng.choice(words, 2000)) for _ in range(500)], "", None]   # 7 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
+    want = [x.tolist() for x in codec.encode_all(texts)]
+    tracemalloc.start()
+    got = []
+    for part in bpe._encoded(codec, iter([batch]), "text", ["doc_id", "text"]):
+        got.append(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    table = pa.Table.from_batches(got)
+    assert table["ids"].to_pylist() == want and table["text"].to_pylist() == texts
+    assert table["doc_id"].to_pylist() == list(range(len(texts)))
+    assert peak < 30e6
+
+
+def test_a_codec_without_labels_keeps_none():
+    codec = bpe.Codec(bpe.Spec.read(queries.tokenizer_path()), labelled=False)
+    assert len(codec.encode("some words <|endoftext|> and some more")) > 4
+    assert not codec.words.labels and not codec.chunks.labels
+
+
+def test_forgotten_arcs_are_resolved_again(monkeypatch):
+    codec = bpe.Codec(bpe.Spec.read(queries.tokenizer_path()))
+    text = "forgotten arcs are resolved again, letter by letter " + "wordswithoutend" * 20
+    want = codec.encode(text).tolist()
+    codec = bpe.Codec(bpe.Spec.read(queries.tokenizer_path()))
+    monkeypatch.setattr(bpe, "CACHED_ARCS", 5, raising=False)
+    assert codec.encode(text).tolist() == want
+    assert len(codec.automaton.table) <= 5
