@@ -52,7 +52,7 @@ TAIL = 3                # symbols that tell which sizes of tokens are tried
 CACHED_TAILS = 200_000  # a worker keeps the sizes of this many tails
 _SEPARATORS = regex.compile("[\x1c-\x1f]").search
 CACHED_ARCS = 1 << 18   # and the answers for this many arcs
-CACHED_BYTES = 32 << 20  # a worker keeps late encoded words and chunks of so many bytes, and as many of before
+CACHED_BYTES = 32 << 20  # a worker keeps late encoded words and chunks of so many bytes (twice that with labels), and as many of before
 ENTRY_BYTES = 130        # of a cached entry, and again of its labels, besides text, ids and labels
 STEP_BYTES = 48          # words up to this long are encoded in step
 STEP_WORDS = 16_384      # so many at a time
@@ -196,7 +196,7 @@ class _Late:
 
     def missing(self, keys: set[str]) -> list[str]:
         """The ones of ``keys`` with no entry; entries of before come back."""
-        if self.held > CACHED_BYTES:
+        if self.held > CACHED_BYTES * (2 if self.labels else 1):
             self.before, self.ids, self.labels, self.held = (self.ids, self.labels), {}, {}, 0
         new = keys.difference(self.ids)
         ids, labels = self.before
