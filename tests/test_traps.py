@@ -3,6 +3,7 @@
 brute-force Python reference on a small input."""
 
 import datetime as dt
+import json
 import random
 
 import pandas as pd
@@ -527,6 +528,25 @@ def test_low_confidence_findings_cut_at_half(spark):
     assert [f.tool_name for f in out[1].findings] == ["b"] and out[2] is None
 
 
+def test_citations_come_back_whole(spark, monkeypatch):
+    from tallyho.plans import q_replies as Q
+    cites = ["https://a;b", {"url": "u2", "title": "T \"2\", 2", "snippet": "line\nline"}, {"title": "no url"},
+             {"url": "u4", "title": None, "snippet": "s" * 5000}, "https://a;b"]
+    raws = [json.dumps({"citations": cites, "usage": {"prompt_tokens": 7, "completion_tokens": 4}}),
+            '{"citations":[]}', '{"citations":null,"usage":{"prompt_tokens":3}}', "no JSON", None]
+    raw = spark.createDataFrame(list(enumerate(raws)), "company_id long, raw string")
+    monkeypatch.setattr(Q.B, "research_api_responses", lambda t: raw)
+    got = {r.company_id: r for r in Q.q_normalize_citations(spark, "").collect()}
+    objects = [{"url": c} if isinstance(c, str) else c for c in cites]
+    for n in ("url", "title", "snippet"):
+        assert got[0][f"citation_{n}s"] == [c.get(n) for c in objects]
+        assert all(got[i][f"citation_{n}s"] == [] for i in range(1, 5))
+    assert (got[0].n_citations, got[0].has_citations, got[0].n_titled) == (5, True, 2)
+    assert got[0].urls == "https://a;b;u2;u4;https://a;b"
+    assert [(got[i].n_citations, got[i].has_citations, got[i].urls) for i in range(1, 5)] == [(0, False, "")] * 4
+    assert [got[i].total_tokens for i in range(5)] == [11, 0, 3, 0, 0]
+
+
 def test_unmatchable_keys_bypass_the_join(spark):
     df = spark.createDataFrame([("a",), ("N/A",), (None,), ("N/A",)], "k string")
     lk = spark.createDataFrame([("a", "A", 1), (None, "ghost", 1)], "k string, name string, seq int")
